@@ -1,0 +1,8 @@
+"""Streaming.
+
+The analysed workloads have no streams, event time, watermarks or stateful
+operators: the interactive queries are request/response over a static point
+table and the data preparation is batch.  Nothing is built here on purpose;
+the cross-filter functions in ``blockflow.plans.crossfilter`` take any
+DataFrame, including a streaming one for the stateless filters.
+"""
