@@ -55,3 +55,12 @@ def fixed_width_histogram(df: DataFrame, col: str, lo: float, width: float) -> D
     b = F.floor((F.col(col).cast("double") - F.lit(float(lo))) / F.lit(float(width))).cast("long")
     return (df.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("cnt"))
             .withColumn("bin_lo", F.lit(float(lo)) + F.col("bin") * F.lit(float(width))))
+
+
+def clamp_viewport(df: DataFrame, window, x: str = "lon", y: str = "lat") -> DataFrame:
+    """clamp a requested ``(x0, x1, y0, y1)`` window to the data extent (one row)."""
+    x0, x1, y0, y1 = window
+    return df.agg(F.greatest(F.lit(float(x0)), F.min(x)).alias("lon0"),
+                  F.least(F.lit(float(x1)), F.max(x)).alias("lon1"),
+                  F.greatest(F.lit(float(y0)), F.min(y)).alias("lat0"),
+                  F.least(F.lit(float(y1)), F.max(y)).alias("lat1"))

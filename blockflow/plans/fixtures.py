@@ -112,3 +112,27 @@ def block_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     ring = geo.ring_of((cx - F.lit(1.0), cy - F.lit(0.8)), (cx + F.lit(1.0), cy - F.lit(0.8)),
                        (cx, cy + F.lit(0.8)))
     return table(spark, sf_dir, "supplier").select(s.alias("GEOID20"), F.array(ring).alias("geometry"))
+
+
+def signed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Net-migration points with signed race codes (+ in, - out), stationary rows dropped."""
+    li = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") != "A")
+    sign = F.when(F.col("l_returnflag") == "N", 1).otherwise(-1)
+    return li.select(F.col("l_suppkey").alias("county"),
+                     (F.col("l_linenumber") * sign).cast("int").alias("race"))
+
+
+def gisjoin_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier rows with a GISJOIN-style id text (state, county, block parts)."""
+    su = table(spark, sf_dir, "supplier")
+    st = F.col("s_nationkey").cast("string")
+    g = F.concat(F.lit("G"), F.lpad(st, 2, "0"), F.lit("0"), F.lpad(st, 3, "0"), F.lit("0"),
+                 F.lpad(F.col("s_suppkey").cast("string"), 10, "0"))
+    return su.select("s_suppkey", "s_nationkey", g.alias("GISJOIN"))
+
+
+def county_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nation names dressed as county names with accents and CamelCase."""
+    na = table(spark, sf_dir, "nation")
+    raw = F.concat(F.lit("Doña Ana "), F.col("n_name"), F.lit(" LaSalle McLean County"))
+    return na.select(F.col("n_nationkey").alias("id"), raw.alias("COUNTY"))

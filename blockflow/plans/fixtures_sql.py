@@ -95,3 +95,17 @@ def crossing(px: str, py: str) -> str:
     """1 when the edge (ax,ay)-(bx,by) crosses the ray right of (px, py)."""
     return (f"case when ((ay > {py}) <> (by > {py})) and "
             f"({px} < ((bx - ax) * ({py} - ay)) / (by - ay) + ax) then 1 else 0 end")
+
+SIGNED_POINTS = """
+select l_suppkey as county,
+  cast(l_linenumber * case when l_returnflag = 'N' then 1 else -1 end as integer) as race
+from lineitem where l_returnflag <> 'A'
+"""
+
+GISJOIN = """
+select s_suppkey, s_nationkey, 'G' || lpad(cast(s_nationkey as varchar), 2, '0') || '0' ||
+  lpad(cast(s_nationkey as varchar), 3, '0') || '0' || lpad(cast(s_suppkey as varchar), 10, '0') as GISJOIN
+from supplier
+"""
+
+COUNTY_TEXT = "select n_nationkey as id, 'Doña Ana ' || n_name || ' LaSalle McLean County' as COUNTY from nation"
