@@ -68,7 +68,7 @@ lateral (select
 """
 
 NATION_EDGES = f"""
-select a.State_Code, a.State_Name, a.region, a.x as ax, a.y as ay, b.x as bx, b.y as by
+select a.State_Code, a.State_Name, a.region, a.x as ex0, a.y as ey0, b.x as ex1, b.y as ey1
 from ({NATION_VERTICES}) a join ({NATION_VERTICES}) b on a.State_Code = b.State_Code and b.v = a.v + 1
 """
 
@@ -81,8 +81,8 @@ from supplier
 
 # Triangle edges (cx-1, cy-0.8) -> (cx+1, cy-0.8) -> (cx, cy+0.8) -> back.
 BLOCK_EDGES = f"""
-select GEOID20, ax, ay, bx, by from (
-  select GEOID20, cx - {d(1)} as ax, cy - {d(0.8)} as ay, cx + {d(1)} as bx, cy - {d(0.8)} as by from ({BLOCK_TRIANGLES}) t
+select GEOID20, ex0, ey0, ex1, ey1 from (
+  select GEOID20, cx - {d(1)} as ex0, cy - {d(0.8)} as ey0, cx + {d(1)} as ex1, cy - {d(0.8)} as ey1 from ({BLOCK_TRIANGLES}) t
   union all
   select GEOID20, cx + {d(1)}, cy - {d(0.8)}, cx, cy + {d(0.8)} from ({BLOCK_TRIANGLES}) t
   union all
@@ -92,9 +92,9 @@ select GEOID20, ax, ay, bx, by from (
 
 
 def crossing(px: str, py: str) -> str:
-    """1 when the edge (ax,ay)-(bx,by) crosses the ray right of (px, py)."""
-    return (f"case when ((ay > {py}) <> (by > {py})) and "
-            f"({px} < ((bx - ax) * ({py} - ay)) / (by - ay) + ax) then 1 else 0 end")
+    """1 when the edge (ex0,ey0)-(ex1,ey1) crosses the ray right of (px, py)."""
+    return (f"case when ((ey0 > {py}) <> (ey1 > {py})) and "
+            f"({px} < ((ex1 - ex0) * ({py} - ey0)) / (ey1 - ey0) + ex0) then 1 else 0 end")
 
 SIGNED_POINTS = """
 select l_suppkey as county,
