@@ -158,3 +158,47 @@ def ring_of(*xy: tuple[Column, Column]) -> Column:
 def point(x, y) -> Column:
     """F16: pack two coordinate columns into a point struct."""
     return F.struct(_c(x).alias("x"), _c(y).alias("y"))
+
+
+# --- precomputed edge lists (fast repeated point-in-polygon tests) ---------------
+#
+# For many tests against the same polygon, its non-horizontal edges are listed
+# once as (x1, y1, y2, dx, dy); a test is then one fold over that list.  The
+# crossing arithmetic is the same expression as ``ring_crossings_odd``.
+
+def ring_edges(ring) -> Column:
+    r = _c(ring)
+    n = F.size(r)
+    idx = F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0)))
+    edges = F.transform(idx, lambda i: F.struct(
+        F.get(r, i)["x"].alias("x1"), F.get(r, i)["y"].alias("y1"), F.get(r, i + 1)["y"].alias("y2"),
+        (F.get(r, i + 1)["x"] - F.get(r, i)["x"]).alias("dx"),
+        (F.get(r, i + 1)["y"] - F.get(r, i)["y"]).alias("dy")))
+    edges = F.filter(edges, lambda e: F.coalesce(e["dy"] != 0, F.lit(False)))
+    return F.when(n >= 4, edges).otherwise(F.filter(edges, lambda e: F.lit(False)))
+
+
+def polygon_edges(poly) -> Column:
+    """All rings' edges of a polygon (even-odd over all rings = holes)."""
+    return F.flatten(F.transform(_c(poly), ring_edges))
+
+
+def multipolygon_edges(mp) -> Column:
+    """Edges per part: array<array<edge>>."""
+    return F.transform(_c(mp), polygon_edges)
+
+
+def edges_contain(edges, px, py) -> Column:
+    """Odd number of edge crossings right of the point."""
+    x, y = _c(px), _c(py)
+
+    def step(acc, e):
+        straddle = (e["y1"] > y) != (e["y2"] > y)
+        return acc != (straddle & (x < (e["dx"] * (y - e["y1"])) / e["dy"] + e["x1"]))
+
+    return F.aggregate(_c(edges), F.lit(False), step)
+
+
+def parts_contain(parts_edges, px, py) -> Column:
+    """OR over the parts of a multipolygon given as edge lists."""
+    return F.exists(_c(parts_edges), lambda p: edges_contain(p, px, py))

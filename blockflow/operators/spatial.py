@@ -15,13 +15,15 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geo
-from ..functions.rand import uniform
+from ..functions.rand import TWO_32, uniform
 
 CAND = "struct<a:bigint,x:double,y:double>"
 
 
-def _contains(depth: int):
-    return geo.polygon_contains if depth == 2 else geo.multipolygon_contains
+def _edges(geom: str, depth: int):
+    """Per-part edge lists (array<array<edge>>) of a polygon or multipolygon."""
+    g = F.col(geom)
+    return F.array(geo.polygon_edges(g)) if depth == 2 else geo.multipolygon_edges(g)
 
 
 def with_bounds(polys: DataFrame, geom: str = "geometry", depth: int = 2) -> DataFrame:
@@ -49,7 +51,7 @@ def auto_cell_size(polys: DataFrame, geom: str = "geometry", depth: int = 2,
 
 def polygon_cells(polys: DataFrame, cell: float, geom: str = "geometry", depth: int = 2) -> DataFrame:
     """Polygons with one row per grid cell of their bounding box (``cx, cy``)."""
-    b = with_bounds(polys, geom, depth)
+    b = with_bounds(polys, geom, depth).withColumn("__edges", _edges(geom, depth))
     s = F.lit(float(cell))
     cx = F.explode(F.sequence(F.floor(F.col("__minx") / s), F.floor(F.col("__maxx") / s)))
     cy = F.explode(F.sequence(F.floor(F.col("__miny") / s), F.floor(F.col("__maxy") / s)))
@@ -77,8 +79,8 @@ def spatial_join(points: DataFrame, polys: DataFrame, x: str = "x", y: str = "y"
     j = pts.join(side, ["cx", "cy"])
     in_box = (F.col(x).between(F.col("__minx"), F.col("__maxx")) &
               F.col(y).between(F.col("__miny"), F.col("__maxy")))
-    hit = in_box & _contains(depth)(F.col(geom), F.col(x), F.col(y))
-    return j.where(hit).drop("cx", "cy", "__minx", "__miny", "__maxx", "__maxy", geom)
+    hit = in_box & geo.parts_contain(F.col("__edges"), F.col(x), F.col(y))
+    return j.where(hit).drop("cx", "cy", "__minx", "__miny", "__maxx", "__maxy", "__edges", geom)
 
 
 def count_per_polygon(joined: DataFrame, key: str) -> DataFrame:
@@ -105,7 +107,7 @@ def sampling_params(polys: DataFrame, geom: str = "geometry", depth: int = 2,
     att = (F.when(fill.isNull() | (fill <= 0), F.lit(None).cast("long"))
            .when(fill >= 1.0 - 1e-12, F.lit(first).cast("long"))
            .otherwise(F.greatest(F.lit(first).cast("long"), m.cast("long"))))
-    return b.withColumn("__attempts", att)
+    return b.withColumns({"__attempts": att, "__edges": _edges(geom, depth)})
 
 
 def points_in_bounds(rows: DataFrame, key: str = "ID20", k: str = "k", seed: int = 0) -> DataFrame:
@@ -117,22 +119,27 @@ def points_in_bounds(rows: DataFrame, key: str = "ID20", k: str = "k", seed: int
         "y": F.col("__miny") + uy * (F.col("__maxy") - F.col("__miny"))})
 
 
-def _candidate(key: str, k: str, a: Column, seed: int) -> Column:
-    ux = uniform(F.col(key), F.col(k), a, F.lit("x"), F.lit(seed))
-    uy = uniform(F.col(key), F.col(k), a, F.lit("y"), F.lit(seed))
+def _candidate(h: Column, a: Column) -> Column:
+    """Box point of attempt ``a`` from its md5 hex digest: x from hex digits
+    1-8, y from 9-16 (each / 2^32)."""
+    ux = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(TWO_32)
+    uy = F.conv(F.substring(h, 9, 8), 16, 10).cast("double") / F.lit(TWO_32)
     return F.struct(a.cast("long").alias("a"),
                     (F.col("__minx") + ux * (F.col("__maxx") - F.col("__minx"))).alias("x"),
                     (F.col("__miny") + uy * (F.col("__maxy") - F.col("__miny"))).alias("y"))
 
 
-def _first_inside(attempts: Column, key: str, k: str, geom: str, depth: int, seed: int) -> Column:
-    contains = _contains(depth)
+def _first_inside(attempts: Column, seed: int) -> Column:
+    """First attempt whose point lies inside; md5 key text ``key:k:a:seed``
+    (the row's ``__pfx`` holds ``key:k:``)."""
     none = F.lit(None).cast(CAND)
 
     def step(acc, a):
-        # bind the candidate once (a one-element array), test it, keep the first hit
-        test = F.aggregate(F.array(_candidate(key, k, a, seed)), none,
-                           lambda _, c: F.when(contains(F.col(geom), c["x"], c["y"]), c))
+        digest = F.md5(F.concat(F.col("__pfx"), a.cast("string"), F.lit(f":{seed}")))
+        # bind digest and candidate once each (one-element arrays), keep the first hit
+        test = F.aggregate(F.array(digest), none, lambda _, h: F.aggregate(
+            F.array(_candidate(h, a)), none,
+            lambda _, c: F.when(geo.parts_contain(F.col("__edges"), c["x"], c["y"]), c)))
         return F.when(acc.isNull(), test).otherwise(acc)
 
     return F.aggregate(attempts, none, step)
@@ -143,18 +150,20 @@ def points_in_polygon(rows: DataFrame, key: str = "ID20", k: str = "k", geom: st
     """Exact rejection sampling, one point per row, no shuffle.
 
     Attempt ``a`` of individual ``(key, k)`` is the box point from
-    md5(key, k, a, axis, seed); the result is the first attempt inside the
+    md5("key:k:a:seed"); the result is the first attempt inside the
     polygon - the same as a rejection loop, reproducible on any cluster.
     Attempts 1..``first`` are tried for every row; rows that miss all of them
     continue with attempts up to the polygon's budget (``sampling_params``).
     Exhausting the budget (probability <= fail_prob) raises instead of
     returning a wrong point.  Adds ``x``, ``y`` and ``attempt``.
     """
-    s1 = _first_inside(F.sequence(F.lit(1).cast("long"), F.lit(first).cast("long")), key, k, geom, depth, seed)
+    s1 = _first_inside(F.sequence(F.lit(1).cast("long"), F.lit(first).cast("long")), seed)
     more = F.sequence(F.lit(first + 1).cast("long"), F.col("__attempts"))
-    s2 = F.when(F.col("__attempts") > first, _first_inside(more, key, k, geom, depth, seed))
-    d = rows.withColumn("__p", s1)
+    s2 = F.when(F.col("__attempts") > first, _first_inside(more, seed))
+    pfx = F.concat(F.col(key).cast("string"), F.lit(":"), F.col(k).cast("string"), F.lit(":"))
+    d = rows.withColumn("__pfx", pfx).withColumn("__p", s1)
     d = d.withColumn("__p", F.when(F.col("__p").isNull(), s2).otherwise(F.col("__p")))
     d = d.withColumn("__p", F.when(F.col("__p").isNull(), F.raise_error(
         F.lit("points_in_polygon: attempt budget exhausted or polygon without area"))).otherwise(F.col("__p")))
-    return d.withColumns({"x": F.col("__p.x"), "y": F.col("__p.y"), "attempt": F.col("__p.a")}).drop("__p")
+    return d.withColumns({"x": F.col("__p.x"), "y": F.col("__p.y"), "attempt": F.col("__p.a")}).drop(
+        "__p", "__pfx", "__edges")

@@ -352,7 +352,9 @@ def zip_by_ordinal(spark, sf):
 def _g2_sql(rows: str, cols: str) -> str:
     """First md5 attempt inside the triangle of each (ID20, k) of ``rows``;
     ``rows`` must carry ID20, k and the columns listed in ``cols``."""
-    ux, uy = uniform_sql("c0.ID20", "c0.k", "a.a", "'x'", "0"), uniform_sql("c0.ID20", "c0.k", "a.a", "'y'", "0")
+    key = "md5(concat_ws(':', cast(c0.ID20 as varchar), cast(c0.k as varchar), cast(a.a as varchar), '0'))"
+    ux = f"(('0x' || substr({key}, 1, 8))::BIGINT / 4294967296.0)"
+    uy = f"(('0x' || substr({key}, 9, 8))::BIGINT / 4294967296.0)"
     return f"""
 , tri as ({S.BLOCK_TRIANGLES}), edges as ({S.BLOCK_EDGES}),
 rws as ({rows}),
