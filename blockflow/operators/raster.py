@@ -76,15 +76,16 @@ def raster_scaled(r: DataFrame, n_colors: int = 9, how: str = "log", value: str
     """Log (or linear) shading of the cell values to ``t`` in [0, 1] and a
     palette bin ``0..n_colors-1``.
 
-    The raster's min and max come from a one-row aggregate attached to every
-    cell by a broadcast hash join on a constant key (exactly one row).
+    The raster's min and max are one aggregated row (two numbers) fetched to
+    the driver and used as literals; every cell is then scaled in place.
     """
     f = (lambda c: F.log1p(c)) if how == "log" else (lambda c: c)
     v = F.col(value).cast("double")
-    stats = r.agg(F.min(f(v)).alias("__lo"), F.max(f(v)).alias("__hi")).withColumn("__one", F.lit(1))
-    j = r.withColumn("__one", F.lit(1)).join(F.broadcast(stats), "__one").drop("__one")
-    span = F.col("__hi") - F.col("__lo")
-    t = F.when(span > 0, (f(v) - F.col("__lo")) / span).otherwise(F.lit(0.0))
-    out = j.withColumn("t", t).withColumn(
-        "bin", F.least(F.floor(F.col("t") * F.lit(n_colors)).cast("int"), F.lit(n_colors - 1)))
-    return out.drop("__lo", "__hi")
+    st = r.agg(F.min(f(v)).alias("lo"), F.max(f(v)).alias("hi")).first()
+    lo, hi = st["lo"], st["hi"]
+    if lo is None:
+        return r.withColumns({"t": F.lit(None).cast("double"), "bin": F.lit(None).cast("int")})
+    span = hi - lo
+    t = (f(v) - F.lit(lo)) / F.lit(span) if span > 0 else F.lit(0.0)
+    out = r.withColumn("t", t)
+    return out.withColumn("bin", F.least(F.floor(F.col("t") * F.lit(n_colors)).cast("int"), F.lit(n_colors - 1)))
