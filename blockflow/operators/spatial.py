@@ -4,8 +4,9 @@ boxes / polygons (G1, G2).
 The join turns the theta join "point inside polygon" into an equi-join on a
 grid cell: each polygon lists the cells of its bounding box, each point knows
 its one cell, so a (point, polygon) pair meets at most once and no
-nested-loop join is planned.  The exact test (even-odd ray cast) runs only on
-the pairs sharing a cell and passing the bounding-box check.
+nested-loop join is planned.  Cells that no polygon edge touches are decided
+once per cell (centre test); only points in boundary cells pay the exact
+even-odd ray cast, against the polygon's edge list joined by polygon key.
 """
 
 from __future__ import annotations
@@ -49,38 +50,96 @@ def auto_cell_size(polys: DataFrame, geom: str = "geometry", depth: int = 2,
     return s if s > 0 else 1.0
 
 
-def polygon_cells(polys: DataFrame, cell: float, geom: str = "geometry", depth: int = 2) -> DataFrame:
-    """Polygons with one row per grid cell of their bounding box (``cx, cy``)."""
-    b = with_bounds(polys, geom, depth).withColumn("__edges", _edges(geom, depth))
-    s = F.lit(float(cell))
-    cx = F.explode(F.sequence(F.floor(F.col("__minx") / s), F.floor(F.col("__maxx") / s)))
-    cy = F.explode(F.sequence(F.floor(F.col("__miny") / s), F.floor(F.col("__maxy") / s)))
-    return b.withColumn("cx", cx).withColumn("cy", cy)
+def _all_edges(geom: str, depth: int) -> Column:
+    """Every edge (horizontal ones too) as (x1, y1, x2, y2): for cell tagging."""
+    g = F.col(geom)
+    rings = F.flatten(g) if depth == 3 else g
+
+    def ring_pairs(r):
+        idx = F.sequence(F.lit(0), F.greatest(F.size(r) - 2, F.lit(0)))
+        return F.filter(F.transform(idx, lambda i: F.struct(
+            F.get(r, i)["x"].alias("x1"), F.get(r, i)["y"].alias("y1"),
+            F.get(r, i + 1)["x"].alias("x2"), F.get(r, i + 1)["y"].alias("y2"))),
+            lambda e: e["x2"].isNotNull())
+
+    return F.flatten(F.transform(rings, ring_pairs))
+
+
+def _cells_of_box(x0, x1, y0, y1, s) -> tuple[Column, Column]:
+    cx = F.explode(F.sequence(F.floor(x0 / s), F.floor(x1 / s)))
+    cy = F.explode(F.sequence(F.floor(y0 / s), F.floor(y1 / s)))
+    return cx, cy
 
 
-def spatial_join(points: DataFrame, polys: DataFrame, x: str = "x", y: str = "y",
+def polygon_cells(polys: DataFrame, key: str, cell: float, geom: str = "geometry", depth: int = 2) -> DataFrame:
+    """Grid cells of each polygon, tagged ``boundary`` (an edge touches the
+    closed cell) or interior (no edge touches it and its centre is inside).
+    Cells of the bounding box that are outside are dropped.
+    Columns: key, cx, cy, boundary.
+    """
+    s = F.lit(float(cell))
+    b = with_bounds(polys.select(key, geom), geom, depth)
+    # boundary cells: the cells of every edge's bounding box
+    e = b.select(key, F.explode(_all_edges(geom, depth)).alias("e"))
+    e = e.select(key, F.least("e.x1", "e.x2").alias("ex0"), F.greatest("e.x1", "e.x2").alias("ex1"),
+                 F.least("e.y1", "e.y2").alias("ey0"), F.greatest("e.y1", "e.y2").alias("ey1"))
+    ecx, ecy = _cells_of_box(F.col("ex0"), F.col("ex1"), F.col("ey0"), F.col("ey1"), s)
+    boundary = e.withColumn("cx", ecx).withColumn("cy", ecy).select(key, "cx", "cy").distinct()
+    # the remaining cells of the box are wholly inside or wholly outside: test the centre once
+    bcx, bcy = _cells_of_box(F.col("__minx"), F.col("__maxx"), F.col("__miny"), F.col("__maxy"), s)
+    box = b.withColumn("cx", bcx).withColumn("cy", bcy)
+    rest = box.join(boundary, [key, "cx", "cy"], "left_anti")
+    centre_x = (F.col("cx") + F.lit(0.5)) * s
+    centre_y = (F.col("cy") + F.lit(0.5)) * s
+    interior = rest.where(geo.parts_contain(_edges(geom, depth), centre_x, centre_y)).select(key, "cx", "cy")
+    return (boundary.withColumn("boundary", F.lit(True))
+            .unionByName(interior.withColumn("boundary", F.lit(False))))
+
+
+def spatial_join(points: DataFrame, polys: DataFrame, key: str, x: str = "x", y: str = "y",
                  geom: str = "geometry", depth: int = 2, cell: float | None = None,
-                 max_broadcast_rows: int = 2_000_000) -> DataFrame:
+                 max_broadcast_rows: int = 5_000_000, max_broadcast_bytes: int = 256 << 20) -> DataFrame:
     """Every (point, polygon) pair with the point inside the polygon.
 
-    A point inside several overlapping polygons appears once per polygon, a
-    point inside none disappears (Q19).  The polygon-cell table is broadcast
-    only when its row count - checked, not assumed - is at most
-    ``max_broadcast_rows``; otherwise both sides shuffle on the cell key and
-    AQE splits hot cells.
+    ``key`` identifies a polygon (unique); the other polygon columns are
+    attached to the matches.  A point inside several overlapping polygons
+    appears once per polygon; a point inside none disappears (Q19).
+
+    1. points join the cell table on ``(cx, cy)``;
+    2. a match in an interior cell is final - no ray cast;
+    3. a match in a boundary cell joins the polygon's edge list on ``key`` and
+       runs the bounding-box check and the even-odd ray cast.
+
+    Either small side is broadcast only after its size has been checked (cell
+    rows; edge bytes); otherwise the join shuffles and AQE splits hot keys.
     """
     if cell is None:
         cell = auto_cell_size(polys, geom, depth)
-    pc = polygon_cells(polys, cell, geom, depth)
-    n_cells = pc.count()
-    side = F.broadcast(pc) if n_cells <= max_broadcast_rows else pc
     s = F.lit(float(cell))
+    cells = polygon_cells(polys, key, cell, geom, depth)
+    edges = with_bounds(polys.select(key, geom), geom, depth).select(
+        key, "__minx", "__miny", "__maxx", "__maxy", _edges(geom, depth).alias("__edges"))
+    stats = edges.agg(F.count(F.lit(1)).alias("n"),
+                      F.sum(F.size(F.flatten("__edges"))).alias("ne")).first()
+    edge_bytes = 48 * (stats["ne"] or 0) + 64 * (stats["n"] or 0)
+    n_cells = cells.count()
+    cells_side = F.broadcast(cells) if n_cells <= max_broadcast_rows else cells
+    edges_side = F.broadcast(edges) if edge_bytes <= max_broadcast_bytes else edges
+
     pts = points.withColumns({"cx": F.floor(F.col(x) / s), "cy": F.floor(F.col(y) / s)})
-    j = pts.join(side, ["cx", "cy"])
+    cand = pts.join(cells_side, ["cx", "cy"]).drop("cx", "cy")
+    inner = cand.where(~F.col("boundary")).drop("boundary")
+    edge = cand.where(F.col("boundary")).drop("boundary").join(edges_side, key)
     in_box = (F.col(x).between(F.col("__minx"), F.col("__maxx")) &
               F.col(y).between(F.col("__miny"), F.col("__maxy")))
-    hit = in_box & geo.parts_contain(F.col("__edges"), F.col(x), F.col(y))
-    return j.where(hit).drop("cx", "cy", "__minx", "__miny", "__maxx", "__maxy", "__edges", geom)
+    edge = edge.where(in_box & geo.parts_contain(F.col("__edges"), F.col(x), F.col(y))).drop(
+        "__minx", "__miny", "__maxx", "__maxy", "__edges")
+    out = inner.unionByName(edge)
+    attrs = [c for c in polys.columns if c not in (key, geom)]
+    if attrs:
+        out = out.join(F.broadcast(polys.select(key, *attrs)) if n_cells <= max_broadcast_rows
+                       else polys.select(key, *attrs), key)
+    return out
 
 
 def count_per_polygon(joined: DataFrame, key: str) -> DataFrame:

@@ -7,6 +7,8 @@ its n best rows and only ``n * tasks`` rows reach the final merge.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.rand import hash_key
@@ -50,11 +52,27 @@ def nth_row(df: DataFrame, i: int, *order: str) -> DataFrame:
     return df.orderBy(*order).offset(i).limit(1)
 
 
-def sample_n(df: DataFrame, n: int, key_cols: list[str], seed: int = 0) -> DataFrame:
-    """Exactly n rows, reproducible: the n smallest md5(key, seed).
+def sample_n(df: DataFrame, n: int, key_cols: list[str], seed: int = 0, sigmas: float = 6.0) -> DataFrame:
+    """Exactly n rows, reproducible: the n smallest md5(key, seed), ties
+    broken by the key columns.
 
-    Ties on the hash fall back to the key columns.  Planned as a top-k, so no
-    task holds more than n rows.
+    A plain ``orderBy(h).limit(n)`` would merge ``n`` rows from every task in
+    one task.  Instead the first 32 bits of the hash (uniform) give a
+    threshold that keeps about ``n`` rows (``n/N`` plus ``sigmas`` standard
+    deviations); if fewer than ``n`` pass, the margin doubles.  Every row with
+    a smaller hash than a kept row is kept too, so the final top-n over the
+    candidates is exact.  Two counts run on the way.
     """
     h = F.md5(hash_key(*[F.col(c) for c in key_cols], F.lit(seed)))
-    return df.withColumn("__h", h).orderBy("__h", *key_cols).limit(n).drop("__h")
+    d = df.withColumn("__h", h).withColumn("__h32", F.conv(F.substring("__h", 1, 8), 16, 10).cast("long"))
+    total = df.count()
+    if total <= n:
+        return df
+    margin = sigmas
+    while True:
+        p = min(1.0, n / total + margin * math.sqrt(n) / total + 1.0 / total)
+        cand = d.where(F.col("__h32") <= F.lit(int(p * 4294967296.0)))
+        if p >= 1.0 or cand.count() >= n:
+            break
+        margin *= 2
+    return cand.orderBy("__h", *key_cols).limit(n).drop("__h", "__h32")

@@ -103,4 +103,4 @@ def split_by_state(points: DataFrame, states: DataFrame, x: str = "lon", y: str
                    code: str = "State_Code", depth: int = 2, cell: float | None = None) -> DataFrame:
     """Points tagged with every state polygon containing them."""
     s = states.select(F.col(code).alias("state"), F.col("geometry"))
-    return spatial.spatial_join(points, s, x, y, "geometry", depth, cell)
+    return spatial.spatial_join(points, s, "state", x, y, "geometry", depth, cell)

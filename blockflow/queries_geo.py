@@ -48,7 +48,7 @@ def spatial_multipolygon(spark, sf):
     """Points in region multipolygons (OR over the parts, even-odd per part)."""
     pts = fx.points(spark, sf).select(*_PROW.split(", "))
     regions = fx.region_multipolygon(spark, sf)
-    return spatial.spatial_join(pts, regions, "lon", "lat", "geometry", depth=3)
+    return spatial.spatial_join(pts, regions, "region", "lon", "lat", "geometry", depth=3)
 
 
 @query("polygon_bounds", f"""select State_Code, min(x) as minx, min(y) as miny, max(x) as maxx, max(y) as maxy
