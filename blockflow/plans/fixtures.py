@@ -132,7 +132,22 @@ def gisjoin_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def county_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nation names dressed as county names with accents and CamelCase."""
-    na = table(spark, sf_dir, "nation")
-    raw = F.concat(F.lit("Doña Ana "), F.col("n_name"), F.lit(" LaSalle McLean County"))
-    return na.select(F.col("n_nationkey").alias("id"), raw.alias("COUNTY"))
+    """Supplier names dressed as county names with accents and CamelCase."""
+    su = table(spark, sf_dir, "supplier")
+    raw = F.concat(F.lit("Doña Ana "), F.col("s_name"), F.lit(" LaSalle McLean County"))
+    return su.select(F.col("s_suppkey").alias("id"), raw.alias("COUNTY"))
+
+
+def block_multipolygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per supplier a multipolygon: its triangle, plus (when s_suppkey % 3 != 0)
+    a second, disjoint triangle 2.5 to the east."""
+    s = F.col("s_suppkey")
+    cx = F.lit(-120.0) + F.lit(5.0) * (s % 10)
+    cy = F.lit(26.0) + F.lit(2.0) * (F.floor(s / F.lit(10)) % 10)
+
+    def tri(x):
+        return F.array(geo.ring_of((x - F.lit(1.0), cy - F.lit(0.8)), (x + F.lit(1.0), cy - F.lit(0.8)),
+                                   (x, cy + F.lit(0.8))))
+
+    parts = F.when(s % 3 != 0, F.array(tri(cx), tri(cx + F.lit(2.5)))).otherwise(F.array(tri(cx)))
+    return table(spark, sf_dir, "supplier").select(s.alias("GEOID20"), parts.alias("geometry"))

@@ -108,4 +108,13 @@ select s_suppkey, s_nationkey, 'G' || lpad(cast(s_nationkey as varchar), 2, '0')
 from supplier
 """
 
-COUNTY_TEXT = "select n_nationkey as id, 'Doña Ana ' || n_name || ' LaSalle McLean County' as COUNTY from nation"
+COUNTY_TEXT = "select s_suppkey as id, 'Doña Ana ' || s_name || ' LaSalle McLean County' as COUNTY from supplier"
+
+# Vertices of the per-supplier multipolygons: (GEOID20, part, pos, x, y).
+MULTI_VERTICES = f"""
+select GEOID20, part, pos, (cx + part * {d(2.5)}) + dx as x, cy + dy as y from ({BLOCK_TRIANGLES}) t,
+  (select * from (values (0, {d(-1)}, {d(-0.8)}), (1, {d(1)}, {d(-0.8)}), (2, {d(0)}, {d(0.8)}),
+                         (3, {d(-1)}, {d(-0.8)})) v(pos, dx, dy)) v,
+  (select * from (values (0), (1)) p(part)) p
+where part = 0 or GEOID20 % 3 <> 0
+"""

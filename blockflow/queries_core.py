@@ -519,15 +519,15 @@ def clean_county(spark, sf):
 _ABBR_VALUES = ", ".join(f"({k}, '{v}')" for k, v in sorted(STATE_ABBR.items()))
 
 
-@query("state_code", f"""select n_nationkey, lpad(cast(n_nationkey as varchar), 2, '0') as code, a.abbr
-from nation left join (select * from (values {_ABBR_VALUES}) t(fips, abbr)) a on a.fips = n_nationkey""")
+@query("state_code", f"""select s_suppkey, s_nationkey, lpad(cast(s_nationkey as varchar), 2, '0') as code, a.abbr
+from supplier left join (select * from (values {_ABBR_VALUES}) t(fips, abbr)) a on a.fips = s_nationkey""")
 def state_code(spark, sf):
-    """2-digit state code and postal abbreviation (broadcast code table)."""
+    """2-digit state code and postal abbreviation (broadcast 52-row code table)."""
     from .sources import dims
-    n = fx.table(spark, sf, "nation")
-    out = n.select("n_nationkey", ids.state_code("n_nationkey").alias("code"))
-    ab = dims.state_abbr(spark).withColumnRenamed("fips", "n_nationkey")
-    return out.join(F.broadcast(ab), "n_nationkey", "left")
+    su = fx.table(spark, sf, "supplier")
+    out = su.select("s_suppkey", "s_nationkey", ids.state_code("s_nationkey").alias("code"))
+    ab = dims.state_abbr(spark).withColumnRenamed("fips", "s_nationkey")
+    return out.join(F.broadcast(ab), "s_nationkey", "left")
 
 
 @query("to_mercator", P("select county, lon, lat, round(easting, 2) as easting, round(northing, 2) as northing from points"))

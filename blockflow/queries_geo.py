@@ -51,13 +51,13 @@ def spatial_multipolygon(spark, sf):
     return spatial.spatial_join(pts, regions, "region", "lon", "lat", "geometry", depth=3)
 
 
-@query("polygon_bounds", f"""select State_Code, min(x) as minx, min(y) as miny, max(x) as maxx, max(y) as maxy
-from ({S.NATION_VERTICES}) v group by State_Code""")
+@query("polygon_bounds", f"""select GEOID20, min(x) as minx, min(y) as miny, max(x) as maxx, max(y) as maxy
+from ({S.MULTI_VERTICES}) v group by GEOID20""")
 def polygon_bounds(spark, sf):
-    """bounding box of each state polygon."""
-    p = fx.state_polygon(spark, sf)
-    b = geo.bounds("geometry")
-    return p.select("State_Code", b["minx"].alias("minx"), b["miny"].alias("miny"),
+    """bounding box of each block multipolygon."""
+    p = fx.block_multipolygon(spark, sf)
+    b = geo.bounds("geometry", depth=3)
+    return p.select("GEOID20", b["minx"].alias("minx"), b["miny"].alias("miny"),
                     b["maxx"].alias("maxx"), b["maxy"].alias("maxy"))
 
 
@@ -73,22 +73,22 @@ def pip_scalar(spark, sf):
     return j.select("county", "lon", "lat", geo.polygon_contains("geometry", "lon", "lat").alias("inside"))
 
 
-@query("explode_parts", f"""select region, count(*) as n_vertices, min(x) as minx
-from ({S.NATION_VERTICES}) v group by region, State_Code""")
+@query("explode_parts", f"""select GEOID20, part, count(*) as n_vertices, min(x) as minx
+from ({S.MULTI_VERTICES}) v group by GEOID20, part""")
 def explode_parts(spark, sf):
     """multipolygon -> one row per part."""
-    r = fx.region_multipolygon(spark, sf)
-    parts = r.select("region", F.explode("geometry").alias("part"))
-    b = geo.bounds("part")
-    return parts.select("region", F.size(F.flatten("part")).alias("n_vertices"), b["minx"].alias("minx"))
+    r = fx.block_multipolygon(spark, sf)
+    parts = r.select("GEOID20", F.posexplode("geometry").alias("part", "poly"))
+    b = geo.bounds("poly")
+    return parts.select("GEOID20", "part", F.size(F.flatten("poly")).alias("n_vertices"), b["minx"].alias("minx"))
 
 
-@query("filter_multipolygon", f"""select region, count(distinct State_Code) as n_parts
-from ({S.NATION_VERTICES}) v group by region having count(distinct State_Code) > 1""")
+@query("filter_multipolygon", f"""select GEOID20, count(distinct part) as n_parts
+from ({S.MULTI_VERTICES}) v group by GEOID20 having count(distinct part) > 1""")
 def filter_multipolygon(spark, sf):
     """Keep multipolygons (more than one part)."""
-    r = fx.region_multipolygon(spark, sf)
-    return r.where(F.size("geometry") > 1).select("region", F.size("geometry").alias("n_parts"))
+    r = fx.block_multipolygon(spark, sf)
+    return r.where(F.size("geometry") > 1).select("GEOID20", F.size("geometry").alias("n_parts"))
 
 
 _TRI_VERTS = f"""
@@ -109,13 +109,14 @@ def arrays_zip_xy(spark, sf):
     return z.select("GEOID20", "pos", F.col("xy.x").alias("x"), F.col("xy.y").alias("y"))
 
 
-@query("polygon_to_mercator", f"""select State_Code, cast(v as integer) as pos, round({S.mercator_x('x')}, 3) as x,
-  round({S.mercator_y('y')}, 3) as y from ({S.NATION_VERTICES}) v""")
+@query("polygon_to_mercator", f"""select GEOID20, part, cast(pos as integer) as pos, round({S.mercator_x('x')}, 3) as x,
+  round({S.mercator_y('y')}, 3) as y from ({S.MULTI_VERTICES}) v""")
 def polygon_to_mercator(spark, sf):
-    """every state polygon vertex reprojected to Web-Mercator."""
-    p = fx.state_polygon(spark, sf).select("State_Code", geo.polygon_to_mercator("geometry").alias("g"))
-    v = p.select("State_Code", F.posexplode(F.get(F.col("g"), 0)).alias("pos", "xy"))
-    return v.select("State_Code", "pos", F.round("xy.x", 3).alias("x"), F.round("xy.y", 3).alias("y"))
+    """every block polygon vertex reprojected to Web-Mercator."""
+    p = fx.block_multipolygon(spark, sf).select("GEOID20", geo.multipolygon_to_mercator("geometry").alias("g"))
+    parts = p.select("GEOID20", F.posexplode("g").alias("part", "poly"))
+    v = parts.select("GEOID20", "part", F.posexplode(F.get(F.col("poly"), 0)).alias("pos", "xy"))
+    return v.select("GEOID20", "part", "pos", F.round("xy.x", 3).alias("x"), F.round("xy.y", 3).alias("y"))
 
 
 @query("blocks_with_geometry", f"""with g as (select l_suppkey as ID20, count(*) as points from lineitem group by l_suppkey)

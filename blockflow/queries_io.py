@@ -75,7 +75,7 @@ def scan_csv_latin1(spark, sf):
     """S3: Latin-1 encoded CSV text read back intact."""
     c = fx.county_text(spark, sf)
     p = sinks.write_csv(c, scratch_path(spark, "county_latin1"), encoding="ISO-8859-1")
-    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("COUNTY", T.StringType())])
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("COUNTY", T.StringType())])
     return files.read_csv(spark, p, schema, encoding="ISO-8859-1")
 
 

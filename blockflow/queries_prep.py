@@ -209,10 +209,10 @@ def decode_race_map(spark, sf):
     return h.withColumn("name", race_names_col("race"))
 
 
-@query("dim_invert", f"select name, max(id) as id from ({S.DIM_STATE}) d group by name")
+@query("dim_invert", f"select name, max(id) as id from ({S.DIM_COUNTY}) d group by name")
 def dim_invert(spark, sf):
-    """Name -> id from id -> name."""
-    return dims.invert(fx.dim_state(spark, sf))
+    """Name -> id from id -> name (county dimension)."""
+    return dims.invert(fx.dim_county(spark, sf))
 
 
 # --- expansion E1-E9 ---------------------------------------------------------
