@@ -12,8 +12,11 @@ ever leave the executors.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame, functions as F
+
+from ..functions import geo
 from ..operators import filters, raster as R, topk
 from ..schemas import CANVAS_H, CANVAS_W, RACE_NAMES, TOP_N
 
@@ -89,9 +92,6 @@ def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-GROUP_LABELS = {"county": "county", "race": "race", "cell": "cell", "total": "total"}
-
-
 def crossfilter_all(points: DataFrame, view: str = "total", box=None, selections=None,
                     viewport=None, width: int = CANVAS_W, height: int = CANVAS_H,
                     x: str = "easting", y: str = "northing") -> DataFrame:
@@ -141,6 +141,63 @@ def crossfilter(points: DataFrame, view: str = "total", box=None, selections=Non
     return out
 
 
-EMPTY_RACE_SCHEMA = T.StructType([T.StructField("race", T.IntegerType()),
-                                  T.StructField("cnt", T.LongType()),
-                                  T.StructField("name", T.StringType())])
+# --- one dashboard interaction ------------------------------------------------
+
+@dataclass
+class Request:
+    """One interaction: view, optional map window and box (lon/lat), and bar
+    selections by label (``race`` names, ``county_top`` / ``county_bottom``
+    county names)."""
+    view: str = "total"
+    window_lonlat: tuple | None = None      # (lon0, lon1, lat0, lat1) of the map
+    box_lonlat: tuple | None = None         # (lon0, lon1, lat0, lat1) box select
+    labels: dict = field(default_factory=dict)
+    width: int = CANVAS_W
+    height: int = CANVAS_H
+
+
+def data_extent(points: DataFrame, x: str = "easting", y: str = "northing") -> tuple:
+    """(x0, x1, y0, y1) of the data - one aggregated row to the driver."""
+    r = points.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    return (r[0], r[1], r[2], r[3])
+
+
+def answer(points: DataFrame, req: Request, dim_county: DataFrame, extent: tuple | None = None) -> DataFrame:
+    """The whole update of one interaction, as one ``GROUPING SETS`` scan.
+
+    * the map window is clamped to the data extent (F12) and projected (F10);
+      without a window the data extent is the viewport;
+    * the box corners are projected (P9 on easting / northing);
+    * bar labels become ids: race names through the code table, county names
+      through a semi join with the county dimension (P11);
+    * the result is :func:`crossfilter_all` (grp, county, race, px, py, cnt,
+      mean_race, mean_net).
+
+    ``extent`` (from :func:`data_extent`) can be computed once per dataset.
+    """
+    ext = extent or data_extent(points)
+    if req.window_lonlat:
+        lon0, lon1, lat0, lat1 = req.window_lonlat
+        dlon0, dlat0 = geo.lonlat_of(ext[0], ext[2])
+        dlon1, dlat1 = geo.lonlat_of(ext[1], ext[3])
+        lon0, lon1 = max(min(lon0, lon1), dlon0), min(max(lon0, lon1), dlon1)
+        lat0, lat1 = max(min(lat0, lat1), dlat0), min(max(lat0, lat1), dlat1)
+        (x0, y0), (x1, y1) = geo.mercator_xy(lon0, lat0), geo.mercator_xy(lon1, lat1)
+        viewport = (x0, x1, y0, y1)
+    else:
+        viewport = ext
+    box = None
+    if req.box_lonlat:
+        b0, b1, c0, c1 = req.box_lonlat
+        (bx0, by0), (bx1, by1) = geo.mercator_xy(b0, c0), geo.mercator_xy(b1, c1)
+        box = (bx0, bx1, by0, by1)
+    df = points
+    names_to_race = {v: k for k, v in RACE_NAMES.items()}
+    sel = {}
+    for chart, labels in (req.labels or {}).items():
+        if chart == "race":
+            sel["race"] = [names_to_race[n] for n in labels]
+        else:
+            df = filters.filter_by_labels(df, "county", dim_county, labels)
+    return crossfilter_all(df, req.view, box=box, selections=sel, viewport=viewport,
+                           width=req.width, height=req.height)

@@ -545,3 +545,40 @@ def from_mercator(spark, sf):
     p = _pts(spark, sf)
     lon, lat = geo.from_mercator("easting", "northing")
     return p.select("county", "lon", "lat", F.round(lon, 6).alias("lon2"), F.round(lat, 6).alias("lat2"))
+
+
+_REQ_LABELS = ["Supplier#000000001", "Supplier#000000002", "Supplier#000000004", "Supplier#000000007"]
+
+
+def _request_sql() -> str:
+    # window (-120, -80, 28, 46) clamped to the data extent, then projected
+    x0, x1, y0, y1 = _REQ_VIEWPORT
+    inside = f"easting between {d(x0)} and {d(x1)} and northing between {d(y0)} and {d(y1)}"
+    f = (f"f as (select county, race, net, case when {inside} then {cell_sql('easting', x0, x1, SMALL_W)} end as px, "
+         f"case when {inside} then {cell_sql('northing', y0, y1, SMALL_H)} end as py from points "
+         f"where net = 1 and race in (1, 2) and county in (select s_suppkey from supplier where s_name in "
+         f"({', '.join(repr(x) for x in _REQ_LABELS)})))")
+    m = "count(net) as cnt, avg(cast(race as double)) as mean_race, avg(cast(net as double)) as mean_net"
+    n_i, n_b = "cast(null as integer)", "cast(null as bigint)"
+    return P(f""", {f}
+select 'county' as grp, county, {n_i} as race, {n_i} as px, {n_i} as py, {m} from f group by county
+union all select 'race', {n_b}, race, {n_i}, {n_i}, {m} from f group by race
+union all select 'cell', {n_b}, {n_i}, px, py, {m} from f where px is not null group by px, py
+union all select 'total', {n_b}, {n_i}, {n_i}, {n_i}, {m} from f""")
+
+
+# the data extent of the fixture lies inside (-125, -67) x (24, 50): the window is clamped only where it exceeds it
+_REQ_WINDOW = (-120.0, -80.0, 28.0, 46.0)
+_rx0, _ry0 = geo.mercator_xy(_REQ_WINDOW[0], _REQ_WINDOW[2])
+_rx1, _ry1 = geo.mercator_xy(_REQ_WINDOW[1], _REQ_WINDOW[3])
+_REQ_VIEWPORT = (_rx0, _rx1, _ry0, _ry1)
+
+
+@query("crossfilter_request", _request_sql())
+def crossfilter_request(spark, sf):
+    """C3 end to end: one interaction (view "in", map window, race and county
+    bar labels) answered by a single GROUPING SETS scan."""
+    req = X.Request(view="in", window_lonlat=_REQ_WINDOW,
+                    labels={"race": ["White", "African American"], "county_top": _REQ_LABELS},
+                    width=SMALL_W, height=SMALL_H)
+    return X.answer(_pts(spark, sf), req, fx.dim_county(spark, sf))
