@@ -50,13 +50,18 @@ def county_counts(df: DataFrame) -> DataFrame:
 
 
 def decode(bars: DataFrame, dim: DataFrame, key: str = "county") -> DataFrame:
-    """Attach names to at most ``TOP_N`` bars.
+    """Attach names to at most ``TOP_N`` bars without ever broadcasting
+    the (possibly large) dimension.
 
-    The bars side is bounded by the limit, so it is the broadcast side and the
-    (possibly large) dimension is streamed once, never broadcast.
+    The dimension is streamed once through a left-semi join against the
+    broadcast bar keys, reduced to one name per key (at most one row per bar),
+    and that bounded table is broadcast into a left join that keeps every bar.
     """
-    d = dim.select(F.col("id").alias(key), F.col("name"))
-    return F.broadcast(bars).join(d, key, "left")
+    keys = bars.select(key)
+    names = (dim.select(F.col("id").alias(key), F.col("name"))
+             .join(F.broadcast(keys), key, "left_semi")
+             .groupBy(key).agg(F.max("name").alias("name")))
+    return bars.join(F.broadcast(names), key, "left")
 
 
 def county_top(df: DataFrame, dim: DataFrame | None = None, n: int = TOP_N) -> DataFrame:

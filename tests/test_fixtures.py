@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blockflow.functions import geo, ids, numeric
-from blockflow.operators import aggregates as A, expand, filters, raster as R, spatial, topk, windows
+from blockflow.operators import expand, filters, raster as R, spatial, topk, windows
 from blockflow.plans import apportion as AP, crossfilter as X, migration as MG
 
 
