@@ -73,7 +73,7 @@ def pip_scalar(spark, sf):
     return j.select("county", "lon", "lat", geo.polygon_contains("geometry", "lon", "lat").alias("inside"))
 
 
-@query("explode_parts", f"""select GEOID20, part, count(*) as n_vertices, min(x) as minx
+@query("explode_parts", f"""select GEOID20, part, cast(count(*) as integer) as n_vertices, min(x) as minx
 from ({S.MULTI_VERTICES}) v group by GEOID20, part""")
 def explode_parts(spark, sf):
     """multipolygon -> one row per part."""
@@ -83,7 +83,7 @@ def explode_parts(spark, sf):
     return parts.select("GEOID20", "part", F.size(F.flatten("poly")).alias("n_vertices"), b["minx"].alias("minx"))
 
 
-@query("filter_multipolygon", f"""select GEOID20, count(distinct part) as n_parts
+@query("filter_multipolygon", f"""select GEOID20, cast(count(distinct part) as integer) as n_parts
 from ({S.MULTI_VERTICES}) v group by GEOID20 having count(distinct part) > 1""")
 def filter_multipolygon(spark, sf):
     """Keep multipolygons (more than one part)."""
