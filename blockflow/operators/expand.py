@@ -34,7 +34,9 @@ def explode_individuals(df: DataFrame, n, key: str = "ID20", k: str = "k",
     nch = F.ceil(F.col("__n") / F.lit(chunk_rows)).cast("long")
     d = d.withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), nch - 1)))
     if spread:
-        parts = partitions or d.sparkSession.sparkContext.defaultParallelism
+        # an explicit count: AQE keeps it (the chunk rows are tiny, coalescing
+        # them would put the whole explode back into a few tasks)
+        parts = partitions or int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         d = d.repartition(parts, F.col(key), F.col("__chunk"))
     lo = F.col("__chunk") * F.lit(chunk_rows) + 1
     hi = F.least(F.col("__n"), (F.col("__chunk") + 1) * F.lit(chunk_rows))

@@ -63,3 +63,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused path under the shared checkpoint folder."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "blockflow-scratch", f"{name}-{uuid.uuid4().hex}")
+
+
+def cluster_settings(input_bytes: int, total_cores: int) -> dict[str, str]:
+    """Starting values for a job reading ``input_bytes`` on ``total_cores``.
+
+    About 200 MB of shuffle input per initial shuffle partition (AQE then
+    coalesces towards the advisory size and splits skewed partitions), at
+    least two waves of tasks, larger scan splits for very large inputs, and a
+    broadcast threshold that keeps broadcast tables well inside executor
+    memory.
+    """
+    parts = max(2 * total_cores, -(-input_bytes // (200 << 20)))
+    split = (512 << 20) if input_bytes > (10 << 40) else (256 << 20) if input_bytes > (1 << 40) else (128 << 20)
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(split),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
