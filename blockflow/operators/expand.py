@@ -156,7 +156,8 @@ PERMUTATION_PRIMES = _primes_below(1 << 31, 16)
 def affine_permutation(k, n, key, seed: int = 0) -> Column:
     """Keyed bijection of 1..n, ``((a*(k-1) + b) mod n) + 1``.
 
-    ``a`` (a prime > n) and ``b`` come from md5 of the block key and seed, so
+    ``a`` (one of 16 primes just below 2^31, so it cannot divide any block size
+    below that) and ``b`` come from md5 of the block key and seed, so
     the order is reproducible and needs no shuffle or grouping.  This is a
     pseudo-random permutation family, not a uniformly drawn one; use
     :func:`blockflow.operators.windows.number_within_group` over an md5 key
