@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 
 def apportion(crosswalk: DataFrame, source: DataFrame, measures: list[str],
               from_key: str = "ID10", to_key: str = "ID20", prefix: str = "eq_") -> DataFrame:
+    # rows without a 2010 id can never match a weight
+    crosswalk = crosswalk.where(F.col(from_key).isNotNull())
     freq = crosswalk.groupBy(from_key).agg(F.count(F.lit(1)).alias("__freq"))
     weights = source.select(from_key, *measures).join(freq, from_key).select(
         from_key, *[(F.col(m).cast("double") / F.col("__freq")).alias(m) for m in measures])
