@@ -6,7 +6,8 @@ grid cell: each polygon lists the cells of its bounding box, each point knows
 its one cell, so a (point, polygon) pair meets at most once and no
 nested-loop join is planned.  Cells that no polygon edge touches are decided
 once per cell (centre test); only points in boundary cells pay the exact
-even-odd ray cast, against the polygon's edge list joined by polygon key.
+even-odd ray cast, against the edges of their polygon's grid row (the only
+edges a horizontal ray from that row can cross).
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geo
 from ..functions.rand import TWO_32, uniform
+from ..session import checkpoint_dir
 
 CAND = "struct<a:bigint,x:double,y:double>"
 
@@ -96,6 +98,23 @@ def polygon_cells(polys: DataFrame, key: str, cell: float, geom: str = "geometry
             .unionByName(interior.withColumn("boundary", F.lit(False))))
 
 
+def band_edges(polys: DataFrame, key: str, cell: float, geom: str = "geometry", depth: int = 2) -> DataFrame:
+    """Edge lists per polygon and grid row ``cy``: only the non-horizontal edges
+    whose y-range meets the row band, kept per part.  A ray from a point in
+    that band can only cross those edges, so the parity test over them equals
+    the test over the whole polygon.  Columns: key, cy, __edges
+    (array<array<edge>>, one list per part).  Grouped per polygon row band:
+    the groups are bounded by the polygon's vertex count, not by the data.
+    """
+    s = F.lit(float(cell))
+    parts = polys.select(key, F.posexplode(_edges(geom, depth)).alias("__part", "__pe"))
+    e = parts.select(key, "__part", F.explode("__pe").alias("e"))
+    lo, hi = F.least("e.y1", "e.y2"), F.greatest("e.y1", "e.y2")
+    e = e.withColumn("cy", F.explode(F.sequence(F.floor(lo / s), F.floor(hi / s))))
+    per_part = e.groupBy(key, "cy", "__part").agg(F.collect_list("e").alias("__pe"))
+    return per_part.groupBy(key, "cy").agg(F.collect_list("__pe").alias("__edges"))
+
+
 def spatial_join(points: DataFrame, polys: DataFrame, key: str, x: str = "x", y: str = "y",
                  geom: str = "geometry", depth: int = 2, cell: float | None = None,
                  max_broadcast_rows: int = 5_000_000, max_broadcast_bytes: int = 256 << 20) -> DataFrame:
@@ -107,8 +126,8 @@ def spatial_join(points: DataFrame, polys: DataFrame, key: str, x: str = "x", y:
 
     1. points join the cell table on ``(cx, cy)``;
     2. a match in an interior cell is final - no ray cast;
-    3. a match in a boundary cell joins the polygon's edge list on ``key`` and
-       runs the bounding-box check and the even-odd ray cast.
+    3. a match in a boundary cell joins the edges of its polygon's row band
+       on ``(key, cy)`` and runs the even-odd ray cast over those edges.
 
     Either small side is broadcast only after its size has been checked (cell
     rows; edge bytes); otherwise the join shuffles and AQE splits hot keys.
@@ -116,24 +135,23 @@ def spatial_join(points: DataFrame, polys: DataFrame, key: str, x: str = "x", y:
     if cell is None:
         cell = auto_cell_size(polys, geom, depth)
     s = F.lit(float(cell))
-    cells = polygon_cells(polys, key, cell, geom, depth)
-    edges = with_bounds(polys.select(key, geom), geom, depth).select(
-        key, "__minx", "__miny", "__maxx", "__maxy", _edges(geom, depth).alias("__edges"))
-    stats = edges.agg(F.count(F.lit(1)).alias("n"),
+    # the polygon-side tables are built once, written to the shared checkpoint
+    # folder, and then sized and joined from there (no recomputation)
+    checkpoint_dir(polys.sparkSession)
+    cells = polygon_cells(polys, key, cell, geom, depth).checkpoint(eager=True)
+    bands = band_edges(polys, key, cell, geom, depth).checkpoint(eager=True)
+    stats = bands.agg(F.count(F.lit(1)).alias("n"),
                       F.sum(F.size(F.flatten("__edges"))).alias("ne")).first()
     edge_bytes = 48 * (stats["ne"] or 0) + 64 * (stats["n"] or 0)
     n_cells = cells.count()
     cells_side = F.broadcast(cells) if n_cells <= max_broadcast_rows else cells
-    edges_side = F.broadcast(edges) if edge_bytes <= max_broadcast_bytes else edges
+    bands_side = F.broadcast(bands) if edge_bytes <= max_broadcast_bytes else bands
 
     pts = points.withColumns({"cx": F.floor(F.col(x) / s), "cy": F.floor(F.col(y) / s)})
-    cand = pts.join(cells_side, ["cx", "cy"]).drop("cx", "cy")
-    inner = cand.where(~F.col("boundary")).drop("boundary")
-    edge = cand.where(F.col("boundary")).drop("boundary").join(edges_side, key)
-    in_box = (F.col(x).between(F.col("__minx"), F.col("__maxx")) &
-              F.col(y).between(F.col("__miny"), F.col("__maxy")))
-    edge = edge.where(in_box & geo.parts_contain(F.col("__edges"), F.col(x), F.col(y))).drop(
-        "__minx", "__miny", "__maxx", "__maxy", "__edges")
+    cand = pts.join(cells_side, ["cx", "cy"]).drop("cx")
+    inner = cand.where(~F.col("boundary")).drop("boundary", "cy")
+    edge = cand.where(F.col("boundary")).drop("boundary").join(bands_side, [key, "cy"])
+    edge = edge.where(geo.parts_contain(F.col("__edges"), F.col(x), F.col(y))).drop("__edges", "cy")
     out = inner.unionByName(edge)
     attrs = [c for c in polys.columns if c not in (key, geom)]
     if attrs:
