@@ -74,6 +74,7 @@ def top15_county(spark, sf):
 
 @query("bottom15_county", P(TOP_SQL.format(where="net = 1", o1="asc", o2="desc")))
 def bottom15_county(spark, sf):
+    """T4 + J7: bottom-15 counties of the "in" view (last 15 of the descending order)."""
     df = X.filtered(_pts(spark, sf), "in")
     return X.county_bottom(df, fx.dim_county(spark, sf))
 
@@ -106,6 +107,7 @@ def histogram_race_out_empty(spark, sf):
 @query("crossfilter_count", P(f"select count(*) as n_rows from points where net in (0, 1) and {box_sql()} "
                               f"and race in ({', '.join(map(str, SEL_RACES))})"))
 def crossfilter_count(spark, sf):
+    """Row count after box select, view and a race selection."""
     df = X.filtered(_pts(spark, sf), "total", box=BOX, selections={"race": SEL_RACES})
     return X.row_count(df)
 
@@ -189,7 +191,7 @@ union all select 'total', {n_b}, {n_i}, {n_i}, {n_i}, {m} from f""")
 
 @query("crossfilter_all", _gs_sql())
 def crossfilter_all(spark, sf):
-    """C3 in one scan: county bars, race bars, raster cells and total via GROUPING SETS."""
+    """In one scan, county bars, race bars, raster cells and total via GROUPING SETS."""
     return X.crossfilter_all(_pts(spark, sf), "total", box=BOX, viewport=VIEWPORT, width=W, height=H)
 
 
@@ -267,7 +269,7 @@ def filter_state(spark, sf):
 
 @query("filter_nonzero", f"select {_B20} from ({BLOCK20}) b where R207 <> 0")
 def filter_nonzero(spark, sf):
-    """P5."""
+    """P5: non-zero filter on a race count."""
     return filters.filter_nonzero(fx.block20(spark, sf), "R207")
 
 
@@ -287,7 +289,7 @@ def rename_cols(spark, sf):
 
 @query("select_drop", f"select ID20, STATE, P20 from ({BLOCK20}) b")
 def select_drop(spark, sf):
-    """P2."""
+    """Select / drop columns."""
     return fx.block20(spark, sf).drop("COUNTY", *[f"R20{k}" for k in range(1, 8)])
 
 
@@ -324,25 +326,25 @@ def group_sum_multi(spark, sf):
 
 @query("count_by_county", P("select county, count(net) as cnt from points group by county"))
 def count_by_county(spark, sf):
-    """A3."""
+    """A3: non-null net per county."""
     return A.count_by(_pts(spark, sf), "county")
 
 
 @query("count_by_race", P("select race, count(net) as cnt from points group by race"))
 def count_by_race(spark, sf):
-    """A3."""
+    """A3: non-null net per race."""
     return A.count_by(_pts(spark, sf), "race")
 
 
 @query("row_count", P("select count(*) as n_rows from points"))
 def row_count(spark, sf):
-    """A4."""
+    """A4: row count of the point table."""
     return A.row_count(_pts(spark, sf))
 
 
 @query("global_sum", f"select cast(sum(P20) as bigint) as sum_P20 from ({BLOCK20}) b")
 def global_sum(spark, sf):
-    """A5."""
+    """A5: global sum of the 2020 population."""
     return A.global_sum(fx.block20(spark, sf), "P20")
 
 
@@ -381,13 +383,13 @@ def top_n_param(spark, sf):
 
 @query("sort_by_id", f"select {_B20} from ({BLOCK20}) b order by ID20")
 def sort_by_id(spark, sf):
-    """T1."""
+    """Global sort by block id."""
     return topk.sort_by(fx.block20(spark, sf), "ID20")
 
 
 @query("sort_desc", P("select county, count(net) as cnt from points group by county order by cnt desc, county"))
 def sort_desc(spark, sf):
-    """T2."""
+    """County counts sorted descending, key as tie-break."""
     return topk.sort_desc(A.count_by(_pts(spark, sf), "county"), "cnt", "county")
 
 
@@ -446,7 +448,7 @@ def window_freq(spark, sf):
 # --- F1-F12 ------------------------------------------------------------------
 @query("str_strip_prefix", f"select s_suppkey, replace(GISJOIN, 'G', '') as stripped from ({fx_sql.GISJOIN}) g")
 def str_strip_prefix(spark, sf):
-    """F1."""
+    """remove the letter from GISJOIN ids."""
     g = fx.gisjoin_text(spark, sf)
     return g.select("s_suppkey", ids.strip_letter("GISJOIN").alias("stripped"))
 
@@ -500,7 +502,7 @@ def sign_net(spark, sf):
 
 @query("sign_net2", f"select ID20, case when R201 - R202 > 0 then 1 else 0 end as net2 from ({BLOCK20}) b")
 def sign_net2(spark, sf):
-    """F6, two-valued."""
+    """two-valued net code (1 if positive else 0)."""
     b = fx.block20(spark, sf)
     return b.select("ID20", numeric.sign_net2(F.col("R201") - F.col("R202")).alias("net2"))
 
@@ -576,7 +578,7 @@ _REQ_VIEWPORT = (_rx0, _rx1, _ry0, _ry1)
 
 @query("crossfilter_request", _request_sql())
 def crossfilter_request(spark, sf):
-    """C3 end to end: one interaction (view "in", map window, race and county
+    """End to end, one interaction (view "in", map window, race and county
     bar labels) answered by a single GROUPING SETS scan."""
     req = X.Request(view="in", window_lonlat=_REQ_WINDOW,
                     labels={"race": ["White", "African American"], "county_top": _REQ_LABELS},

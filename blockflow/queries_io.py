@@ -164,7 +164,7 @@ def sink_by_state(spark, sf):
 
 @query("sink_incremental", f"select {_PROW} from ({S.POINTS}) p")
 def sink_incremental(spark, sf):
-    """K3 incremental: states already written are skipped, the rest appended."""
+    """K3: incremental, states already written are skipped and the rest appended."""
     pts = fx.points(spark, sf).select(*_PROW.split(", "))
     path = scratch_path(spark, "k3_incremental")
     sinks.write_new_states(pts.where(F.col("state") < 12), path)

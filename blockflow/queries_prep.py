@@ -246,7 +246,7 @@ def _net_rows_sql() -> str:
 
 @query("expand_net_list", PREP + _net_rows_sql())
 def expand_net_list(spark, sf):
-    """E3 (list form) + P8: the reference's label lists, exploded, -99 dropped."""
+    """E3 + P8: the label lists in list form, exploded, -99 filler dropped."""
     m = _mig(spark, sf).where((F.col("P20") != 0) | (F.col("eq_P10") != 0))
     m = m.withColumn("__l", expand.net_list("P20", "eq_P10", "block_net"))
     e = m.select("ID20", F.posexplode("__l").alias("__pos", "net"))
