@@ -35,8 +35,11 @@ def explode_individuals(df: DataFrame, n, key: str = "ID20", k: str = "k",
     d = d.withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), nch - 1)))
     if spread:
         # an explicit count: AQE keeps it (the chunk rows are tiny, coalescing
-        # them would put the whole explode back into a few tasks)
-        parts = partitions or int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # them would put the whole explode back into a few tasks); at most four
+        # waves of the cluster's cores, at most the configured shuffle width
+        spark = d.sparkSession
+        parts = partitions or min(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                                  max(1, 4 * spark.sparkContext.defaultParallelism))
         d = d.repartition(parts, F.col(key), F.col("__chunk"))
     lo = F.col("__chunk") * F.lit(chunk_rows) + 1
     hi = F.least(F.col("__n"), (F.col("__chunk") + 1) * F.lit(chunk_rows))
