@@ -45,14 +45,18 @@ def get_spark(master: str | None = None, app: str = "blockflow",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must already be set to shared storage; only when it is
-    unset (local runs, tests) a fresh local folder is created and registered.
+    On a cluster this must already be set to shared storage (an error is
+    raised otherwise); only in local mode, when it is unset (tests), a fresh
+    local folder is created and registered.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: point it at shared storage "
+                               "(a folder every executor can read and write)")
         d = tempfile.mkdtemp(prefix="blockflow-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
