@@ -108,3 +108,18 @@ def test_build_datasets_end_to_end(spark, tmp_path):
     # a box filter on the stored coordinates reaches the Parquet scan
     plan = tp.where(F.col("easting").between(-1.2e7, -1.1e7))._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(easting), GreaterThanOrEqual(easting" in plan
+
+
+def test_request_clamps_window_and_projects_box(spark):
+    pts = fx.points(spark, SF)
+    ext = X.data_extent(pts)
+    req = X.Request(view="total", window_lonlat=(-140.0, -60.0, 10.0, 60.0), box_lonlat=(-110.0, -90.0, 44.0, 30.0),
+                    width=96, height=54)
+    got = {(r.grp, r.county, r.race, r.px, r.py): r.cnt for r in X.answer(pts, req, fx.dim_county(spark, SF), ext).collect()}
+    # the window exceeds the data on every side, so the viewport is the data extent itself (up to the
+    # lon/lat round trip); the box corners come in any order
+    (bx0, by0), (bx1, by1) = geo.mercator_xy(-110.0, 30.0), geo.mercator_xy(-90.0, 44.0)
+    exp_df = X.crossfilter_all(pts, "total", box=(bx0, bx1, by0, by1), viewport=ext, width=96, height=54)
+    exp = {(r.grp, r.county, r.race, r.px, r.py): r.cnt for r in exp_df.collect()}
+    assert {k: v for k, v in got.items() if k[0] != "cell"} == {k: v for k, v in exp.items() if k[0] != "cell"}
+    assert sum(v for k, v in got.items() if k[0] == "cell") == sum(v for k, v in exp.items() if k[0] == "cell")
