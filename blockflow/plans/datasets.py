@@ -37,13 +37,17 @@ def with_county_id(blocks: DataFrame, dim: DataFrame) -> DataFrame:
 
 
 def total_population_dataset(mig: DataFrame, races20: DataFrame, polys: DataFrame,
-                             county_dim: DataFrame, seed: int = 0, spread: bool = True) -> DataFrame:
+                             county_dim: DataFrame, seed: int = 0, spread: bool = True,
+                             shuffle: bool = False) -> DataFrame:
     """One row per individual with location, race, migration label and county.
 
     ``mig``: migration_table output; ``races20``: ID20, R201..R207.  Blocks
     with neither 2020 nor 2010 population are skipped (P6), blocks without
     geometry too (P15).  A block keeps ``max(P20, P10)`` individuals: the
     ordinal form of the reference's race / net lists after its -99 drop (Q7).
+    Races follow the list order by default (the first P20-P10 individuals of
+    a gaining block are "in", Q8); ``shuffle=True`` pairs races with
+    individuals through the keyed permutation of ``1..rows`` instead.
     Columns: ID20, k, easting, northing, race, net, county.
     """
     b = mig.where((F.col("P20") != 0) | (F.col("eq_P10") != 0)).join(races20, "ID20")
@@ -52,9 +56,10 @@ def total_population_dataset(mig: DataFrame, races20: DataFrame, polys: DataFram
     b, cum = expand.cumulative_columns(b, [f"R20{k}" for k in range(1, 8)])
     b = b.join(_polygon_params(polys), "ID20")
     e = expand.explode_individuals(b, "__rows", spread=spread)
+    pos = expand.affine_permutation("k", "__rows", "ID20", seed) if shuffle else F.col("k")
     e = e.withColumns({
         "net": expand.net_label("k", "P20", "eq_P10", "block_net"),
-        "race": expand.label_by_cumulative("k", cum, list(range(1, 8)), 0)})
+        "race": expand.label_by_cumulative(pos, cum, list(range(1, 8)), 0)})
     e = spatial.points_in_polygon(e, seed=seed)
     x, y = geo.to_mercator("x", "y")
     return e.select("ID20", "k", x.alias("easting"), y.alias("northing"), "race", "net",

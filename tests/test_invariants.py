@@ -123,3 +123,16 @@ def test_request_clamps_window_and_projects_box(spark):
     exp = {(r.grp, r.county, r.race, r.px, r.py): r.cnt for r in exp_df.collect()}
     assert {k: v for k, v in got.items() if k[0] != "cell"} == {k: v for k, v in exp.items() if k[0] != "cell"}
     assert sum(v for k, v in got.items() if k[0] == "cell") == sum(v for k, v in exp.items() if k[0] == "cell")
+
+
+def test_total_population_shuffle_keeps_counts(spark):
+    from blockflow.plans import datasets as DS
+    races = fx.block20(spark, SF).select("ID20", *[f"R20{k}" for k in range(1, 8)])
+    mig = QP._mig(spark, SF)
+    args = (mig, races, fx.block_polygon(spark, SF), fx.dim_state(spark, SF))
+    a = DS.total_population_dataset(*args).groupBy("ID20", "race", "net").count()
+    b = DS.total_population_dataset(*args, shuffle=True)
+    # per block the race counts and the net counts are unchanged, only their pairing moves
+    ra = {(r.ID20, r.race): r.c for r in a.groupBy("ID20", "race").agg(F.sum("count").alias("c")).collect()}
+    rb = {(r.ID20, r.race): r.c for r in b.groupBy("ID20", "race").agg(F.count("*").alias("c")).collect()}
+    assert ra == rb
