@@ -21,19 +21,25 @@ def _polygon_params(polys: DataFrame, id_col: str = "GEOID20", geom: str = "geom
     return spatial.sampling_params(p, "geometry", depth)
 
 
-def county_ids_by_name(dim: DataFrame) -> DataFrame:
-    """Q9: county id looked up by name only (``county2id`` = inverted ``id2county``).
+def county_ids_by_name(dim: DataFrame, by_state: bool = False) -> DataFrame:
+    """Q9: county id looked up by name only (``county2id`` = inverted
+    ``id2county``), so same-named counties of different states share one id;
+    with ``by_state`` the dimension's ``state`` column is part of the key.
 
-    Columns ``__cname, __cid`` (Spark names are case-insensitive, so the id
-    cannot be called ``county`` next to ``COUNTY``).
+    Columns ``[__cstate,] __cname, __cid`` (Spark names are case-insensitive,
+    so the id cannot be called ``county`` next to ``COUNTY``).
     """
-    return dim.groupBy(F.col("name").alias("__cname")).agg(F.max("id").alias("__cid"))
+    keys = ([F.col("state").alias("__cstate")] if by_state else []) + [F.col("name").alias("__cname")]
+    return dim.groupBy(*keys).agg(F.max("id").alias("__cid"))
 
 
-def with_county_id(blocks: DataFrame, dim: DataFrame) -> DataFrame:
+def with_county_id(blocks: DataFrame, dim: DataFrame, by_state: bool = False) -> DataFrame:
     """Attach ``__cid`` to one row per block (before any explode)."""
-    c = county_ids_by_name(dim)
-    return blocks.join(c, blocks["COUNTY"] == c["__cname"], "left").drop("__cname")
+    c = county_ids_by_name(dim, by_state)
+    cond = blocks["COUNTY"] == c["__cname"]
+    if by_state:
+        cond = cond & (blocks["STATE"] == c["__cstate"])
+    return blocks.join(c, cond, "left").drop("__cname", "__cstate")
 
 
 def total_population_dataset(mig: DataFrame, races20: DataFrame, polys: DataFrame,

@@ -170,3 +170,15 @@ def test_bfill_start_middle_end(spark):
     for rr in (2, 3, 1 << 20):
         got = [r.f for r in windows.bfill(df, "v", "k", out="f", range_rows=rr).orderBy("k").collect()]
         assert got == [3, 3, 3, 5, 5, 8, 8, 8, None, None], rr
+
+
+def test_county_lookup_by_name_or_state(spark):
+    from blockflow.plans import datasets as DS
+    dim = spark.createDataFrame([(1, "Montgomery County", 24), (2, "Montgomery County", 39), (3, "Kent", 10)],
+                                "id long, name string, state int")
+    blocks = spark.createDataFrame([(100, "Montgomery County", 24), (101, "Montgomery County", 39), (102, "Kent", 10)],
+                                   "ID20 long, COUNTY string, STATE int")
+    by_name = {r.ID20: r.__cid for r in DS.with_county_id(blocks, dim).collect()}
+    by_state = {r.ID20: r.__cid for r in DS.with_county_id(blocks, dim, by_state=True).collect()}
+    assert by_name == {100: 2, 101: 2, 102: 3}          # parity: same name, one id
+    assert by_state == {100: 1, 101: 2, 102: 3}
