@@ -178,7 +178,7 @@ def test_county_lookup_by_name_or_state(spark):
                                 "id long, name string, state int")
     blocks = spark.createDataFrame([(100, "Montgomery County", 24), (101, "Montgomery County", 39), (102, "Kent", 10)],
                                    "ID20 long, COUNTY string, STATE int")
-    by_name = {r.ID20: r.__cid for r in DS.with_county_id(blocks, dim).collect()}
-    by_state = {r.ID20: r.__cid for r in DS.with_county_id(blocks, dim, by_state=True).collect()}
+    by_name = {r["ID20"]: r["__cid"] for r in DS.with_county_id(blocks, dim).collect()}
+    by_state = {r["ID20"]: r["__cid"] for r in DS.with_county_id(blocks, dim, by_state=True).collect()}
     assert by_name == {100: 2, 101: 2, 102: 3}          # parity: same name, one id
     assert by_state == {100: 1, 101: 2, 102: 3}
