@@ -136,3 +136,26 @@ def test_total_population_shuffle_keeps_counts(spark):
     ra = {(r.ID20, r.race): r.c for r in a.groupBy("ID20", "race").agg(F.sum("count").alias("c")).collect()}
     rb = {(r.ID20, r.race): r.c for r in b.groupBy("ID20", "race").agg(F.count("*").alias("c")).collect()}
     assert ra == rb
+
+
+def _same(a, b):
+    return a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_results_independent_of_input_partitioning(spark):
+    cw, b10 = fx.crosswalk(spark, SF), fx.block10(spark, SF)
+    one = AP.apportion(cw.repartition(1), b10.repartition(1), ["P10"])
+    seven = AP.apportion(cw.repartition(7, "ID20"), b10.repartition(7), ["P10"])
+    r = lambda d: d.select("ID20", F.round("eq_P10", 6).alias("e"))
+    assert _same(r(one), r(seven))
+    pts = fx.points(spark, SF).select("county", "lon", "lat")
+    states = fx.state_polygon(spark, SF).select(F.col("State_Code").alias("state"), "geometry")
+    j1 = spatial.spatial_join(pts.repartition(1), states, "state", "lon", "lat")
+    j7 = spatial.spatial_join(pts.repartition(7), states.repartition(3), "state", "lon", "lat")
+    assert _same(j1, j7)
+    g = MG.generation_table(QP._mig(spark, SF))
+    p = spatial.sampling_params(fx.block_polygon(spark, SF).withColumnRenamed("GEOID20", "ID20"))
+    s1 = spatial.points_in_polygon(expand.explode_individuals(g.join(p, "ID20").repartition(1), "points"))
+    s7 = spatial.points_in_polygon(expand.explode_individuals(g.join(p, "ID20").repartition(7), "points", partitions=5))
+    cols = ["ID20", "k", "x", "y"]
+    assert _same(s1.select(cols), s7.select(cols))
