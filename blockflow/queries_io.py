@@ -183,3 +183,34 @@ def split_by_state(spark, sf):
     tagged = DS.split_by_state(pts, fx.state_polygon(spark, sf))
     p = sinks.write_by_state(tagged, scratch_path(spark, "split_by_state"))
     return spark.read.parquet(p).select("county", "net", "race", "lon", "lat", "state")
+
+
+@query("scan_census_block2020", f"""select ID20, STATE, COUNTY, cast(P20 as integer) as P20,
+  {', '.join(f'cast(R20{k} as integer) as R20{k}' for k in range(1, 8))} from ({S.BLOCK20}) b""")
+def scan_census_block2020(spark, sf):
+    """2020 block counts written in the census CSV layout (Latin-1,
+    GISJOIN / GEOCODE / STATEA / COUNTY / U7B001 / U7B003..U7B009) and read back
+    by the census reader."""
+    from .sources import census
+    b = fx.block20(spark, sf)
+    st = F.col("STATE").cast("string")
+    gis = F.concat(F.lit("G"), F.lpad(st, 2, "0"), F.lit("0"), F.lpad(st, 3, "0"), F.lit("0"),
+                   F.lpad(F.col("ID20").cast("string"), 10, "0"))
+    layout = b.select(gis.alias("GISJOIN"), F.col("ID20").alias("GEOCODE"), F.col("STATE").alias("STATEA"),
+                      "COUNTY", F.col("P20").alias("U7B001"),
+                      *[F.col(f"R20{k}").alias(f"U7B00{k + 2}") for k in range(1, 8)])
+    p = sinks.write_csv(layout, scratch_path(spark, "census_block2020"), encoding="ISO-8859-1")
+    return census.read_block2020(spark, p)
+
+
+@query("scan_census_relationship", f"""select distinct {_rel_id_sql('2010', 'ID10')} as ID10,
+  {_rel_id_sql('2020', 'ID20')} as ID20, cast(ID20 % 50 + 1 as integer) as STATE_2020 from ({S.CROSSWALK}) c""")
+def scan_census_relationship(spark, sf):
+    """S2 / S4 + F3: relationship files in the census layout (pipe-delimited,
+    byte-order mark before the header, extra columns, several files) read in
+    one scan by header name and composed into block ids."""
+    from .sources import census
+    rel = _relationship_rows(spark, sf).withColumn("AREALAND_2020", F.lit(0))
+    rel = rel.withColumnRenamed("STATE_2010", "\ufeffSTATE_2010")
+    p = sinks.write_csv(rel, scratch_path(spark, "census_relationship"), sep="|")
+    return census.read_relationship(spark, p + "/*.csv").distinct()
