@@ -63,11 +63,17 @@ def read_polygons(spark: SparkSession, path: str, id_col: str = "GEOID20", geom_
 
 
 def path_exists_as_table(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists, asked of its Hadoop file system (no job, no
+    logged "not found" error); falls back to resolving the table."""
     try:
-        spark.read.parquet(path).schema  # noqa: B018 - resolves the file listing only
-        return True
-    except AnalysisException:
-        return False
+        jp = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return bool(jp.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jp))
+    except AttributeError:  # no JVM handle (e.g. a Connect session)
+        try:
+            spark.read.parquet(path).schema  # noqa: B018 - resolves the file listing only
+            return True
+        except AnalysisException:
+            return False
 
 
 def publish(df: DataFrame, name: str) -> DataFrame:
