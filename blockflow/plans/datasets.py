@@ -44,7 +44,7 @@ def with_county_id(blocks: DataFrame, dim: DataFrame, by_state: bool = False) ->
 
 def total_population_dataset(mig: DataFrame, races20: DataFrame, polys: DataFrame,
                              county_dim: DataFrame, seed: int = 0, spread: bool = True,
-                             shuffle: bool = False) -> DataFrame:
+                             shuffle: bool = False, depth: int = 2) -> DataFrame:
     """One row per individual with location, race, migration label and county.
 
     ``mig``: migration_table output; ``races20``: ID20, R201..R207.  Blocks
@@ -54,26 +54,27 @@ def total_population_dataset(mig: DataFrame, races20: DataFrame, polys: DataFram
     Races follow the list order by default (the first P20-P10 individuals of
     a gaining block are "in", Q8); ``shuffle=True`` pairs races with
     individuals through the keyed permutation of ``1..rows`` instead.
+    ``polys`` holds polygons (``depth=2``) or multipolygons (``depth=3``).
     Columns: ID20, k, easting, northing, race, net, county.
     """
     b = mig.where((F.col("P20") != 0) | (F.col("eq_P10") != 0)).join(races20, "ID20")
     b = with_county_id(b, county_dim)
     b = b.withColumn("__rows", expand.rows_per_block("P20", "eq_P10", "block_net"))
     b, cum = expand.cumulative_columns(b, [f"R20{k}" for k in range(1, 8)])
-    b = b.join(_polygon_params(polys), "ID20")
+    b = b.join(_polygon_params(polys, depth=depth), "ID20")
     e = expand.explode_individuals(b, "__rows", spread=spread)
     pos = expand.affine_permutation("k", "__rows", "ID20", seed) if shuffle else F.col("k")
     e = e.withColumns({
         "net": expand.net_label("k", "P20", "eq_P10", "block_net"),
         "race": expand.label_by_cumulative(pos, cum, list(range(1, 8)), 0)})
-    e = spatial.points_in_polygon(e, seed=seed)
+    e = spatial.points_in_polygon(e, depth=depth, seed=seed)
     x, y = geo.to_mercator("x", "y")
     return e.select("ID20", "k", x.alias("easting"), y.alias("northing"), "race", "net",
                     F.col("__cid").alias("county"))
 
 
 def net_migration_dataset(race_mig: DataFrame, polys: DataFrame, seed: int = 0,
-                          permute: bool = True, spread: bool = True) -> DataFrame:
+                          permute: bool = True, spread: bool = True, depth: int = 2) -> DataFrame:
     """One row per migrating individual with a signed race (+k in, -k out).
 
     The race list of a block is |R1_diff| codes of race 1, then race 2, ...;
@@ -84,11 +85,11 @@ def net_migration_dataset(race_mig: DataFrame, polys: DataFrame, seed: int = 0,
     b = race_mig.where(F.col("points") != 0)
     b, cum = expand.cumulative_columns(b, RACE_DIFFS)
     codes = expand.signed_codes(RACE_DIFFS)
-    b = b.join(_polygon_params(polys), "ID20")
+    b = b.join(_polygon_params(polys, depth=depth), "ID20")
     e = expand.explode_individuals(b, "points", spread=spread)
     pos = expand.affine_permutation("k", "points", "ID20", seed) if permute else F.col("k")
     e = e.withColumn("race", expand.label_by_cumulative(pos, cum, codes, 0))
-    e = spatial.points_in_polygon(e, seed=seed)
+    e = spatial.points_in_polygon(e, depth=depth, seed=seed)
     return e.select(F.col("ID20").alias("blockid"), "k", "x", "y", "race", F.col("STATE").alias("state"),
                     F.col("COUNTY").alias("county"), F.col("P_delta").alias("block_diff"),
                     numeric.sign_net("P_delta").alias("block_net"))

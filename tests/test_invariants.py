@@ -159,3 +159,19 @@ def test_results_independent_of_input_partitioning(spark):
     s7 = spatial.points_in_polygon(expand.explode_individuals(g.join(p, "ID20").repartition(7), "points", partitions=5))
     cols = ["ID20", "k", "x", "y"]
     assert _same(s1.select(cols), s7.select(cols))
+
+
+def test_net_migration_on_multipolygon_blocks(spark):
+    from blockflow.plans import datasets as DS
+    rmig = QP._rmig(spark, SF)
+    mp = fx.block_multipolygon(spark, SF)
+    ds = DS.net_migration_dataset(rmig, mp, depth=3)
+    exp = {r.ID20: r.points for r in rmig.where("points != 0").collect()}
+    got = {r.blockid: r.c for r in ds.groupBy("blockid").agg(F.count("*").alias("c")).collect()}
+    assert got == exp
+    chk = ds.join(mp, ds.blockid == mp.GEOID20)
+    assert chk.where(~geo.multipolygon_contains("geometry", "x", "y")).count() == 0
+    # both parts of a two-part block receive points
+    two = chk.where(F.size("geometry") == 2).select(
+        "blockid", (F.col("x") > F.get(F.get(F.get("geometry", 0), 0), 1)["x"]).alias("east"))
+    assert two.select("east").distinct().count() == 2
