@@ -235,8 +235,21 @@ def points_in_polygon(rows: DataFrame, key: str = "ID20", k: str = "k", geom: st
     returning a wrong point.  Adds ``x``, ``y`` and ``attempt``.
     """
     s1 = _first_inside(F.sequence(F.lit(1).cast("long"), F.lit(first).cast("long")), seed)
-    more = F.sequence(F.lit(first + 1).cast("long"), F.col("__attempts"))
-    s2 = F.when(F.col("__attempts") > first, _first_inside(more, seed))
+    # attempts first+1 .. budget in chunks of about sqrt(remaining): a chunk's
+    # attempt list is only built while no attempt has hit, so per-row memory
+    # stays O(sqrt(budget)) even for very thin polygons
+    rest = F.col("__attempts") - F.lit(first)
+    size = F.greatest(F.lit(1024).cast("long"), F.ceil(F.sqrt(rest.cast("double"))).cast("long"))
+    n_chunks = F.ceil(rest / size).cast("long")
+    none = F.lit(None).cast(CAND)
+
+    def chunk(acc, c):
+        lo = F.lit(first + 1).cast("long") + c * size
+        hi = F.least(F.col("__attempts"), lo + size - 1)
+        return F.when(acc.isNull(), _first_inside(F.sequence(lo, hi), seed)).otherwise(acc)
+
+    s2 = F.when(F.col("__attempts") > first,
+                F.aggregate(F.sequence(F.lit(0).cast("long"), n_chunks - 1), none, chunk))
     pfx = F.concat(F.col(key).cast("string"), F.lit(":"), F.col(k).cast("string"), F.lit(":"))
     d = rows.withColumn("__pfx", pfx).withColumn("__p", s1)
     d = d.withColumn("__p", F.when(F.col("__p").isNull(), s2).otherwise(F.col("__p")))

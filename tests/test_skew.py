@@ -35,3 +35,34 @@ def test_sample_is_exact_top_n_by_hash(spark):
     allh = df.select("key", F.md5(F.concat_ws(":", F.col("key").cast("string"), F.lit("3"))).alias("h"))
     exp = sorted(r.key for r in allh.orderBy("h", "key").limit(500).collect())
     assert got == exp and len(got) == 500
+
+
+def _first_hit_py(key, k, seed, ring, bbox):
+    import hashlib
+    minx, miny, maxx, maxy = bbox
+    edges = [(a, b) for a, b in zip(ring, ring[1:]) if b[1] - a[1] != 0]
+    a = 0
+    while True:
+        a += 1
+        h = hashlib.md5(f"{key}:{k}:{a}:{seed}".encode()).hexdigest()
+        x = minx + (int(h[0:8], 16) / 4294967296.0) * (maxx - minx)
+        y = miny + (int(h[8:16], 16) / 4294967296.0) * (maxy - miny)
+        inside = False
+        for (x1, y1), (x2, y2) in edges:
+            if ((y1 > y) != (y2 > y)) and x < ((x2 - x1) * (y - y1)) / (y2 - y1) + x1:
+                inside = not inside
+        if inside:
+            return a, x, y
+
+
+def test_thin_polygon_first_hit_matches_brute_force(spark):
+    from blockflow.operators import spatial
+    ring = [(0.0, 0.0), (10.0, 0.0), (10.0, 0.001), (0.001, 0.001), (0.001, 10.0), (0.0, 10.0), (0.0, 0.0)]
+    poly = [[{"x": x, "y": y} for x, y in ring]]
+    df = spark.createDataFrame([(7, poly)], "ID20 long, geometry array<array<struct<x:double,y:double>>>")
+    p = spatial.sampling_params(df)
+    assert p.first()["__attempts"] > 100_000                  # fill ~2e-4: the chunked stage is used
+    rows = expand.explode_individuals(p, F.lit(4), spread=False)
+    got = {r.k: (r.attempt, r.x, r.y) for r in spatial.points_in_polygon(rows, seed=5).collect()}
+    for k in range(1, 5):
+        assert got[k] == _first_hit_py(7, k, 5, ring, (0.0, 0.0, 10.0, 10.0))
