@@ -38,8 +38,12 @@ def explode_individuals(df: DataFrame, n, key: str = "ID20", k: str = "k",
         # them would put the whole explode back into a few tasks); at most four
         # waves of the cluster's cores, at most the configured shuffle width
         spark = d.sparkSession
-        parts = partitions or min(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                                  max(1, 4 * spark.sparkContext.defaultParallelism))
+        width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        try:
+            width = min(width, max(1, 4 * spark.sparkContext.defaultParallelism))
+        except Exception:  # no SparkContext handle (Connect): the configured width
+            pass
+        parts = partitions or width
         d = d.repartition(parts, F.col(key), F.col("__chunk"))
     lo = F.col("__chunk") * F.lit(chunk_rows) + 1
     hi = F.least(F.col("__n"), (F.col("__chunk") + 1) * F.lit(chunk_rows))

@@ -49,7 +49,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     raised otherwise); only in local mode, when it is unset (tests), a fresh
     local folder is created and registered.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # no SparkContext handle (Connect): the configured folder only
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d:
+            raise RuntimeError("spark.checkpoint.dir is not set: point it at shared storage")
+        return d
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None)
