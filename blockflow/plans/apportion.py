@@ -20,7 +20,9 @@ from pyspark.sql import DataFrame, functions as F
 
 def apportion(crosswalk: DataFrame, source: DataFrame, measures: list[str],
               from_key: str = "ID10", to_key: str = "ID20", prefix: str = "eq_") -> DataFrame:
-    # rows without a 2010 id can never match a weight
+    # rows without a 2010 id can never match a weight; filtering up front also
+    # keeps both uses of the crosswalk identical, so AQE can reuse its shuffle
+    # (it does for this job alone; inside larger plans it may still run twice)
     crosswalk = crosswalk.where(F.col(from_key).isNotNull())
     freq = crosswalk.groupBy(from_key).agg(F.count(F.lit(1)).alias("__freq"))
     weights = source.select(from_key, *measures).join(freq, from_key).select(
