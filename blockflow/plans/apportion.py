@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame, functions as F
 
 def apportion(crosswalk: DataFrame, source: DataFrame, measures: list[str],
               from_key: str = "ID10", to_key: str = "ID20", prefix: str = "eq_") -> DataFrame:
-    # rows without a 2010 id can never match a weight; filtering up front also
-    # keeps both uses of the crosswalk identical, so AQE can reuse its shuffle
-    # (it does for this job alone; inside larger plans it may still run twice)
-    crosswalk = crosswalk.where(F.col(from_key).isNotNull())
+    # a crosswalk row needs both ids (without a 2010 id it matches no weight,
+    # without a 2020 id it lands in no block); filtering both up front also
+    # keeps the two uses of the crosswalk identical even when a caller's join
+    # lets Spark infer id filters, so AQE reuses the crosswalk shuffle
+    crosswalk = crosswalk.where(F.col(from_key).isNotNull() & F.col(to_key).isNotNull())
     freq = crosswalk.groupBy(from_key).agg(F.count(F.lit(1)).alias("__freq"))
     weights = source.select(from_key, *measures).join(freq, from_key).select(
         from_key, *[(F.col(m).cast("double") / F.col("__freq")).alias(m) for m in measures])

@@ -39,3 +39,10 @@ def test_column_pruning_on_points(spark):
     df = E.queries()["count_by_race"](spark, SF)
     s = plan_of(df)
     assert "l_orderkey" not in s and "l_shipdate" not in s
+
+
+@pytest.mark.parametrize("name", ["apportion_races", "race_migration_table"])
+def test_crosswalk_shuffle_reused(spark, name):
+    df = E.queries()[name](spark, SF)
+    df.collect()   # the final adaptive plan exists after execution
+    assert "ReusedExchange" in plan_of(df), name
