@@ -4,6 +4,7 @@ filters pushed to the Parquet scan where they apply."""
 import pytest
 
 import __spark_entry__ as E
+from blockflow import catalog
 
 SF = "/root/testdata/sf0.001"
 FORBIDDEN = ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython",
@@ -14,7 +15,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.all_queries()))
 def test_no_forbidden_nodes(spark, name):
     p = plan_of(E.queries()[name](spark, SF))
     for bad in FORBIDDEN:
