@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import line_dedup, quality, simhash
 
 QUERIES = {
+    "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op5_simhash_dedup": simhash.op5_simhash_dedup,
     "op7_quality_qda": quality.op7_quality_qda,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_line_dedup": line_dedup.OP3_SQL,
+}
