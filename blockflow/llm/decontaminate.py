@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .common import sliced, table
 
@@ -258,7 +258,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     item_id, regions (windows found), distance (fewest edits of a window),
     first_char and last_char (the span of the windows in the text)."""
     schema = StructType([docs.schema[id_col], StructField("item_id", benchmark.schema[item_col].dataType)])
-    schema = schema.add("regions", "int").add("distance", "int").add("first_char", "long").add("last_char", "long")
+    for name, kind in (("regions", IntegerType()), ("distance", IntegerType()), ("first_char", LongType()), ("last_char", LongType())):
+        schema = schema.add(name, kind)
     out, spark, names = None, docs.sparkSession, schema.names
     kinds = list(to_arrow_schema(schema).types)
     for items in blocks(benchmark, item_col, item_text, block_chars):
