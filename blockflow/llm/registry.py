@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, quality, simhash
+from . import decontaminate, line_dedup, packing, quality, simhash
 
 QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op5_simhash_dedup": simhash.op5_simhash_dedup,
     "op7_quality_qda": quality.op7_quality_qda,
+    "op9_hilbert_pack": packing.op9_hilbert_pack,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 

@@ -1,28 +1,69 @@
-"""Corpus pipeline: quality, then the rest (stages follow)."""
+"""Corpus pipeline: from raw documents to packed training sequences.
+
+``STAGES`` are (name, function) pairs; each function takes (spark, docs,
+sf_dir) and returns a DataFrame.  Every result is written as Parquet to the
+shared scratch folder and read back as the next stage's documents, so a lost
+executor never costs more than the running stage.  All stages but the last
+return the columns of ``documents``; the last returns packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from blockflow.llm import quality
+from blockflow.llm import decontaminate, line_dedup, packing, quality, simhash
 from blockflow.llm.common import table, written
 
+#: No SQL says the classifier, the fingerprints or the token ids; the stages
+#: are tested against brute-force versions (tests/llm).
 ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
     stats = quality.document_statistics(docs)
     model = quality.fit(stats, quality.training_labels(table(spark, sf_dir, "labels")))
     return quality.keep_good(docs, model)
 
 
-STAGES = [("quality classifier", quality_stage)]
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that are boilerplate of their source dropped; ``n_chars`` follows the text."""
+    out = line_dedup.drop_boilerplate(docs, host="source")
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
+    return out.select(docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by fingerprints."""
+    return simhash.keep_one(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences along the Hilbert curve (checksums for ids)."""
+    return packing.digest(packing.pack(docs))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_stage),
+    ("simhash near-dedup", near_dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``STAGES`` applied to ``documents``, each result written and read back."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, f"pipeline-{k}")
