@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, packing, quality, simhash
+from . import decontaminate, embeddings, line_dedup, packing, quality, sharding, simhash
 
 QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op5_simhash_dedup": simhash.op5_simhash_dedup,
+    "op6_feistel_shards": sharding.op6_feistel_shards,
     "op7_quality_qda": quality.op7_quality_qda,
+    "op8_embedding_dedup": embeddings.op8_embedding_dedup,
     "op9_hilbert_pack": packing.op9_hilbert_pack,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
