@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, line_dedup, packing, quality, sharding, simhash
+from . import decontaminate, embeddings, html_extract, langid, licenses, line_dedup, packing, quality, sharding, simhash
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
+    "op2_html_extract": html_extract.op2_html_extract,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_language_id": langid.op4_language_id,
     "op5_simhash_dedup": simhash.op5_simhash_dedup,
     "op6_feistel_shards": sharding.op6_feistel_shards,
     "op7_quality_qda": quality.op7_quality_qda,
