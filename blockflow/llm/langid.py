@@ -68,7 +68,9 @@ def counts(text: str, features: int = FEATURES) -> tuple[np.ndarray, np.ndarray]
     c = np.where(is_letter, c, 32).astype(np.uint32)
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1]                        # the first blank after a letter stays
-    c = np.concatenate([[np.uint32(32)], c[keep], [np.uint32(32)]])
+    blank = np.array([32], dtype=np.uint32)
+    c = c[keep]
+    c = np.concatenate([blank, c, blank[:int(len(c) and c[-1] != 32)]])
     shift = np.uint32(32 - int(features).bit_length() + 1)
     for at in range(0, len(c), 1 << 20):
         p = c[at:at + (1 << 20) + 2]

@@ -260,18 +260,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     fingerprint and then by the whole row; null ids only where a component
     has no other)."""
     root, fp, pick = free_name(docs, "root"), free_name(docs, "fp"), free_name(docs, "pick")
-    marks = near_duplicates(docs, id_col, text_col, shingle, distance)
-    lead = marks.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("root", "component_id").agg(
-        F.count("*").alias("rows"))
-    lead = written(lead, "leaders")
-    alone = lead.where("rows = 1 and component_id is not null").select(F.col("component_id").alias(id_col))
+    marks = written(near_duplicates(docs, id_col, text_col, shingle, distance), "marks")
+    rows = marks.groupBy(id_col).agg(F.count("*").alias("rows"))
+    lead = marks.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col, "root").distinct()
+    lead = written(lead.join(rows, id_col, "left"), "leaders")                     # no rows for a null id
+    alone = lead.where("rows = 1").select(id_col)
     first = docs.join(alone, id_col, "left_semi").select(docs.columns)
-    ties = lead.where("rows > 1 or component_id is null")
+    ties = lead.where("rows > 1 or rows is null")
     if ties.isEmpty():
         return first
-    # rows sharing the leading id: fingerprint them again (they carry no other name) and take the least row
-    tied = ties.select("component_id", F.col("root").alias(root)).distinct()
-    ids = tied.select(F.col("component_id").alias(pick)).distinct()
+    # the leading id names several rows: fingerprint those again (they carry no other name) and take the least
+    tied = ties.select(F.col("root").alias(root))
+    ids = ties.select(F.col(id_col).alias(pick)).distinct()
     rows = docs.join(ids, F.col(id_col).eqNullSafe(F.col(pick)), "left_semi")
     struct = F.struct(*[F.col(c) for c in docs.columns])
     keyed = rows.select(struct.alias(pick), F.col(id_col), F.col(text_col))
@@ -282,7 +282,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
             yield pa.RecordBatch.from_arrays([b.column(pick), b.column(id_col), pa.array(v)], names=[pick, id_col, fp])
     keyed = keyed.mapInArrow(run, keyed.select(pick, id_col, F.lit(0).cast("long").alias(fp)).schema)
     roots = marks.select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias("component_id")).distinct()
-    keyed = keyed.join(roots, fp).join(tied, [root, "component_id"], "left_semi")
+    keyed = keyed.join(roots, fp).join(tied, root, "left_semi")
     keyed = keyed.where(F.col(id_col).eqNullSafe(F.col("component_id")))
     least = keyed.groupBy(root).agg(F.min(F.struct(F.col(fp), F.to_json(pick).alias("j"), F.col(pick))).alias(pick))
     return first.unionByName(least.select(f"{pick}.{pick}.*").select(docs.columns))
