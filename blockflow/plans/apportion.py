@@ -5,10 +5,12 @@ each of them; a 2020 block receives the sum over its crosswalk rows.  The
 reference's value_counts -> right join -> left join -> group sum, as keyed
 joins (Q1, Q11):
 
-1. ``freq``: crosswalk rows per ``ID10`` (partial + final aggregate).
+1. ``freq``: crosswalk rows per ``ID10`` (partial + final aggregate), counted
+   over every row with that ``ID10``, also those without an ``ID20``.
 2. ``weights``: one row per ``ID10`` = measures / freq (co-partitioned join).
 3. crosswalk LEFT JOIN weights on ``ID10`` (AQE splits a hot ``ID10``), then
-   a partial + final sum per ``ID20``; unmatched 2010 ids weigh 0.
+   a partial + final sum per ``ID20``; unmatched or null 2010 ids weigh 0.
+   Rows without an ``ID20`` are dropped here, after the frequency has seen them.
 
 Duplicated crosswalk rows count twice, as in the reference.
 """
@@ -20,17 +22,19 @@ from pyspark.sql import DataFrame, functions as F
 
 def apportion(crosswalk: DataFrame, source: DataFrame, measures: list[str],
               from_key: str = "ID10", to_key: str = "ID20", prefix: str = "eq_") -> DataFrame:
-    # a crosswalk row needs both ids (without a 2010 id it matches no weight,
-    # without a 2020 id it lands in no block); filtering both up front also
-    # keeps the two uses of the crosswalk identical even when a caller's join
-    # lets Spark infer id filters, so AQE reuses the crosswalk shuffle
-    crosswalk = crosswalk.where(F.col(from_key).isNotNull() & F.col(to_key).isNotNull())
-    freq = crosswalk.groupBy(from_key).agg(F.count(F.lit(1)).alias("__freq"))
-    weights = source.select(from_key, *measures).join(freq, from_key).select(
-        from_key, *[(F.col(m).cast("double") / F.col("__freq")).alias(m) for m in measures])
-    cw = crosswalk.select(from_key, to_key).join(weights, from_key, "left")
-    return cw.groupBy(to_key).agg(*[F.sum(F.coalesce(F.col(m), F.lit(0.0))).alias(prefix + m)
-                                    for m in measures])
+    # joined on a struct of the id, which is never null itself: Spark infers no
+    # id filter for one use of the crosswalk only, so AQE reuses its shuffle
+    cw = crosswalk.select(to_key, F.struct(from_key).alias("__k"))
+    freq = cw.groupBy("__k").agg(F.count(F.lit(1)).alias("__freq"))
+    src = source.where(F.col(from_key).isNotNull()).select(F.struct(from_key).alias("__k"), *measures)
+    weights = src.join(freq, "__k").select(
+        "__k", *[(F.col(m).cast("double") / F.col("__freq")).alias(m) for m in measures])
+    out = cw.join(weights, "__k", "left").groupBy(to_key).agg(
+        *[F.sum(F.coalesce(F.col(m), F.lit(0.0))).alias(prefix + m) for m in measures], F.max(to_key).alias("__id"))
+    # the id comes out of an aggregate: neither this filter nor one that a later
+    # join infers can move below one use of the crosswalk only
+    return out.where(F.col("__id").isNotNull()).select(
+        F.col("__id").alias(to_key), *[prefix + m for m in measures])
 
 
 def mapped_blocks(block20: DataFrame, apportioned: DataFrame, key: str = "ID20",
