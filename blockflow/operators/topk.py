@@ -12,6 +12,10 @@ import math
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.rand import hash_key
+from .ranges import placed
+
+#: Positions up to here are found by a top-k, deeper ones by a range sort.
+NEAR = 10_000
 
 
 def sort_by(df: DataFrame, *cols: str, within_partitions: bool = False) -> DataFrame:
@@ -47,9 +51,21 @@ def first_n(df: DataFrame, n: int, *order: str) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def nth_row(df: DataFrame, i: int, *order: str) -> DataFrame:
-    """The row at 0-based position i of a defined order."""
-    return df.orderBy(*order).offset(i).limit(1)
+def nth_row(df: DataFrame, i: int, *order: str, near: int = NEAR) -> DataFrame:
+    """The row at 0-based position i of a defined order.
+
+    Near the front ``TakeOrderedAndProject`` keeps i + 1 rows per task; from
+    ``near`` on the rows are placed by ranges and the one row is looked up in its
+    range, so no task ever merges i rows.
+    """
+    if i < near:
+        return df.orderBy(*order).offset(i).limit(1)
+    p = placed(df, *order)
+    for r, n in p.sizes:
+        if i < n:
+            return p.rows.where((F.col("__range") == r) & (F.col("__at") == i)).drop("__range", "__at")
+        i -= n
+    return df.limit(0)
 
 
 def sample_n(df: DataFrame, n: int, key_cols: list[str], seed: int = 0, sigmas: float = 6.0) -> DataFrame:
@@ -60,8 +76,9 @@ def sample_n(df: DataFrame, n: int, key_cols: list[str], seed: int = 0, sigmas:
     one task.  Instead the first 32 bits of the hash (uniform) give a
     threshold that keeps about ``n`` rows (``n/N`` plus ``sigmas`` standard
     deviations); if fewer than ``n`` pass, the margin doubles.  Every row with
-    a smaller hash than a kept row is kept too, so the final top-n over the
-    candidates is exact.  Two counts run on the way.
+    a smaller hash than a kept row is kept too.  The candidates are placed by
+    ranges of the hash and the first ``n`` positions are the sample: no task
+    holds more than its range.  A table of at most ``n`` rows is its own sample.
     """
     h = F.md5(hash_key(*[F.col(c) for c in key_cols], F.lit(seed)))
     d = df.withColumn("__h", h).withColumn("__h32", F.conv(F.substring("__h", 1, 8), 16, 10).cast("long"))
@@ -71,8 +88,8 @@ def sample_n(df: DataFrame, n: int, key_cols: list[str], seed: int = 0, sigmas:
     margin = sigmas
     while True:
         p = min(1.0, n / total + margin * math.sqrt(n) / total + 1.0 / total)
-        cand = d.where(F.col("__h32") <= F.lit(int(p * 4294967296.0)))
-        if p >= 1.0 or cand.count() >= n:
+        cand = placed(d.where(F.col("__h32") <= F.lit(int(p * 4294967296.0))), "__h", *key_cols)
+        if p >= 1.0 or cand.total >= n:
             break
         margin *= 2
-    return cand.orderBy("__h", *key_cols).limit(n).drop("__h", "__h32")
+    return cand.numbered("__pos").where(F.col("__pos") < n).drop("__pos", "__h", "__h32")

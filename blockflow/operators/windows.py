@@ -1,72 +1,71 @@
 """Window-shaped operators (W1-W3) written so that no single task ever holds
 an unbounded group or the whole table.
 
-* :func:`bfill` - backward fill along a unique ordering key, in key ranges of
-  bounded size plus a tiny per-range carry table.
-* :func:`number_within_group` - 1..n numbering per group; hot groups are
-  split into salted sub-groups whose offsets come from a small count table.
+* :func:`bfill` - backward fill along an ordering key, range by range, plus a
+  carry table of one row per range.
+* :func:`number_within_group` - ``row_number()`` per group; groups too large
+  for one task are numbered through their place in a range sort.
 * :func:`window_freq` - rows per key attached to every row of the key
   (partial aggregate + join, skew-safe under AQE skew-join splitting).
+
+Rows with a null key form a group of their own, as in SQL windows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .ranges import placed
+
 
-def bfill(df: DataFrame, value: str, order_key: str, out: str | None = None,
-          range_rows: int = 1 << 20) -> DataFrame:
-    """``fillna(method='bfill')`` along ``order_key`` (unique, integral).
+def bfill(df: DataFrame, value: str, order_key: str, out: str | None = None) -> DataFrame:
+    """``fillna(method='bfill')`` along ``order_key`` (unique).
 
-    Rows are cut into key ranges of ``range_rows`` consecutive key values.
-    Inside a range the fill is a window over at most ``range_rows`` rows;
-    a row with no later non-null value in its range takes the first non-null
-    value of the next ranges, found on a table with one row per range.
+    The table is range-sorted by the key (:func:`ranges.placed`), so a range
+    is one task's share of the rows however sparse the keys are.  Inside a
+    range the fill is a window; a row with no later value there takes the
+    first value of the next ranges, known from one value per range.
     """
     out = out or value
-    rng = F.floor(F.col(order_key) / F.lit(range_rows)).cast("long")
-    d = df.withColumn("__rng", rng)
-    w = Window.partitionBy("__rng").orderBy(order_key).rowsBetween(0, Window.unboundedFollowing)
-    local = d.withColumn("__fill", F.first(F.col(value), ignorenulls=True).over(w))
-    # first non-null value of each range (min key with a value), then carry from later ranges
-    firsts = (d.where(F.col(value).isNotNull())
-              .groupBy("__rng").agg(F.min_by(F.col(value), F.col(order_key)).alias("__first")))
-    # one row per range (ranges without any value included); the carry is the
-    # first value of the following ranges.  This window sees #ranges rows.
-    all_rng = d.select("__rng").distinct()
-    nxt = (all_rng.join(firsts, "__rng", "left")
-           .withColumn("__next", F.first("__first", ignorenulls=True).over(
-               Window.orderBy("__rng").rowsBetween(1, Window.unboundedFollowing)))
-           .select("__rng", "__next"))
-    res = local.join(nxt, "__rng", "left")
-    return res.withColumn(out, F.coalesce(F.col("__fill"), F.col("__next"))).drop("__rng", "__fill", "__next")
+    p = placed(df, order_key)
+    w = Window.partitionBy("__range").orderBy("__at").rowsBetween(0, Window.unboundedFollowing)
+    local = p.rows.withColumn("__fill", F.first(F.col(value), ignorenulls=True).over(w))
+    firsts = {r["__range"]: r["v"] for r in p.rows.where(F.col(value).isNotNull()).groupBy("__range").agg(
+        F.min_by(F.col(value), F.col("__at")).alias("v")).collect()}           # one row per range
+    carry, nxt = [], None
+    for r, _ in reversed(p.sizes):
+        carry.append((r, nxt))
+        nxt = firsts.get(r, nxt)
+    spark = df.sparkSession
+    schema = local.select(F.col("__range"), F.col(value).alias("__next")).schema
+    carry = spark.createDataFrame(carry, schema)
+    res = local.join(F.broadcast(carry), "__range", "left")
+    return res.withColumn(out, F.coalesce(F.col("__fill"), F.col("__next"))).drop("__range", "__at", "__fill", "__next")
 
 
 def number_within_group(df: DataFrame, group: str, order: list[str], out: str = "rn",
                         max_rows: int = 1 << 20) -> DataFrame:
-    """Number the rows of each group 1..n (``reset_index`` per block).
+    """Number the rows of each group 1..n in ``order`` (``reset_index`` per
+    block): the same numbers as ``row_number()`` for any ``max_rows``.
 
-    A group larger than ``max_rows`` is split into ``ceil(n / max_rows)``
-    sub-groups by a hash of the order columns; each sub-group is numbered by
-    a window and shifted by the sizes of the sub-groups before it.  The
-    numbering is a deterministic bijection onto 1..n; within a sub-group it
-    follows ``order``.
+    Groups of at most ``max_rows`` rows are numbered by a window.  The rows of
+    larger ones are range-sorted by (group, order) over all tasks, and a row's
+    number is its global position less the first position of its group.
+    Whether there are such groups is asked by one aggregate job.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(max_rows)))
-    d = df.join(sizes, group).withColumn(
-        "__salt", F.pmod(F.xxhash64(*[F.col(c) for c in order]), parts.cast("long")))
-    w = Window.partitionBy(group, "__salt").orderBy(*order)
-    local = d.withColumn("__local", F.row_number().over(w))
-    sub = d.groupBy(group, "__salt").agg(F.count(F.lit(1)).alias("__m"))
-    ws = Window.partitionBy(group).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    offs = sub.withColumn("__off", F.coalesce(F.sum("__m").over(ws), F.lit(0))).select(group, "__salt", "__off")
-    res = local.join(offs, [group, "__salt"])
-    return res.withColumn(out, (F.col("__off") + F.col("__local")).cast("long")).drop(
-        "__n", "__salt", "__local", "__off")
+    w = Window.partitionBy(group).orderBy(*order)
+    large = df.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max_rows).select("__g")
+    if large.isEmpty():
+        return df.withColumn(out, F.row_number().over(w).cast("long"))
+    same = F.col(group).eqNullSafe(F.col("__g"))
+    small = df.join(large, same, "left_anti").withColumn(out, F.row_number().over(w).cast("long"))
+    rows = placed(df.join(large, same, "left_semi"), group, *order).numbered("__pos")
+    first = rows.groupBy(F.col(group).alias("__g")).agg(F.min("__pos").alias("__start"))
+    rows = rows.join(first, same).withColumn(out, F.col("__pos") - F.col("__start") + 1)
+    return small.unionByName(rows.drop("__pos", "__g", "__start"))
 
 
 def window_freq(df: DataFrame, key: str, out: str = "freq") -> DataFrame:
     """Rows per ``key`` attached to every row (``value_counts`` joined back)."""
-    f = df.groupBy(key).agg(F.count(F.lit(1)).alias(out))
-    return df.join(f, key)
+    f = df.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias(out))
+    return df.join(f, F.col(key).eqNullSafe(F.col("__k"))).drop("__k")
