@@ -9,12 +9,14 @@
   ID10, ID20, STATE_2020
 
 All reads use declared schemas or header names with explicit casts - never
-schema inference - and one scan over all files of a kind.
+schema inference - and one scan over all files of a kind (per header).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from urllib.parse import unquote
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import ids
 from ..schemas import BLOCK2010_CSV, BLOCK2020_CSV
@@ -39,16 +41,40 @@ def read_block2020(spark: SparkSession, path: str, encoding: str = "ISO-8859-1")
                      *[F.col(f"U7B00{k + 2}").alias(f"R20{k}") for k in range(1, 8)])
 
 
+def files_by_header(spark: SparkSession, pattern: str) -> dict[str, list[str]]:
+    """Header line -> files of ``pattern`` having it.  One distributed pass over
+    the lines; only the header line of each file reaches the driver."""
+    lines = spark.read.text(pattern).select("value", F.col("_metadata.file_path").alias("path"))
+    # a header names the id columns, a data row holds numbers
+    heads = lines.where(F.col("value").contains(REL_KEYS[0]) & F.col("value").contains(REL_KEYS[-1])).distinct().collect()
+    out: dict[str, list[str]] = {}
+    for r in sorted(heads, key=lambda r: r["path"]):
+        out.setdefault(r["value"].rstrip("\r").lstrip(BOM), []).append(unquote(r["path"]))
+    return out
+
+
 def read_relationship(spark: SparkSession, pattern: str) -> DataFrame:
-    """All relationship files matching ``pattern`` in one scan.
+    """All relationship files matching ``pattern``.
 
-    Columns are taken by header name (files carry more columns than needed),
-    a byte-order mark in front of the first name is ignored, and the id parts
-    are cast to int and composed into 15-digit ids (F3).
+    Columns are taken by header name, file by file: the files are grouped by
+    their header line, each group is one scan under its own names, and the
+    groups are united by name.  Files may carry more columns, in any order; a
+    file that lacks an id column is an error.  A byte-order mark in front of
+    the first name is ignored, and the id parts are cast to int and composed
+    into 15-digit ids (F3).
     """
-    raw = spark.read.option("header", True).option("sep", "|").csv(pattern)
-    raw = raw.toDF(*[c.lstrip(BOM) for c in raw.columns])
-    parts = raw.select(*[F.col(c).cast("int").alias(c) for c in REL_KEYS])
+    parts = None
+    for header, paths in files_by_header(spark, pattern).items():
+        names = [c.strip().strip('"') for c in header.split("|")]
+        missing = set(REL_KEYS) - set(names)
+        if missing:
+            raise ValueError(f"{paths[0]}: no column {sorted(missing)}")
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+        raw = spark.read.schema(schema).option("header", True).option("sep", "|").csv(paths)
+        raw = raw.select(*[F.col(c).cast("int").alias(c) for c in REL_KEYS])
+        parts = raw if parts is None else parts.unionByName(raw)
+    if parts is None:
+        raise ValueError(f"no relationship file with a header matches {pattern}")
     return parts.select(
         ids.compose_block_id("STATE_2010", "COUNTY_2010", "TRACT_2010", "BLK_2010").alias("ID10"),
         ids.compose_block_id("STATE_2020", "COUNTY_2020", "TRACT_2020", "BLK_2020").alias("ID20"),

@@ -4,6 +4,9 @@ file."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.utils import AnalysisException
 
@@ -39,18 +42,28 @@ def read_parquet(spark: SparkSession, path: str, cols: list[str] | None = None)
     return df.select(*cols) if cols else df
 
 
-def read_dataset(spark: SparkSession, path: str, state=None, state_col: str = "state") -> DataFrame:
+def read_dataset(spark: SparkSession, path: str, state=None, state_col: str = "state",
+                 state_type: T.DataType | str | None = None) -> DataFrame:
     """The whole country, or one state of a dataset partitioned by state
-    (the filter prunes partitions: only that state's files are opened)."""
+    (the filter prunes partitions: only that state's files are opened).
+
+    ``state_type`` declares the type the state was written with; without it
+    Spark reads it off the directory names, where the code "01" looks like 1.
+    """
     df = spark.read.parquet(path)
+    if state_type is not None:
+        kind = T._parse_datatype_string(state_type) if isinstance(state_type, str) else state_type
+        fields = [T.StructField(f.name, kind) if f.name == state_col else f for f in df.schema]
+        df = spark.read.schema(T.StructType(fields)).parquet(path)
     if state is None or state == "USA":
         return df
     return df.where(F.col(state_col) == F.lit(state))
 
 
 def list_states(dataset: DataFrame, state_col: str = "state") -> DataFrame:
-    """The states present in a dataset plus the whole-country entry "USA"."""
-    s = dataset.select(F.col(state_col).cast("string").alias("name")).distinct()
+    """The states present in a dataset (as they were written, see
+    ``state_type`` of :func:`read_dataset`) plus the whole-country entry "USA"."""
+    s = dataset.select(F.col(state_col).cast("string").alias("name")).where("name is not null").distinct()
     return s.unionByName(dataset.sparkSession.createDataFrame([("USA",)], "name string"))
 
 
@@ -76,8 +89,16 @@ def path_exists_as_table(spark: SparkSession, path: str) -> bool:
             return False
 
 
-def publish(df: DataFrame, name: str) -> DataFrame:
-    """Keep a loaded dataset in executor memory and name it for SQL."""
-    c = df.cache()
-    c.createOrReplaceTempView(name)
-    return c
+def publish(df: DataFrame, name: str | None = None, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> str:
+    """Keep a loaded dataset at storage ``level`` and name it for SQL;
+    returns the view's name (a fresh one by default).  :func:`unpublish` gives
+    the memory back."""
+    name = name or f"published_{uuid.uuid4().hex}"
+    df.persist(level).createOrReplaceTempView(name)
+    return name
+
+
+def unpublish(spark: SparkSession, name: str) -> None:
+    """Drop a published dataset from memory and from the catalog."""
+    spark.table(name).unpersist()
+    spark.catalog.dropTempView(name)

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .files import path_exists_as_table
+from .files import path_exists_as_table, read_dataset
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", sep: str = ",",
@@ -38,15 +38,24 @@ def write_by_state(df: DataFrame, path: str, state_col: str = "state", mode: str
     return path
 
 
-def write_new_states(df: DataFrame, path: str, state_col: str = "state") -> str:
-    """K3, incremental: skip states already written.
+def states_written(spark, path: str, state_col: str, state_type) -> DataFrame:
+    """The states (null too) that a dataset at ``path`` holds, in ``state_type``."""
+    return read_dataset(spark, path, state_col=state_col, state_type=state_type).select(state_col).distinct()
 
-    The states present in the target are read from its partition column and
-    removed with a left-anti join; the rest is appended.
-    """
-    spark = df.sparkSession
-    if path_exists_as_table(spark, path):
-        done = spark.read.parquet(path).select(state_col).distinct()
-        df = df.join(F.broadcast(done), state_col, "left_anti")
+
+def without_written(df: DataFrame, path: str, state_col: str = "state") -> DataFrame:
+    """Rows of ``df`` (points, or the state polygons before any work is done
+    for them) whose state is not yet in the dataset at ``path``."""
+    if not path_exists_as_table(df.sparkSession, path):
+        return df
+    done = states_written(df.sparkSession, path, state_col, df.schema[state_col].dataType)
+    done = done.withColumnRenamed(state_col, "__done")
+    return df.join(done, F.col(state_col).eqNullSafe(F.col("__done")), "left_anti")
+
+
+def write_new_states(df: DataFrame, path: str, state_col: str = "state") -> str:
+    """K3, incremental: skip states already written (a null state is a state
+    of its own), append the rest."""
+    df = without_written(df, path, state_col)
     df.hint("rebalance", state_col).write.mode("append").partitionBy(state_col).parquet(path)
     return path
