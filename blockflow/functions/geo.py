@@ -99,13 +99,30 @@ def ring_signed_area(ring) -> Column:
     return F.when(n >= 4, s / F.lit(2.0)).otherwise(F.lit(0.0))
 
 
+def even_odd_area(poly) -> Column:
+    """Largest ring less the others: the area of a polygon whose rings do not
+    cross, in whatever order they come (0 where that is negative)."""
+    areas = F.transform(_c(poly), lambda r: F.abs(ring_signed_area(r)))
+    total = F.aggregate(areas, F.lit(0.0), lambda acc, a: acc + a)
+    return F.greatest(F.lit(2.0) * F.coalesce(F.array_max(areas), F.lit(0.0)) - total, F.lit(0.0))
+
+
+def ring_has_corner(ring) -> Column:
+    """Whether the ring's vertices do not all lie on one line through the first."""
+    r = _c(ring)
+    ox, oy = F.get(r, 0)["x"], F.get(r, 0)["y"]
+    idx = F.sequence(F.lit(0), F.greatest(F.size(r) - 2, F.lit(0)))
+
+    def cross(i):
+        a, b = F.get(r, i), F.get(r, i + 1)
+        return (a["x"] - ox) * (b["y"] - oy) - (b["x"] - ox) * (a["y"] - oy)
+
+    return F.exists(idx, lambda i: F.coalesce(cross(i) != 0, F.lit(False)))
+
+
 def polygon_area(poly) -> Column:
-    """Area under the even-odd rule for non-overlapping rings: outer minus holes."""
-    p = _c(poly)
-    areas = F.transform(p, lambda r: F.abs(ring_signed_area(r)))
-    first = F.coalesce(F.get(areas, 0), F.lit(0.0))
-    rest = F.aggregate(areas, F.lit(0.0), lambda acc, a: acc + a) - first
-    return first - rest
+    """Area under the even-odd rule for rings that do not cross: outer minus holes."""
+    return even_odd_area(poly)
 
 
 def multipolygon_area(mp) -> Column:

@@ -22,32 +22,36 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def explode_individuals(df: DataFrame, n, key: str = "ID20", k: str = "k",
-                        chunk_rows: int = 1 << 16, partitions: int | None = None,
-                        spread: bool = True) -> DataFrame:
-    """One row per individual ``k = 1..n`` carrying the block columns.
-
-    Blocks with ``n < 1`` produce no rows (``sequence(1, 0)`` would be [1, 0]).
-    """
+def chunks(df: DataFrame, n, key: str = "ID20", chunk_rows: int = 1 << 16, partitions: int | None = None,
+           spread: bool = True) -> DataFrame:
+    """The block rows cut into chunks of at most ``chunk_rows`` individuals
+    (``__lo`` to ``__hi``, from 1), spread over the cluster.  Blocks with
+    ``n < 1`` have no chunk."""
     n = _c(n).cast("long")
     d = df.withColumn("__n", n).where(F.col("__n") >= 1)
     nch = F.ceil(F.col("__n") / F.lit(chunk_rows)).cast("long")
     d = d.withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), nch - 1)))
     if spread:
         # an explicit count: AQE keeps it (the chunk rows are tiny, coalescing
-        # them would put the whole explode back into a few tasks); at most four
-        # waves of the cluster's cores, at most the configured shuffle width
-        spark = d.sparkSession
-        width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        try:
-            width = min(width, max(1, 4 * spark.sparkContext.defaultParallelism))
-        except Exception:  # no SparkContext handle (Connect): the configured width
-            pass
-        parts = partitions or width
+        # them would put the whole explode back into a few tasks).  It is the
+        # configured shuffle width, not the cores seen while the plan is built:
+        # with dynamic allocation these may still be two
+        parts = partitions or int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         d = d.repartition(parts, F.col(key), F.col("__chunk"))
     lo = F.col("__chunk") * F.lit(chunk_rows) + 1
     hi = F.least(F.col("__n"), (F.col("__chunk") + 1) * F.lit(chunk_rows))
-    return d.withColumn(k, F.explode(F.sequence(lo, hi))).drop("__chunk", "__n")
+    return d.withColumns({"__lo": lo, "__hi": hi}).drop("__chunk", "__n")
+
+
+def explode_individuals(df: DataFrame, n, key: str = "ID20", k: str = "k",
+                        chunk_rows: int = 1 << 16, partitions: int | None = None,
+                        spread: bool = True) -> DataFrame:
+    """One row per individual ``k = 1..n`` carrying the block columns.
+
+    Blocks with ``n < 1`` produce no rows (``sequence(1, 0)`` would be [1, 0]).
+    """
+    d = chunks(df, n, key, chunk_rows, partitions, spread)
+    return d.withColumn(k, F.explode(F.sequence("__lo", "__hi"))).drop("__lo", "__hi")
 
 
 def rows_per_block(p20, p10, net) -> Column:

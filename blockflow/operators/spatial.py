@@ -2,12 +2,13 @@
 boxes / polygons (G1, G2).
 
 The join turns the theta join "point inside polygon" into an equi-join on a
-grid cell: each polygon lists the cells of its bounding box, each point knows
-its one cell, so a (point, polygon) pair meets at most once and no
-nested-loop join is planned.  Cells that no polygon edge touches are decided
-once per cell (centre test); only points in boundary cells pay the exact
-even-odd ray cast, against the edges of their polygon's grid row (the only
-edges a horizontal ray from that row can cross).
+grid cell: each polygon lists the cells of its bounding box on the grid level
+of its own size, each point has one cell per level in use, so a (point,
+polygon) pair meets at most once and no nested-loop join is planned.  Cells
+that no polygon edge touches are decided once per cell (centre test); only
+points in boundary cells pay the exact even-odd ray cast, against the edges
+of their polygon's grid row (the only edges a horizontal ray from that row
+can cross).
 """
 
 from __future__ import annotations
@@ -19,7 +20,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import geo
 from ..functions.rand import TWO_32, uniform
 from ..session import checkpoint_dir
+from . import expand
 
+#: Least share of the box a polygon with an interior is taken to fill, and the
+#: factor on the attempts (see :func:`sampling_params`).
+LEAST_FILL, SAFETY = 1e-6, 8
 CAND = "struct<a:bigint,x:double,y:double>"
 
 
@@ -37,19 +42,17 @@ def with_bounds(polys: DataFrame, geom: str = "geometry", depth: int = 2) -> Dat
         "__maxx": F.col("__b.maxx"), "__maxy": F.col("__b.maxy")}).drop("__b")
 
 
-def auto_cell_size(polys: DataFrame, geom: str = "geometry", depth: int = 2,
-                   max_cells: int = 1024) -> float:
-    """A cell size giving every polygon at most about ``max_cells`` cells.
-
-    One aggregate over the polygon table; only one number reaches the driver.
-    """
+def with_level(polys: DataFrame, geom: str = "geometry", depth: int = 2, per_side: int = 16) -> DataFrame:
+    """Bounds and the polygon's own grid level: cells of 2**level, the
+    smallest with at most ``per_side`` of them along the longer side, so a
+    polygon of any size or shape has at most (per_side + 2) ** 2 cells."""
     b = with_bounds(polys, geom, depth)
-    row = b.agg(F.max((F.col("__maxx") - F.col("__minx")) * (F.col("__maxy") - F.col("__miny"))).alias("a"),
-                F.max(F.greatest(F.col("__maxx") - F.col("__minx"),
-                                 F.col("__maxy") - F.col("__miny"))).alias("w")).first()
-    area, width = (row["a"] or 0.0), (row["w"] or 0.0)
-    s = math.sqrt(area / max_cells) if area > 0 else width / max_cells
-    return s if s > 0 else 1.0
+    side = F.greatest(F.col("__maxx") - F.col("__minx"), F.col("__maxy") - F.col("__miny"))
+    level = F.when(side > 0, F.ceil(F.log2(side / F.lit(float(per_side))))).otherwise(F.lit(0)).cast("int")
+    # cell numbers must stay exact: no level below 2**-40 of the largest coordinate
+    reach = F.greatest(F.abs("__minx"), F.abs("__maxx"), F.abs("__miny"), F.abs("__maxy"), F.lit(1e-300))
+    level = F.greatest(level, (F.ceil(F.log2(reach)) - 40).cast("int"))
+    return b.withColumn("__lvl", level).withColumn("__s", F.pow(F.lit(2.0), F.col("__lvl")))
 
 
 def _all_edges(geom: str, depth: int) -> Column:
@@ -73,91 +76,105 @@ def _cells_of_box(x0, x1, y0, y1, s) -> tuple[Column, Column]:
     return cx, cy
 
 
-def polygon_cells(polys: DataFrame, key: str, cell: float, geom: str = "geometry", depth: int = 2) -> DataFrame:
-    """Grid cells of each polygon, tagged ``boundary`` (an edge touches the
-    closed cell) or interior (no edge touches it and its centre is inside).
-    Cells of the bounding box that are outside are dropped.
-    Columns: key, cx, cy, boundary.
+def polygon_cells(polys: DataFrame, key: str, geom: str = "geometry", depth: int = 2) -> DataFrame:
+    """Grid cells of each polygon (rows of :func:`with_level`), tagged
+    ``boundary`` (an edge touches the closed cell) or interior (no edge
+    touches it and its centre is inside).  Cells of the bounding box that are
+    outside are dropped.  Columns: key, __lvl, __cx, __cy, __boundary.
     """
-    s = F.lit(float(cell))
-    b = with_bounds(polys.select(key, geom), geom, depth)
+    s = F.col("__s")
+    b = polys.select(key, geom, "__lvl", "__s", "__minx", "__maxx", "__miny", "__maxy")
     # boundary cells: the cells of every edge's bounding box
-    e = b.select(key, F.explode(_all_edges(geom, depth)).alias("e"))
-    e = e.select(key, F.least("e.x1", "e.x2").alias("ex0"), F.greatest("e.x1", "e.x2").alias("ex1"),
+    e = b.select(key, "__lvl", "__s", F.explode(_all_edges(geom, depth)).alias("e"))
+    e = e.select(key, "__lvl", "__s", F.least("e.x1", "e.x2").alias("ex0"), F.greatest("e.x1", "e.x2").alias("ex1"),
                  F.least("e.y1", "e.y2").alias("ey0"), F.greatest("e.y1", "e.y2").alias("ey1"))
     ecx, ecy = _cells_of_box(F.col("ex0"), F.col("ex1"), F.col("ey0"), F.col("ey1"), s)
-    boundary = e.withColumn("cx", ecx).withColumn("cy", ecy).select(key, "cx", "cy").distinct()
+    boundary = e.withColumn("__cx", ecx).withColumn("__cy", ecy).select(key, "__lvl", "__cx", "__cy").distinct()
     # the remaining cells of the box are wholly inside or wholly outside: test the centre once
     bcx, bcy = _cells_of_box(F.col("__minx"), F.col("__maxx"), F.col("__miny"), F.col("__maxy"), s)
-    box = b.withColumn("cx", bcx).withColumn("cy", bcy)
-    rest = box.join(boundary, [key, "cx", "cy"], "left_anti")
-    centre_x = (F.col("cx") + F.lit(0.5)) * s
-    centre_y = (F.col("cy") + F.lit(0.5)) * s
-    interior = rest.where(geo.parts_contain(_edges(geom, depth), centre_x, centre_y)).select(key, "cx", "cy")
-    return (boundary.withColumn("boundary", F.lit(True))
-            .unionByName(interior.withColumn("boundary", F.lit(False))))
-
-
-def band_edges(polys: DataFrame, key: str, cell: float, geom: str = "geometry", depth: int = 2) -> DataFrame:
-    """Edge lists per polygon and grid row ``cy``: only the non-horizontal edges
-    whose y-range meets the row band, kept per part.  A ray from a point in
-    that band can only cross those edges, so the parity test over them equals
-    the test over the whole polygon.  Columns: key, cy, __edges
-    (array<array<edge>>, one list per part).  Grouped per polygon row band:
-    the groups are bounded by the polygon's vertex count, not by the data.
+    box = b.withColumn("__cx", bcx).withColumn("__cy", bcy)
+    rest = box.join(boundary, [key, "__lvl", "__cx", "__cy"], "left_anti")
+    centre_x = (F.col("__cx") + F.lit(0.5)) * s
+    centre_y = (F.col("__cy") + F.lit(0.5)) * s
+    interior = rest.where(geo.parts_contain(_edges(geom, depth), centre_x, centre_y)).select(key, "__lvl", "__cx", "__cy")
+    return (boundary.withColumn("__boundary", F.lit(True))
+            .unionByName(interior.withColumn("__boundary", F.lit(False))))
+
+
+def band_edges(polys: DataFrame, key: str, geom: str = "geometry", depth: int = 2) -> DataFrame:
+    """Edge lists per polygon (rows of :func:`with_level`) and grid row: only
+    the non-horizontal edges whose y-range meets the row band, kept per part.
+    A ray from a point in that band can only cross those edges, so the parity
+    test over them equals the test over the whole polygon.  Columns: key,
+    __cy, __edges (array<array<edge>>, one list per part).  Grouped per
+    polygon row band: the groups are bounded by the polygon's vertex count,
+    not by the data.
     """
-    s = F.lit(float(cell))
-    parts = polys.select(key, F.posexplode(_edges(geom, depth)).alias("__part", "__pe"))
-    e = parts.select(key, "__part", F.explode("__pe").alias("e"))
+    s = F.col("__s")
+    parts = polys.select(key, "__s", F.posexplode(_edges(geom, depth)).alias("__part", "__pe"))
+    e = parts.select(key, "__s", "__part", F.explode("__pe").alias("e"))
     lo, hi = F.least("e.y1", "e.y2"), F.greatest("e.y1", "e.y2")
-    e = e.withColumn("cy", F.explode(F.sequence(F.floor(lo / s), F.floor(hi / s))))
-    per_part = e.groupBy(key, "cy", "__part").agg(F.collect_list("e").alias("__pe"))
-    return per_part.groupBy(key, "cy").agg(F.collect_list("__pe").alias("__edges"))
+    e = e.withColumn("__cy", F.explode(F.sequence(F.floor(lo / s), F.floor(hi / s))))
+    per_part = e.groupBy(key, "__cy", "__part").agg(F.collect_list("e").alias("__pe"))
+    return per_part.groupBy(key, "__cy").agg(F.collect_list("__pe").alias("__edges"))
 
 
 def spatial_join(points: DataFrame, polys: DataFrame, key: str, x: str = "x", y: str = "y",
-                 geom: str = "geometry", depth: int = 2, cell: float | None = None,
-                 max_broadcast_rows: int = 5_000_000, max_broadcast_bytes: int = 256 << 20) -> DataFrame:
+                 geom: str = "geometry", depth: int = 2, per_side: int = 16,
+                 max_broadcast_bytes: int = 256 << 20) -> DataFrame:
     """Every (point, polygon) pair with the point inside the polygon.
 
-    ``key`` identifies a polygon (unique); the other polygon columns are
-    attached to the matches.  A point inside several overlapping polygons
-    appears once per polygon; a point inside none disappears (Q19).
-
-    1. points join the cell table on ``(cx, cy)``;
-    2. a match in an interior cell is final - no ray cast;
-    3. a match in a boundary cell joins the edges of its polygon's row band
-       on ``(key, cy)`` and runs the even-odd ray cast over those edges.
-
-    Either small side is broadcast only after its size has been checked (cell
-    rows; edge bytes); otherwise the join shuffles and AQE splits hot keys.
+    ``key`` identifies a polygon; a repeated or null key is an error.  The
+    other polygon columns are attached to the matches.  A point inside several
+    overlapping polygons appears once per polygon; a point inside none
+    disappears (Q19).  One pass over the points:
+
+    1. a point takes its cell on each grid level in use (a few numbers) and
+       joins the polygon cells on (level, cell);
+    2. a match in a boundary cell takes the edges of its polygon's row band
+       and runs the even-odd ray cast over those; a match in an interior cell
+       joins nothing and is final.
+
+    The polygon-side tables are built and checkpointed when the plan is made
+    (jobs over the polygons only).  Either is broadcast only after its size
+    in bytes has been checked; otherwise the join shuffles and AQE splits hot
+    keys.
     """
-    if cell is None:
-        cell = auto_cell_size(polys, geom, depth)
-    s = F.lit(float(cell))
-    # the polygon-side tables are built once, written to the shared checkpoint
-    # folder, and then sized and joined from there (no recomputation)
+    names = {"__lvl", "__s", "__cx", "__cy", "__boundary", "__edges", "__bk", "__by"}
+    if names & {c.lower() for c in points.columns + polys.columns}:
+        raise ValueError(f"column names {sorted(names)} are used by the join")
+    n = polys.agg(F.count(F.lit(1)), F.count(key), F.count_distinct(key)).first()
+    if n[0] != n[2]:
+        raise ValueError(f"{key!r} must name each polygon once: {n[0]} rows, {n[2]} different keys")
     checkpoint_dir(polys.sparkSession)
-    cells = polygon_cells(polys, key, cell, geom, depth).checkpoint(eager=True)
-    bands = band_edges(polys, key, cell, geom, depth).checkpoint(eager=True)
-    stats = bands.agg(F.count(F.lit(1)).alias("n"),
-                      F.sum(F.size(F.flatten("__edges"))).alias("ne")).first()
-    edge_bytes = 48 * (stats["ne"] or 0) + 64 * (stats["n"] or 0)
-    n_cells = cells.count()
-    cells_side = F.broadcast(cells) if n_cells <= max_broadcast_rows else cells
+    p = with_level(polys.select(key, geom), geom, depth, per_side).checkpoint(eager=True)
+    cells = polygon_cells(p, key, geom, depth).checkpoint(eager=True)
+    bands = band_edges(p, key, geom, depth).checkpoint(eager=True)
+    levels = sorted(r["__lvl"] for r in p.where(F.col("__lvl").isNotNull()).select("__lvl").distinct().collect())
+    if not levels:
+        none = {f.name: F.lit(None).cast(f.dataType) for f in polys.schema if f.name != geom}
+        return points.where(F.lit(False)).withColumns(none)
+    key_bytes = 8 + (polys.schema[key].dataType.defaultSize() if hasattr(polys.schema[key].dataType, "defaultSize") else 32)
+    stats = bands.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(F.flatten("__edges"))).alias("ne")).first()
+    edge_bytes = 48 * (stats["ne"] or 0) + (64 + key_bytes) * stats["n"]
+    cell_bytes = (48 + key_bytes) * cells.count()
+    cells_side = F.broadcast(cells) if cell_bytes <= max_broadcast_bytes else cells
+    bands = bands.select(F.col(key).alias("__bk"), F.col("__cy").alias("__by"), "__edges")
     bands_side = F.broadcast(bands) if edge_bytes <= max_broadcast_bytes else bands
 
-    pts = points.withColumns({"cx": F.floor(F.col(x) / s), "cy": F.floor(F.col(y) / s)})
-    cand = pts.join(cells_side, ["cx", "cy"]).drop("cx")
-    inner = cand.where(~F.col("boundary")).drop("boundary", "cy")
-    edge = cand.where(F.col("boundary")).drop("boundary").join(bands_side, [key, "cy"])
-    edge = edge.where(geo.parts_contain(F.col("__edges"), F.col(x), F.col(y))).drop("__edges", "cy")
-    out = inner.unionByName(edge)
+    # one cell per level (the levels span the sizes of the polygons, powers of two)
+    pts = points.withColumn("__lvl", F.explode(F.array(*[F.lit(v) for v in levels])))
+    s = F.pow(F.lit(2.0), F.col("__lvl"))
+    pts = pts.withColumns({"__cx": F.floor(F.col(x) / s), "__cy": F.floor(F.col(y) / s)})
+    cand = pts.join(cells_side, ["__lvl", "__cx", "__cy"]).drop("__lvl", "__cx")
+    # interior matches have a band key that exists nowhere, spread by their place, should the join shuffle
+    far = F.lit(-(1 << 61)) - F.pmod(F.xxhash64(x, y), F.lit(1 << 20))
+    cand = cand.withColumn("__row", F.when(F.col("__boundary"), F.col("__cy")).otherwise(far))
+    out = cand.join(bands_side, (F.col(key) == F.col("__bk")) & (F.col("__row") == F.col("__by")), "left")
+    inside = ~F.col("__boundary") | geo.parts_contain(F.coalesce(F.col("__edges"), F.array()), F.col(x), F.col(y))
+    out = out.where(inside).drop("__boundary", "__cy", "__row", "__bk", "__by", "__edges")
     attrs = [c for c in polys.columns if c not in (key, geom)]
-    if attrs:
-        out = out.join(F.broadcast(polys.select(key, *attrs)) if n_cells <= max_broadcast_rows
-                       else polys.select(key, *attrs), key)
-    return out
+    return out.join(polys.select(key, *attrs), key) if attrs else out
 
 
 def count_per_polygon(joined: DataFrame, key: str) -> DataFrame:
@@ -172,16 +189,21 @@ def sampling_params(polys: DataFrame, geom: str = "geometry", depth: int = 2,
     """Per polygon: bounding box and the attempt budget for rejection sampling.
 
     With ``fill`` = polygon area / box area, ``attempts`` is the smallest m
-    with ``(1 - fill)^m <= fail_prob`` (at least ``first``).  No cap: a thin
-    polygon simply gets more attempts.  A polygon without area gets null
-    and sampling in it raises.
+    with ``(1 - fill)^m <= fail_prob``, times ``SAFETY`` (rings crossing
+    themselves can have less inside than the shoelace sum says), at least
+    ``first``.  Where the areas cancel (a bow-tie) the fill is taken as
+    ``LEAST_FILL``.  The largest ring is the outer one, whatever the order of
+    rings.  A polygon whose vertices lie on one line has no interior: its
+    budget is null and sampling in it raises.
     """
     b = with_bounds(polys, geom, depth)
-    area = geo.polygon_area(geom) if depth == 2 else geo.multipolygon_area(geom)
     box = (F.col("__maxx") - F.col("__minx")) * (F.col("__maxy") - F.col("__miny"))
-    fill = F.least(F.try_divide(area, box), F.lit(1.0))
-    m = F.ceil(F.lit(math.log(fail_prob)) / F.log1p(-fill))
-    att = (F.when(fill.isNull() | (fill <= 0), F.lit(None).cast("long"))
+    parts = F.array(F.col(geom)) if depth == 2 else F.col(geom)
+    area = F.aggregate(F.transform(parts, geo.even_odd_area), F.lit(0.0), lambda acc, a: acc + a)
+    fill = F.least(F.greatest(F.try_divide(area, box), F.lit(LEAST_FILL)), F.lit(1.0))
+    m = F.ceil(F.lit(SAFETY * math.log(fail_prob)) / F.log1p(-fill))
+    solid = (box > 0) & F.exists(F.flatten(parts), geo.ring_has_corner)
+    att = (F.when(~F.coalesce(solid, F.lit(False)), F.lit(None).cast("long"))
            .when(fill >= 1.0 - 1e-12, F.lit(first).cast("long"))
            .otherwise(F.greatest(F.lit(first).cast("long"), m.cast("long"))))
     return b.withColumns({"__attempts": att, "__edges": _edges(geom, depth)})
@@ -206,24 +228,51 @@ def _candidate(h: Column, a: Column) -> Column:
                     (F.col("__miny") + uy * (F.col("__maxy") - F.col("__miny"))).alias("y"))
 
 
-def _first_inside(attempts: Column, seed: int) -> Column:
+def _first_inside(attempts: Column, prefix: Column, seed: int) -> Column:
     """First attempt whose point lies inside; md5 key text ``key:k:a:seed``
-    (the row's ``__pfx`` holds ``key:k:``)."""
+    (``prefix`` is ``key:k:``)."""
     none = F.lit(None).cast(CAND)
+    return F.aggregate(attempts, none, lambda acc, a: F.when(acc.isNull(), _try(prefix, a, seed)).otherwise(acc))
 
-    def step(acc, a):
-        digest = F.md5(F.concat(F.col("__pfx"), a.cast("string"), F.lit(f":{seed}")))
-        # bind digest and candidate once each (one-element arrays), keep the first hit
-        test = F.aggregate(F.array(digest), none, lambda _, h: F.aggregate(
-            F.array(_candidate(h, a)), none,
-            lambda _, c: F.when(geo.parts_contain(F.col("__edges"), c["x"], c["y"]), c)))
-        return F.when(acc.isNull(), test).otherwise(acc)
 
-    return F.aggregate(attempts, none, step)
+def _try(prefix: Column, a: Column, seed: int) -> Column:
+    """The candidate of attempt ``a`` if it lies inside, else null."""
+    none = F.lit(None).cast(CAND)
+    digest = F.md5(F.concat(prefix, a.cast("string"), F.lit(f":{seed}")))
+    # bind digest and candidate once each (one-element arrays)
+    return F.aggregate(F.array(digest), none, lambda _, h: F.aggregate(
+        F.array(_candidate(h, a)), none,
+        lambda _, c: F.when(geo.parts_contain(F.col("__edges"), c["x"], c["y"]), c)))
 
 
-def points_in_polygon(rows: DataFrame, key: str = "ID20", k: str = "k", geom: str = "geometry",
-                      depth: int = 2, seed: int = 0, first: int = 16) -> DataFrame:
+def _located(prefix: Column, seed: int, first: int) -> Column:
+    """struct(a, x, y) of the first attempt inside, up to the polygon's budget."""
+    none = F.lit(None).cast(CAND)
+    s1 = _first_inside(F.sequence(F.lit(1).cast("long"), F.lit(first).cast("long")), prefix, seed)
+    # attempts first+1 .. budget in chunks of about sqrt(remaining): a chunk's
+    # attempt list is only built while no attempt has hit, so per-row memory
+    # stays O(sqrt(budget)) even for very thin polygons
+    rest = F.col("__attempts") - F.lit(first)
+    size = F.greatest(F.lit(1024).cast("long"), F.ceil(F.sqrt(rest.cast("double"))).cast("long"))
+    n_chunks = F.ceil(rest / size).cast("long")
+
+    def chunk(acc, c):
+        lo = F.lit(first + 1).cast("long") + c * size
+        hi = F.least(F.col("__attempts"), lo + size - 1)
+        return F.when(acc.isNull(), _first_inside(F.sequence(lo, hi), prefix, seed)).otherwise(acc)
+
+    failed = F.raise_error(F.lit("points_in_polygon: attempt budget exhausted or polygon without area")).cast(CAND)
+    s2 = F.when(F.col("__attempts") > first, F.aggregate(F.sequence(F.lit(0).cast("long"), n_chunks - 1), none, chunk))
+    # each stage is bound once and the next is looked at only where it is null
+    return F.aggregate(F.array(F.lit(0)), s1, lambda p, _: F.coalesce(p, s2, failed))
+
+
+def _prefix(key: str, k: Column) -> Column:
+    return F.concat(F.col(key).cast("string"), F.lit(":"), k.cast("string"), F.lit(":"))
+
+
+def points_in_polygon(rows: DataFrame, key: str = "ID20", k: str = "k", depth: int = 2, seed: int = 0,
+                      first: int = 16) -> DataFrame:
     """Exact rejection sampling, one point per row, no shuffle.
 
     Attempt ``a`` of individual ``(key, k)`` is the box point from
@@ -234,26 +283,20 @@ def points_in_polygon(rows: DataFrame, key: str = "ID20", k: str = "k", geom: st
     Exhausting the budget (probability <= fail_prob) raises instead of
     returning a wrong point.  Adds ``x``, ``y`` and ``attempt``.
     """
-    s1 = _first_inside(F.sequence(F.lit(1).cast("long"), F.lit(first).cast("long")), seed)
-    # attempts first+1 .. budget in chunks of about sqrt(remaining): a chunk's
-    # attempt list is only built while no attempt has hit, so per-row memory
-    # stays O(sqrt(budget)) even for very thin polygons
-    rest = F.col("__attempts") - F.lit(first)
-    size = F.greatest(F.lit(1024).cast("long"), F.ceil(F.sqrt(rest.cast("double"))).cast("long"))
-    n_chunks = F.ceil(rest / size).cast("long")
-    none = F.lit(None).cast(CAND)
+    d = rows.withColumn("__p", _located(_prefix(key, F.col(k)), seed, first))
+    return d.withColumns({"x": F.col("__p.x"), "y": F.col("__p.y"), "attempt": F.col("__p.a")}).drop("__p", "__edges")
 
-    def chunk(acc, c):
-        lo = F.lit(first + 1).cast("long") + c * size
-        hi = F.least(F.col("__attempts"), lo + size - 1)
-        return F.when(acc.isNull(), _first_inside(F.sequence(lo, hi), seed)).otherwise(acc)
-
-    s2 = F.when(F.col("__attempts") > first,
-                F.aggregate(F.sequence(F.lit(0).cast("long"), n_chunks - 1), none, chunk))
-    pfx = F.concat(F.col(key).cast("string"), F.lit(":"), F.col(k).cast("string"), F.lit(":"))
-    d = rows.withColumn("__pfx", pfx).withColumn("__p", s1)
-    d = d.withColumn("__p", F.when(F.col("__p").isNull(), s2).otherwise(F.col("__p")))
-    d = d.withColumn("__p", F.when(F.col("__p").isNull(), F.raise_error(
-        F.lit("points_in_polygon: attempt budget exhausted or polygon without area"))).otherwise(F.col("__p")))
-    return d.withColumns({"x": F.col("__p.x"), "y": F.col("__p.y"), "attempt": F.col("__p.a")}).drop(
-        "__p", "__pfx", "__edges")
+
+def individuals_in_polygon(blocks: DataFrame, n, key: str = "ID20", k: str = "k", seed: int = 0, first: int = 16,
+                           chunk_rows: int = 1 << 12, spread: bool = True, partitions: int | None = None) -> DataFrame:
+    """E5 + G2 in one step: :func:`points_in_polygon` for k = 1..n of every
+    block (a row of :func:`sampling_params`), with the polygon's edges once
+    per chunk of ``chunk_rows`` individuals and never in an individual's row.
+    """
+    d = expand.chunks(blocks, n, key, chunk_rows, partitions, spread)
+    at = F.transform(F.sequence(F.col("__lo"), F.col("__hi")), lambda i: F.struct(
+        i.alias("k"), _located(_prefix(key, i), seed, first).alias("p")))
+    keep = [c for c in d.columns if c not in ("__lo", "__hi", "__edges", "__attempts", "__minx", "__miny", "__maxx", "__maxy", "geometry")]
+    d = d.select(*keep, F.explode(at).alias("__i"))
+    return d.select(*keep, F.col("__i.k").alias(k), F.col("__i.p.x").alias("x"), F.col("__i.p.y").alias("y"),
+                    F.col("__i.p.a").alias("attempt"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geo, numeric
 from ..operators import expand, spatial
+from ..sources import sinks
 from .migration import RACE_DIFFS
 
 
@@ -62,12 +63,11 @@ def total_population_dataset(mig: DataFrame, races20: DataFrame, polys: DataFram
     b = b.withColumn("__rows", expand.rows_per_block("P20", "eq_P10", "block_net"))
     b, cum = expand.cumulative_columns(b, [f"R20{k}" for k in range(1, 8)])
     b = b.join(_polygon_params(polys, depth=depth), "ID20")
-    e = expand.explode_individuals(b, "__rows", spread=spread)
+    e = spatial.individuals_in_polygon(b, "__rows", seed=seed, spread=spread)
     pos = expand.affine_permutation("k", "__rows", "ID20", seed) if shuffle else F.col("k")
     e = e.withColumns({
         "net": expand.net_label("k", "P20", "eq_P10", "block_net"),
         "race": expand.label_by_cumulative(pos, cum, list(range(1, 8)), 0)})
-    e = spatial.points_in_polygon(e, depth=depth, seed=seed)
     x, y = geo.to_mercator("x", "y")
     return e.select("ID20", "k", x.alias("easting"), y.alias("northing"), "race", "net",
                     F.col("__cid").alias("county"))
@@ -86,10 +86,9 @@ def net_migration_dataset(race_mig: DataFrame, polys: DataFrame, seed: int = 0,
     b, cum = expand.cumulative_columns(b, RACE_DIFFS)
     codes = expand.signed_codes(RACE_DIFFS)
     b = b.join(_polygon_params(polys, depth=depth), "ID20")
-    e = expand.explode_individuals(b, "points", spread=spread)
+    e = spatial.individuals_in_polygon(b, "points", seed=seed, spread=spread)
     pos = expand.affine_permutation("k", "points", "ID20", seed) if permute else F.col("k")
     e = e.withColumn("race", expand.label_by_cumulative(pos, cum, codes, 0))
-    e = spatial.points_in_polygon(e, depth=depth, seed=seed)
     return e.select(F.col("ID20").alias("blockid"), "k", "x", "y", "race", F.col("STATE").alias("state"),
                     F.col("COUNTY").alias("county"), F.col("P_delta").alias("block_diff"),
                     numeric.sign_net("P_delta").alias("block_net"))
@@ -111,8 +110,17 @@ def boxed_population(mapped: DataFrame, polys: DataFrame, seed: int = 0, spread:
     return e.select("ID20", "k", "x", "y", "COUNTY", "P_delta", "P_net")
 
 
+def split_new_states(points: DataFrame, states: DataFrame, path: str, x: str = "lon", y: str = "lat",
+                     code: str = "State_Code", depth: int = 2) -> str:
+    """C7 + K3: points written one directory per state, for the states not yet
+    at ``path`` only: written ones leave the polygons before the spatial join."""
+    s = states.select(F.col(code).alias("state"), F.col("geometry"))
+    s = sinks.without_written(s, path)
+    return sinks.write_new_states(spatial.spatial_join(points, s, "state", x, y, "geometry", depth), path)
+
+
 def split_by_state(points: DataFrame, states: DataFrame, x: str = "lon", y: str = "lat",
-                   code: str = "State_Code", depth: int = 2, cell: float | None = None) -> DataFrame:
+                   code: str = "State_Code", depth: int = 2) -> DataFrame:
     """Points tagged with every state polygon containing them."""
     s = states.select(F.col(code).alias("state"), F.col("geometry"))
-    return spatial.spatial_join(points, s, "state", x, y, "geometry", depth, cell)
+    return spatial.spatial_join(points, s, "state", x, y, "geometry", depth)

@@ -30,23 +30,36 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.parquet(p)
 
 
+def interleaved_cell(x: str, y: str, cell: float, bits: int = 16):
+    """One number for the grid cell of (x, y) in which near cells are near:
+    the bits of the two cell numbers in turn."""
+    half = 1 << (bits - 1)
+    gx, gy = [F.least(F.greatest(F.floor(F.col(c) / F.lit(cell)) + half, F.lit(0)), F.lit((1 << bits) - 1)) for c in (x, y)]
+    key = F.lit(0).cast("long")
+    for b in range(bits):
+        bit = F.lit(1 << b)
+        key = key.bitwiseOR(F.shiftleft(gx.bitwiseAND(bit), b)).bitwiseOR(F.shiftleft(gy.bitwiseAND(bit), b + 1))
+    return key
+
+
 def grid_cluster(df: DataFrame, x: str, y: str, cell: float) -> DataFrame:
-    """Sort rows inside each output file by a coarse grid cell, so each
-    Parquet row group covers a compact area and min/max statistics let a box
-    filter skip most of them.  No shuffle: a per-partition sort only."""
-    gx = F.floor(F.col(x) / F.lit(cell))
-    gy = F.floor(F.col(y) / F.lit(cell))
-    return df.sortWithinPartitions(gy, gx)
+    """Rows range-partitioned and sorted by interleaved grid cell, so a file
+    covers a compact area and a box filter skips whole files by their min/max
+    statistics; a crowded cell is cut by the coordinates."""
+    key = interleaved_cell(x, y, cell)
+    return df.repartitionByRange(key, F.col(x), F.col(y)).sortWithinPartitions(key)
 
 
 def build_datasets(block10: DataFrame, block20: DataFrame, crosswalk: DataFrame, polys: DataFrame,
                    county_dim: DataFrame, out_dir: str, seed: int = 0,
-                   grid_cell_m: float = 100_000.0) -> dict[str, str]:
+                   grid_cell_m: float = 100_000.0, states: DataFrame | None = None) -> dict[str, str]:
     """Run the whole batch preparation; returns the written table paths.
 
     ``block10``: ID10, P10, R101..R107; ``block20``: ID20, STATE, COUNTY,
     P20, R201..R207; ``crosswalk``: ID10, ID20; ``polys``: GEOID20,
-    geometry; ``county_dim``: id, name.
+    geometry; ``county_dim``: id, name.  With ``states`` (State_Code,
+    geometry, lon/lat) the net-migration points are also split one directory
+    per state (``by_state``), for a reader that opens one state only.
     """
     paths = {k: os.path.join(out_dir, k) for k in
              ("mapped_blocks", "total_attr", "race_migration", "total_population", "net_migration")}
@@ -59,4 +72,7 @@ def build_datasets(block10: DataFrame, block20: DataFrame, crosswalk: DataFrame,
     sinks.write_parquet(grid_cluster(total, "easting", "northing", grid_cell_m), paths["total_population"])
     net = DS.net_migration_dataset(rmig, polys, seed=seed)
     sinks.write_parquet(grid_cluster(net, "x", "y", 1.0), paths["net_migration"])
+    if states is not None:
+        paths["by_state"] = os.path.join(out_dir, "by_state")
+        DS.split_new_states(net.sparkSession.read.parquet(paths["net_migration"]).drop("state"), states, paths["by_state"], "x", "y")
     return paths
