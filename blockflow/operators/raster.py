@@ -12,12 +12,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import checkpoint_dir
+
 AGGS = ("count", "mean", "sum", "min", "max")
 
 
+def widened(lo: float, hi: float) -> tuple[float, float]:
+    """An extent without width gets half a unit on each side (relative to its
+    size, so that it stays a width for large coordinates)."""
+    if hi > lo:
+        return float(lo), float(hi)
+    half = max(0.5, abs(lo) * 1e-9)
+    return lo - half, lo + half
+
+
 def cell_index(c, lo: float, hi: float, n: int) -> Column:
     """Cell index on one axis, null outside ``[lo, hi]``."""
     col = F.col(c) if isinstance(c, str) else c
+    lo, hi = widened(lo, hi)
     idx = F.floor(((col - F.lit(float(lo))) * F.lit(float(n))) / F.lit(float(hi - lo))).cast("int")
     return F.when(col.between(F.lit(float(lo)), F.lit(float(hi))), F.least(idx, F.lit(n - 1)))
 
@@ -45,7 +57,7 @@ def _agg_expr(agg: str, col: str) -> Column:
 def raster(df: DataFrame, viewport, width: int, height: int, agg: str = "count",
            column: str = "net", x: str = "easting", y: str = "northing") -> DataFrame:
     """Sparse raster with one aggregate per non-empty cell."""
-    x0, x1, y0, y1 = viewport
+    (x0, x1), (y0, y1) = widened(*viewport[:2]), widened(*viewport[2:])
     inside = F.col(x).between(F.lit(float(x0)), F.lit(float(x1))) & \
         F.col(y).between(F.lit(float(y0)), F.lit(float(y1)))
     cells = with_cells(df.where(inside), viewport, width, height, x, y)
@@ -58,34 +70,37 @@ def raster_stats(r: DataFrame, value: str = "value") -> DataFrame:
                  F.sum(value).alias("vsum"), F.count(F.lit(1)).alias("cells"))
 
 
-def colorscale_positions(n: int, transform: str = "linear") -> list[float]:
-    """Positions of ``n`` palette colours on [0, 1] for a transform."""
-    ts = [i / (n - 1) for i in range(n)] if n > 1 else [0.0]
-    if transform == "linear":
-        return ts
-    if transform == "sqrt":
-        return [t ** 2 for t in ts]
-    if transform == "cbrt":
-        return [t ** 3 for t in ts]
-    if transform == "log":
-        return [(10 ** t - 1) / 9 for t in ts]
-    raise ValueError("Unexpected colorscale transform")
+#: Colour scales: how far along the palette a shade t in [0, 1] lies.  The scale
+#: places colours at powers of the palette position (or at its exponential), so
+#: the way back is a root (or a logarithm).
+PALETTE = {
+    "linear": lambda t: t,
+    "sqrt": lambda t: F.sqrt(t),
+    "cbrt": lambda t: F.cbrt(t),
+    "log": lambda t: F.log10(F.lit(9.0) * t + F.lit(1.0)),
+}
 
 
-def raster_scaled(r: DataFrame, n_colors: int = 9, how: str = "log", value: str = "value") -> DataFrame:
-    """Log (or linear) shading of the cell values to ``t`` in [0, 1] and a
-    palette bin ``0..n_colors-1``.
+def raster_scaled(r: DataFrame, n_colors: int = 9, how: str = "log", palette: str = "linear",
+                  value: str = "value") -> DataFrame:
+    """Shading of the cell values to ``t`` in [0, 1] and a palette bin
+    ``0..n_colors-1``; null cells have neither.
 
-    The raster's min and max are one aggregated row (two numbers) fetched to
-    the driver and used as literals; every cell is then scaled in place.
+    Values are shifted by the smallest one, so a mean raster with negative
+    cells shades like any other, then (``how="log"``) taken as log(1 + shift),
+    then divided by the largest.  ``palette`` names the colour scale.  The
+    raster (at most one row per cell of the canvas) is checkpointed once; its
+    extent is two numbers.
     """
-    f = (lambda c: F.log1p(c)) if how == "log" else (lambda c: c)
+    checkpoint_dir(r.sparkSession)
+    r = r.checkpoint(eager=True)
+    f = F.log1p if how == "log" else (lambda c: c)
     v = F.col(value).cast("double")
-    st = r.agg(F.min(f(v)).alias("lo"), F.max(f(v)).alias("hi")).first()
-    lo, hi = st["lo"], st["hi"]
-    if lo is None:
+    st = r.agg(F.min(v).alias("lo"), F.max(v).alias("hi")).first()
+    if st["lo"] is None:
         return r.withColumns({"t": F.lit(None).cast("double"), "bin": F.lit(None).cast("int")})
-    span = hi - lo
-    t = (f(v) - F.lit(lo)) / F.lit(span) if span > 0 else F.lit(0.0)
+    shift = v - F.lit(st["lo"])
+    t = f(shift) / f(F.lit(st["hi"] - st["lo"])) if st["hi"] > st["lo"] else F.when(v.isNotNull(), F.lit(0.0))
     out = r.withColumn("t", t)
-    return out.withColumn("bin", F.least(F.floor(F.col("t") * F.lit(n_colors)).cast("int"), F.lit(n_colors - 1)))
+    place = F.floor(PALETTE[palette](F.col("t")) * F.lit(float(n_colors))).cast("int")
+    return out.withColumn("bin", F.when(F.col("t").isNotNull(), F.least(place, F.lit(n_colors - 1))))

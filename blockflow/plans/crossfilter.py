@@ -14,10 +14,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import geo
 from ..operators import filters, raster as R, topk
+from ..session import checkpoint_dir
 from ..schemas import CANVAS_H, CANVAS_W, RACE_NAMES, TOP_N
 
 
@@ -104,11 +105,12 @@ def crossfilter_all(points: DataFrame, view: str = "total", box=None, selections
 
     Rows outside the viewport still count for the bars and the total (Q13):
     their cell is null and the null cell group is dropped afterwards.
-    Columns: grp, county, race, px, py, cnt, mean_race, mean_net.
+    Columns: grp, county, race, px, py, cnt (non-null ``net``), n_rows,
+    mean_race, mean_net.  A selection without rows has no group, not even the total.
     """
     df = filtered(points, view, box, selections, x, y)
     if viewport is not None:
-        x0, x1, y0, y1 = viewport
+        (x0, x1), (y0, y1) = R.widened(*viewport[:2]), R.widened(*viewport[2:])
         inside = F.col(x).between(F.lit(float(x0)), F.lit(float(x1))) & \
             F.col(y).between(F.lit(float(y0)), F.lit(float(y1)))
         df = df.withColumns({"px": F.when(inside, R.cell_index(x, x0, x1, width)),
@@ -118,6 +120,7 @@ def crossfilter_all(points: DataFrame, view: str = "total", box=None, selections
     g = df.groupingSets([["county"], ["race"], ["px", "py"], []], "county", "race", "px", "py").agg(
         F.grouping_id().alias("gid"),
         F.count("net").alias("cnt"),
+        F.count(F.lit(1)).alias("n_rows"),
         F.avg(F.col("race").cast("double")).alias("mean_race"),
         F.avg(F.col("net").cast("double")).alias("mean_net"))
     # grouping_id bits (county, race, px, py): 1 = aggregated away.
@@ -127,22 +130,57 @@ def crossfilter_all(points: DataFrame, view: str = "total", box=None, selections
     keep = (F.col("grp") != "cell") | F.col("px").isNotNull()
     if view == "out":
         keep = keep & (F.col("grp") != "race")
-    return out.where(keep).select("grp", "county", "race", "px", "py", "cnt", "mean_race", "mean_net")
+    return out.where(keep).select("grp", "county", "race", "px", "py", "cnt", "n_rows", "mean_race", "mean_net")
+
+
+def ranked(answers: DataFrame, dim_county: DataFrame | None = None, n: int = TOP_N,
+           max_broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The rows of :func:`crossfilter_all` as a dashboard shows them: county
+    bars with ``pos_top`` (1 = largest) and ``pos_bottom`` (1 = smallest), only
+    those within ``n`` of either end, and ``name`` for counties and races.
+
+    The bars are ranked on the aggregated rows, one per county, which the
+    window takes together; the cells of the raster are each by themselves.
+    The county dimension is broadcast only after its rows were counted.
+    """
+    own = Window.partitionBy("grp", "px", "py")
+    is_county = F.col("grp") == "county"
+    out = answers.withColumns({
+        "pos_top": F.when(is_county, F.row_number().over(own.orderBy(F.col("cnt").desc(), F.col("county").asc()))),
+        "pos_bottom": F.when(is_county, F.row_number().over(own.orderBy(F.col("cnt").asc(), F.col("county").desc())))})
+    out = out.where(~is_county | (F.least("pos_top", "pos_bottom") <= n))
+    name = F.when(F.col("grp") == "race", race_names_col("race"))
+    if dim_county is None:
+        return out.withColumn("name", name)
+    dim = dim_county.groupBy(F.col("id").alias("__id")).agg(F.max("name").alias("__name"))
+    dim = F.broadcast(dim) if dim_county.count() <= max_broadcast_rows else dim
+    out = out.join(dim, is_county & (F.col("county") == F.col("__id")), "left")
+    return out.withColumn("name", F.coalesce(name, "__name")).drop("__id", "__name")
 
 
 def crossfilter(points: DataFrame, view: str = "total", box=None, selections=None,
                 viewport=None, dim_county: DataFrame | None = None, width: int = CANVAS_W,
                 height: int = CANVAS_H, x: str = "easting", y: str = "northing") -> dict[str, DataFrame]:
-    """C3 as named results: raster, race, county_top, county_bottom, count."""
-    df = filtered(points, view, box, selections, x, y)
+    """C3 as named results: raster, race, county_top, county_bottom, count.
+
+    All are parts of one :func:`crossfilter_all`, written once to the
+    checkpoint folder (a few rows per county, race and cell), so the points
+    are scanned once for all five.
+    """
+    checkpoint_dir(points.sparkSession)
+    found = ranked(crossfilter_all(points, view, box, selections, viewport, width, height, x, y), dim_county)
+    found = found.checkpoint(eager=True)
+    bars = found.where("grp = 'county'")
+    agg, _ = raster_agg_for_view(view)
+    value = {"count": F.col("cnt"), "mean": F.col("mean_race" if view == "race" else "mean_net")}[agg]
     out = {
-        "race": race_histogram(df, view),
-        "county_top": county_top(df, dim_county),
-        "county_bottom": county_bottom(df, dim_county),
-        "count": row_count(df),
+        "race": found.where("grp = 'race'").select("race", "cnt", "name"),
+        "county_top": bars.where(F.col("pos_top") <= TOP_N).select("county", "cnt", F.col("pos_top").alias("pos"), "name"),
+        "county_bottom": bars.where(F.col("pos_bottom") <= TOP_N).select("county", "cnt", F.col("pos_bottom").alias("pos"), "name"),
+        "count": found.where("grp = 'total'").agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows")),
     }
     if viewport is not None:
-        out["raster"] = view_raster(df, view, viewport, width, height, x, y)
+        out["raster"] = found.where("grp = 'cell'").select("px", "py", value.alias("value"))
     return out
 
 
@@ -162,9 +200,10 @@ class Request:
 
 
 def data_extent(points: DataFrame, x: str = "easting", y: str = "northing") -> tuple:
-    """(x0, x1, y0, y1) of the data - one aggregated row to the driver."""
-    r = points.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
-    return (r[0], r[1], r[2], r[3])
+    """(x0, x1, y0, y1) of the data - one aggregated row to the driver;
+    None where there is no point with both coordinates."""
+    r = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    return None if r[0] is None else (r[0], r[1], r[2], r[3])
 
 
 def answer(points: DataFrame, req: Request, dim_county: DataFrame, extent: tuple | None = None) -> DataFrame:
@@ -175,13 +214,17 @@ def answer(points: DataFrame, req: Request, dim_county: DataFrame, extent: tuple
     * the box corners are projected (P9 on easting / northing);
     * bar labels become ids: race names through the code table, county names
       through a semi join with the county dimension (P11);
-    * the result is :func:`crossfilter_all` (grp, county, race, px, py, cnt,
-      mean_race, mean_net).
+    * the result is :func:`crossfilter_all`, ranked and named
+      (:func:`ranked`): raster cells, top and bottom counties, race bars and
+      the row count.
 
-    ``extent`` (from :func:`data_extent`) can be computed once per dataset.
+    Points that all share a coordinate, or no points at all, are answered like
+    any others: the raster then has one column, or no cell.  ``extent`` (from :func:`data_extent`) can be computed once per dataset.
     """
     ext = extent or data_extent(points)
-    if req.window_lonlat:
+    if ext is None:
+        viewport = None
+    elif req.window_lonlat:
         lon0, lon1, lat0, lat1 = req.window_lonlat
         dlon0, dlat0 = geo.lonlat_of(ext[0], ext[2])
         dlon1, dlat1 = geo.lonlat_of(ext[1], ext[3])
@@ -204,5 +247,6 @@ def answer(points: DataFrame, req: Request, dim_county: DataFrame, extent: tuple
             sel["race"] = [names_to_race[n] for n in labels]
         else:
             df = filters.filter_by_labels(df, "county", dim_county, labels)
-    return crossfilter_all(df, req.view, box=box, selections=sel, viewport=viewport,
-                           width=req.width, height=req.height)
+    found = crossfilter_all(df, req.view, box=box, selections=sel, viewport=viewport,
+                            width=req.width, height=req.height)
+    return ranked(found, dim_county)
