@@ -73,6 +73,13 @@ def crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(F.col("l_partkey").alias("ID10"), F.col("l_suppkey").alias("ID20")).distinct()
 
 
+def crosswalk_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crosswalk rows with repeats and with missing ids on either side."""
+    li = table(spark, sf_dir, "lineitem").where(F.col("l_linenumber") <= 2)
+    return li.select(F.when(F.col("l_partkey") % 11 != 0, F.col("l_partkey")).alias("ID10"),
+                     F.when(F.col("l_suppkey") % 7 != 0, F.col("l_suppkey")).alias("ID20"))
+
+
 def dim_county(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
 
@@ -151,3 +158,31 @@ def block_multipolygon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     parts = F.when(s % 3 != 0, F.array(tri(cx), tri(cx + F.lit(2.5)))).otherwise(F.array(tri(cx)))
     return table(spark, sf_dir, "supplier").select(s.alias("GEOID20"), parts.alias("geometry"))
+
+
+def _box(x0, x1, y0, y1):
+    return geo.ring_of((x0, y0), (x1, y0), (x1, y1), (x0, y1))
+
+
+def mixed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons of very different sizes: poly, geometry (one large box, one thin
+    strip, one small box per supplier)."""
+    s = F.col("s_suppkey")
+    x, y = F.lit(-124.0) + F.lit(0.05) * (s % 1000), F.lit(26.0) + F.lit(0.02) * (s % 997)
+    small = table(spark, sf_dir, "supplier").select((s + 10).alias("poly"), F.array(_box(x, x + F.lit(0.04), y, y + F.lit(0.3))).alias("geometry"))
+    one = spark.range(1)
+    large = one.select(F.lit(0).cast("long").alias("poly"), F.array(_box(F.lit(-124.0), F.lit(-70.0), F.lit(25.0), F.lit(48.0))).alias("geometry"))
+    thin = one.select(F.lit(1).cast("long").alias("poly"), F.array(_box(F.lit(-124.0), F.lit(-68.0), F.lit(33.3), F.lit(33.3) + F.lit(1e-3))).alias("geometry"))
+    return small.unionByName(large).unionByName(thin)
+
+
+def odd_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bow-ties (id = s_suppkey) and squares whose hole is the first ring (id + 1000000)."""
+    s = F.col("s_suppkey")
+    x, y, w = F.lit(-120.0) + F.lit(5.0) * (s % 10), F.lit(26.0) + F.lit(2.0) * (F.floor(s / F.lit(10)) % 10), F.lit(1.0)
+    su = table(spark, sf_dir, "supplier")
+    bow = geo.ring_of((x, y), (x + w, y + w), (x + w, y), (x, y + w))
+    q = F.lit(0.25)
+    hole = _box(x + q, x + w - q, y + q, y + w - q)
+    return su.select(s.alias("id"), F.array(bow).alias("geometry")).unionByName(
+        su.select((s + 1000000).alias("id"), F.array(hole, _box(x, x + w, y, y + w)).alias("geometry")))

@@ -162,12 +162,41 @@ def raster_stats(spark, sf):
     return R.raster_stats(R.raster(_pts(spark, sf), VIEWPORT, W, H, "count", "net"))
 
 
-@query("raster_scaled", P(f"""
-, r as {_raster_sub('true', 'count(net)', SMALL_W, SMALL_H)}
-, s as (select min(ln(1 + cast(value as double))) as lo, max(ln(1 + cast(value as double))) as hi from r)
-, t as (select px, py, value, case when hi - lo > 0 then (ln(1 + cast(value as double)) - lo) / (hi - lo)
+def _shade_sql(raster: str, place: str) -> str:
+    """Values shifted to start at 0, log(1 + .), divided by the largest; bin by palette position."""
+    return P(f"""
+, r as {raster}
+, s as (select min(cast(value as double)) as lo, max(cast(value as double)) as hi from r)
+, t as (select px, py, value, case when hi > lo then ln(1 + (cast(value as double) - lo)) / ln(1 + (hi - lo))
         else cast(0 as double) end as t from r, s)
-select px, py, value, round(t, 6) as t, least(cast(floor(t * 9) as integer), 8) as bin from t"""))
+select px, py, value, round(t, 6) as t, least(cast(floor({place} * 9) as integer), 8) as bin from t""")
+
+
+@query("raster_scaled_net", _shade_sql(_raster_sub('true', 'avg(cast(net as double))', SMALL_W, SMALL_H), "log10(9 * t + 1)"))
+def raster_scaled_net(spark, sf):
+    """A14 on a mean raster with negative cells ("net" view), logarithmic palette."""
+    r = X.view_raster(X.filtered(_pts(spark, sf), "net"), "net", VIEWPORT, SMALL_W, SMALL_H)
+    return R.raster_scaled(r, 9, "log", "log").withColumn("t", F.round("t", 6))
+
+
+@query("raster_zero_width", P(f"""
+, e as (select easting from points order by easting, northing limit 1)
+, m as (select p.net, p.northing from points p join e on p.easting = e.easting)
+, n as (select min(northing) as lo, max(northing) as hi from m)
+, w as (select case when hi > lo then lo else lo - greatest(cast(0.5 as double), abs(lo) * {d(1e-9)}) end as lo,
+        case when hi > lo then hi else hi + greatest(cast(0.5 as double), abs(lo) * {d(1e-9)}) end as hi from n)
+select cast({SMALL_W // 2} as integer) as px,
+  least(cast(floor(((northing - lo) * {d(SMALL_H)}) / (hi - lo)) as integer), {SMALL_H - 1}) as py, count(net) as value
+from m, w group by 1, 2"""))
+def raster_zero_width(spark, sf):
+    """A viewport without width (the points on the smallest easting) still has cells."""
+    pts = _pts(spark, sf)
+    x = pts.agg(F.min("easting")).first()[0]
+    line = pts.where(F.col("easting") == F.lit(x))
+    return R.raster(line, X.data_extent(line), SMALL_W, SMALL_H, "count", "net")
+
+
+@query("raster_scaled", _shade_sql(_raster_sub('true', 'count(net)', SMALL_W, SMALL_H), "t"))
 def raster_scaled(spark, sf):
     """Log shading of the count raster into 9 palette bins."""
     r = R.raster(_pts(spark, sf), VIEWPORT, SMALL_W, SMALL_H, "count", "net")
@@ -175,18 +204,32 @@ def raster_scaled(spark, sf):
     return out.withColumn("t", F.round("t", 6))
 
 
+_M = ("count(net) as cnt, count(*) as n_rows, avg(cast(race as double)) as mean_race, "
+      "avg(cast(net as double)) as mean_net")
+_NI, _NB = "cast(null as integer)", "cast(null as bigint)"
+_SETS = f"""select 'county' as grp, county, {_NI} as race, {_NI} as px, {_NI} as py, {_M} from f group by county
+union all select 'race', {_NB}, race, {_NI}, {_NI}, {_M} from f group by race
+union all select 'cell', {_NB}, {_NI}, px, py, {_M} from f where px is not null group by px, py
+union all select 'total', {_NB}, {_NI}, {_NI}, {_NI}, {_M} from f"""
+_RACE_NAME = "case race " + " ".join(f"when {k} then '{v}'" for k, v in X.RACE_NAMES.items()) + " end"
+
+
+def _ranked_sql(f: str) -> str:
+    """Oracle of ``ranked``: bars within 15 of either end, with names."""
+    return P(f""", {f}, a as ({_SETS}), r as (select *,
+  case when grp = 'county' then cast(row_number() over (partition by grp order by cnt desc, county) as integer) end as pos_top,
+  case when grp = 'county' then cast(row_number() over (partition by grp order by cnt, county desc) as integer) end as pos_bottom from a)
+select r.*, case when grp = 'race' then {_RACE_NAME} else s.s_name end as name
+from r left join supplier s on r.grp = 'county' and s.s_suppkey = r.county
+where n_rows > 0 and (grp <> 'county' or least(pos_top, pos_bottom) <= 15)""")
+
+
 def _gs_sql() -> str:
     x0, x1, y0, y1 = VIEWPORT
     f = (f"f as (select county, race, net, case when {viewport_sql()} then {cell_sql('easting', x0, x1, W)} end as px, "
          f"case when {viewport_sql()} then {cell_sql('northing', y0, y1, H)} end as py "
          f"from points where net in (0, 1) and {box_sql()})")
-    m = "count(net) as cnt, avg(cast(race as double)) as mean_race, avg(cast(net as double)) as mean_net"
-    n_i, n_b = "cast(null as integer)", "cast(null as bigint)"
-    return P(f""", {f}
-select 'county' as grp, county, {n_i} as race, {n_i} as px, {n_i} as py, {m} from f group by county
-union all select 'race', {n_b}, race, {n_i}, {n_i}, {m} from f group by race
-union all select 'cell', {n_b}, {n_i}, px, py, {m} from f where px is not null group by px, py
-union all select 'total', {n_b}, {n_i}, {n_i}, {n_i}, {m} from f""")
+    return P(f", {f} {_SETS}")
 
 
 @query("crossfilter_all", _gs_sql())
@@ -267,10 +310,12 @@ def filter_state(spark, sf):
     return fx.block20(spark, sf).where(F.col("STATE") == 3)
 
 
-@query("filter_nonzero", f"select {_B20} from ({BLOCK20}) b where R207 <> 0")
+@query("filter_nonzero", f"select ID20, R207 - R206 as diff from ({BLOCK20}) b where R207 - R206 <> 0 and ID20 % 3 <> 0")
 def filter_nonzero(spark, sf):
-    """P5: non-zero filter on a race count."""
-    return filters.filter_nonzero(fx.block20(spark, sf), "R207")
+    """P5: non-zero filter on a difference of race counts (0 in every third block)."""
+    b = fx.block20(spark, sf)
+    b = b.select("ID20", F.when(F.col("ID20") % 3 == 0, 0).otherwise(F.col("R207") - F.col("R206")).alias("diff"))
+    return filters.filter_nonzero(b, "diff")
 
 
 @query("filter_id_range", f"select {_B20} from ({BLOCK20}) b where ID20 between 10 and 40")
@@ -365,11 +410,11 @@ def data_bounds(spark, sf):
     return b.select(*[F.round(c, 4).alias(c) for c in b.columns])
 
 
-@query("clamp_viewport", P(f"select greatest({d(-130.0)}, min(lon)) as lon0, least({d(-60.0)}, max(lon)) as lon1, "
-                           f"greatest({d(20.0)}, min(lat)) as lat0, least({d(55.0)}, max(lat)) as lat1 from points"))
+@query("clamp_viewport", P(f"select greatest({d(-100.0)}, min(lon)) as lon0, least({d(-60.0)}, max(lon)) as lon1, "
+                           f"greatest({d(20.0)}, min(lat)) as lat0, least({d(40.0)}, max(lat)) as lat1 from points"))
 def clamp_viewport(spark, sf):
-    """a requested lon/lat window clamped to the data extent."""
-    return A.clamp_viewport(_pts(spark, sf), (-130.0, -60.0, 20.0, 55.0), "lon", "lat")
+    """a lon/lat window clamped to the data extent: two sides inside the data, two beyond."""
+    return A.clamp_viewport(_pts(spark, sf), (-100.0, -60.0, 20.0, 40.0), "lon", "lat")
 
 
 @query("top_n_param", P("""select county, cnt, cast(pos as integer) as pos from (
@@ -429,14 +474,14 @@ def bfill(spark, sf):
     """Backward fill along o_orderkey (values null for status P)."""
     o = fx.table(spark, sf, "orders").select(
         "o_orderkey", F.when(F.col("o_orderstatus") == "P", F.lit(None)).otherwise(F.col("o_custkey")).alias("v"))
-    return windows.bfill(o, "v", "o_orderkey", out="v_filled", range_rows=4096)
+    return windows.bfill(o, "v", "o_orderkey", out="v_filled")
 
 
 @query("row_number_per_block", f"select ID20, ID10, row_number() over (partition by ID20 order by ID10) as rn "
                                f"from ({fx_sql.CROSSWALK}) c")
 def row_number_per_block(spark, sf):
-    """1..n numbering of the crosswalk rows of each 2020 block."""
-    return windows.number_within_group(fx.crosswalk(spark, sf), "ID20", ["ID10"], out="rn")
+    """1..n numbering of the crosswalk rows of each 2020 block (groups over 64 rows through the range sort)."""
+    return windows.number_within_group(fx.crosswalk(spark, sf), "ID20", ["ID10"], out="rn", max_rows=64)
 
 
 @query("window_freq", f"select ID10, ID20, count(*) over (partition by ID10) as freq from ({fx_sql.CROSSWALK}) c")
@@ -560,13 +605,7 @@ def _request_sql() -> str:
          f"case when {inside} then {cell_sql('northing', y0, y1, SMALL_H)} end as py from points "
          f"where net = 1 and race in (1, 2) and county in (select s_suppkey from supplier where s_name in "
          f"({', '.join(repr(x) for x in _REQ_LABELS)})))")
-    m = "count(net) as cnt, avg(cast(race as double)) as mean_race, avg(cast(net as double)) as mean_net"
-    n_i, n_b = "cast(null as integer)", "cast(null as bigint)"
-    return P(f""", {f}
-select 'county' as grp, county, {n_i} as race, {n_i} as px, {n_i} as py, {m} from f group by county
-union all select 'race', {n_b}, race, {n_i}, {n_i}, {m} from f group by race
-union all select 'cell', {n_b}, {n_i}, px, py, {m} from f where px is not null group by px, py
-union all select 'total', {n_b}, {n_i}, {n_i}, {n_i}, {m} from f""")
+    return _ranked_sql(f)
 
 
 # the data extent of the fixture lies inside (-125, -67) x (24, 50): the window is clamped only where it exceeds it
@@ -579,8 +618,67 @@ _REQ_VIEWPORT = (_rx0, _rx1, _ry0, _ry1)
 @query("crossfilter_request", _request_sql())
 def crossfilter_request(spark, sf):
     """End to end, one interaction (view "in", map window, race and county
-    bar labels) answered by a single GROUPING SETS scan."""
+    bar labels) answered by a single GROUPING SETS scan: raster, ranked and
+    named county bars, race bars and the row count."""
     req = X.Request(view="in", window_lonlat=_REQ_WINDOW,
                     labels={"race": ["White", "African American"], "county_top": _REQ_LABELS},
                     width=SMALL_W, height=SMALL_H)
     return X.answer(_pts(spark, sf), req, fx.dim_county(spark, sf))
+
+
+@query("crossfilter_empty", _ranked_sql("f as (select county, race, net, cast(null as integer) as px, cast(null as integer) as py "
+                                       "from points where lon > 1000)"))
+def crossfilter_empty(spark, sf):
+    """A selection without a row, computed from the points: no bars, no cells, no total."""
+    pts = _pts(spark, sf).where(F.col("lon") > 1000)
+    return X.answer(pts, X.Request(view="net", width=SMALL_W, height=SMALL_H), fx.dim_county(spark, sf))
+
+
+@query("crossfilter_bars", _ranked_sql("f as (select county, race, net, cast(null as integer) as px, cast(null as integer) as py "
+                                      "from points where net in (0, 1))"))
+def crossfilter_bars(spark, sf):
+    """Top and bottom 15 of all counties, named, from the one scan."""
+    return X.ranked(X.crossfilter_all(_pts(spark, sf), "total"), fx.dim_county(spark, sf))
+
+
+@query("nth_row_deep", "select o_orderkey, o_custkey from orders order by o_orderkey limit 1 offset 12345"
+       .replace("12345", "(select count(*) * 4 // 5 from orders)"))
+def nth_row_deep(spark, sf):
+    """A row four fifths down a defined order, found through the range sort."""
+    o = fx.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return topk.nth_row(o, o.count() * 4 // 5, "o_orderkey", near=0)
+
+
+_ODD_CW = """select case when l_partkey % 11 = 0 then null else l_partkey end as ID10,
+  case when l_suppkey % 7 = 0 then null else l_suppkey end as ID20 from lineitem where l_linenumber <= 2"""
+
+
+@query("row_number_null_key", f"select ID10, rn, count(*) as n from (select ID10, row_number() over (partition by ID10 "
+                              f"order by ID20 nulls first) as rn from ({_ODD_CW}) c) t group by ID10, rn")
+def row_number_null_key(spark, sf):
+    """Rows with a null group key are numbered as a group of their own, large groups included."""
+    out = windows.number_within_group(fx.crosswalk_with_nulls(spark, sf), "ID10", ["ID20"], out="rn", max_rows=64)
+    return out.groupBy("ID10", "rn").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("window_freq_null_key", f"select ID10, ID20, count(*) over (partition by ID10) as freq from ({_ODD_CW}) c")
+def window_freq_null_key(spark, sf):
+    """Frequency of the null key too."""
+    return windows.window_freq(fx.crosswalk_with_nulls(spark, sf), "ID10")
+
+
+@query("bfill_sparse", """select k, v, first(v ignore nulls) over (order by k rows between current row and unbounded following) as v_filled
+  from (select (o_orderkey * 7919 + 3) * 1000003 as k, case when o_orderkey % 5 <> 0 then null else o_custkey end as v from orders) o""")
+def bfill_sparse(spark, sf):
+    """Backward fill along sparse 15-digit keys, most values missing."""
+    o = fx.table(spark, sf, "orders").select(
+        ((F.col("o_orderkey") * 7919 + 3) * 1000003).alias("k"),
+        F.when(F.col("o_orderkey") % 5 == 0, F.col("o_custkey")).alias("v"))
+    return windows.bfill(o, "v", "k", out="v_filled")
+
+
+@query("filter_isin_many", P(f"select {_ROW} from points where county % 3 = 0"))
+def filter_isin_many(spark, sf):
+    """P10: membership in a table of ids (semi join)."""
+    ids_df = fx.dim_county(spark, sf).where(F.col("id") % 3 == 0).select("id")
+    return filters.filter_isin(_pts(spark, sf), "county", ids_df).select(*_ROW.split(", "))

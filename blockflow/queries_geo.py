@@ -120,9 +120,38 @@ def polygon_to_mercator(spark, sf):
 
 
 @query("blocks_with_geometry", f"""with g as (select l_suppkey as ID20, count(*) as points from lineitem group by l_suppkey)
-select g.ID20, g.points from g join ({S.BLOCK_TRIANGLES}) t on t.GEOID20 = g.ID20""")
+select g.ID20, g.points from g join ({S.BLOCK_TRIANGLES}) t on t.GEOID20 = g.ID20
+where g.ID20 % 5 <> 0 and g.ID20 % 7 <> 0""")
 def blocks_with_geometry(spark, sf):
-    """Blocks that have a polygon (inner join, null geometry skipped)."""
+    """Blocks that have a polygon (some have none, some a null geometry)."""
     g = fx.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("ID20")).agg(F.count(F.lit(1)).alias("points"))
-    p = fx.block_polygon(spark, sf).where(F.col("geometry").isNotNull())
+    p = fx.block_polygon(spark, sf).where(F.col("GEOID20") % 5 != 0)
+    p = p.withColumn("geometry", F.when(F.col("GEOID20") % 7 != 0, F.col("geometry"))).where(F.col("geometry").isNotNull())
     return g.join(p, g.ID20 == p.GEOID20).select("ID20", "points")
+
+
+_MIXED = f"""select cast(0 as bigint) as pid, {S.d(-124)} as x0, {S.d(-70)} as x1, {S.d(25)} as y0, {S.d(48)} as y1
+union all select 1, {S.d(-124)}, {S.d(-68)}, {S.d(33.3)}, {S.d(33.3)} + {S.d(1e-3)}
+union all select s_suppkey + 10, {S.d(-124)} + {S.d(0.05)} * (s_suppkey % 1000), {S.d(-124)} + {S.d(0.05)} * (s_suppkey % 1000) + {S.d(0.04)},
+  {S.d(26)} + {S.d(0.02)} * (s_suppkey % 997), {S.d(26)} + {S.d(0.02)} * (s_suppkey % 997) + {S.d(0.3)} from supplier"""
+
+
+@query("spatial_join_mixed_sizes", f"""with {PTS_ID}, boxes as ({_MIXED})
+select p.county, p.lon, p.lat, b.pid as poly from pts p join boxes b
+  on p.lon >= b.x0 and p.lon < b.x1 and p.lat >= b.y0 and p.lat < b.y1""")
+def spatial_join_mixed_sizes(spark, sf):
+    """One large, one very thin and many small polygons in one join, each on the grid level of its own size."""
+    pts = fx.points(spark, sf).select("county", "lon", "lat")
+    return spatial.spatial_join(pts, fx.mixed_boxes(spark, sf), "poly", "lon", "lat")
+
+
+@query("points_in_polygon_odd_rings", f"""select s_suppkey as id, n.k, true as inside from supplier s,
+  generate_series(1, 20) n(k) union all select s_suppkey + 1000000, n.k, true from supplier s, generate_series(1, 20) n(k)""")
+def points_in_polygon_odd_rings(spark, sf):
+    """Bow-ties (rings crossing themselves) and polygons whose hole comes
+    first; every individual lies inside by the even-odd rule."""
+    polys = fx.odd_polygons(spark, sf)
+    p = spatial.sampling_params(polys).withColumn("n", F.lit(20))
+    e = spatial.individuals_in_polygon(p, "n", key="id")
+    j = e.join(polys, "id")
+    return j.select("id", "k", geo.polygon_contains("geometry", "x", "y").alias("inside"))

@@ -136,8 +136,8 @@ def scan_polygons(spark, sf):
 @query("cached_view", f"select state, count(*) as cnt from ({S.POINTS}) p where net = 1 group by state")
 def cached_view(spark, sf):
     """A published (cached, named) dataset answering SQL."""
-    files.publish(fx.points(spark, sf).select(*_PROW.split(", ")), "bf_points")
-    return spark.sql("select state, count(*) as cnt from bf_points where net = 1 group by state")
+    name = files.publish(fx.points(spark, sf).select(*_PROW.split(", ")))
+    return spark.sql(f"select state, count(*) as cnt from {name} where net = 1 group by state")
 
 
 @query("sink_csv_roundtrip", f"select ID20, STATE, P20 from ({S.BLOCK20}) b")
@@ -162,14 +162,45 @@ def sink_by_state(spark, sf):
     return spark.read.parquet(_points_by_state(spark, sf)).select(*_PROW.split(", "))
 
 
-@query("sink_incremental", f"select {_PROW} from ({S.POINTS}) p")
+_TEXT_STATE = "case when state % 5 = 0 then null else lpad(cast(state as varchar), 2, '0') end"
+
+
+def _text_state():
+    return F.when(F.col("state") % 5 != 0, F.lpad(F.col("state").cast("string"), 2, "0"))
+
+
+@query("sink_incremental", f"select county, {_TEXT_STATE} as state, net, race, lon, lat from ({S.POINTS}) p")
 def sink_incremental(spark, sf):
-    """K3: incremental, states already written are skipped and the rest appended."""
+    """K3: incremental, three runs; text states ("01") and a null state are
+    each written once."""
     pts = fx.points(spark, sf).select(*_PROW.split(", "))
+    new = pts.withColumn("state", _text_state())
     path = scratch_path(spark, "k3_incremental")
-    sinks.write_new_states(pts.where(F.col("state") < 12), path)
-    sinks.write_new_states(pts, path)       # only states >= 12 are new
-    return spark.read.parquet(path).select(*_PROW.split(", "))
+    sinks.write_new_states(new.where(pts["state"] < 12), path)
+    sinks.write_new_states(new.where("state >= '12'"), path)
+    sinks.write_new_states(new.where("state is null or state < '20'"), path)
+    return files.read_dataset(spark, path, state_type="string").select(*_PROW.split(", "))
+
+
+@query("list_states_text", f"select distinct {_TEXT_STATE} as name from ({S.POINTS}) p where state % 5 <> 0 union all select 'USA'")
+def list_states_text(spark, sf):
+    """Text state codes are listed as they were written ("01", not "1")."""
+    pts = fx.points(spark, sf).select(*_PROW.split(", ")).withColumn("state", _text_state())
+    p = sinks.write_by_state(pts, scratch_path(spark, "text_states"))
+    return files.list_states(files.read_dataset(spark, p, state_type="string"))
+
+
+@query("split_new_states", f"""with pts as (select row_number() over () as pid, * from ({S.POINTS}) p),
+hits as (select p.pid, e.State_Code from pts p join ({S.NATION_EDGES}) e on true
+  group by p.pid, e.State_Code having sum({S.crossing('p.lon', 'p.lat')}) % 2 = 1)
+select p.county, p.net, p.lon, p.lat, h.State_Code as state from hits h join pts p on p.pid = h.pid""")
+def split_new_states(spark, sf):
+    """Split in two runs; the second joins only the states not yet written."""
+    pts = fx.points(spark, sf).select("county", "net", "lon", "lat")
+    states, path = fx.state_polygon(spark, sf), scratch_path(spark, "split_new")
+    DS.split_new_states(pts, states.where("State_Code < 9"), path)
+    DS.split_new_states(pts, states, path)
+    return spark.read.parquet(path).select("county", "net", "lon", "lat", "state")
 
 
 @query("split_by_state", f"""with pts as (select row_number() over () as pid, * from ({S.POINTS}) p),
@@ -204,13 +235,19 @@ def scan_census_block2020(spark, sf):
 
 
 @query("scan_census_relationship", f"""select distinct {_rel_id_sql('2010', 'ID10')} as ID10,
-  {_rel_id_sql('2020', 'ID20')} as ID20, cast(ID20 % 50 + 1 as integer) as STATE_2020 from ({S.CROSSWALK}) c""")
+  {_rel_id_sql('2020', 'ID20')} as ID20, cast(ID20 % 50 + 1 as integer) as STATE_2020 from ({S.CROSSWALK}) c
+  where ID20 % 50 + 1 <> 7""")
 def scan_census_relationship(spark, sf):
     """S2 / S4 + F3: relationship files in the census layout (pipe-delimited,
-    byte-order mark before the header, extra columns, several files) read in
-    one scan by header name and composed into block ids."""
+    byte-order mark before the header, extra columns), two kinds of files with
+    different column order and one state missing, read by each file's own
+    header and composed into block ids."""
     from .sources import census
-    rel = _relationship_rows(spark, sf).withColumn("AREALAND_2020", F.lit(0))
-    rel = rel.withColumnRenamed("STATE_2010", "\ufeffSTATE_2010")
-    p = sinks.write_csv(rel, scratch_path(spark, "census_relationship"), sep="|")
-    return census.read_relationship(spark, p + "/*.csv").distinct()
+    rel = _relationship_rows(spark, sf).withColumn("AREALAND_2020", F.lit(0)).where("STATE_2020 <> 7")
+    base = scratch_path(spark, "census_relationship")
+    one = rel.where("STATE_2020 <= 25").withColumnRenamed("STATE_2010", "\ufeffSTATE_2010")
+    sinks.write_csv(one, f"{base}/a", sep="|")
+    # the 2020 columns first, another extra column, no byte-order mark
+    two = rel.where("STATE_2020 > 25").select(F.lit("x").alias("NOTE"), *REL_COLS[4:], *reversed(REL_COLS[:4]))
+    sinks.write_csv(two, f"{base}/b", sep="|")
+    return census.read_relationship(spark, base + "/*/*.csv").distinct()

@@ -85,6 +85,20 @@ def apportion_races(spark, sf):
     return ap.select("ID20", *[F.round(f"eq_{m}", 6).alias(f"eq_{m}") for m in MEASURES])
 
 
+@query("apportion_null_ids", f"""with cw as (select case when l_partkey % 11 <> 0 then l_partkey end as ID10,
+    case when l_suppkey % 7 <> 0 then l_suppkey end as ID20 from lineitem where l_linenumber <= 2),
+  b10 as (select * from ({S.BLOCK10}) b where ID10 % 5 <> 0),
+  w as (select c.ID10, max(cast(b.P10 as double)) / count(*) as weight from cw c join b10 b on b.ID10 = c.ID10 group by c.ID10)
+select c.ID20, round(sum(coalesce(w.weight, 0)), 6) as eq_P10 from cw c left join w on w.ID10 = c.ID10
+where c.ID20 is not null group by c.ID20""")
+def apportion_null_ids(spark, sf):
+    """Null ids on both sides, repeated pairs and 2010 ids missing on either
+    side; the frequency counts every row of a 2010 id."""
+    b10 = fx.block10(spark, sf).where(F.col("ID10") % 5 != 0)
+    ap = AP.apportion(fx.crosswalk_with_nulls(spark, sf), b10, ["P10"])
+    return ap.select("ID20", F.round("eq_P10", 6).alias("eq_P10"))
+
+
 @query("migration_table", PREP + "select * from mig")
 def migration_table(spark, sf):
     """block_diff (half-even), block_net, reconciled eq_P10 and points."""
@@ -104,10 +118,13 @@ def hsum_reconcile(spark, sf):
     return r.select("ID20", "P_delta", numeric.hsum(MG.RACE_DIFFS).cast("int").alias("race_sum"))
 
 
-@query("check_reconciled", PREP + f"select count(*) as violations from rmig2 where P_delta <> {' + '.join(_RD)}")
+@query("check_reconciled", PREP + f"""select count(*) as violations from (
+  select *, case when ID20 % 4 = 0 then R3_diff + 1 else R3_diff end as bad3 from rmig2) r
+  where P_delta <> {' + '.join('bad3' if c == 'R3_diff' else c for c in _RD)}""")
 def check_reconciled(spark, sf):
-    """Rows breaking Sum(Rk_diff) = P_delta (must be 0)."""
-    return A.row_count(MG.reconcile_violations(_rmig(spark, sf))).withColumnRenamed("n_rows", "violations")
+    """Rows breaking Sum(Rk_diff) = P_delta, with one injected in every fourth block."""
+    r = _rmig(spark, sf).withColumn("R3_diff", F.col("R3_diff") + F.when(F.col("ID20") % 4 == 0, 1).otherwise(0))
+    return A.row_count(MG.reconcile_violations(r)).withColumnRenamed("n_rows", "violations")
 
 
 @query("hsum_abs_points", PREP + "select ID20, points from rmig2")
@@ -128,16 +145,27 @@ def calc_points(spark, sf):
     return _mig(spark, sf).select("ID20", "block_net", "points")
 
 
-@query("generation_table", PREP + "select ID20, STATE, points from mig where points <> 0")
+_EMPTIED = "case when ID20 % 3 = 0 then 0 else {c} end as {c}"
+
+
+def _with_empty_blocks(df, *cols):
+    """Every third block emptied: rows that the filters must drop."""
+    return df.withColumns({c: F.when(F.col("ID20") % 3 == 0, 0).otherwise(F.col(c)) for c in cols})
+
+
+@query("generation_table", PREP + f"select * from (select ID20, STATE, {_EMPTIED.format(c='points')} from mig) m where points <> 0")
 def generation_table(spark, sf):
-    """P5: blocks that get points."""
-    return MG.generation_table(_mig(spark, sf))
+    """P5: blocks that get points; blocks without any are dropped."""
+    return MG.generation_table(_with_empty_blocks(_mig(spark, sf), "points"))
 
 
-@query("filter_or", PREP + "select ID20, P20, eq_P10 from mig where P20 <> 0 or eq_P10 <> 0")
+@query("filter_or", PREP + """select * from (select ID20, case when ID20 % 3 = 0 then 0 else P20 end as P20,
+  case when ID20 % 2 = 0 then 0 else eq_P10 end as eq_P10 from mig) m where P20 <> 0 or eq_P10 <> 0""")
 def filter_or(spark, sf):
-    """P20 != 0 or P10 != 0."""
-    return filters.filter_any_nonzero(_mig(spark, sf), "P20", "eq_P10").select("ID20", "P20", "eq_P10")
+    """P20 != 0 or P10 != 0 (zeros on either side, and on both)."""
+    m = _mig(spark, sf).select("ID20", F.when(F.col("ID20") % 3 == 0, 0).otherwise(F.col("P20")).alias("P20"),
+                               F.when(F.col("ID20") % 2 == 0, 0).otherwise(F.col("eq_P10")).alias("eq_P10"))
+    return filters.filter_any_nonzero(m, "P20", "eq_P10")
 
 
 @query("block_diff_histogram", PREP + f"""select cast(floor((cast(block_diff as double) - {d(0.0)}) / {d(10.0)}) as bigint) as bin,
@@ -157,35 +185,36 @@ def join_inner(spark, sf):
 
 
 @query("join_inner_named_keys", PREP + f"""select t.GEOID20, m.ID20, m.points from ({S.BLOCK_TRIANGLES}) t
-  join mig m on t.GEOID20 = m.ID20 where m.points <> 0""")
+  join mig m on t.GEOID20 = m.ID20 where m.points <> 0 and t.GEOID20 % 4 <> 0""")
 def join_inner_named_keys(spark, sf):
-    """GEOID20 = ID20."""
-    p = fx.block_polygon(spark, sf).select("GEOID20")
+    """GEOID20 = ID20 (a quarter of the blocks has no polygon)."""
+    p = fx.block_polygon(spark, sf).select("GEOID20").where(F.col("GEOID20") % 4 != 0)
     g = MG.generation_table(_mig(spark, sf))
     return p.join(g, p.GEOID20 == g.ID20).select("GEOID20", "ID20", "points")
 
 
-@query("join_right", PREP + "select b.ID10, f.freq, b.P10 from freq f right join b10 b on f.ID10 = b.ID10")
+@query("join_right", PREP + "select b.ID10, f.freq, b.P10 from (select * from freq where ID10 % 3 <> 0) f "
+                           "right join b10 b on f.ID10 = b.ID10")
 def join_right(spark, sf):
-    """Frequencies right-joined to the 2010 populations."""
-    cw = fx.crosswalk(spark, sf)
+    """Frequencies right-joined to the 2010 populations (a third has no crosswalk row)."""
+    cw = fx.crosswalk(spark, sf).where(F.col("ID10") % 3 != 0)
     f = cw.groupBy("ID10").agg(F.count(F.lit(1)).alias("freq"))
     return f.join(fx.block10(spark, sf).select("ID10", "P10"), "ID10", "right")
 
 
-@query("join_left", PREP + "select c.ID10, c.ID20, round(w.P10, 6) as weight from cw c left join w on c.ID10 = w.ID10")
+@query("join_left", PREP + "select c.ID10, c.ID20, round(w.P10, 6) as weight from cw c left join w on c.ID10 = w.ID10 and w.ID10 % 3 <> 0")
 def join_left(spark, sf):
-    """Crosswalk left-joined to the per-2010-block weights."""
+    """Crosswalk left-joined to the per-2010-block weights (a third is missing)."""
     cw = fx.crosswalk(spark, sf)
     f = cw.groupBy("ID10").agg(F.count(F.lit(1)).alias("freq"))
-    w = fx.block10(spark, sf).join(f, "ID10").select("ID10", (F.col("P10") / F.col("freq")).alias("weight"))
+    w = fx.block10(spark, sf).where(F.col("ID10") % 3 != 0).join(f, "ID10").select("ID10", (F.col("P10") / F.col("freq")).alias("weight"))
     return cw.join(w, "ID10", "left").select("ID10", "ID20", F.round("weight", 6).alias("weight"))
 
 
-@query("join_semi", f"select * from ({S.BLOCK20}) b where ID20 in (select ID20 from ({S.CROSSWALK}) c where ID10 < 100)")
+@query("join_semi", f"select * from ({S.BLOCK20}) b where ID20 in (select ID20 from ({S.CROSSWALK}) c where ID10 % 97 = 5)")
 def join_semi(spark, sf):
     """Key existence (left semi join)."""
-    cw = fx.crosswalk(spark, sf).where(F.col("ID10") < 100)
+    cw = fx.crosswalk(spark, sf).where(F.col("ID10") % 97 == 5)
     return fx.block20(spark, sf).join(cw, "ID20", "left_semi")
 
 
@@ -335,16 +364,15 @@ def shuffle_within_block(spark, sf):
   from mig m join b20 b on m.ID20 = b.ID20, generate_series(1, case when m.block_net < 0 then m.eq_P10 else m.P20 end) t(k)
   where m.P20 <> 0 or m.eq_P10 <> 0""")
 def zip_by_ordinal(spark, sf):
-    """Two per-block lists (net labels, races) paired by the key (ID20, k)."""
+    """Two per-block lists (net labels, races) paired by the ordinal k."""
     m = _mig(spark, sf).where((F.col("P20") != 0) | (F.col("eq_P10") != 0))
     m = m.withColumn("__rows", expand.rows_per_block("P20", "eq_P10", "block_net"))
-    nets = expand.explode_individuals(m, "__rows").select(
-        "ID20", "k", expand.net_label("k", "P20", "eq_P10", "block_net").alias("net"))
-    b, cum = expand.cumulative_columns(fx.block20(spark, sf), _R20)
-    b = b.join(m.select("ID20", "__rows"), "ID20")
-    races = expand.explode_individuals(b, "__rows").select(
-        "ID20", "k", expand.label_by_cumulative("k", cum, list(RK), 0).alias("race"))
-    return nets.join(races, ["ID20", "k"])
+    # the blocks are joined by their key before the expansion; afterwards both
+    # labels are functions of the same ordinal, and no individual is shuffled
+    b, cum = expand.cumulative_columns(fx.block20(spark, sf).select("ID20", *_R20), _R20)
+    e = expand.explode_individuals(m.join(b, "ID20"), "__rows")
+    return e.select("ID20", "k", expand.net_label("k", "P20", "eq_P10", "block_net").alias("net"),
+                    expand.label_by_cumulative("k", cum, list(RK), 0).alias("race"))
 
 
 # --- point datasets C5, C6, C8 -------------------------------------------------
@@ -418,8 +446,7 @@ def points_in_polygon(spark, sf):
     from .operators import spatial
     g = MG.generation_table(_mig(spark, sf))
     p = spatial.sampling_params(fx.block_polygon(spark, sf).withColumnRenamed("GEOID20", "ID20"))
-    e = expand.explode_individuals(g.join(p, "ID20"), "points")
-    return spatial.points_in_polygon(e).select("ID20", "k", "x", "y")
+    return spatial.individuals_in_polygon(g.join(p, "ID20"), "points").select("ID20", "k", "x", "y")
 
 
 @query("boxed_population", PREP + f"""select m.ID20, t.k,

@@ -131,7 +131,7 @@ def test_spatial_join_overlap_and_multipart(spark):
         [(n, [[[{"x": float(x), "y": float(y)} for x, y in r] for r in part] for part in parts]) for n, parts in recs],
         "state string, geometry array<array<array<struct<x:double,y:double>>>>")
     pts = spark.createDataFrame([(1.5, 1.0), (0.5, 0.5), (2.5, 1.0), (10.5, 10.5), (20.5, 20.5), (5.0, 5.0)], "x double, y double")
-    j = spatial.spatial_join(pts, mp, "state", "x", "y", depth=3, cell=0.7)
+    j = spatial.spatial_join(pts, mp, "state", "x", "y", depth=3, per_side=4)
     got = sorted((r.x, r.y, r.state) for r in j.collect())
     assert got == [(0.5, 0.5, "A"), (1.5, 1.0, "A"), (1.5, 1.0, "B"), (2.5, 1.0, "B"),
                    (10.5, 10.5, "C"), (20.5, 20.5, "C")]
@@ -167,8 +167,8 @@ def test_ids(spark):
 def test_bfill_start_middle_end(spark):
     vals = [None, None, 3, None, 5, None, None, 8, None, None]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "k long, v long")
-    for rr in (2, 3, 1 << 20):
-        got = [r.f for r in windows.bfill(df, "v", "k", out="f", range_rows=rr).orderBy("k").collect()]
+    for rr in (1, 2, 7):
+        got = [r.f for r in windows.bfill(df.repartition(rr), "v", "k", out="f").orderBy("k").collect()]
         assert got == [3, 3, 3, 5, 5, 8, 8, 8, None, None], rr
 
 

@@ -54,12 +54,14 @@ def test_grouping_sets_equal_separate(spark):
     assert allq.where("grp = 'total'").first().cnt == sep["count"].first().n_rows
 
 
-def test_number_within_group_salted_is_bijection(spark):
-    df = spark.range(0, 5000).select((F.col("id") % 3).alias("g"), F.col("id").alias("v"))
-    out = windows.number_within_group(df, "g", ["v"], out="rn", max_rows=100)
-    for g, n in ((0, 1667), (1, 1667), (2, 1666)):
-        got = sorted(r.rn for r in out.where(F.col("g") == g).select("rn").collect())
-        assert got == list(range(1, n + 1))
+def test_number_within_group_equals_row_number(spark):
+    from pyspark.sql import Window
+    df = spark.range(0, 3000).select(F.when(F.col("id") % 3 != 2, F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 3001).alias("v"))
+    w = Window.partitionBy("g").orderBy("v")
+    want = sorted((r.g is None, r.g or 0, r.v, r.rn) for r in df.withColumn("rn", F.row_number().over(w)).collect())
+    for most in (1, 100, 1 << 20):
+        out = windows.number_within_group(df, "g", ["v"], out="rn", max_rows=most)
+        assert sorted((r.g is None, r.g or 0, r.v, r.rn) for r in out.collect()) == want, most
 
 
 def test_affine_permutation_is_bijection(spark):
