@@ -38,7 +38,19 @@ def arrow_rows(fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None])
     return run
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+#: Rows of an Arrow batch between Spark and Python: texts average kilobytes,
+#: so Spark's default of 10,000 rows would be tens of megabytes a batch.
+BATCH_ROWS = 500
+
+
+def map_text(df: DataFrame, fn, schema) -> DataFrame:
+    """``mapInArrow`` for rows with texts, in batches of ``BATCH_ROWS`` (a
+    setting of the session, read when the plan runs)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(fn, schema)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the text of ``column`` in one piece stays near
     ``most_bytes`` (a single longer text is a piece of its own)."""
     for b in batches:

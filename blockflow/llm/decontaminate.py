@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import sliced, table
+from .common import map_text, sliced, table
 
 Q, WINDOW, EDITS, BLOCK_CHARS = 8, 96, 0.1, 2_000_000
 _BLANK = 32
@@ -144,16 +144,20 @@ class Index:
             places.append(at)
             n += len(c) + 1
         code, start = np.concatenate(parts), np.array(starts)
-        for lo in range(0, max(0, len(code) - Q + 1), 1 << 22):
-            yield from self._part(texts, code, start, places, lo, min(len(code), lo + (1 << 22) + Q - 1))
+        for lo in range(0, max(0, len(code) - Q + 1), 1 << 20):
+            yield from self._part(texts, code, start, places, lo, min(len(code), lo + (1 << 20) + Q - 1))
 
     def _hits(self, code, lo, hi):
-        g = grams(code[lo:hi])
-        pos = np.flatnonzero(self.seen[self._slot(g)])
-        g = g[pos]
-        at = np.minimum(np.searchsorted(self.key, g), len(self.key) - 1)
-        ok = self.key[at] == g
-        return pos[ok] + lo, at[ok]
+        """(position, number of the q-gram) of every q-gram of code[lo:hi] that some item has."""
+        found = []
+        for a in range(lo, max(lo + 1, hi - Q + 1), 1 << 18):
+            g = grams(code[a:min(hi, a + (1 << 18) + Q - 1)])
+            pos = np.flatnonzero(self.seen[self._slot(g)])
+            g = g[pos]
+            at = np.minimum(np.searchsorted(self.key, g), len(self.key) - 1)
+            ok = self.key[at] == g
+            found.append((pos[ok] + a, at[ok]))
+        return tuple(np.concatenate(x) for x in zip(*found))
 
     def _part(self, texts, code, start, places, lo, hi):
         # hits of the texts beginning in [lo, hi) are looked at together with those of texts reaching over the edges
@@ -267,7 +271,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
         def run(batches, shared=shared):
             index = shared.value
-            for b in sliced(batches, text_col, 4 << 20):
+            for b in sliced(batches, text_col, 1 << 20):
                 best: dict = {}
                 for d, t, dist, x, y in index.regions(b.column(text_col).to_pylist()):
                     best.setdefault((d, t), {})[(x, y)] = dist
@@ -276,7 +280,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                     rows = [(ids[d].as_py(), index.ids[t], len(r), min(r.values()), min(x for x, _ in r), max(y for _, y in r))
                             for (d, t), r in sorted(best.items())]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*rows), kinds)], names=names)
-        found = docs.select(id_col, text_col).mapInArrow(run, schema)
+        found = map_text(docs.select(id_col, text_col), run, schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], schema)
 
@@ -289,10 +293,10 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
         shared = docs.sparkSession.sparkContext.broadcast(Index(items, window, edits))
 
         def run(batches, shared=shared):
-            for b in sliced(batches, text_col, 4 << 20):
+            for b in sliced(batches, text_col, 1 << 20):
                 bad = {d for d, *_ in shared.value.regions(b.column(text_col).to_pylist())}
                 yield b.filter(pa.array([i not in bad for i in range(b.num_rows)])) if bad else b
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_text(docs, run, docs.schema)
     return docs
 
 

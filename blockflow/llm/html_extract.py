@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sliced, table
+from .common import map_text, sliced, table
 
 THRESHOLD, COVER, SMOOTH = 0.2, 0.8, 2.0
 
@@ -284,7 +284,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", c
             texts = [main_text(h) for h in b.column(html_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(id_col), *[b.column(c) for c in carry], pa.array(texts, pa.string()),
                                               pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
-    return d.mapInArrow(run, schema)
+    return map_text(d, run, schema)
 
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

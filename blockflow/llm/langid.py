@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_bucket, sliced, table
+from .common import id_bucket, map_text, sliced, table
 
 FEATURES, SAMPLE, EPOCHS = 1 << 15, 4000, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.02
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, features).astype(np.int32)), pa.array(np.append(df[some], n))], names=["i", "n"])
 
-    seen = docs.select(text_col).mapInArrow(frequencies, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
+    seen = map_text(docs.select(text_col), frequencies, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(features + 1)
     for r in seen:                                       # features + 1 numbers at most
         df[r["i"]] = r["n"]
@@ -185,7 +185,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
 
     chosen = docs.join(F.broadcast(pick), [id_col, label_col], "left_semi").select(
         text_col, label_col, F.xxhash64(F.col(id_col)).alias("mark"))
-    got = chosen.mapInArrow(sparse, "label string, mark long, at binary, n binary").limit(sample).collect()
+    got = map_text(chosen, sparse, "label string, mark long, at binary, n binary").limit(sample).collect()
     got.sort(key=lambda r: (r["mark"], r["label"], r["at"]))
     languages = tuple(sorted({r["label"] for r in got}))
     model = LanguageModel(languages, idf, np.zeros((features + 1, len(languages))))
@@ -214,7 +214,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
             out = [shared.value.predict(t) for t in b.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array([x for x, _ in out], pa.string()),
                                               pa.array([s for _, s in out], pa.float64())], names=schema.names)
-    return d.mapInArrow(run, schema)
+    return map_text(d, run, schema)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

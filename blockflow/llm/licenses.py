@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sliced, table
+from .common import map_text, sliced, table
 
 REPLACE = 12
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -259,7 +259,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             rows = [one(t) for t in b.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(id_col), *[pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds)]], names=schema.names)
-    return d.mapInArrow(run, schema)
+    return map_text(d, run, schema)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

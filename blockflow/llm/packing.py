@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, sliced, table
+from .common import free_name, map_text, sliced, table
 
 BUCKETS, DIMS, BITS, LENGTH, END = 4096, 4, 15, 1024, 0
 _SEED = 20240601
@@ -138,7 +138,7 @@ def along_curve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([pa.array(hilbert_key(cells_of(v))), b.column(id_col), b.column(text_col)],
                                              names=schema.names)
     order = [key, id_col, text_col]
-    return d.mapInArrow(run, schema).repartitionByRange(*order).sortWithinPartitions(*order)
+    return map_text(d, run, schema).repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end: int = END,
@@ -166,7 +166,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
                     s, at = s + n, at + n
             yield pa.RecordBatch.from_arrays([b.column(id_col).take(pa.array(owner, pa.int64())), *[pa.array(c, pa.int64()) for c in cols],
                                               pa.array(ids, pa.binary())], names=schema.names)
-    return rows.mapInArrow(run, schema)
+    return map_text(rows, run, schema)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, id_bucket, sliced, table, written
+from .common import arrow_rows, id_bucket, map_text, sliced, table, written
 
 STATS = ("words", "word bytes", "upper case", "digits", "sentence marks", "symbols", "exclamations", "bars",
          "line ends", "repeats of the word before", "words seen before", "longest word")
@@ -99,7 +99,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(list(_matrix(b, text_col)),
                                                                          pa.list_(pa.float64()))],
                                              names=[id_col, "stats"])
-    return d.mapInArrow(run, schema)
+    return map_text(d, run, schema)
 
 
 @dataclass(frozen=True)
@@ -186,7 +186,7 @@ def keep_good(docs: DataFrame, model: Discriminant, text_col: str = "text", thre
     def run(batches):
         for b in sliced(batches, text_col):
             yield b.filter(pa.array(model.score(_matrix(b, text_col)) >= threshold))
-    return docs.mapInArrow(run, docs.schema)
+    return map_text(docs, run, docs.schema)
 
 
 def training_labels(labels: DataFrame) -> DataFrame:

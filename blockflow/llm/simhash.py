@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, hot_keys, join_by_hot, sliced, table, written
+from .common import free_name, hot_keys, join_by_hot, map_text, sliced, table, written
 from .components import connected_components
 
 SHINGLE, DISTANCE, BLOCKS, TILE = 4, 4, 6, 4096
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = b.column(text_col).to_pylist()
             fp = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(fp)], names=[id_col, "fp"])
-    return d.mapInArrow(run, d.select(id_col, F.lit(0).cast("long").alias("fp")).schema)
+    return map_text(d, run, d.select(id_col, F.lit(0).cast("long").alias("fp")).schema)
 
 
 def block_masks(distance: int = DISTANCE, blocks: int = BLOCKS) -> list[int]:
@@ -265,7 +265,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     lead = marks.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col, "root").distinct()
     lead = written(lead.join(rows, id_col, "left"), "leaders")                     # no rows for a null id
     alone = lead.where("rows = 1").select(id_col)
-    first = docs.join(alone, id_col, "left_semi").select(docs.columns)
+    first = docs.join(alone.hint("shuffle_hash"), id_col, "left_semi").select(docs.columns)
     ties = lead.where("rows > 1 or rows is null")
     if ties.isEmpty():
         return first
@@ -280,7 +280,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         for b in sliced(batches, text_col):
             v = np.array([fingerprint(t, shingle) for t in b.column(text_col).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(pick), b.column(id_col), pa.array(v)], names=[pick, id_col, fp])
-    keyed = keyed.mapInArrow(run, keyed.select(pick, id_col, F.lit(0).cast("long").alias(fp)).schema)
+    keyed = map_text(keyed, run, keyed.select(pick, id_col, F.lit(0).cast("long").alias(fp)).schema)
     roots = marks.select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias("component_id")).distinct()
     keyed = keyed.join(roots, fp).join(tied, root, "left_semi")
     keyed = keyed.where(F.col(id_col).eqNullSafe(F.col("component_id")))
