@@ -172,11 +172,6 @@ def ring_of(*xy: tuple[Column, Column]) -> Column:
     return F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in pts])
 
 
-def point(x, y) -> Column:
-    """F16: pack two coordinate columns into a point struct."""
-    return F.struct(_c(x).alias("x"), _c(y).alias("y"))
-
-
 # --- precomputed edge lists (fast repeated point-in-polygon tests) ---------------
 #
 # For many tests against the same polygon, its non-horizontal edges are listed

@@ -16,8 +16,6 @@ RACE_NAMES = {
     6: "Other Race alone",
     7: "Two or More",
 }
-# Migration label: 1 = in, 0 = stationary, -1 = out.
-NET_NAMES = {1: "in", 0: "stationary", -1: "out"}
 # State FIPS code -> postal abbreviation (50 states, DC and PR).
 STATE_ABBR = {
     1: "AL", 2: "AK", 4: "AZ", 5: "AR", 6: "CA", 8: "CO", 9: "CT", 10: "DE", 11: "DC", 12: "FL",
@@ -35,8 +33,6 @@ CANVAS_W, CANVAS_H = 3840, 2160
 TOP_N = 15
 # ---------------------------------------------------------------------------
 
-RACE_COLS = [f"R{k}" for k in range(1, 8)]
-
 XY = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 RING = T.ArrayType(XY)
 POLYGON = T.ArrayType(RING)            # rings: first outer, rest holes (even-odd)
@@ -57,17 +53,3 @@ BLOCK2020_CSV = T.StructType([
     T.StructField("U7B001", T.IntegerType()),
     *[T.StructField(f"U7B00{k}", T.IntegerType()) for k in range(3, 10)],
 ])
-
-RELATIONSHIP_CSV = T.StructType([
-    T.StructField(c, T.IntegerType()) for c in (
-        "STATE_2010", "COUNTY_2010", "TRACT_2010", "BLK_2010",
-        "STATE_2020", "COUNTY_2020", "TRACT_2020", "BLK_2020")
-])
-
-MAPPED_BLOCKS = T.StructType([
-    T.StructField("ID20", T.LongType()),
-    T.StructField("STATE", T.IntegerType()),
-    T.StructField("COUNTY", T.StringType()),
-    T.StructField("P20", T.IntegerType()),
-    T.StructField("eq_P10", T.DoubleType()),
-])

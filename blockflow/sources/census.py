@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import ids
 from ..schemas import BLOCK2010_CSV, BLOCK2020_CSV
-from .files import read_csv, read_csv_files
+from .files import read_csv
 
 BOM = "﻿"
 REL_KEYS = ["STATE_2010", "COUNTY_2010", "TRACT_2010", "BLK_2010",
@@ -79,8 +79,3 @@ def read_relationship(spark: SparkSession, pattern: str) -> DataFrame:
         ids.compose_block_id("STATE_2010", "COUNTY_2010", "TRACT_2010", "BLK_2010").alias("ID10"),
         ids.compose_block_id("STATE_2020", "COUNTY_2020", "TRACT_2020", "BLK_2020").alias("ID20"),
         F.col("STATE_2020"))
-
-
-def read_block_counts_by_state(spark: SparkSession, pattern: str) -> DataFrame:
-    """2020 counts split over one file per state, with the source file kept."""
-    return read_csv_files(spark, pattern, BLOCK2020_CSV, encoding="ISO-8859-1")
