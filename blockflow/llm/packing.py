@@ -4,7 +4,7 @@ A document's vector: its character 4-grams (of UTF-8 bytes, ASCII lowered)
 hashed into ``BUCKETS`` places, log counts, unit length, projected on ``DIMS``
 fixed random directions.  The Hilbert key of the projections (``BITS`` bits
 each) orders documents so that neighbours on the curve have similar text.
-Spark range-sorts documents by (key, id, text) and each range is packed by
+Spark range-sorts documents by (key, id, hash of the text) and each range is packed by
 streaming through it: ids are laid end to end and cut every ``length``, so a
 sequence holds neighbours of the curve and only the last sequence of a range
 is not full.  Ranges are cut by Spark from a sample, keys with many rows are
@@ -137,8 +137,9 @@ def along_curve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             v = np.array([vector(t) for t in b.column(text_col).to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array(hilbert_key(cells_of(v))), b.column(id_col), b.column(text_col)],
                                              names=schema.names)
-    order = [key, id_col, text_col]
-    return map_text(d, run, schema).repartitionByRange(*order).sortWithinPartitions(*order)
+    # bounds are sampled to the driver, so the text itself is no part of them
+    rows = map_text(d, run, schema).repartitionByRange(key, id_col, F.xxhash64(text_col))
+    return rows.sortWithinPartitions(key, id_col, F.xxhash64(text_col), text_col)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end: int = END,
