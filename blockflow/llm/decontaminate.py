@@ -2,7 +2,7 @@
 
 Texts are compared as lower-case letters and digits, every run of other
 ASCII characters read as one blank.  A benchmark item is covered by windows
-of ``WINDOW`` characters, half overlapping (a shorter item is one window).  A
+of ``WINDOW`` characters, each a quarter further on (a shorter item is one window).  A
 document is contaminated when some window lies in it within the edit budget
 ``k`` (a tenth of the window).
 
@@ -111,7 +111,7 @@ class Index:
                 continue
             k, bound = budget(m, edits=edits)
             t = len(self.ids)
-            starts = sorted({*range(0, max(1, len(text) - m + 1), max(1, m // 2)), len(text) - m})
+            starts = sorted({*range(0, max(1, len(text) - m + 1), max(1, m // 4)), len(text) - m})
             self.ids.append(item_id), self.texts.append(text), self.k.append(k), self.bound.append(bound)
             self.windows.append((np.array(starts), m))
             g = grams(codes)
