@@ -17,7 +17,8 @@ and a stray line in between loses to its own path), and blocks over
 Selection.  The main container is the deepest element with ``COVER`` of the
 content blocks' text, widened to an enclosing ``article`` or ``main``; its
 blocks are the article: also its headings and short paragraphs, whose own
-ratio says little, but not lists of links.
+ratio says little, but not lists of links.  Without an h1 of its own it takes
+the last one above it.
 
 Decoding: character references are decoded once, white space inside a block
 becomes one blank, blocks are joined by one blank in page order; nothing else
@@ -67,6 +68,8 @@ NAMES = frozenset("""ad ads adv advert adverts advertisement advertising sponsor
     gdpr newsletter subscribe subscription signup login popup modal overlay comment comments commentlist respond disqus
     replies reply share sharing social related recommended recommendations widget widgets pagination pager toolbar
     topbar searchform copyright alert disclaimer""".split())
+#: With one of these (or alone) the name "header" means the site's, not the article's.
+SITE = frozenset("site page top global main masthead".split())
 #: Tags that an opening block tag closes when they are the innermost open block.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
          "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"},
@@ -112,7 +115,7 @@ def _open(tag: str, attrs: dict[str, str], parent: Element | None, at: int, path
     if not main and tag not in ("html", "body"):
         outside = outside or tag in OUTSIDE or role in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" \
             or "display:none" in attrs.get("style", "").replace(" ", "").lower() or not NAMES.isdisjoint(names) \
-            or (tag == "header" or "header" in names) and not inside
+            or not inside and (tag == "header" or "header" in names and not SITE.isdisjoint({*names} if len(names) > 1 else SITE))
     elif main:      # an article inside reader comments or a sidebar is not the page's
         outside = outside or not NAMES.isdisjoint(names)
     step = ".".join([tag, *sorted(set(names))[:4]])
@@ -256,7 +259,12 @@ def main_blocks(page: Page) -> list[Block]:
     for i, el in enumerate(page.elements):
         within[i] = i == holder or within[el.parent]
     lists = _link_paths(blocks)
-    return [b for b in blocks if within[b.element] and not (b.path in lists and b.linked >= 0.9 * len(b.text))]
+    chosen = [within[b.element] for b in blocks]
+    titles = [i for i, b in enumerate(blocks) if b.element >= 0 and page.elements[b.element].tag == "h1"]
+    first = chosen.index(True) if any(chosen) else 0
+    if not any(chosen[i] for i in titles):                # the title stands just above its text
+        chosen[max((i for i in titles if i < first), default=first)] = True
+    return [b for b, c in zip(blocks, chosen) if c and not (b.path in lists and b.linked >= 0.9 * len(b.text))]
 
 
 def _link_paths(blocks: list[Block]) -> set[int]:

@@ -123,6 +123,8 @@ def test_html_without_article_tag():
 @pytest.mark.parametrize("page,text", [
     (None, ""), ("", ""), ("   ", ""), ("plain text x < y", "plain text x < y"), ("<p>a<p>b", "a b"), ("<script>x", ""),
     ("<p>a&nbsp;&#228;</p><!-- open", "a ä"), ("</p></div>stray<br>end", "stray end"), ("<article><p>One</article>", "One"),
+    ('<div class="site-header"><p>S, t.</p></div><div id="post-header"><h1>T</h1></div><div><p>Long enough a text, for sure.</p></div>',
+     "T Long enough a text, for sure."), ('<div id="header"><p>S, t.</p></div><p>Text, here.</p>', "Text, here."),
     ("<ARTICLE><P CLASS=x>Up</P></ARTICLE>", "Up"), ("<p hidden>no</p><p>yes</p>", "yes"), ("<nav>only a menu</nav>", ""),
 ])
 def test_html_defined_cases(page, text):
