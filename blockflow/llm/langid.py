@@ -7,8 +7,10 @@ inverse document frequency, unit length.  Document frequencies are counted
 over all training documents (Spark adds up per-task counts; the table of
 ``FEATURES`` numbers is bounded).
 
-Training.  At most ``sample`` labelled documents, the languages in turn, each
-by smallest id hash (a documented bound), are collected as sparse counts.
+Training.  About ``sample`` labelled documents, an equal quota for each
+language (all of a rarer one), chosen by id hash below the language's share,
+are collected as sparse counts; never more than twice ``sample``, a
+documented bound.
 FTRL-proximal with elastic net (L1, L2) goes over four fifths ``EPOCHS``
 times in hash order; the last fifth sets one temperature by least log loss.
 The score is the calibrated probability of the best language.
@@ -27,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_bucket, map_text, sliced, table
@@ -133,13 +135,15 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes:
 
 
 def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature of least log loss, by golden-section search."""
+    """The temperature of least log loss, between a quarter
+    and 20, by golden-section search (on separable data the loss alone would
+    push it to zero)."""
     def loss(t):
         s = logits / t
         s = s - s.max(axis=1, keepdims=True)
         return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(labels)), labels]).mean())
 
-    a, b, g = np.log(0.02), np.log(20.0), (5 ** 0.5 - 1) / 2
+    a, b, g = np.log(0.25), np.log(20.0), (5 ** 0.5 - 1) / 2
     for _ in range(60):
         c, d = b - g * (b - a), a + g * (b - a)
         a, b = (a, d) if loss(np.exp(c)) < loss(np.exp(d)) else (c, b)
@@ -167,10 +171,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
         df[r["i"]] = r["n"]
     idf = np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 1.0
 
-    turn = Window.partitionBy(label_col).orderBy("mark", id_col)
-    pick = docs.select(id_col, label_col, F.xxhash64(F.col(id_col)).alias("mark"))
-    pick = pick.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= sample)
-    pick = pick.orderBy("turn", label_col).limit(sample).select(id_col, label_col).distinct()
+    sizes = docs.groupBy(label_col).agg(F.count("*").alias("n"))
+    sizes = sizes.orderBy(F.col("n").desc(), label_col).limit(sample).collect()          # languages, bounded by the sample
+    quota = max(1.0, sample / max(1, len(sizes)))
+    shares = docs.sparkSession.createDataFrame([(r[label_col], min(1.0, quota / r["n"])) for r in sizes], "lang_ string, share double")
 
     def sparse(batches):
         for b in sliced(batches, text_col):
@@ -183,9 +187,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
                      pa.array([np.minimum(rows[i][1], 0xFFFFFFFF).astype("<u4").tobytes() for i in ok], pa.binary())],
                     names=["label", "mark", "at", "n"])
 
-    chosen = docs.join(F.broadcast(pick), [id_col, label_col], "left_semi").select(
-        text_col, label_col, F.xxhash64(F.col(id_col)).alias("mark"))
-    got = map_text(chosen, sparse, "label string, mark long, at binary, n binary").limit(sample).collect()
+    marked = docs.select(F.col(text_col), F.col(label_col), F.xxhash64(F.col(id_col)).alias("mark"))
+    below = F.pmod(F.col("mark"), F.lit(1 << 32)) < F.col("share") * F.lit(float(1 << 32))
+    chosen = marked.join(F.broadcast(shares), (F.col(label_col) == F.col("lang_")) & below).select(text_col, label_col, "mark")
+    got = map_text(chosen, sparse, "label string, mark long, at binary, n binary").limit(2 * sample).collect()
     got.sort(key=lambda r: (r["mark"], r["label"], r["at"]))
     languages = tuple(sorted({r["label"] for r in got}))
     model = LanguageModel(languages, idf, np.zeros((features + 1, len(languages))))
