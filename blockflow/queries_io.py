@@ -176,7 +176,7 @@ def sink_incremental(spark, sf):
     pts = fx.points(spark, sf).select(*_PROW.split(", "))
     new = pts.withColumn("state", _text_state())
     path = scratch_path(spark, "k3_incremental")
-    sinks.write_new_states(new.where(pts["state"] < 12), path)
+    sinks.write_new_states(new.where("state is null or state < '12'"), path)
     sinks.write_new_states(new.where("state >= '12'"), path)
     sinks.write_new_states(new.where("state is null or state < '20'"), path)
     return files.read_dataset(spark, path, state_type="string").select(*_PROW.split(", "))
