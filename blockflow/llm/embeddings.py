@@ -37,6 +37,7 @@ from .components import connected_components
 from .simhash import merge
 
 COSINE, PROBES, SAMPLE, PER_CELL, TILE = 0.93, 6, 16_384, 256, 4096
+SAMPLE_VALUES = 4 << 20
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -67,7 +68,11 @@ def valid(vector, label):
 
 
 def centres_of(entries: DataFrame, n: int, sample: int = SAMPLE, per_cell: int = PER_CELL) -> np.ndarray | None:
-    """Centres from the ``sample`` entries of smallest hash; None if there is none."""
+    """Centres from the ``sample`` entries of smallest hash (fewer where vectors
+    are so long that the sample would pass ``SAMPLE_VALUES`` numbers); None if
+    there is none."""
+    longest = entries.agg(F.max(F.size("vector"))).first()[0] or 1
+    sample = min(sample, max(256, SAMPLE_VALUES // longest))
     rows = entries.select("vector").orderBy(F.xxhash64("vector")).limit(sample).collect()
     lengths = [len(r["vector"]) for r in rows]
     if not rows:
