@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import free_name, hot_keys, table, written
 
-RATIO, LEAST_PAGES = 0.1, 5
+RATIO, LEAST_PAGES = 0.01, 5
 
 
 def _hash(line):

@@ -80,6 +80,15 @@ def test_line_dedup_oracle(spark):
     assert sum(r[3] for r in got) > 0
 
 
+def test_line_dedup_production_ratio_takes_lines_of_a_few_pages(spark):
+    # of a host's 400 pages: 4% hold one line, 2% another, and five hold one that a host of 600 pages leaves
+    rows = [(i, f"own {i}" + "\nmenu" * (i < 16) + "\nabout us" * (i < 8) + "\nby chance" * (i < 4), "a") for i in range(400)]
+    rows += [(1000 + i, f"own {i}" + "\nfew" * (i < 5), "b") for i in range(600)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_boilerplate(docs_of(spark, rows)).collect()}
+    assert all(got[i] == f"own {i}" + "\nby chance" * (i < 4) for i in range(400))
+    assert all(got[1000 + i] == f"own {i}" + "\nfew" * (i < 5) for i in range(600))
+
+
 # --- components --------------------------------------------------------------------
 
 def test_components_against_union_find(spark):
