@@ -4,7 +4,9 @@ The page is read into blocks: the text between block-level tags, with the
 path of tags (root to leaf, with the words of class and id) it stands under;
 inline tags do not cut a block.  Scripts, styles, forms, menus, headers,
 footers, sidebars, notices, adverts and reader comments are known by tag,
-role, class or id and leave no block.
+role, class or id and leave no block.  A class or id that tells a state or a
+layout ("has-sidebar", "content-sidebar-wrap") names no such part, and an
+element that holds the article or over half of the score is none.
 
 Ratios.  For each tag path the text length and the punctuation of all its
 blocks are added up and divided by the number of its blocks; the score of a
@@ -68,6 +70,16 @@ NAMES = frozenset("""ad ads adv advert adverts advertisement advertising sponsor
     gdpr newsletter subscribe subscription signup login popup modal overlay comment comments commentlist respond disqus
     replies reply share sharing social related recommended recommendations widget widgets pagination pager toolbar
     topbar searchform copyright alert disclaimer""".split())
+#: A class or id with one of these tells a state of the page or of the element ("has-sidebar", "comments-open").
+STATES = frozenset("has have with without no not open opened closed enabled disabled".split())
+#: With a word of each, it names a wrapper of the content ("content-sidebar-wrap").
+WRAPS, CONTENTS = frozenset("wrap wrapper container layout".split()), frozenset("content main page site post article entry body".split())
+#: Reader comments, and other parts that may hold more text than the article.
+COMMENTS = frozenset("comment comments commentlist respond disqus replies reply".split())
+NEVER = COMMENTS | frozenset("""ad ads adv advert adverts advertisement advertising nav navbar navigation menu menubar footer
+    cookie cookies consent gdpr newsletter subscribe subscription signup login popup modal overlay copyright disclaimer""".split())
+#: Words that go with the name of a part without making it a wrapper ("comment-list").
+PIECES = frozenset("area list section body item content box form thread block container wrap wrapper holder inner title text".split())
 #: With one of these (or alone) the name "header" means the site's, not the article's.
 SITE = frozenset("site page top global main masthead".split())
 #: Tags that an opening block tag closes when they are the innermost open block.
@@ -82,8 +94,10 @@ class Element:
     tag: str
     path: int          # number of its tag path within the page
     parent: int
-    outside: bool
+    outside: bool      # by tag, role or style, or below such an element
     main: bool
+    own_main: str      # "main" or "article" if it is one itself
+    named: int         # by class or id: 0 not, 1 a part, 2 a part of NEVER, 3 reader comments
 
 
 @dataclass(slots=True)
@@ -106,21 +120,38 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(text)} if text.strip() else {}
 
 
+def _named(tag: str, own_main: str, inside: bool, attrs: dict[str, str]) -> int:
+    """What the class and id say of an element, see ``Element.named``."""
+    if own_main == "main" or tag in ("html", "body"):
+        return 0
+    kind, rest = 0, []
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
+        words = set(_WORDS.findall(name))
+        if not STATES.isdisjoint(words) or not (WRAPS.isdisjoint(words) or CONTENTS.isdisjoint(words)):
+            continue
+        rest += words
+        if not NAMES.isdisjoint(words):
+            whole = all(w in NAMES or w in PIECES or w.isdigit() for w in words)
+            if whole or not own_main:
+                kind = max(kind, 1 if NEVER.isdisjoint(words) else 3 if whole and not COMMENTS.isdisjoint(words) else 2)
+    if not kind and not own_main and not inside and "header" in rest and (len(rest) == 1 or not SITE.isdisjoint(rest)):
+        kind = 1
+    return kind
+
+
 def _open(tag: str, attrs: dict[str, str], parent: Element | None, at: int, paths: dict) -> Element:
     names = _WORDS.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())
     role = attrs.get("role", "").lower()
-    main = tag in ("article", "main") or role in ("main", "article")
+    own_main = "main" if "main" in (tag, role) else "article" if "article" in (tag, role) else ""
     inside = bool(parent and parent.main)
     outside = bool(parent and parent.outside)
-    if not main and tag not in ("html", "body"):
+    if not own_main and tag not in ("html", "body"):
         outside = outside or tag in OUTSIDE or role in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" \
-            or "display:none" in attrs.get("style", "").replace(" ", "").lower() or not NAMES.isdisjoint(names) \
-            or not inside and (tag == "header" or "header" in names and not SITE.isdisjoint({*names} if len(names) > 1 else SITE))
-    elif main:      # an article inside reader comments or a sidebar is not the page's
-        outside = outside or not NAMES.isdisjoint(names)
+            or "display:none" in attrs.get("style", "").replace(" ", "").lower() or not inside and tag == "header"
+    named = _named(tag, own_main, inside, attrs) if names else 0
     step = ".".join([tag, *sorted(set(names))[:4]])
     path = paths.setdefault((parent.path if parent else -1, step), len(paths))
-    return Element(tag, path, at, outside, main or inside)
+    return Element(tag, path, at, outside, bool(own_main) or inside, own_main, named)
 
 
 def read(page: str | None) -> Page:
@@ -206,9 +237,62 @@ def read(page: str | None) -> Page:
             stack.pop()
         push(tag, _attributes(m["attrs"]))
     flush()
+    _mark(out)
     return out
 
 
+def _mark(page: Page) -> None:
+    """Marks the blocks below named elements as outside.  Names are guesses:
+    an element that holds the page's main or article, or over half of the
+    score of the page, is its wrapper whatever its name says (but not reader
+    comments, and by the score alone none of ``NEVER``)."""
+    els = page.elements
+    if not any(e.named for e in els):
+        return
+
+    def below(marks):                                        # the strongest mark on the way up from each element
+        got = [0] * len(els)
+        for i, e in enumerate(els):
+            got[i] = max(marks[i], got[e.parent] if e.parent >= 0 else 0)
+        return got
+
+    def above(flags):                                        # elements that hold a flagged one, or are it
+        for i in range(len(els) - 1, -1, -1):
+            if flags[i] and els[i].parent >= 0:
+                flags[els[i].parent] = True
+        return flags
+
+    named = [e.named for e in els]
+    for i, holds in enumerate(above([e.own_main == "main" and not e.outside for e in els])):
+        if holds:
+            named[i] = 0
+    under = below(named)
+    blocks = [b for b in page.blocks if not b.outside]
+    mass, total = [0.0] * len(els), 0.0
+    for b, s in zip(blocks, path_scores(blocks) if blocks else ()):
+        if b.element < 0 or under[b.element] < 3:
+            total += (w := len(b.text) * float(s))
+            if b.element >= 0:
+                mass[b.element] += w
+    for i in range(len(els) - 1, -1, -1):
+        if els[i].parent >= 0:
+            mass[els[i].parent] += mass[i]
+    articles = [i for i, e in enumerate(els) if e.own_main and not e.outside
+                and not (e.parent >= 0 and els[e.parent].main) and mass[i] > 0]
+    free = sum(mass[i] for i in articles if not under[i])
+    best = max(articles, key=mass.__getitem__, default=-1)
+    if best >= 0 and under[best] and mass[best] > free:
+        for i, holds in enumerate(above([i == best for i in range(len(els))])):
+            if holds:
+                named[i] = 0
+        free = mass[best]
+    if free <= total / 4:
+        named = [0 if k == 1 and m > total / 2 else k for k, m in zip(named, mass)]
+    under = below(named)
+    for b in page.blocks:
+        b.outside = b.outside or b.element >= 0 and under[b.element] > 0
+
+
 def path_scores(blocks: list[Block]) -> np.ndarray:
     """Fused ratio of every block, see the module's text."""
     stats: dict[int, list[float]] = {}

@@ -131,6 +131,21 @@ def test_html_defined_cases(page, text):
     assert html_extract.main_text(page) == text
 
 
+@pytest.mark.parametrize("start,end", [
+    ('<div class="page has-sidebar"><article>', "</article></div>"), ('<div id="content-sidebar-wrap"><article>', "</article></div>"),
+    ('<div class="layout no-banner"><main>', "</main></div>"), ('<article class="post comments-open">', "</article>"),
+    ('<main class="with-sidebar">', "</main>"), ('<div class="layout no-banner">', "</div>"), ('<div id="content-sidebar-wrap">', "</div>"),
+    ('<div class="sidebar-right">', "</div>"), ('<div class="sidebar"><div class="notice"><main>', "</main></div></div>"),
+    ('<article class="post format-aside category-social">', "</article>"), ('<div class="cookie-bar-shown"><article>', "</article></div>"),
+    ('<div id="page" class="header-fixed"><article class="sponsored">', "</article></div>")])
+def test_html_wrappers_named_like_parts(start, end):
+    text = "First paragraph of the article, which is long enough; it says things. Second one, with more of it, and a stop."
+    page = f"""<body><div class="cookie-notice">We use cookies, accept them.</div>{start}<p>{text}</p><p>{text}</p>
+        <div class="comments"><article class="comment"><p>{text} I liked it, thank you, all of it, a lot.</p></article></div>{end}
+        <div class="sidebar"><p>Other things, here.</p><article>Teaser, of another.</article></div></body>"""
+    assert html_extract.main_text(page) == f"{text} {text}"
+
+
 def test_html_long_and_deep_pages():
     assert html_extract.main_text("<div>" * 20000 + "<p>deep text.</p>") == "deep text."
     many = "<article>" + "".join(f"<p>Paragraph {i}, here.</p>" for i in range(20000)) + "</article>"
