@@ -17,10 +17,13 @@ and a stray line in between loses to its own path), and blocks over
 ``THRESHOLD`` times the standard deviation are content.
 
 Selection.  The main container is the deepest element with ``COVER`` of the
-content blocks' text, widened to an enclosing ``article`` or ``main``; its
-blocks are the article: also its headings and short paragraphs, whose own
-ratio says little, but not lists of links.  Without an h1 of its own it takes
-the last one above it.
+content blocks' text that is no block of text, list or table, widened to an
+enclosing ``article`` or ``main``.  An article or main is taken whole.  On
+pages without one every content block is taken, wherever it stands; the
+element that holds them all (unless it is the body) is the container, and its
+headings and short paragraphs, whose own ratio says little, are taken with
+them, but lists of links only inside the container.  Without an h1 of its own
+it takes the last one above it.
 
 Decoding: character references are decoded once, white space inside a block
 becomes one blank, blocks are joined by one blank in page order; nothing else
@@ -64,6 +67,10 @@ OUTSIDE = frozenset("""head nav footer aside form button select option optgroup
     applet map progress meter output label legend""".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar status".split())
+#: Blocks of text, lists and tables: never the container of the article.
+LEAVES = HEADINGS | frozenset("""p blockquote pre li ul ol dl dt dd td th tr thead tbody tfoot table caption figure figcaption
+    address details summary""".split())
+ROOTS = frozenset("html body".split())
 #: Words of a class or id that name a part outside the article.
 NAMES = frozenset("""ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar
     navigation menu menubar breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent notice notices
@@ -281,7 +288,7 @@ def _mark(page: Page) -> None:
                 and not (e.parent >= 0 and els[e.parent].main) and mass[i] > 0]
     free = sum(mass[i] for i in articles if not under[i])
     best = max(articles, key=mass.__getitem__, default=-1)
-    if best >= 0 and under[best] and mass[best] > free:
+    if best >= 0 and under[best] and mass[best] > max(free, total / 4):       # no teaser in a sidebar
         for i, holds in enumerate(above([i == best for i in range(len(els))])):
             if holds:
                 named[i] = 0
@@ -327,28 +334,85 @@ def main_blocks(page: Page) -> list[Block]:
             if b.element >= 0:
                 mass[b.element] += w
     # elements are numbered in page order, so a child has a larger number than its parent
+    els = page.elements
+    passing = [False] * len(els)                           # with a passing block in or below
+    for b, is_content in zip(blocks, content):
+        if is_content and b.element >= 0:
+            passing[b.element] = True
+    direct = passing[:]
     for i in range(len(mass) - 1, -1, -1):
-        if page.elements[i].parent >= 0:
-            mass[page.elements[i].parent] += mass[i]
-    holder = max((e for e in np.flatnonzero(mass >= COVER * total).tolist() if total
-                  and page.elements[e].tag not in ("p", *HEADINGS)), default=-1)
-    e = holder
+        if els[i].parent >= 0:
+            mass[els[i].parent] += mass[i]
+            passing[els[i].parent] |= passing[i]
+    direct_child = direct[:]                              # with a passing block in itself or in a child
+    for i, el in enumerate(els):
+        if direct[i] and el.parent >= 0:
+            direct_child[el.parent] = True
+    holder = max((e for e in np.flatnonzero(mass >= COVER * total).tolist() if total and els[e].tag not in LEAVES), default=-1)
+    bound, e = False, holder
     while e >= 0:
-        if page.elements[e].tag in ("article", "main"):
-            holder = e
-            if page.elements[e].tag == "article":
+        if els[e].tag in ("article", "main"):
+            holder, bound = e, True
+            if els[e].tag == "article":
                 break
-        e = page.elements[e].parent
+        e = els[e].parent
     within = [holder < 0] * (len(mass) + 1)              # the last is for text outside all elements
-    for i, el in enumerate(page.elements):
+    for i, el in enumerate(els):
         within[i] = i == holder or within[el.parent]
-    lists = _link_paths(blocks)
-    chosen = [within[b.element] for b in blocks]
-    titles = [i for i, b in enumerate(blocks) if b.element >= 0 and page.elements[b.element].tag == "h1"]
+    if bound:
+        chosen = [within[b.element] for b in blocks]
+    else:
+        near = within[:]
+        if holder >= 0 and els[holder].tag not in ROOTS:
+            around = _common([b.element for b, is_content in zip(blocks, content) if is_content], els)
+            if around >= 0 and els[around].tag not in ROOTS:
+                within = [False] * (len(mass) + 1)
+                for i, el in enumerate(els):
+                    within[i] = i == around or within[el.parent]
+                near = within[:]
+            for i, el in enumerate(els):                  # a heading or short paragraph beside a passing block
+                near[i] = near[i] or el.parent >= 0 and passing[el.parent] and els[el.parent].tag not in ROOTS
+        lists = _link_paths(blocks)
+        flat = holder < 0 or els[holder].tag in ROOTS
+        first = int(np.argmax(content)) if content.any() else len(blocks)
+        chosen = []
+        for i, (b, is_content) in enumerate(zip(blocks, content)):
+            take = bool(is_content) or near[b.element]
+            if take and b.path in lists and b.linked >= 0.9 * len(b.text):
+                # of the article if it stands in its container, or in a flat page after and beside its text
+                at = _list_parent(b.element, els)
+                take = i > first and at >= 0 and direct_child[at] if flat else within[b.element]
+            chosen.append(take)
+    titles = [i for i, b in enumerate(blocks) if b.element >= 0 and els[b.element].tag == "h1"]
     first = chosen.index(True) if any(chosen) else 0
     if not any(chosen[i] for i in titles):                # the title stands just above its text
-        chosen[max((i for i in titles if i < first), default=first)] = True
-    return [b for b, c in zip(blocks, chosen) if c and not (b.path in lists and b.linked >= 0.9 * len(b.text))]
+        above = [i for i in titles if i < first]
+        if above or not any(chosen):
+            chosen[above[-1] if above else first] = True
+    return [b for b, c in zip(blocks, chosen) if c]
+
+
+def _common(at: list[int], els: list[Element]) -> int:
+    """The deepest element, no leaf block, that holds all of ``at``; -1 for none."""
+    if not at or min(at) < 0:
+        return -1
+    top = at[0]
+    for e in set(at):
+        while top != e:                                   # a child has a larger number than its parent
+            if top > e:
+                top = els[top].parent
+            else:
+                e = els[e].parent
+    while top >= 0 and els[top].tag in LEAVES:
+        top = els[top].parent
+    return top
+
+
+def _list_parent(e: int, els: list[Element]) -> int:
+    """The element that holds the list of a list item, or the block itself."""
+    while e >= 0 and els[e].tag in ("li", "ul", "ol", "dl", "dt", "dd", "p"):
+        e = els[e].parent
+    return e
 
 
 def _link_paths(blocks: list[Block]) -> set[int]:

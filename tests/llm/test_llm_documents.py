@@ -146,6 +146,29 @@ def test_html_wrappers_named_like_parts(start, end):
     assert html_extract.main_text(page) == f"{text} {text}"
 
 
+LINE = "Sentence of the article, which is long enough; it says things."
+LONG = " ".join([LINE] * 17)
+MENU = "<ul><li><a href=1>Home</a><li><a href=1>About</a><li><a href=1>Contact</a></ul>"
+REFS = "<ul><li><a href=1>Ref one</a><li><a href=1>Ref two</a><li><a href=1>Ref three</a></ul>"
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<div class=post><div class=intro>{LINE} {LINE}</div><div class=text>{LONG}</div></div>", f"{LINE} {LINE} {LONG}"),
+    (f"<div class=post><h2>Head</h2><p>{LINE}</p><p>Short.</p><blockquote>{LONG}</blockquote><p>{LINE}</p></div>",
+     f"Head {LINE} Short. {LONG} {LINE}"),
+    (f"<div class=post><p>{LINE}</p><pre>{LONG}</pre><p>{LINE}</p></div>", f"{LINE} {LONG} {LINE}"),
+    (f"<div class=post><p>{LINE}</p><ul><li>{LONG}<li>short</ul><p>{LINE}</p></div>", f"{LINE} {LONG} short {LINE}"),
+    (f"<div class=post><p>{LINE}</p><table><tr><td>{LONG}<td>1</table><p>{LINE}</p></div>", f"{LINE} {LONG} 1 {LINE}"),
+    (f"<body><div>{MENU}</div><div><p>{LONG}</p></div><div><p>{LINE}</p></div></body>", f"{LONG} {LINE}"),
+    (f"<body><article><p>{LONG}</p>{REFS}</article>{MENU}</body>", f"{LONG} Ref one Ref two Ref three"),
+    (f"<body><div>{MENU}</div><div class=post><p>{LONG}</p><h2>Sources</h2><div>{REFS}</div></div></body>",
+     f"{LONG} Sources Ref one Ref two Ref three"),
+    (f"<body>{MENU}<h1>Title</h1><p>{LONG}</p><p>{LINE}</p><h2>Sources</h2>{REFS}</body>",
+     f"Title {LONG} {LINE} Sources Ref one Ref two Ref three")])
+def test_html_whole_article_without_article_tag(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def test_html_long_and_deep_pages():
     assert html_extract.main_text("<div>" * 20000 + "<p>deep text.</p>") == "deep text."
     many = "<article>" + "".join(f"<p>Paragraph {i}, here.</p>" for i in range(20000)) + "</article>"
