@@ -21,8 +21,9 @@ same host (chance about 1e-19 per pair).
 Defined cases: a null host is a host of its own; a null text has no lines,
 counts as a page and stays null; an empty text is one blank line; blank lines
 are never dropped; a line repeated inside a page counts once there and each
-of its places is dropped; repeated rows are pages of their own; a page whose
-lines all go keeps an empty text.  Other columns pass through unchanged.
+of its places is dropped; repeated rows are pages of their own unless
+``copies_once`` is set (as in the pipeline, where near-dedup follows); a page
+whose lines all go keeps an empty text.  Other columns pass through unchanged.
 """
 
 from __future__ import annotations
@@ -40,23 +41,31 @@ def _hash(line):
 
 
 def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO,
-                least_pages: int = LEAST_PAGES) -> tuple[DataFrame, DataFrame]:
+                least_pages: int = LEAST_PAGES, copies_once: bool = False) -> tuple[DataFrame, DataFrame]:
     """((host, hash) of boilerplate lines, (host, pages) of all hosts)."""
     lines = F.filter(F.split(F.col(text), "\n"), lambda x: F.trim(x) != "")
-    seen = pages.select(F.col(host).alias("host"), F.explode(F.array_distinct(F.transform(lines, _hash))).alias("hash"))
-    seen = seen.groupBy("host", "hash").agg(F.count("*").alias("found")).where(F.col("found") >= least_pages)
+    hashes = F.array_distinct(F.transform(lines, _hash))
     hosts = pages.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("pages"))
-    per = hosts.select(F.col("host").alias("h"), "pages")
+    if copies_once:
+        one = pages.groupBy(F.col(host).alias("host"), F.xxhash64(text).alias("page")).agg(F.first(hashes).alias("hashes"))
+        one = written(one, "pages")
+        seen = one.select("host", F.explode("hashes").alias("hash"))
+        per = one.groupBy(F.col("host").alias("h")).agg(F.count("*").alias("pages"))
+    else:
+        seen = pages.select(F.col(host).alias("host"), F.explode(hashes).alias("hash"))
+        per = hosts.select(F.col("host").alias("h"), "pages")
+    seen = seen.groupBy("host", "hash").agg(F.count("*").alias("found")).where(F.col("found") >= least_pages)
     found = seen.join(per, F.col("host").eqNullSafe(F.col("h"))).where(F.col("found") > ratio * F.col("pages"))
     return found.select("host", "hash"), hosts
 
 
 def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO,
                      least_pages: int = LEAST_PAGES, broadcast_rows: int = 200_000, salts: int = 64,
-                     counted: bool = False) -> DataFrame:
+                     counted: bool = False, copies_once: bool = False) -> DataFrame:
     """``pages`` with boilerplate lines gone from ``text``; with ``counted``
-    two more columns, ``n_lines`` and ``n_dropped``."""
-    found, hosts = boilerplate(pages, host, text, ratio, least_pages)
+    two more columns, ``n_lines`` and ``n_dropped``.  With ``copies_once``
+    equal texts of a host are one page in all counts."""
+    found, hosts = boilerplate(pages, host, text, ratio, least_pages, copies_once)
     found = written(found, "boilerplate")
     sets = found.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("hashes"))
     key, drop, salt = free_name(pages, "host"), free_name(pages, "drop"), free_name(pages, "salt")

@@ -28,8 +28,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are boilerplate of their source dropped; ``n_chars`` follows the text."""
-    out = line_dedup.drop_boilerplate(docs, host="source")
+    """Lines that are boilerplate of their source dropped; ``n_chars`` follows the text.
+    Equal texts count as one page: copies are no boilerplate of themselves, one goes on to the next stage whole."""
+    out = line_dedup.drop_boilerplate(docs, host="source", copies_once=True)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))

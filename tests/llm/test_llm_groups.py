@@ -404,6 +404,23 @@ def test_pipeline_against_brute_force(spark):
     assert len(ids) == len(set(ids))
 
 
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_pipeline_keeps_the_text_of_one_of_each_group_of_copies(spark, limit, monkeypatch):
+    import corpus_pipeline as P
+    monkeypatch.setattr(P.line_dedup.drop_boilerplate, "__defaults__",
+                        tuple(limit if x == 200_000 else x for x in P.line_dedup.drop_boilerplate.__defaults__))
+    word = random.Random(4)
+    texts = [" ".join("".join(word.choices("abcdefgh", k=6)) for _ in range(40)) for _ in range(42)]
+    rows = [(i, texts[i] + "\nmenu" * (i < 20), "a") for i in range(40)]
+    rows += [(100 + i, texts[40] + "\nmenu\nlast words of it", "a") for i in range(30)]          # over any share of its host
+    rows += [(200 + i, texts[41], h) for h in ("a", "b") for i in range(15)] + [(300 + i, None, "b") for i in range(9)]
+    lines = P.line_stage(spark, docs_of(spark, rows), SF)
+    got = sorted((r["doc_id"], r["text"] or "") for r in lines.collect())
+    assert got == sorted((i, (t or "").replace("\nmenu", "")) for i, t, _ in rows)
+    kept = {r["text"] or "" for r in P.near_dedup_stage(spark, lines, SF).collect()}
+    assert kept == {*texts[:40], texts[40] + "\nlast words of it", texts[41], ""}
+
+
 def test_pipeline_stages_on_odd_and_empty_documents(spark):
     import corpus_pipeline as P
     odd = docs_of(spark, [(None, None, None), (1, "", None), (1, "", None), (2, "plain words of a text.", "h")]).withColumn("score", F.lit("clash"))
