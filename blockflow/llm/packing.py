@@ -17,7 +17,8 @@ range's number times 2**40 plus the sequence's number in it.
 Token ids are those of the byte-level BPE file for ``tokenizers``; they are
 made with ``tiktoken`` from the same vocabulary, which gives the same ids
 (tested) four times as fast, and with ``tokenizers`` itself for a text on
-which tiktoken gives up.  Strings of special tokens are ordinary text.
+which tiktoken gives up.  The string of the file's added token is that token's
+one id inside a text too, as ``tokenizers`` reads it by default.
 
 Defined cases: a null or empty text is one piece with the end id alone; a
 document longer than a sequence is cut into several pieces, a shorter one
@@ -40,6 +41,8 @@ from pyspark.sql import functions as F
 from .common import free_name, map_text, sliced, table
 
 BUCKETS, DIMS, BITS, LENGTH, END = 4096, 4, 15, 1024, 0
+#: The added tokens of the BPE file, which ``tokenizers`` finds inside text.
+SPECIAL = {"<|endoftext|>": 50256}
 _SEED = 20240601
 
 
@@ -104,26 +107,27 @@ def _coders(folder: str | None):
     with open(os.path.join(folder, "byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
     from public_tokenizers import PATTERN
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), folder
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL), folder
 
 
-@lru_cache(maxsize=2)
-def _slow_coder(folder: str):
+@lru_cache(maxsize=4)
+def _slow_coder(folder: str, special: bool):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(os.path.join(folder, "byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    t.encode_special_tokens = not special
     return t
 
 
-def token_ids(text: str | None, folder: str | None = None) -> list[int]:
-    """Ids of a text, without the end id."""
+def token_ids(text: str | None, folder: str | None = None, special: bool = False) -> list[int]:
+    """Ids of a text, without the end id.  With ``special`` the strings of
+    ``SPECIAL`` are one id each, otherwise ordinary text."""
     fast, folder = _coders(folder)
     try:
-        return fast.encode_ordinary(text or "")
+        return fast.encode(text or "", allowed_special="all") if special else fast.encode_ordinary(text or "")
     except BaseException as e:                    # the regex engine's stack, raised as a panic outside Exception
         if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
             raise
-        return _slow_coder(folder).encode(text, add_special_tokens=False).ids
+        return _slow_coder(folder, special).encode(text, add_special_tokens=False).ids
 
 
 def along_curve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,7 +160,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
         for b in sliced(batches, text_col, 4 << 20):
             owner, cols, ids = [], ([], [], [], [], []), []
             for i, text in enumerate(b.column(text_col).to_pylist()):
-                t = np.array([*token_ids(text, folder), end], dtype="<u4")
+                t = np.array([*token_ids(text, folder, special=True), end], dtype="<u4")
                 s = 0
                 while s < len(t):
                     n = min(length - at % length, len(t) - s)

@@ -318,6 +318,20 @@ def test_packing_against_the_tokenizer(spark):
     assert sum(len(r["ids"]) // 4 for r in ids) == sum(sizes)
 
 
+def test_packing_ids_of_the_added_token_are_those_of_the_tokenizer_defaults(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n\n y", "<|endoftext| >", "<|ENDOFTEXT|>",
+             "a" * 50 + "<|endoftext|>", "plain", "", " " * 2000000 + "x<|endoftext|>", "^" * 2000000 + "<|endoftext|>"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert want[0] == [64, 220, 50256, 275] and [packing.token_ids(x, special=True) for x in texts] == want
+    assert packing._slow_coder(packing._coders(None)[1], True).encode(texts[0], add_special_tokens=False).ids == want[0]
+    ids = packing.pack(docs_of(spark, texts), length=64).orderBy("doc_id", "start").collect()
+    for i, w in enumerate(want):
+        assert b"".join(r["ids"] for r in ids if r["doc_id"] == i) == np.array([*w, 0], dtype="<u4").tobytes()
+
+
 def test_packing_defined_cases(spark):
     texts = [None, "", "x", "long text " * 3000, "x", "x"]
     d = docs_of(spark, texts).withColumn("start", F.lit("clash")).withColumn("ids", F.lit(1))
