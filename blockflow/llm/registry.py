@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, html_extract, langid, licenses, line_dedup, packing, piece_codec, quality, sharding, simhash
+from . import collocations, decontaminate, embeddings, html_extract, langid, licenses, line_dedup, packing, piece_codec, quality, sharding, simhash
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_embedding_dedup": embeddings.op8_embedding_dedup,
     "op9_hilbert_pack": packing.op9_hilbert_pack,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_collocations": collocations.op11_collocations,
     "op13_sentencepiece": piece_codec.op13_sentencepiece,
 }
 
