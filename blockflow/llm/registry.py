@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import collocations, decontaminate, embeddings, html_extract, langid, licenses, line_dedup, packing, piece_codec, quality, sharding, simhash
+from . import (collocations, decontaminate, embeddings, html_extract, langid, licenses, line_dedup, packing, piece_codec,
+               prefix_trie, quality, sharding, simhash)
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -16,6 +17,7 @@ QUERIES = {
     "op9_hilbert_pack": packing.op9_hilbert_pack,
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_collocations": collocations.op11_collocations,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_sentencepiece": piece_codec.op13_sentencepiece,
 }
 
