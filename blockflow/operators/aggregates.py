@@ -18,8 +18,9 @@ def group_sum(df: DataFrame, key: str, cols: list[str], prefix: str = "") -> Dat
 
 
 def count_by(df: DataFrame, col: str, measure: str = "net") -> DataFrame:
-    """A3: non-null ``measure`` per group (``groupby(col)[measure].count()``)."""
-    return df.groupBy(col).agg(F.count(F.col(measure)).alias("cnt"))
+    """A3: non-null ``measure`` per group (``groupby(col)[measure].count()``);
+    rows without a group are in none."""
+    return df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.col(measure)).alias("cnt"))
 
 
 def row_count(df: DataFrame) -> DataFrame:

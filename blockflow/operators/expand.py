@@ -126,57 +126,53 @@ def net_list(p20, p10, net) -> Column:
 
 
 # --- permutation within a block (E6) -------------------------------------------
-
-def _is_prime(n: int) -> bool:
-    if n < 2:
-        return False
-    for p in (2, 3, 5, 7, 11, 13):
-        if n % p == 0:
-            return n == p
-    d, s = n - 1, 0
-    while d % 2 == 0:
-        d //= 2
-        s += 1
-    for a in (2, 7, 61):  # deterministic for n < 2^32
-        x = pow(a, d, n)
-        if x in (1, n - 1):
-            continue
-        for _ in range(s - 1):
-            x = x * x % n
-            if x == n - 1:
-                break
+#
+# A Feistel network on the pairs (p div b, p mod b) of 0..a*b-1, a = ceil(sqrt n)
+# and b = ceil(n / a): each round adds a keyed digest of one half to the other,
+# which can be undone, so the network is a bijection.  Fewer than a values are
+# n or more; these go through the network again until they fall below n (cycle
+# walking).  The digest is integer arithmetic below 2^62, keyed once per block,
+# so an individual's place costs no hash, no lookup and no shuffle.
+
+PERMUTE_ROUNDS = 6
+#: Moduli (primes below 2^31) and multipliers of the digests, one pair of multipliers per round.
+_M1, _M2 = 2147483647, 2147483629
+_MULTIPLIERS = [(1664525 + 2 * 912559 * i, 69621 * (2 * i + 3)) for i in range(PERMUTE_ROUNDS)]
+_WALK = 64
+
+
+def _digest(half: Column, key: Column, i: int) -> Column:
+    m, w = _MULTIPLIERS[i]
+    first = (F.pmod(half, F.lit(_M1)) * F.lit(m).cast("long") + key * F.lit(2 * i + 1)) % F.lit(_M1)
+    return F.call_function("div", (first * F.lit(w).cast("long") + key) % F.lit(_M2), F.lit(1 << 9).cast("long"))
+
+
+def _network(p: Column, a: Column, b: Column, key: Column) -> Column:
+    left, right = F.call_function("div", p, b), p % b
+    for i in range(PERMUTE_ROUNDS):
+        if i % 2 == 0:
+            left = (left + _digest(right, key, i)) % a
         else:
-            return False
-    return True
-
-
-def _primes_below(limit: int, count: int) -> list[int]:
-    out, n = [], limit - 1
-    while len(out) < count:
-        if _is_prime(n):
-            out.append(n)
-        n -= 1
-    return out
-
-
-# Multipliers: the 16 largest primes below 2^31.  A prime above any block
-# size never divides it, so ``a*(k-1) mod n`` is a bijection.
-PERMUTATION_PRIMES = _primes_below(1 << 31, 16)
-
-
-def affine_permutation(k, n, key, seed: int = 0) -> Column:
-    """Keyed bijection of 1..n, ``((a*(k-1) + b) mod n) + 1``.
-
-    ``a`` (one of 16 primes just below 2^31, so it cannot divide any block size
-    below that) and ``b`` come from md5 of the block key and seed, so
-    the order is reproducible and needs no shuffle or grouping.  This is a
-    pseudo-random permutation family, not a uniformly drawn one; use
-    :func:`blockflow.operators.windows.number_within_group` over an md5 key
-    for a hash-uniform shuffle.
-    """
-    k, n = _c(k).cast("long"), _c(n).cast("long")
-    primes = F.array(*[F.lit(p).cast("long") for p in PERMUTATION_PRIMES])
-    h = hash_int(_c(key), F.lit(seed), F.lit("perm"))
-    a = F.element_at(primes, (F.pmod(h, F.lit(len(PERMUTATION_PRIMES))) + 1).cast("int"))
-    b = F.pmod(hash_int(_c(key), F.lit(seed), F.lit("shift")), n)
-    return F.pmod(a * (k - 1) + b, n) + 1
+            right = (right + _digest(left, key, i)) % b
+    return left * b + right
+
+
+def with_permutation(df: DataFrame, n, key, seed: int = 0) -> DataFrame:
+    """Block rows with the parameters of their own permutation of 1..n: the
+    sides ``__pa``, ``__pb`` and the key ``__pk`` (32 bits of md5), to be added
+    before the explode."""
+    n = F.greatest(_c(n).cast("long"), F.lit(1).cast("long"))
+    a = F.ceil(F.sqrt(n.cast("double"))).cast("long")
+    return df.withColumns({"__pa": a, "__pb": F.call_function("div", n + a - 1, a),
+                           "__pk": hash_int(_c(key), F.lit(seed), F.lit("perm"))})
+
+
+def permuted_place(k, n) -> Column:
+    """The place (1..n) of individual ``k`` (1..n) in its block's list, a
+    bijection drawn by the block's key; the row carries :func:`with_permutation`."""
+    k, n, a, b, key = _c(k).cast("long"), _c(n).cast("long"), F.col("__pa"), F.col("__pb"), F.col("__pk")
+    once = _network(k - 1, a, b, key)
+    steps = F.sequence(F.lit(1).cast("long"), F.least(F.lit(_WALK).cast("long"), F.greatest(a * b - n, F.lit(1).cast("long"))))
+    walked = F.aggregate(steps, once, lambda p, _: F.when(p < n, p).otherwise(_network(p, a, b, key)))
+    walked = F.when(walked < n, walked).otherwise(F.raise_error(F.lit("cycle walk not ended")).cast("long"))
+    return F.when(once < n, once).otherwise(walked) + 1

@@ -14,10 +14,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geo
-from ..operators import filters, raster as R, topk
+from ..operators import aggregates as A, filters, raster as R, topk
 from ..session import checkpoint_dir
 from ..schemas import CANVAS_H, CANVAS_W, RACE_NAMES, TOP_N
 
@@ -46,8 +46,8 @@ def view_raster(df: DataFrame, view: str, viewport, width: int = CANVAS_W, heigh
 
 
 def county_counts(df: DataFrame) -> DataFrame:
-    """A3: non-null ``net`` per county."""
-    return df.groupBy("county").agg(F.count("net").alias("cnt"))
+    """A3: non-null ``net`` per county; rows without a county make no bar."""
+    return A.count_by(df, "county")
 
 
 def decode(bars: DataFrame, dim: DataFrame, key: str = "county") -> DataFrame:
@@ -87,7 +87,7 @@ def race_names_col(col: str = "race"):
 
 def race_histogram(df: DataFrame, view: str) -> DataFrame:
     """C4: rows per race, descending; empty for the "out" view (Q15)."""
-    agg = df.groupBy("race").agg(F.count("net").alias("cnt"))
+    agg = A.count_by(df, "race")
     if view == "out":
         agg = agg.where(F.lit(False))
     return agg.withColumn("name", race_names_col("race"))
@@ -127,35 +127,40 @@ def crossfilter_all(points: DataFrame, view: str = "total", box=None, selections
     grp = (F.when(F.col("gid") == 7, "county").when(F.col("gid") == 11, "race")
            .when(F.col("gid") == 12, "cell").otherwise("total"))
     out = g.withColumn("grp", grp).drop("gid")
-    keep = (F.col("grp") != "cell") | F.col("px").isNotNull()
+    # a null key makes no bar and no cell; its rows still count for the other groups
+    keep = F.when(F.col("grp") == "cell", F.col("px").isNotNull() & F.col("py").isNotNull()) \
+        .when(F.col("grp") == "county", F.col("county").isNotNull()) \
+        .when(F.col("grp") == "race", F.col("race").isNotNull()).otherwise(F.lit(True))
     if view == "out":
         keep = keep & (F.col("grp") != "race")
     return out.where(keep).select("grp", "county", "race", "px", "py", "cnt", "n_rows", "mean_race", "mean_net")
 
 
-def ranked(answers: DataFrame, dim_county: DataFrame | None = None, n: int = TOP_N,
-           max_broadcast_rows: int = 1_000_000) -> DataFrame:
+def ranked(answers: DataFrame, dim_county: DataFrame | None = None, n: int = TOP_N) -> DataFrame:
     """The rows of :func:`crossfilter_all` as a dashboard shows them: county
     bars with ``pos_top`` (1 = largest) and ``pos_bottom`` (1 = smallest), only
     those within ``n`` of either end, and ``name`` for counties and races.
 
-    The bars are ranked on the aggregated rows, one per county, which the
-    window takes together; the cells of the raster are each by themselves.
-    The county dimension is broadcast only after its rows were counted.
+    The answers (at most a row per county, race and non-empty cell) are
+    checkpointed once.  Both ends of the county list are top-k's, in which each
+    task keeps ``n`` rows; the cells and races pass no sort at all.  The two
+    orders are each other's reverse, so a place from one end and the number of
+    counties give the place from the other.
     """
-    own = Window.partitionBy("grp", "px", "py")
-    is_county = F.col("grp") == "county"
-    out = answers.withColumns({
-        "pos_top": F.when(is_county, F.row_number().over(own.orderBy(F.col("cnt").desc(), F.col("county").asc()))),
-        "pos_bottom": F.when(is_county, F.row_number().over(own.orderBy(F.col("cnt").asc(), F.col("county").desc())))})
-    out = out.where(~is_county | (F.least("pos_top", "pos_bottom") <= n))
-    name = F.when(F.col("grp") == "race", race_names_col("race"))
-    if dim_county is None:
-        return out.withColumn("name", name)
-    dim = dim_county.groupBy(F.col("id").alias("__id")).agg(F.max("name").alias("__name"))
-    dim = F.broadcast(dim) if dim_county.count() <= max_broadcast_rows else dim
-    out = out.join(dim, is_county & (F.col("county") == F.col("__id")), "left")
-    return out.withColumn("name", F.coalesce(name, "__name")).drop("__id", "__name")
+    checkpoint_dir(answers.sparkSession)
+    found = answers.checkpoint(eager=True)
+    counties = found.where("grp = 'county'")
+    after = F.lit(counties.count() + 1).cast("int")
+    top = topk.top_n(counties, "cnt", "county", n).withColumnRenamed("pos", "pos_top")
+    top = top.withColumn("pos_bottom", after - F.col("pos_top"))
+    bottom = topk.bottom_n(counties, "cnt", "county", n).withColumnRenamed("pos", "pos_bottom")
+    bottom = bottom.withColumn("pos_top", after - F.col("pos_bottom")).where(F.col("pos_top") > n)
+    bars = top.unionByName(bottom)
+    bars = decode(bars, dim_county) if dim_county is not None else bars.withColumn("name", F.lit(None).cast("string"))
+    none = F.lit(None).cast("int")
+    rest = found.where("grp <> 'county'").withColumns({
+        "pos_top": none, "pos_bottom": none, "name": F.when(F.col("grp") == "race", race_names_col("race"))})
+    return rest.unionByName(bars)
 
 
 def crossfilter(points: DataFrame, view: str = "total", box=None, selections=None,

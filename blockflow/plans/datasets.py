@@ -63,11 +63,12 @@ def total_population_dataset(mig: DataFrame, races20: DataFrame, polys: DataFram
     b = b.withColumn("__rows", expand.rows_per_block("P20", "eq_P10", "block_net"))
     b, cum = expand.cumulative_columns(b, [f"R20{k}" for k in range(1, 8)])
     b = b.join(_polygon_params(polys, depth=depth), "ID20")
+    b = expand.with_permutation(b, "__rows", "ID20", seed) if shuffle else b
     e = spatial.individuals_in_polygon(b, "__rows", seed=seed, spread=spread)
-    pos = expand.affine_permutation("k", "__rows", "ID20", seed) if shuffle else F.col("k")
+    e = e.withColumn("__pos", expand.permuted_place("k", "__rows") if shuffle else F.col("k"))
     e = e.withColumns({
         "net": expand.net_label("k", "P20", "eq_P10", "block_net"),
-        "race": expand.label_by_cumulative(pos, cum, list(range(1, 8)), 0)})
+        "race": expand.label_by_cumulative("__pos", cum, list(range(1, 8)), 0)})
     x, y = geo.to_mercator("x", "y")
     return e.select("ID20", "k", x.alias("easting"), y.alias("northing"), "race", "net",
                     F.col("__cid").alias("county"))
@@ -78,7 +79,7 @@ def net_migration_dataset(race_mig: DataFrame, polys: DataFrame, seed: int = 0,
     """One row per migrating individual with a signed race (+k in, -k out).
 
     The race list of a block is |R1_diff| codes of race 1, then race 2, ...;
-    with ``permute`` the list is reordered by the keyed affine permutation
+    with ``permute`` the list is reordered by the block's keyed permutation
     (E6) before being paired with the individuals.
     Columns: blockid, k, x, y, race, state, county, block_diff, block_net.
     """
@@ -86,9 +87,10 @@ def net_migration_dataset(race_mig: DataFrame, polys: DataFrame, seed: int = 0,
     b, cum = expand.cumulative_columns(b, RACE_DIFFS)
     codes = expand.signed_codes(RACE_DIFFS)
     b = b.join(_polygon_params(polys, depth=depth), "ID20")
+    b = expand.with_permutation(b, "points", "ID20", seed) if permute else b
     e = spatial.individuals_in_polygon(b, "points", seed=seed, spread=spread)
-    pos = expand.affine_permutation("k", "points", "ID20", seed) if permute else F.col("k")
-    e = e.withColumn("race", expand.label_by_cumulative(pos, cum, codes, 0))
+    e = e.withColumn("__pos", expand.permuted_place("k", "points") if permute else F.col("k"))
+    e = e.withColumn("race", expand.label_by_cumulative("__pos", cum, codes, 0))
     return e.select(F.col("ID20").alias("blockid"), "k", "x", "y", "race", F.col("STATE").alias("state"),
                     F.col("COUNTY").alias("county"), F.col("P_delta").alias("block_diff"),
                     numeric.sign_net("P_delta").alias("block_net"))

@@ -38,6 +38,14 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumns({"easting": x, "northing": y})
 
 
+def points_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points with counties, races and coordinates missing in some rows."""
+    p = points(spark, sf_dir)
+    return p.withColumns({"easting": F.when((F.col("race") != 5) | (F.col("net") != 0), F.col("easting")),
+                          "race": F.when(F.col("county") % 7 != 2, F.col("race")),
+                          "county": F.when(F.col("county") % 9 != 4, F.col("county"))})
+
+
 def _race_sums(prefix: str):
     return [F.sum(F.when(F.col("l_linenumber") == k, 1).otherwise(0)).cast("long").alias(f"{prefix}{k}")
             for k in RACES]
@@ -75,7 +83,7 @@ def crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def crosswalk_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crosswalk rows with repeats and with missing ids on either side."""
-    li = table(spark, sf_dir, "lineitem").where(F.col("l_linenumber") <= 2)
+    li = table(spark, sf_dir, "lineitem")
     return li.select(F.when(F.col("l_partkey") % 11 != 0, F.col("l_partkey")).alias("ID10"),
                      F.when(F.col("l_suppkey") % 7 != 0, F.col("l_suppkey")).alias("ID20"))
 

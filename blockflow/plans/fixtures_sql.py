@@ -31,6 +31,11 @@ from (
 """
 
 
+POINTS_NULLS = f"""select case when county % 9 <> 4 then county end as county, state, net,
+  case when county % 7 <> 2 then race end as race, lon, lat,
+  case when race <> 5 or net <> 0 then easting end as easting, northing from ({POINTS}) p0"""
+
+
 def _race_sums(prefix: str) -> str:
     return ", ".join(f"cast(sum(case when l_linenumber = {k} then 1 else 0 end) as bigint) as {prefix}{k}"
                      for k in range(1, 8))

@@ -215,9 +215,10 @@ union all select 'total', {_NB}, {_NI}, {_NI}, {_NI}, {_M} from f"""
 _RACE_NAME = "case race " + " ".join(f"when {k} then '{v}'" for k, v in X.RACE_NAMES.items()) + " end"
 
 
-def _ranked_sql(f: str) -> str:
+def _ranked_sql(f: str, no_nulls: bool = False) -> str:
     """Oracle of ``ranked``: bars within 15 of either end, with names."""
-    return P(f""", {f}, a as ({_SETS}), r as (select *,
+    whole = "(grp <> 'county' or county is not null) and (grp <> 'race' or race is not null) and (grp <> 'cell' or py is not null)"
+    return P(f""", {f}, a as (select * from ({_SETS}) a0 where {whole if no_nulls else 'true'}), r as (select *,
   case when grp = 'county' then cast(row_number() over (partition by grp order by cnt desc, county) as integer) end as pos_top,
   case when grp = 'county' then cast(row_number() over (partition by grp order by cnt, county desc) as integer) end as pos_bottom from a)
 select r.*, case when grp = 'race' then {_RACE_NAME} else s.s_name end as name
@@ -642,6 +643,27 @@ def crossfilter_bars(spark, sf):
     return X.ranked(X.crossfilter_all(_pts(spark, sf), "total"), fx.dim_county(spark, sf))
 
 
+def _null_f() -> str:
+    inside = viewport_sql()
+    return (f"f as (select county, race, net, case when {inside} then {cell_sql('easting', *VIEWPORT[:2], SMALL_W)} end as px, "
+            f"case when {inside} then {cell_sql('northing', *VIEWPORT[2:], SMALL_H)} end as py from ({fx_sql.POINTS_NULLS}) p1 where net in (0, 1))")
+
+
+@query("crossfilter_null_county", _ranked_sql(_null_f(), no_nulls=True))
+def crossfilter_null_county(spark, sf):
+    """Rows without a county, a race or a coordinate make no bar and no
+    cell of their own, and count for the other groups."""
+    pts = fx.points_with_nulls(spark, sf)
+    found = X.crossfilter_all(pts, "total", viewport=VIEWPORT, width=SMALL_W, height=SMALL_H)
+    return X.ranked(found, fx.dim_county(spark, sf))
+
+
+@query("count_by_null_county", f"select county, count(net) as cnt from ({fx_sql.POINTS_NULLS}) p where county is not null group by county")
+def count_by_null_county(spark, sf):
+    """A3: a null key is no group."""
+    return A.count_by(fx.points_with_nulls(spark, sf), "county")
+
+
 @query("nth_row_deep", "select o_orderkey, o_custkey from orders order by o_orderkey limit 1 offset 12345"
        .replace("12345", "(select count(*) * 4 // 5 from orders)"))
 def nth_row_deep(spark, sf):
@@ -651,7 +673,7 @@ def nth_row_deep(spark, sf):
 
 
 _ODD_CW = """select case when l_partkey % 11 = 0 then null else l_partkey end as ID10,
-  case when l_suppkey % 7 = 0 then null else l_suppkey end as ID20 from lineitem where l_linenumber <= 2"""
+  case when l_suppkey % 7 = 0 then null else l_suppkey end as ID20 from lineitem"""
 
 
 @query("row_number_null_key", f"select ID10, rn, count(*) as n from (select ID10, row_number() over (partition by ID10 "

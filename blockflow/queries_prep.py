@@ -9,7 +9,6 @@ from .catalog import query
 from .functions import numeric
 from .functions.rand import uniform_sql
 from .operators import aggregates as A, expand, filters, windows
-from .operators.expand import PERMUTATION_PRIMES
 from .plans import apportion as AP, datasets as DS, fixtures as fx, migration as MG
 from .plans import fixtures_sql as S
 from .plans.crossfilter import race_names_col
@@ -86,7 +85,7 @@ def apportion_races(spark, sf):
 
 
 @query("apportion_null_ids", f"""with cw as (select case when l_partkey % 11 <> 0 then l_partkey end as ID10,
-    case when l_suppkey % 7 <> 0 then l_suppkey end as ID20 from lineitem where l_linenumber <= 2),
+    case when l_suppkey % 7 <> 0 then l_suppkey end as ID20 from lineitem),
   b10 as (select * from ({S.BLOCK10}) b where ID10 % 5 <> 0),
   w as (select c.ID10, max(cast(b.P10 as double)) / count(*) as weight from cw c join b10 b on b.ID10 = c.ID10 group by c.ID10)
 select c.ID20, round(sum(coalesce(w.weight, 0)), 6) as eq_P10 from cw c left join w on w.ID10 = c.ID10
@@ -345,7 +344,7 @@ def shuffle_within_block(spark, sf):
     """Races paired with individuals in md5-random order (hash-uniform shuffle).
 
     The rank of md5(ID20, k, seed) inside the block picks the list position;
-    the numbering is skew-safe (hot blocks are split into salted sub-groups).
+    the numbering is skew-safe (large blocks are numbered by a range sort).
     """
     r = _rmig(spark, sf).where(F.col("points") != 0)
     r, cum = expand.cumulative_columns(r, MG.RACE_DIFFS)
@@ -415,22 +414,50 @@ def total_population_dataset(spark, sf):
     return ds.withColumns({"easting": F.round("easting", 3), "northing": F.round("northing", 3)})
 
 
-_PRIMES = ", ".join(str(p) for p in PERMUTATION_PRIMES)
-
-
 def _h(*parts: str) -> str:
     key = "concat_ws(':', " + ", ".join(f"cast({p} as varchar)" for p in parts) + ")"
     return f"('0x' || substr(md5({key}), 1, 8))::BIGINT"
 
 
-_NET_ROWS = f"""select ID20, k, STATE, COUNTY, P_delta, {_race_case('pos', _RD,
-      [f"(case when R{k}_diff < 0 then -{k} else {k} end)" for k in RK])} as race from (
-  select r.*, t.k, ((list_extract([{_PRIMES}]::BIGINT[], cast({_h('r.ID20', '0', "'perm'")} % {len(PERMUTATION_PRIMES)} as integer) + 1)
-     * (t.k - 1) + ({_h('r.ID20', '0', "'shift'")} % r.points)) % r.points) + 1 as pos
-  from rmig2 r, generate_series(1, r.points) t(k) where r.points <> 0) s"""
+def _feistel_sql(rows: str, n: str) -> str:
+    """``rows`` (with ID20, k and ``n``) and ``pos``, the place of k: the network
+    of ``expand.permuted_place`` round by round, walked by recursion."""
+    halves, left, right = [], "h0l", "h0r"
+    for i, (m, w) in enumerate(expand._MULTIPLIERS):
+        half = right if i % 2 == 0 else left
+        digest = f"((((({half} % 2147483647) * {m} + pk * {2 * i + 1}) % 2147483647) * {w} + pk) % 2147483629) // 512"
+        if i % 2 == 0:
+            halves.append(f"({left} + {digest}) % pa as l{i}")
+            left = f"l{i}"
+        else:
+            halves.append(f"({right} + {digest}) % pb as r{i}")
+            right = f"r{i}"
+    step = "select ID20, k, n, pa, pb, pk, {0} // pb as h0l, {0} % pb as h0r, " + ", ".join(halves) + f", {left} * pb + {right} as p from {{1}}"
+    keep = "select ID20, k, n, pa, pb, pk, p from"
+    return f""", recursive_rows as ({rows}),
+fp as (select ID20, k, cast({n} as bigint) as n, cast(ceil(sqrt(cast({n} as double))) as bigint) as pa, {_h('ID20', '0', "'perm'")} as pk from recursive_rows),
+fq as (select *, (n + pa - 1) // pa as pb from fp),
+walk as ({keep} ({step.format('(k - 1)', 'fq')}) one union all {keep} ({step.format('p', 'walk where p >= n')}) more),
+placed as (select r.*, w.p + 1 as pos from recursive_rows r join walk w on w.ID20 = r.ID20 and w.k = r.k and w.p < w.n)"""
+
+
+_RACE_AT = _race_case('pos', _RD, [f"(case when R{k}_diff < 0 then -{k} else {k} end)" for k in RK])
+_PERMUTED = _feistel_sql("select r.*, t.k from rmig2 r, generate_series(1, r.points) t(k) where r.points <> 0", "points")
+_RPREP = PREP.replace("with cw as", "with recursive cw as", 1)
+_NET_ROWS = f"select ID20, k, STATE, COUNTY, P_delta, {_RACE_AT} as race from placed"
+
+
+@query("permute_within_block", _RPREP + _PERMUTED + f" select ID20, k, pos, {_RACE_AT} as race from placed")
+def permute_within_block(spark, sf):
+    """Races paired with individuals by a keyed bijection of each block's
+    1..n (Feistel network, cycle walking); nothing is shuffled after the explode."""
+    r = _rmig(spark, sf).where(F.col("points") != 0)
+    r, cum = expand.cumulative_columns(expand.with_permutation(r, "points", "ID20"), MG.RACE_DIFFS)
+    e = expand.explode_individuals(r, "points").withColumn("pos", expand.permuted_place("k", "points"))
+    return e.select("ID20", "k", "pos", expand.label_by_cumulative("pos", cum, expand.signed_codes(MG.RACE_DIFFS), 0).alias("race"))
 
 
-@query("net_migration_dataset", PREP + _g2_sql(
+@query("net_migration_dataset", _RPREP + _PERMUTED + _g2_sql(
     _NET_ROWS, "r.ID20 as blockid, r.k, f.x, f.y, r.race, r.STATE as state, r.COUNTY as county, "
                "r.P_delta as block_diff, cast(sign(r.P_delta) as integer) as block_net"))
 def net_migration_dataset(spark, sf):

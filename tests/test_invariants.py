@@ -64,12 +64,32 @@ def test_number_within_group_equals_row_number(spark):
         assert sorted((r.g is None, r.g or 0, r.v, r.rn) for r in out.collect()) == want, most
 
 
-def test_affine_permutation_is_bijection(spark):
-    df = spark.createDataFrame([(i, n) for i, n in enumerate([1, 2, 7, 10, 97, 1000])], "ID20 long, n long")
-    e = expand.explode_individuals(df, "n", chunk_rows=64).withColumn(
-        "p", expand.affine_permutation("k", "n", "ID20"))
-    for r in e.groupBy("ID20", "n").agg(F.sort_array(F.collect_list("p")).alias("ps")).collect():
-        assert r.ps == list(range(1, r.n + 1))
+def test_permutation_is_bijection_for_every_size(spark):
+    sizes = spark.range(1, 1001).select(F.col("id").alias("ID20"), F.col("id").alias("n"))
+    e = expand.explode_individuals(expand.with_permutation(sizes, "n", "ID20"), "n", chunk_rows=64)
+    e = e.withColumn("p", expand.permuted_place("k", "n"))
+    bad = e.groupBy("ID20", "n").agg(F.count_distinct("p").alias("d"), F.min("p").alias("lo"), F.max("p").alias("hi"))
+    assert bad.where("d <> n or lo <> 1 or hi <> n").count() == 0
+    assert e.where("k = p").count() < e.count() / 50           # not the identity
+
+
+def test_permutation_of_a_large_block(spark):
+    one = expand.with_permutation(spark.createDataFrame([(7, 1000003)], "ID20 long, n long"), "n", "ID20", seed=3)
+    e = expand.explode_individuals(one, "n").withColumn("p", expand.permuted_place("k", "n"))
+    r = e.agg(F.count_distinct("p"), F.min("p"), F.max("p"), F.corr("k", "p")).first()
+    assert (r[0], r[1], r[2]) == (1000003, 1, 1000003) and abs(r[3]) < 0.01
+
+
+def test_permutations_of_small_blocks_are_all_drawn(spark):
+    blocks = spark.range(0, 6000).select(F.col("id").alias("ID20"), F.lit(4).cast("long").alias("n"))
+    e = expand.explode_individuals(expand.with_permutation(blocks, "n", "ID20"), "n").withColumn("p", expand.permuted_place("k", "n"))
+    orders = e.groupBy("ID20").agg(F.sort_array(F.collect_list(F.struct("k", "p"))).alias("o")).groupBy("o").count().collect()
+    assert len(orders) == 24 and min(r["count"] for r in orders) > 100 and max(r["count"] for r in orders) < 500
+
+
+def test_permutation_needs_no_shuffle_after_the_explode(spark):
+    plan = QP.permute_within_block(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[:plan.index("Generate explode")], plan
 
 
 def test_results_independent_of_partitioning(spark):
