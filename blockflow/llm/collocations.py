@@ -35,6 +35,7 @@ gives no rows; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,9 +48,10 @@ from .common import BATCH_ROWS, sliced, table, written
 from .sharding import row_numbers
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-BLOCK, BITS = 16 << 20, 27
+BLOCK, BITS = 8 << 20, 27
 _FEW, _MANY = 2, 10_000                              # rows of an Arrow batch: stored blocks, small rows
 _BUCKET = 15                                         # bits of a bitmap bucket's size, as Spark builds them
+_RANGE = 17                                          # of a range of key buckets that is counted in one place
 _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[[0x20, 0x09]] = 1                              # between words
 _KIND[list(b".,;:!?\n\x0b\x0c\r")] = 2                # between pieces
@@ -151,22 +153,28 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 RELATION = "lang string, h1 array<long>, h2 array<long>, code array<int>, step array<tinyint>"
 
 
-class Frequent:
-    """The bitmap of a table's keys, as tasks read it."""
+class KeyFilter:
+    """A bitmap of keys as tasks read it: says of keys whether they may be among those it was built from."""
 
-    def __init__(self, groups: DataFrame, bits: int = BITS):
-        spot = F.shiftrightunsigned("h1", 64 - bits)
-        rows = groups.select(F.shiftright(spot, _BUCKET).alias("bucket"), spot.bitwiseAND(F.lit((1 << _BUCKET) - 1)).alias("bit"))
-        rows = rows.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap")).collect()       # 2**(bits - 15) rows of 4 KB at most
-        self.bits, bytes_ = bits, 1 << (_BUCKET - 3)
-        self.map = np.zeros((1 << bits) // 8, dtype=np.uint8)
-        for r in rows:
-            self.map[r["bucket"] * bytes_:(r["bucket"] + 1) * bytes_] = np.frombuffer(r["bitmap"], dtype=np.uint8)
+    def __init__(self, rows: list, bits: int, size: int):
+        """``rows``: (number, bitmap) of the stretches of 2 ** ``size`` bits that have any."""
+        self.bits, bytes_ = bits, 1 << (size - 3)
+        self.map = np.zeros(max(1 << bits, 1 << size) // 8, dtype=np.uint8)
+        for at, bitmap in rows:
+            self.map[at * bytes_:(at + 1) * bytes_] = np.frombuffer(bitmap, dtype=np.uint8)
 
     def __call__(self, h1: np.ndarray) -> np.ndarray:
         spot = (h1 >> np.uint64(64 - self.bits)).astype(np.int64)
         return (self.map[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
 
+    @classmethod
+    def of(cls, groups: DataFrame, bits: int = BITS) -> KeyFilter:
+        """Of the keys ``h1`` of a table."""
+        spot = F.shiftrightunsigned("h1", 64 - bits)
+        rows = groups.select(F.shiftright(spot, _BUCKET).alias("bucket"), spot.bitwiseAND(F.lit((1 << _BUCKET) - 1)).alias("bit"))
+        rows = rows.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap")).collect()       # 2**(bits - 15) rows of 4 KB at most
+        return cls([(r["bucket"], r["bitmap"]) for r in rows], bits, _BUCKET)
+
 
 # --- rounds ------------------------------------------------------------------
 
@@ -195,7 +203,7 @@ def frequent_words(pieces: DataFrame, least: int) -> tuple[DataFrame, DataFrame]
     return words, counts.where(one.isNull()).select("lang", n.alias("total"))
 
 
-def word_places(pieces: DataFrame, frequent: Frequent) -> DataFrame:
+def word_places(pieces: DataFrame, frequent: KeyFilter) -> DataFrame:
     """The occurrence relation of length 1: the places of frequent words."""
     shared = pieces.sparkSession.sparkContext.broadcast(frequent)
 
@@ -209,15 +217,72 @@ def word_places(pieces: DataFrame, frequent: Frequent) -> DataFrame:
     return pieces.mapInArrow(run, RELATION)
 
 
-def frequent_phrases(places: DataFrame, shorter: DataFrame, least: int) -> DataFrame:
+def _packed(places: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted places (below 2**32) as steps, and counts (below 2**16), byte by byte planes, compressed."""
+    planes = np.diff(places, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return zlib.compress(planes + counts.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zlib.decompress(raw), dtype=np.uint8).reshape(6, -1)
+    steps = np.ascontiguousarray(planes[:4].T).view("<u4").ravel()
+    return np.cumsum(steps, dtype=np.int64), np.ascontiguousarray(planes[4:].T).view("<u2").ravel()
+
+
+def hot_buckets(places: DataFrame, least: int, bits: int = BITS) -> KeyFilter:
+    """The key buckets with ``least`` joined places or more."""
+    width = min(_RANGE, bits)
+    most = min(least, 0xFFFF)                            # a bucket is hot from there on, so counts may stop at it
+
+    def count(batches):
+        for _, h1, h2, code, step in _blocks(batches):
+            _, group, first, last = merge_join(code, step, len(h1))
+            if not len(first):
+                continue
+            key, _ = joined_keys(h1[first], h2[first], h1[last], h2[last])
+            bucket, mine = np.unique((key >> np.uint64(64 - bits)).astype(np.int64), return_inverse=True)
+            n = np.minimum(np.bincount(mine, weights=np.bincount(group, minlength=len(first)), minlength=len(bucket)), most).astype(np.int64)
+            cut = np.flatnonzero(np.diff(bucket >> width, prepend=-1))
+            ends = np.append(cut[1:], len(bucket))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((bucket[cut] >> width).astype(np.int32)),
+                 pa.array([_packed(bucket[a:z] & ((1 << width) - 1), n[a:z]) for a, z in zip(cut, ends)], pa.binary())], names=["part", "counts"])
+
+    def total(batches):
+        part, sums = None, None
+
+        def hot():
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(sums >= most, bitorder="little").tobytes()], pa.binary())],
+                                              names=["part", "bitmap"])
+        for b in batches:
+            for p, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if p != part:
+                    if part is not None:
+                        yield hot()
+                    part, sums = p, np.zeros(1 << width, dtype=np.int64)
+                at, n = _unpacked(raw)
+                sums[at] += n
+        if part is not None:
+            yield hot()
+
+    counts = stored(places.mapInArrow(count, "part int, counts binary").repartition("part").sortWithinPartitions("part").mapInArrow(
+        total, "part int, bitmap binary"), "buckets", _FEW)
+    return KeyFilter([(r["part"], r["bitmap"]) for r in counts.collect()], bits, width)              # 2**bits bits in all
+
+
+def frequent_phrases(places: DataFrame, shorter: DataFrame, least: int, bits: int = BITS) -> DataFrame:
     """Phrases one word longer than those of ``places`` (their table is
     ``shorter``) with ``least`` occurrences: keys of themselves, their first
     words (p1, p2) and last words (s1, s2), and f of all first and last words."""
+    shared = places.sparkSession.sparkContext.broadcast(hot_buckets(places, least, bits))
+
     def count(batches):
         for _, h1, h2, code, step in _blocks(batches):
             _, group, first, last = merge_join(code, step, len(h1))
             n = np.bincount(group, minlength=len(first))
             cols = [h1[first], h2[first], h1[last], h2[last]]
+            may = shared.value(joined_keys(*cols)[0])
+            cols, n = [c[may] for c in cols], n[may]
             yield pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in cols), pa.array(n, pa.int64())], names=["p1", "p2", "s1", "s2", "n"])
 
     def keyed(batches):
@@ -236,7 +301,7 @@ def frequent_phrases(places: DataFrame, shorter: DataFrame, least: int) -> DataF
         "p1", "p2", "s1", "s2")
 
 
-def longer_places(places: DataFrame, frequent: Frequent) -> DataFrame:
+def longer_places(places: DataFrame, frequent: KeyFilter) -> DataFrame:
     """The occurrence relation one word longer: places joined with the next, of frequent groups."""
     shared = places.sparkSession.sparkContext.broadcast(frequent)
 
@@ -278,17 +343,17 @@ def candidates(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     cut's l and r."""
     pieces = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     groups, totals = frequent_words(pieces, least)
-    places = stored(word_places(pieces, Frequent(groups, bits)), "places-1", BATCH_ROWS)
+    places = stored(word_places(pieces, KeyFilter.of(groups, bits)), "places-1", BATCH_ROWS)
     found, inside = [], []
     for k in range(2, longest + 1):
         before = groups
-        groups = stored(frequent_phrases(places, before, least), f"phrases-{k}", _MANY)
+        groups = stored(frequent_phrases(places, before, least, bits), f"phrases-{k}", _MANY)
         found.append(groups)
         if k > 2:
             for side, f in (("p", "pre"), ("s", "suf")):
                 inside.append(groups.where(F.element_at(f, -1) == F.element_at(f, -2)).select(F.col(f"{side}1").alias("h1"), F.col(f"{side}2").alias("h2")))
         if k < longest:
-            places = stored(longer_places(places, Frequent(groups, bits)), f"places-{k}", _FEW)
+            places = stored(longer_places(places, KeyFilter.of(groups, bits)), f"places-{k}", _FEW)
 
     def union(frames):
         out = frames[0]
