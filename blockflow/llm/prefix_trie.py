@@ -107,8 +107,8 @@ def paths(items: DataFrame, longest: int, band: int = BAND, level: int = 0) -> l
         own = bands.withColumn("start", ROOT())
         return [written(own.withColumn("keys", _keys("start", "items")), f"paths-{level}")]
     bands = written(bands, f"bands-{level}")
-    # bands are the items of the level above; a sequence of one band needs none
-    above = bands.join(items.where(F.col("n") > band).select("conv", "n").distinct(), "conv")
+    # bands are the items of the level above; a sequence without a whole band needs none
+    above = bands.join(items.where(F.col("n") >= band).select("conv", "n").distinct(), "conv")
     whole = F.aggregate("items", F.unhex(F.lit("")), lambda so_far, x: F.concat(so_far, x["item"]))
     above = above.select("conv", F.col("band").alias("at"), _digest(whole).alias("item"),
                          F.ceil(F.col("n") / F.lit(band)).cast("long").alias("n"))
