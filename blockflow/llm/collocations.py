@@ -48,7 +48,7 @@ from .common import BATCH_ROWS, sliced, table, written
 from .sharding import row_numbers
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-BLOCK, BITS = 8 << 20, 27
+BLOCK, BITS, GROUPS = 8 << 20, 27, 1 << 20
 _FEW, _MANY = 2, 10_000                              # rows of an Arrow batch: stored blocks, small rows
 _BUCKET = 15                                         # bits of a bitmap bucket's size, as Spark builds them
 _RANGE = 17                                          # of a range of key buckets that is counted in one place
@@ -229,8 +229,8 @@ def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(steps, dtype=np.int64), np.ascontiguousarray(planes[4:].T).view("<u2").ravel()
 
 
-def hot_buckets(places: DataFrame, least: int, bits: int = BITS) -> KeyFilter:
-    """The key buckets with ``least`` joined places or more."""
+def hot_buckets(places: DataFrame, least: int, bits: int = BITS) -> tuple[KeyFilter, int]:
+    """(the key buckets with ``least`` joined places or more, how often a block has one of them)."""
     width = min(_RANGE, bits)
     most = min(least, 0xFFFF)                            # a bucket is hot from there on, so counts may stop at it
 
@@ -249,50 +249,85 @@ def hot_buckets(places: DataFrame, least: int, bits: int = BITS) -> KeyFilter:
                  pa.array([_packed(bucket[a:z] & ((1 << width) - 1), n[a:z]) for a, z in zip(cut, ends)], pa.binary())], names=["part", "counts"])
 
     def total(batches):
-        part, sums = None, None
+        part, sums, blocks = None, None, None
 
         def hot():
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(sums >= most, bitorder="little").tobytes()], pa.binary())],
-                                              names=["part", "bitmap"])
+            bitmap = np.packbits(sums >= most, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bitmap], pa.binary()),
+                                               pa.array([int(blocks[sums >= most].sum())], pa.int64())], names=["part", "bitmap", "n"])
         for b in batches:
             for p, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if p != part:
                     if part is not None:
                         yield hot()
-                    part, sums = p, np.zeros(1 << width, dtype=np.int64)
+                    part, sums, blocks = p, np.zeros(1 << width, dtype=np.int64), np.zeros(1 << width, dtype=np.int64)
                 at, n = _unpacked(raw)
                 sums[at] += n
+                blocks[at] += 1
         if part is not None:
             yield hot()
 
     counts = stored(places.mapInArrow(count, "part int, counts binary").repartition("part").sortWithinPartitions("part").mapInArrow(
-        total, "part int, bitmap binary"), "buckets", _FEW)
-    return KeyFilter([(r["part"], r["bitmap"]) for r in counts.collect()], bits, width)              # 2**bits bits in all
+        total, "part int, bitmap binary, n long"), "buckets", _FEW).collect()                          # 2**bits bits in all
+    return KeyFilter([(r["part"], r["bitmap"]) for r in counts], bits, width), sum(r["n"] for r in counts)
 
 
 def frequent_phrases(places: DataFrame, shorter: DataFrame, least: int, bits: int = BITS) -> DataFrame:
     """Phrases one word longer than those of ``places`` (their table is
     ``shorter``) with ``least`` occurrences: keys of themselves, their first
     words (p1, p2) and last words (s1, s2), and f of all first and last words."""
-    shared = places.sparkSession.sparkContext.broadcast(hot_buckets(places, least, bits))
+    hot, many = hot_buckets(places, least, bits)
+    shared = places.sparkSession.sparkContext.broadcast(hot)
+    cut = max(6, min(30, (many // GROUPS).bit_length()))            # bits of the key that name a range
 
     def count(batches):
         for _, h1, h2, code, step in _blocks(batches):
             _, group, first, last = merge_join(code, step, len(h1))
             n = np.bincount(group, minlength=len(first))
-            cols = [h1[first], h2[first], h1[last], h2[last]]
-            may = shared.value(joined_keys(*cols)[0])
-            cols, n = [c[may] for c in cols], n[may]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in cols), pa.array(n, pa.int64())], names=["p1", "p2", "s1", "s2", "n"])
+            keys = np.stack([h1[first], h2[first], h1[last], h2[last]], axis=1)
+            key, _ = joined_keys(*keys.T)
+            may = np.flatnonzero(shared.value(key))
+            if not len(may):
+                continue
+            part = (key[may] >> np.uint64(64 - cut)).astype(np.int32)
+            may, part = may[order := np.argsort(part, kind="stable")], part[order]
+            starts = np.flatnonzero(np.diff(part, prepend=-1))
+            lists = [np.concatenate([keys[m], n[m, None].astype(np.uint64)], axis=1).tobytes() for m in np.split(may, starts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array(lists, pa.binary())], names=["part", "counts"])
 
-    def keyed(batches):
+    def total(batches):
+        part, held, size = None, [], 0
+
+        def summed() -> np.ndarray:
+            rows = np.concatenate(held)
+            rows = rows[np.lexsort(rows[:, :4].T)]
+            starts = np.flatnonzero(np.r_[True, (rows[1:, :4] != rows[:-1, :4]).any(axis=1)])
+            out = rows[starts]
+            out[:, 4] = np.add.reduceat(rows[:, 4], starts)
+            return out
+
+        def frequent():
+            rows = summed()
+            rows = rows[rows[:, 4] >= least]
+            columns = [*rows.T, *joined_keys(*rows.T[:4])]
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns], names=["p1", "p2", "s1", "s2", "n", "h1", "h2"])
         for b in batches:
-            h = joined_keys(*(b.column(i).to_numpy().view(np.uint64) for i in range(4)))
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x.view(np.int64)) for x in h)], names=["p1", "p2", "s1", "s2", "n", "h1", "h2"])
-
-    pairs = "p1 long, p2 long, s1 long, s2 long, n long"
-    found = places.mapInArrow(count, pairs).groupBy("p1", "p2", "s1", "s2").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    found = stored(found, "pairs", _FEW).mapInArrow(keyed, pairs + ", h1 long, h2 long")
+            for p, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if p != part:
+                    if held:
+                        yield frequent()
+                    part, held, size = p, [], 0
+                held.append(np.frombuffer(raw, dtype=np.uint64).reshape(-1, 5))
+                size += len(held[-1])
+                if size > 2 * GROUPS:
+                    held = [summed()]
+                    size = len(held[0])
+        if held:
+            yield frequent()
+
+    lists = places.mapInArrow(count, "part int, counts binary").repartition("part").sortWithinPartitions("part")
+    found = lists.mapInArrow(total, "p1 long, p2 long, s1 long, s2 long, n long, h1 long, h2 long")
+    found = stored(found, "groups", _FEW)
     first = shorter.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), "lang", F.col("phrase").alias("head"), "pre")
     rest = shorter.select(F.col("h1").alias("s1"), F.col("h2").alias("s2"), "last", "suf")
     n = F.array("n")
