@@ -140,41 +140,81 @@ def spatial_join(points: DataFrame, polys: DataFrame, key: str, x: str = "x", y:
     in bytes has been checked; otherwise the join shuffles and AQE splits hot
     keys.
     """
-    names = {"__lvl", "__s", "__cx", "__cy", "__boundary", "__edges", "__bk", "__by"}
-    if names & {c.lower() for c in points.columns + polys.columns}:
-        raise ValueError(f"column names {sorted(names)} are used by the join")
-    n = polys.agg(F.count(F.lit(1)), F.count(key), F.count_distinct(key)).first()
-    if n[0] != n[2]:
-        raise ValueError(f"{key!r} must name each polygon once: {n[0]} rows, {n[2]} different keys")
+    check_names(points, polys, key, geom, set())
+    check_key(polys, key)
     checkpoint_dir(polys.sparkSession)
     p = with_level(polys.select(key, geom), geom, depth, per_side).checkpoint(eager=True)
     cells = polygon_cells(p, key, geom, depth).checkpoint(eager=True)
     bands = band_edges(p, key, geom, depth).checkpoint(eager=True)
     levels = sorted(r["__lvl"] for r in p.where(F.col("__lvl").isNotNull()).select("__lvl").distinct().collect())
     if not levels:
-        none = {f.name: F.lit(None).cast(f.dataType) for f in polys.schema if f.name != geom}
-        return points.where(F.lit(False)).withColumns(none)
-    key_bytes = 8 + (polys.schema[key].dataType.defaultSize() if hasattr(polys.schema[key].dataType, "defaultSize") else 32)
-    stats = bands.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(F.flatten("__edges"))).alias("ne")).first()
-    edge_bytes = 48 * (stats["ne"] or 0) + (64 + key_bytes) * stats["n"]
-    cell_bytes = (48 + key_bytes) * cells.count()
+        return no_matches(points, polys, key, geom)
+    cell_bytes = (48 + key_bytes(polys, key)) * cells.count()
     cells_side = F.broadcast(cells) if cell_bytes <= max_broadcast_bytes else cells
-    bands = bands.select(F.col(key).alias("__bk"), F.col("__cy").alias("__by"), "__edges")
-    bands_side = F.broadcast(bands) if edge_bytes <= max_broadcast_bytes else bands
 
     # one cell per level (the levels span the sizes of the polygons, powers of two)
     pts = points.withColumn("__lvl", F.explode(F.array(*[F.lit(v) for v in levels])))
     s = F.pow(F.lit(2.0), F.col("__lvl"))
     pts = pts.withColumns({"__cx": F.floor(F.col(x) / s), "__cy": F.floor(F.col(y) / s)})
     cand = pts.join(cells_side, ["__lvl", "__cx", "__cy"]).drop("__lvl", "__cx")
+    out = decided(cand, bands, key, x, y, key_bytes(polys, key), max_broadcast_bytes)
+    return with_attributes(out, polys, key, geom, max_broadcast_bytes)
+
+
+def check_names(points: DataFrame, polys: DataFrame, key: str, geom: str, more: set[str]) -> None:
+    """A column that both sides have, or that the join uses, is an error."""
+    names = {"__lvl", "__s", "__cx", "__cy", "__boundary", "__edges", "__bk", "__by", "__row"} | more
+    if names & {c.lower() for c in points.columns + polys.columns}:
+        raise ValueError(f"column names {sorted(names)} are used by the join")
+    shared = {c.lower() for c in points.columns} & {c.lower() for c in polys.columns if c != geom}
+    if shared:
+        raise ValueError(f"points and polygons both have {sorted(shared)}: rename one side")
+
+
+def check_key(polys: DataFrame, key: str) -> None:
+    n = polys.agg(F.count(F.lit(1)), F.count(key), F.count_distinct(key)).first()
+    if n[0] != n[2]:
+        raise ValueError(f"{key!r} must name each polygon once: {n[0]} rows, {n[2]} different keys")
+
+
+def no_matches(points: DataFrame, polys: DataFrame, key: str, geom: str, drop: str | None = None) -> DataFrame:
+    none = {f.name: F.lit(None).cast(f.dataType) for f in polys.schema if f.name != geom}
+    out = points.where(F.lit(False)).withColumns(none)
+    return out.drop(drop) if drop else out
+
+
+def key_bytes(polys: DataFrame, key: str) -> int:
+    kind = polys.schema[key].dataType
+    return 8 + (kind.defaultSize() if hasattr(kind, "defaultSize") else 32)
+
+
+def decided(cand: DataFrame, bands: DataFrame, key: str, x: str, y: str, key_size: int, max_broadcast_bytes: int) -> DataFrame:
+    """The candidates (point columns, ``key``, __boundary, __cy: the polygon's
+    grid row of the point) that lie inside: interior matches as they are,
+    boundary matches after the ray cast over their row's edges."""
+    stats = bands.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(F.flatten("__edges"))).alias("ne")).first()
+    edge_bytes = 48 * (stats["ne"] or 0) + (64 + key_size) * stats["n"]
+    bands = bands.select(F.col(key).alias("__bk"), F.col("__cy").alias("__by"), "__edges")
+    bands_side = F.broadcast(bands) if edge_bytes <= max_broadcast_bytes else bands
     # interior matches have a band key that exists nowhere, spread by their place, should the join shuffle
     far = F.lit(-(1 << 61)) - F.pmod(F.xxhash64(x, y), F.lit(1 << 20))
     cand = cand.withColumn("__row", F.when(F.col("__boundary"), F.col("__cy")).otherwise(far))
     out = cand.join(bands_side, (F.col(key) == F.col("__bk")) & (F.col("__row") == F.col("__by")), "left")
     inside = ~F.col("__boundary") | geo.parts_contain(F.coalesce(F.col("__edges"), F.array()), F.col(x), F.col(y))
-    out = out.where(inside).drop("__boundary", "__cy", "__row", "__bk", "__by", "__edges")
+    return out.where(inside).drop("__boundary", "__cy", "__row", "__bk", "__by", "__edges")
+
+
+def with_attributes(matches: DataFrame, polys: DataFrame, key: str, geom: str, max_broadcast_bytes: int) -> DataFrame:
+    """The other polygon columns attached to the matches; their table is
+    broadcast only when its size, strings measured, is within the bound."""
     attrs = [c for c in polys.columns if c not in (key, geom)]
-    return out.join(polys.select(key, *attrs), key) if attrs else out
+    if not attrs:
+        return matches
+    table = polys.select(key, *attrs).checkpoint(eager=True)
+    text = [F.sum(F.octet_length(F.to_json(F.struct(F.col(c))))) for c in attrs]
+    sizes = table.agg(F.count(F.lit(1)), *text).first()
+    small = (32 + key_bytes(polys, key)) * sizes[0] + sum(v or 0 for v in sizes[1:]) <= max_broadcast_bytes
+    return matches.join(F.broadcast(table) if small else table.hint("merge"), key)
 
 
 def count_per_polygon(joined: DataFrame, key: str) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import queries_core as Q
+from . import queries_core as Q, queries_geo as G
 from .catalog import query
-from .operators import pyramid as PY
+from .operators import pyramid as PY, zorder
 from .plans import cube as CU, fixtures as fx
+from .plans import fixtures_sql as S
 from .plans.fixtures_sql import d
 
 # --- C3 from the cube -----------------------------------------------------------
@@ -59,3 +60,35 @@ def raster_pyramid(spark, sf):
 def raster_pyramid_mean(spark, sf):
     """Mean race of a map window ("race" view), merged from stored sums and counts."""
     return PY.raster(spark, _pyramid(spark, sf), Q.BOX, 100, 100, "race", "mean_race")[0]
+
+
+# --- J8 / J9 over the Z-order -------------------------------------------------------
+
+_PROW = "county, net, race, lon, lat"
+_PCOLS = ", ".join("p." + c for c in _PROW.split(", "))
+
+
+@query("spatial_join_zorder", f"""with {G.PTS_ID}, {G._pip_sql(S.NATION_EDGES, 'e.State_Code, e.State_Name')}
+select {_PCOLS}, h.State_Code, h.State_Name from hits h join pts p on p.pid = h.pid""")
+def spatial_join_zorder(spark, sf):
+    """Points stored in Z-order joined with the state polygons' intervals, one row per point on the way."""
+    pts = zorder.store(fx.points(spark, sf).select(*_PROW.split(", ")))
+    return zorder.spatial_join_zorder(pts, fx.state_polygon(spark, sf), "State_Code", z="z")
+
+
+@query("spatial_join_zorder_mixed", f"""with {G.PTS_ID}, boxes as ({G._MIXED})
+select p.county, p.lon, p.lat, b.pid as poly from pts p join boxes b
+  on p.lon >= b.x0 and p.lon < b.x1 and p.lat >= b.y0 and p.lat < b.y1""")
+def spatial_join_zorder_mixed(spark, sf):
+    """Overlapping polygons of very different sizes, all met through the one key of a point."""
+    pts = fx.points(spark, sf).select("county", "lon", "lat")
+    return zorder.spatial_join_zorder(pts, fx.mixed_boxes(spark, sf), "poly")
+
+
+@query("spatial_multipolygon_zorder", f"""with {G.PTS_ID}, {G._pip_sql(S.NATION_EDGES, 'e.region, e.State_Code')},
+regions as (select distinct pid, region from hits)
+select {_PCOLS}, r.region from regions r join pts p on p.pid = r.pid""")
+def spatial_multipolygon_zorder(spark, sf):
+    """Region multipolygons through the Z-order."""
+    pts = zorder.store(fx.points(spark, sf).select(*_PROW.split(", ")))
+    return zorder.spatial_join_zorder(pts, fx.region_multipolygon(spark, sf), "region", depth=3, z="z")
