@@ -48,7 +48,7 @@ from .common import BATCH_ROWS, sliced, table, written
 from .sharding import row_numbers
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-BLOCK, BITS, GROUPS = 8 << 20, 27, 1 << 20
+BLOCK, BITS, GROUPS = 4 << 20, 27, 1 << 20
 _FEW, _MANY = 2, 10_000                              # rows of an Arrow batch: stored blocks, small rows
 _BUCKET = 15                                         # bits of a bitmap bucket's size, as Spark builds them
 _RANGE = 17                                          # of a range of key buckets that is counted in one place
