@@ -101,28 +101,49 @@ def signed_codes(diff_cols: list[str]) -> list[Column]:
 
 # --- list forms (E1, E2, E3 as the reference writes them) --------------------
 
-def repeat_code(code: int, n) -> Column:
-    """``[code] * n`` (empty for n <= 0)."""
-    return F.array_repeat(F.lit(code), F.greatest(_c(n).cast("int"), F.lit(0)))
-
-
-def signed_repeat(code: int, diff) -> Column:
-    """E1, signed: ``[k]*d`` if d > 0, ``[-k]*|d|`` if d < 0, else []."""
-    d = _c(diff).cast("int")
-    return F.when(d > 0, F.array_repeat(F.lit(code), d)).otherwise(F.array_repeat(F.lit(-code), F.abs(d)))
-
-
-def concat_lists(*arrs: Column) -> Column:
-    """E2."""
-    return F.concat(*arrs)
-
-
-def net_list(p20, p10, net) -> Column:
-    """E3, list form including the -99 filler of losing blocks (dropped by P8)."""
-    p20, p10 = _c(p20), _c(p10)
-    gain = F.concat(repeat_code(1, p20 - p10), repeat_code(0, p10))
-    lose = F.concat(repeat_code(0, p20), repeat_code(-1, p10 - p20), repeat_code(-99, p20))
-    return F.when(_c(net) >= 0, gain).otherwise(lose)
+#
+# A list is a sequence of runs (code, length); it is built piece by piece, each
+# piece at most one chunk of individuals long, so no array grows with a block
+# and lengths are long numbers.
+
+def list_pieces(df: DataFrame, runs: list[tuple], key: str = "ID20", out: str = "codes", chunk_rows: int = 1 << 16,
+                partitions: int | None = None, spread: bool = True) -> DataFrame:
+    """The block rows with the concatenated list ``[code] * n + ...`` of
+    ``runs`` ((code, n): ints or Columns, n <= 0 for an empty run) in pieces:
+    ``out`` (an array of at most ``chunk_rows`` codes) and ``first``, the place
+    of its first code in the whole list (from 1)."""
+    ends, total = [], F.lit(0).cast("long")
+    for _, n in runs:
+        total = total + F.greatest(_c(n).cast("long"), F.lit(0).cast("long"))
+        ends.append(total)
+    names = [f"__end{i}" for i in range(len(runs))]
+    d = chunks(df.withColumns(dict(zip(names, ends))), names[-1], key, chunk_rows, partitions, spread)
+    parts, start = [], F.lit(0).cast("long")
+    for (code, _), end in zip(runs, names):
+        n = F.least(F.col(end), F.col("__hi")) - F.greatest(start, F.col("__lo") - 1)
+        parts.append(F.array_repeat(code if isinstance(code, Column) else F.lit(code), F.greatest(n, F.lit(0).cast("long")).cast("int")))
+        start = F.col(end)
+    return d.withColumns({out: F.concat(*parts), "first": F.col("__lo")}).drop("__lo", "__hi", *names)
+
+
+def explode_pieces(pieces: DataFrame, codes: str = "codes", k: str = "k", code: str = "code") -> DataFrame:
+    """One row per code of the lists of :func:`list_pieces`, with its place ``k`` in the whole list."""
+    keep = [c for c in pieces.columns if c not in (codes, "first")]
+    d = pieces.select(*keep, "first", F.posexplode(codes).alias("__at", code))
+    return d.select(*keep, (F.col("first") + F.col("__at")).alias(k), code)
+
+
+def signed_runs(diffs: list[str]) -> list[tuple]:
+    """The runs ``[k]*d`` (d > 0) or ``[-k]*|d|`` (d < 0) of race differences, in order."""
+    return [(F.when(F.col(c) < 0, F.lit(-(i + 1))).otherwise(F.lit(i + 1)), F.abs(F.col(c).cast("long"))) for i, c in enumerate(diffs)]
+
+
+def net_runs(p20, p10, net) -> list[tuple]:
+    """The runs of a block's net labels, the -99 filler of losing blocks included (dropped by P8)."""
+    p20, p10, gain = _c(p20), _c(p10), _c(net) >= 0
+    none = F.lit(0)
+    return [(1, F.when(gain, p20 - p10).otherwise(none)), (0, F.when(gain, p10).otherwise(p20)),
+            (-1, F.when(gain, none).otherwise(p10 - p20)), (-99, F.when(gain, none).otherwise(p20))]
 
 
 # --- permutation within a block (E6) -------------------------------------------

@@ -63,7 +63,7 @@ def nth_row(df: DataFrame, i: int, *order: str, near: int = NEAR) -> DataFrame:
     p = placed(df, *order)
     for r, n in p.sizes:
         if i < n:
-            return p.rows.where((F.col("__range") == r) & (F.col("__at") == i)).drop("__range", "__at")
+            return p.rows.where((F.col(p.range) == r) & (F.col(p.at) == i)).drop(p.range, p.at)
         i -= n
     return df.limit(0)
 

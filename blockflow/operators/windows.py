@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .ranges import placed
+from .ranges import free_name, placed
 
 
 def bfill(df: DataFrame, value: str, order_key: str, out: str | None = None) -> DataFrame:
@@ -28,19 +28,20 @@ def bfill(df: DataFrame, value: str, order_key: str, out: str | None = None) ->
     """
     out = out or value
     p = placed(df, order_key)
-    w = Window.partitionBy("__range").orderBy("__at").rowsBetween(0, Window.unboundedFollowing)
-    local = p.rows.withColumn("__fill", F.first(F.col(value), ignorenulls=True).over(w))
-    firsts = {r["__range"]: r["v"] for r in p.rows.where(F.col(value).isNotNull()).groupBy("__range").agg(
-        F.min_by(F.col(value), F.col("__at")).alias("v")).collect()}           # one row per range
+    own, later = free_name(p.rows, "fill"), free_name(p.rows, "next")
+    w = Window.partitionBy(p.range).orderBy(p.at).rowsBetween(0, Window.unboundedFollowing)
+    local = p.rows.withColumn(own, F.first(F.col(value), ignorenulls=True).over(w))
+    firsts = {r[0]: r[1] for r in p.rows.where(F.col(value).isNotNull()).groupBy(p.range).agg(
+        F.min_by(F.col(value), F.col(p.at))).collect()}                        # one row per range
     carry, nxt = [], None
     for r, _ in reversed(p.sizes):
         carry.append((r, nxt))
         nxt = firsts.get(r, nxt)
     spark = df.sparkSession
-    schema = local.select(F.col("__range"), F.col(value).alias("__next")).schema
+    schema = local.select(F.col(p.range), F.col(value).alias(later)).schema
     carry = spark.createDataFrame(carry, schema)
-    res = local.join(F.broadcast(carry), "__range", "left")
-    return res.withColumn(out, F.coalesce(F.col("__fill"), F.col("__next"))).drop("__range", "__at", "__fill", "__next")
+    res = local.join(F.broadcast(carry), p.range, "left")
+    return res.withColumn(out, F.coalesce(F.col(own), F.col(later))).drop(p.range, p.at, own, later)
 
 
 def number_within_group(df: DataFrame, group: str, order: list[str], out: str = "rn",
@@ -54,18 +55,20 @@ def number_within_group(df: DataFrame, group: str, order: list[str], out: str =
     Whether there are such groups is asked by one aggregate job.
     """
     w = Window.partitionBy(group).orderBy(*order)
-    large = df.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max_rows).select("__g")
+    g, n, pos, start = (free_name(df, x) for x in ("g", "n", "pos", "start"))
+    large = df.groupBy(F.col(group).alias(g)).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > max_rows).select(g)
     if large.isEmpty():
         return df.withColumn(out, F.row_number().over(w).cast("long"))
-    same = F.col(group).eqNullSafe(F.col("__g"))
+    same = F.col(group).eqNullSafe(F.col(g))
     small = df.join(large, same, "left_anti").withColumn(out, F.row_number().over(w).cast("long"))
-    rows = placed(df.join(large, same, "left_semi"), group, *order).numbered("__pos")
-    first = rows.groupBy(F.col(group).alias("__g")).agg(F.min("__pos").alias("__start"))
-    rows = rows.join(first, same).withColumn(out, F.col("__pos") - F.col("__start") + 1)
-    return small.unionByName(rows.drop("__pos", "__g", "__start"))
+    rows = placed(df.join(large, same, "left_semi"), group, *order).numbered(pos)
+    first = rows.groupBy(F.col(group).alias(g)).agg(F.min(pos).alias(start))
+    rows = rows.join(first, same).withColumn(out, F.col(pos) - F.col(start) + 1)
+    return small.unionByName(rows.drop(pos, g, start))
 
 
 def window_freq(df: DataFrame, key: str, out: str = "freq") -> DataFrame:
     """Rows per ``key`` attached to every row (``value_counts`` joined back)."""
-    f = df.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias(out))
-    return df.join(f, F.col(key).eqNullSafe(F.col("__k"))).drop("__k")
+    k = free_name(df, "k")
+    f = df.groupBy(F.col(key).alias(k)).agg(F.count(F.lit(1)).alias(out))
+    return df.join(f, F.col(key).eqNullSafe(F.col(k))).drop(k)

@@ -135,16 +135,16 @@ def _segment_of(points: DataFrame, starts: DataFrame, z: str) -> DataFrame:
     tie = F.xxhash64(*[c for c in points.columns if c != z])
     p = placed(both.withColumn("__tie", tie), z, "__kind", "__tie")
     start = F.when(F.col("__kind") == 0, F.col(z))
-    so_far = Window.partitionBy("__range").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy(p.range).orderBy(p.at).rowsBetween(Window.unboundedPreceding, 0)
     rows = p.rows.withColumn("__own", F.last(start, ignorenulls=True).over(so_far)).where("__kind = 1")
-    lasts = {r["__range"]: r["v"] for r in p.rows.where("__kind = 0").groupBy("__range").agg(F.max(z).alias("v")).collect()}   # one per range
+    lasts = {r[0]: r[1] for r in p.rows.where("__kind = 0").groupBy(p.range).agg(F.max(z)).collect()}   # one per range
     carry, before = [], None
     for r, _ in p.sizes:
         carry.append((r, before))
         before = lasts.get(r, before)
-    carry = points.sparkSession.createDataFrame(carry, "__range int, __before long")
-    rows = rows.join(F.broadcast(carry), "__range", "left").withColumn("__seg", F.coalesce("__own", "__before"))
-    return rows.drop("__range", "__at", "__kind", "__tie", "__own", "__before")
+    carry = points.sparkSession.createDataFrame(carry, "r int, __before long").withColumnRenamed("r", p.range)
+    rows = rows.join(F.broadcast(carry), p.range, "left").withColumn("__seg", F.coalesce("__own", "__before"))
+    return rows.drop(p.range, p.at, "__kind", "__tie", "__own", "__before")
 
 
 def spatial_join_zorder(points: DataFrame, polys: DataFrame, key: str, x: str = "lon", y: str = "lat", geom: str = "geometry",
@@ -158,7 +158,7 @@ def spatial_join_zorder(points: DataFrame, polys: DataFrame, key: str, x: str =
     are placed by ranges once; the segments are broadcast only within
     ``max_broadcast_bytes``, otherwise joined by a shuffle that AQE splits.
     """
-    spatial.check_names(points, polys, key, geom, {"__z", "__span", "__seg", "__over", "__kind", "__tie", "__range", "__at", "__own", "__before"})
+    spatial.check_names(points, polys, key, geom, {"__z", "__span", "__seg", "__over", "__kind", "__tie", "__own", "__before"})
     spatial.check_key(polys, key)
     checkpoint_dir(polys.sparkSession)
     p = spatial.with_level(polys.select(key, geom), geom, depth, per_side)

@@ -11,11 +11,12 @@ recomputed partition is bit-identical to the lost one.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import scratch_path
-from ..sources import sinks
+from ..sources import files, sinks
 from . import apportion as AP, datasets as DS, migration as MG
 
 RACE_MEASURES = ["P10"] + [f"R10{k}" for k in range(1, 8)]
@@ -50,9 +51,24 @@ def grid_cluster(df: DataFrame, x: str, y: str, cell: float) -> DataFrame:
     return df.repartitionByRange(key, F.col(x), F.col(y)).sortWithinPartitions(key)
 
 
+def _tag(out_dir: str) -> str:
+    return f"blockflow_{uuid.uuid5(uuid.NAMESPACE_URL, out_dir).hex}"
+
+
+def block_tables(spark, out_dir: str, paths: dict[str, str], buckets: int | None = None) -> dict[str, DataFrame]:
+    """The bucketed block tables of a :func:`build_datasets` run (``buckets`` as given there)."""
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return {n: sinks.bucketed_table(spark, f"{_tag(out_dir)}_{n}", "ID20", buckets, paths[n]) for n in STAGES[:3]}
+
+
+#: The written tables in order; the first three are block tables, bucketed by ID20.
+STAGES = ("mapped_blocks", "total_attr", "race_migration", "total_population", "net_migration", "by_state")
+
+
 def build_datasets(block10: DataFrame, block20: DataFrame, crosswalk: DataFrame, polys: DataFrame,
                    county_dim: DataFrame, out_dir: str, seed: int = 0,
-                   grid_cell_m: float = 100_000.0, states: DataFrame | None = None) -> dict[str, str]:
+                   grid_cell_m: float = 100_000.0, states: DataFrame | None = None,
+                   resume: bool = False, stop_after: str | None = None, buckets: int | None = None) -> dict[str, str]:
     """Run the whole batch preparation; returns the written table paths.
 
     ``block10``: ID10, P10, R101..R107; ``block20``: ID20, STATE, COUNTY,
@@ -60,19 +76,49 @@ def build_datasets(block10: DataFrame, block20: DataFrame, crosswalk: DataFrame,
     geometry; ``county_dim``: id, name.  With ``states`` (State_Code,
     geometry, lon/lat) the net-migration points are also split one directory
     per state (``by_state``), for a reader that opens one state only.
+
+    K4: a stage counts as done when its folder holds the commit mark of the
+    write.  With ``resume`` stages already done are read, not run again (a
+    half-written one is run anew); ``stop_after`` names the last stage to run.
+    The block tables are bucketed and sorted by ID20 (``buckets``, by default
+    the shuffle width), so their joins by block move no row.
     """
-    paths = {k: os.path.join(out_dir, k) for k in
-             ("mapped_blocks", "total_attr", "race_migration", "total_population", "net_migration")}
-    ap = AP.apportion(crosswalk, block10, RACE_MEASURES)
-    mapped = materialize(AP.mapped_blocks(block20, ap), "mapped_blocks", paths["mapped_blocks"])
-    mig = materialize(MG.migration_table(mapped), "total_attr", paths["total_attr"])
-    rmig = materialize(MG.race_migration_table(mapped), "race_migration", paths["race_migration"])
-    races = mapped.select("ID20", *[f"R20{k}" for k in range(1, 8)])
-    total = DS.total_population_dataset(mig, races, polys, county_dim, seed=seed)
-    sinks.write_parquet(grid_cluster(total, "easting", "northing", grid_cell_m), paths["total_population"])
-    net = DS.net_migration_dataset(rmig, polys, seed=seed)
-    sinks.write_parquet(grid_cluster(net, "x", "y", 1.0), paths["net_migration"])
-    if states is not None:
+    spark = block20.sparkSession
+    paths = {k: os.path.join(out_dir, k) for k in STAGES[:5]}
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tag = _tag(out_dir)
+
+    def ended(name: str) -> bool:
+        return name == stop_after
+
+    def done(name: str) -> bool:
+        return resume and files.path_exists(spark, os.path.join(paths[name], "_SUCCESS"))
+
+    def block_table(name: str, make) -> DataFrame:
+        if done(name):
+            return sinks.bucketed_table(spark, f"{tag}_{name}", "ID20", buckets, paths[name])
+        return sinks.write_bucketed(make(), f"{tag}_{name}", "ID20", buckets, paths[name])
+
+    mapped = block_table("mapped_blocks", lambda: AP.mapped_blocks(block20, AP.apportion(crosswalk, block10, RACE_MEASURES)))
+    if ended("mapped_blocks"):
+        return paths
+    mig = block_table("total_attr", lambda: MG.migration_table(mapped))
+    if ended("total_attr"):
+        return paths
+    rmig = block_table("race_migration", lambda: MG.race_migration_table(mapped))
+    if ended("race_migration"):
+        return paths
+    if not done("total_population"):
+        races = mapped.select("ID20", *[f"R20{k}" for k in range(1, 8)])
+        total = DS.total_population_dataset(mig, races, polys, county_dim, seed=seed)
+        sinks.write_parquet(grid_cluster(total, "easting", "northing", grid_cell_m), paths["total_population"])
+    if ended("total_population"):
+        return paths
+    if not done("net_migration"):
+        net = DS.net_migration_dataset(rmig, polys, seed=seed)
+        sinks.write_parquet(grid_cluster(net, "x", "y", 1.0), paths["net_migration"])
+    if states is not None and not ended("net_migration"):
         paths["by_state"] = os.path.join(out_dir, "by_state")
-        DS.split_new_states(net.sparkSession.read.parquet(paths["net_migration"]).drop("state"), states, paths["by_state"], "x", "y")
+        # states already written are left out there
+        DS.split_new_states(spark.read.parquet(paths["net_migration"]).drop("state"), states, paths["by_state"], "x", "y")
     return paths

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F, types as T
 
 from .catalog import query
 from .functions import ids
-from .plans import datasets as DS, fixtures as fx
+from .plans import datasets as DS, fixtures as fx, stages
 from .plans import fixtures_sql as S
 from .session import scratch_path
 from .sources import files, sinks
@@ -137,7 +137,11 @@ def scan_polygons(spark, sf):
 def cached_view(spark, sf):
     """A published (cached, named) dataset answering SQL."""
     name = files.publish(fx.points(spark, sf).select(*_PROW.split(", ")))
-    return spark.sql(f"select state, count(*) as cnt from {name} where net = 1 group by state")
+    try:
+        found = spark.sql(f"select state, count(*) as cnt from {name} where net = 1 group by state")
+        return stages.materialize(found, "cached_view")
+    finally:
+        files.unpublish(spark, name)
 
 
 @query("sink_csv_roundtrip", f"select ID20, STATE, P20 from ({S.BLOCK20}) b")
@@ -171,11 +175,12 @@ def _text_state():
 
 @query("sink_incremental", f"select county, {_TEXT_STATE} as state, net, race, lon, lat from ({S.POINTS}) p")
 def sink_incremental(spark, sf):
-    """K3: incremental, three runs; text states ("01") and a null state are
+    """K3: incremental, four runs, the first without rows; text states ("01") and a null state are
     each written once."""
     pts = fx.points(spark, sf).select(*_PROW.split(", "))
     new = pts.withColumn("state", _text_state())
     path = scratch_path(spark, "k3_incremental")
+    sinks.write_new_states(new.where("state = 'none'"), path)                # a run without rows
     sinks.write_new_states(new.where("state is null or state < '12'"), path)
     sinks.write_new_states(new.where("state >= '12'"), path)
     sinks.write_new_states(new.where("state is null or state < '20'"), path)

@@ -276,10 +276,9 @@ def _net_rows_sql() -> str:
 def expand_net_list(spark, sf):
     """E3 + P8: the label lists in list form, exploded, -99 filler dropped."""
     m = _mig(spark, sf).where((F.col("P20") != 0) | (F.col("eq_P10") != 0))
-    m = m.withColumn("__l", expand.net_list("P20", "eq_P10", "block_net"))
-    e = m.select("ID20", F.posexplode("__l").alias("__pos", "net"))
-    e = e.where(F.col("net") != -99)
-    return e.select("ID20", (F.col("__pos") + 1).cast("long").alias("k"), F.col("net").cast("int"))
+    runs = expand.net_runs("P20", "eq_P10", "block_net")
+    e = expand.explode_pieces(expand.list_pieces(m, runs, chunk_rows=64), code="net").where(F.col("net") != -99)
+    return e.select("ID20", "k", F.col("net").cast("int"))
 
 
 @query("expand_net_ordinal", PREP + _net_rows_sql())
@@ -311,17 +310,23 @@ def expand_race_ordinal(spark, sf):
     return e.select("ID20", "k", expand.label_by_cumulative("k", cum, list(RK), 0).alias("race"))
 
 
+def _only(code: int):
+    return lambda c: F.when(F.abs(c) == code, c).otherwise(F.lit(0))
+
+
 @query("array_repeat_race", PREP + "select ID20, " + ", ".join(
     f"cast(abs(R{k}_diff) as integer) as n{k}, cast(case when R{k}_diff > 0 then {k} when R{k}_diff < 0 then -{k} end as integer) as c{k}"
     for k in RK) + " from rmig2")
 def array_repeat_race(spark, sf):
-    """Signed race lists per block (size and code of each list)."""
+    """Signed race lists per block, built piece by piece (size and code of each list)."""
     r = _rmig(spark, sf)
+    pieces = expand.list_pieces(r.select("ID20", *MG.RACE_DIFFS), expand.signed_runs(MG.RACE_DIFFS), chunk_rows=64)
     cols = []
     for k in RK:
-        arr = expand.signed_repeat(k, f"R{k}_diff")
-        cols += [F.size(arr).alias(f"n{k}"), F.get(arr, 0).alias(f"c{k}")]
-    return r.select("ID20", *cols)
+        mine = F.array_remove(F.transform("codes", _only(k)), 0)
+        cols += [F.sum(F.size(mine)).cast("int").alias(f"n{k}"), F.max(F.get(mine, 0)).alias(f"c{k}")]
+    found = pieces.groupBy("ID20").agg(*cols)
+    return r.select("ID20").join(found, "ID20", "left").na.fill(0, [f"n{k}" for k in RK])
 
 
 @query("array_concat_race", PREP + f"""select r.ID20, t.k, {_race_case('t.k', _RD,
@@ -329,10 +334,9 @@ def array_repeat_race(spark, sf):
   from rmig2 r, generate_series(1, r.points) t(k) where r.points <> 0""")
 def array_concat_race(spark, sf):
     """The seven signed lists concatenated and exploded (list form)."""
-    r = _rmig(spark, sf).where(F.col("points") != 0)
-    lst = expand.concat_lists(*[expand.signed_repeat(k, f"R{k}_diff") for k in RK])
-    e = r.select("ID20", F.posexplode(lst).alias("__pos", "race"))
-    return e.select("ID20", (F.col("__pos") + 1).cast("long").alias("k"), "race")
+    r = _rmig(spark, sf).where(F.col("points") != 0).select("ID20", *MG.RACE_DIFFS)
+    pieces = expand.list_pieces(r, expand.signed_runs(MG.RACE_DIFFS), chunk_rows=64)
+    return expand.explode_pieces(pieces, code="race").select("ID20", "k", "race")
 
 
 @query("shuffle_within_block", PREP + f"""select ID20, k, {_race_case('pos', _RD,

@@ -5,12 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import queries_core as Q, queries_geo as G
+from . import queries_core as Q, queries_geo as G, queries_prep as QP
 from .catalog import query
 from .operators import pyramid as PY, zorder
-from .plans import cube as CU, fixtures as fx
+from .plans import cube as CU, fixtures as fx, stages
 from .plans import fixtures_sql as S
 from .plans.fixtures_sql import d
+from .session import scratch_path
+from .sources import files, incremental, sinks
 
 # --- C3 from the cube -----------------------------------------------------------
 
@@ -92,3 +94,58 @@ def spatial_multipolygon_zorder(spark, sf):
     """Region multipolygons through the Z-order."""
     pts = zorder.store(fx.points(spark, sf).select(*_PROW.split(", ")))
     return zorder.spatial_join_zorder(pts, fx.region_multipolygon(spark, sf), "region", depth=3, z="z")
+
+
+# --- A4 / A7 from file footers --------------------------------------------------------
+
+@query("data_bounds_stored", Q.P("""select count(*) as n_rows, round(min(easting), 4) as xmin, round(max(easting), 4) as xmax,
+  round(min(northing), 4) as ymin, round(max(northing), 4) as ymax from points"""))
+def data_bounds_stored(spark, sf):
+    """Row count and extent of stored points from the file footers, no row read."""
+    path = sinks.write_parquet(fx.points(spark, sf), scratch_path(spark, "stored_points"))
+    r = files.stored_stats(spark, path, ["easting", "northing"])
+    row = (r["n_rows"], r["min_easting"], r["max_easting"], r["min_northing"], r["max_northing"])
+    out = spark.createDataFrame([row], "n_rows long, xmin double, xmax double, ymin double, ymax double")      # one row
+    return out.select("n_rows", *[F.round(c, 4).alias(c) for c in out.columns[1:]])
+
+
+# --- block tables bucketed, stages resumed, files taken once -------------------------------
+
+@query("join_bucketed", QP.PREP + f"""select m.ID20, m.P20, m.eq_P10, r.P_delta, {', '.join(f'b.R20{k}' for k in QP.RK)}
+  from mig m join b20 b on b.ID20 = m.ID20 left join rmig2 r on r.ID20 = m.ID20""")
+def join_bucketed(spark, sf):
+    """Three block tables bucketed by ID20, joined bucket by bucket."""
+    base = scratch_path(spark, "bucketed")
+    paths = stages.build_datasets(fx.block10(spark, sf), fx.block20(spark, sf), fx.crosswalk(spark, sf), fx.block_polygon(spark, sf),
+                                  fx.dim_state(spark, sf), base, stop_after="race_migration")
+    return joined_block_tables(spark, base, paths)
+
+
+def joined_block_tables(spark, base, paths):
+    t = stages.block_tables(spark, base, paths)
+    races = t["mapped_blocks"].select("ID20", *[f"R20{k}" for k in QP.RK]).hint("merge")
+    delta = t["race_migration"].select("ID20", "P_delta").hint("merge")
+    return t["total_attr"].select("ID20", "P20", "eq_P10").join(races, "ID20").join(delta, "ID20", "left")
+
+
+@query("stages_resumed", QP._RPREP + QP._PERMUTED + QP._g2_sql(
+    QP._NET_ROWS, "r.ID20 as blockid, r.k, f.x, f.y, r.race, r.STATE as state, r.COUNTY as county, "
+                  "r.P_delta as block_diff, cast(sign(r.P_delta) as integer) as block_net"))
+def stages_resumed(spark, sf):
+    """K4: the preparation stopped after the migration tables, then gone on from them."""
+    inputs = (fx.block10(spark, sf), fx.block20(spark, sf), fx.crosswalk(spark, sf), fx.block_polygon(spark, sf), fx.dim_state(spark, sf))
+    base = scratch_path(spark, "stages")
+    stages.build_datasets(*inputs, base, stop_after="race_migration")
+    return spark.read.parquet(stages.build_datasets(*inputs, base, resume=True)["net_migration"])
+
+
+@query("sink_available_now", f"select county, state, net, race, lon, lat from ({S.POINTS}) p")
+def sink_available_now(spark, sf):
+    """Three runs of an incremental load, new files before the first and the third; each row once."""
+    pts = fx.points(spark, sf).select("county", "state", "net", "race", "lon", "lat")
+    base = scratch_path(spark, "incremental")
+    for new in ("state < 9", None, "state >= 9"):
+        if new:
+            pts.where(new).write.mode("append").parquet(f"{base}/in")
+        incremental.load_new_files(spark, f"{base}/in", pts.schema, f"{base}/out", f"{base}/checkpoint", partition_by=["state"])
+    return incremental.loaded(spark, f"{base}/out", pts.schema).select(*pts.columns)

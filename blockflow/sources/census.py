@@ -41,15 +41,27 @@ def read_block2020(spark: SparkSession, path: str, encoding: str = "ISO-8859-1")
                      *[F.col(f"U7B00{k + 2}").alias(f"R20{k}") for k in range(1, 8)])
 
 
+def first_line(spark: SparkSession, path: str) -> str | None:
+    """The first line of a text file (compressed ones too), through its own file system; None for an empty file."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    jp = jvm.org.apache.hadoop.fs.Path(path)
+    stream = jp.getFileSystem(conf).open(jp)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(jp)
+        text = codec.createInputStream(stream) if codec is not None else stream
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(text, "UTF-8")).readLine()
+    finally:
+        stream.close()
+
+
 def files_by_header(spark: SparkSession, pattern: str) -> dict[str, list[str]]:
-    """Header line -> files of ``pattern`` having it.  One distributed pass over
-    the lines; only the header line of each file reaches the driver."""
-    lines = spark.read.text(pattern).select("value", F.col("_metadata.file_path").alias("path"))
-    # a header names the id columns, a data row holds numbers
-    heads = lines.where(F.col("value").contains(REL_KEYS[0]) & F.col("value").contains(REL_KEYS[-1])).distinct().collect()
+    """Header line -> files of ``pattern`` having it; of each file (one per
+    state) its first line alone is read.  Empty files have no rows and no header."""
     out: dict[str, list[str]] = {}
-    for r in sorted(heads, key=lambda r: r["path"]):
-        out.setdefault(r["value"].rstrip("\r").lstrip(BOM), []).append(unquote(r["path"]))
+    for path in sorted(spark.read.text(pattern).inputFiles()):
+        line = first_line(spark, path)
+        if line is not None:
+            out.setdefault(line.rstrip("\r").lstrip(BOM), []).append(unquote(path))
     return out
 
 
@@ -58,17 +70,18 @@ def read_relationship(spark: SparkSession, pattern: str) -> DataFrame:
 
     Columns are taken by header name, file by file: the files are grouped by
     their header line, each group is one scan under its own names, and the
-    groups are united by name.  Files may carry more columns, in any order; a
-    file that lacks an id column is an error.  A byte-order mark in front of
+    groups are united by name.  Files may carry more columns, in any order, and
+    names in any case; a file whose first line lacks an id column, header or
+    not, is an error.  A byte-order mark in front of
     the first name is ignored, and the id parts are cast to int and composed
     into 15-digit ids (F3).
     """
     parts = None
     for header, paths in files_by_header(spark, pattern).items():
-        names = [c.strip().strip('"') for c in header.split("|")]
-        missing = set(REL_KEYS) - set(names)
+        names = [c.strip().strip('"').strip() for c in header.split("|")]
+        missing = set(REL_KEYS) - {c.upper() for c in names}
         if missing:
-            raise ValueError(f"{paths[0]}: no column {sorted(missing)}")
+            raise ValueError(f"{', '.join(paths[:3])}: the first line names no column {sorted(missing)}")
         schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
         raw = spark.read.schema(schema).option("header", True).option("sep", "|").csv(paths)
         raw = raw.select(*[F.col(c).cast("int").alias(c) for c in REL_KEYS])

@@ -5,6 +5,7 @@ file."""
 from __future__ import annotations
 
 import uuid
+from urllib.parse import unquote
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -75,20 +76,61 @@ def read_polygons(spark: SparkSession, path: str, id_col: str = "GEOID20", geom_
     return df.select(F.col(id_col), F.from_json(F.col(geom_col), MULTIPOLYGON_DDL).alias(geom_col))
 
 
-def path_exists_as_table(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` exists, asked of its Hadoop file system (no job, no
-    logged "not found" error); falls back to resolving the table."""
+    logged "not found" error); falls back to resolving it as a table."""
     try:
         jp = spark._jvm.org.apache.hadoop.fs.Path(path)
         return bool(jp.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jp))
     except AttributeError:  # no JVM handle (e.g. a Connect session)
         try:
-            spark.read.parquet(path).schema  # noqa: B018 - resolves the file listing only
+            spark.read.text(path).schema  # noqa: B018 - resolves the file listing only
             return True
         except AnalysisException:
             return False
 
 
+def stored_stats(spark: SparkSession, path: str, columns: list[str]) -> dict:
+    """A4 / A7 from the footers of the Parquet files at ``path``: ``n_rows`` and
+    min / max per column, without reading a row (the V2 reader with the
+    aggregates pushed down).  Files without statistics for a column (NaN in it,
+    or written without) are scanned instead."""
+    settings = {"spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,orc,text", "spark.sql.parquet.aggregatePushdown": "true"}
+    aggs = [F.count(F.lit(1)).alias("n_rows")]
+    for c in columns:
+        aggs += [F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}")]
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = spark.read.parquet(path).agg(*aggs).first().asDict()
+        return found | {"n_rows": found["n_rows"] or 0}                 # null where every file is empty
+    except Exception as e:
+        if "No min/max found" not in str(e):
+            raise
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.parquet(path).agg(*aggs).first().asDict()
+
+
+def partition_values(spark: SparkSession, path: str, column: str) -> list[str | None]:
+    """The values of the partition folders ``column=value`` at ``path``, as
+    written (None for the null partition), listed by the path's file system."""
+    null = "__HIVE_DEFAULT_PARTITION__"
+    try:
+        jp = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = jp.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(jp) if s.isDirectory()] if fs.exists(jp) else []
+    except AttributeError:  # no JVM handle (e.g. a Connect session)
+        if not path_exists(spark, path):
+            return []
+        found = spark.read.schema(f"`{column}` string").parquet(path).select(column).distinct().collect()
+        return [r[0] for r in found]
+    values = [unquote(n.split("=", 1)[1]) for n in names if n.startswith(column + "=")]
+    return [None if v == null else v for v in values]
+
+
 def publish(df: DataFrame, name: str | None = None, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> str:
     """Keep a loaded dataset at storage ``level`` and name it for SQL;
     returns the view's name (a fresh one by default).  :func:`unpublish` gives

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .files import path_exists_as_table, read_dataset
+from .files import partition_values
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", sep: str = ",",
@@ -39,15 +39,16 @@ def write_by_state(df: DataFrame, path: str, state_col: str = "state", mode: str
 
 
 def states_written(spark, path: str, state_col: str, state_type) -> DataFrame:
-    """The states (null too) that a dataset at ``path`` holds, in ``state_type``."""
-    return read_dataset(spark, path, state_col=state_col, state_type=state_type).select(state_col).distinct()
+    """The states (null too) that a dataset at ``path`` holds, in ``state_type``:
+    the names of its partition folders (one row each), no file is opened.  A
+    folder without any, or no folder, holds none."""
+    names = [(n,) for n in partition_values(spark, path, state_col)]
+    return spark.createDataFrame(names, "name string").select(F.col("name").cast(state_type).alias(state_col))
 
 
 def without_written(df: DataFrame, path: str, state_col: str = "state") -> DataFrame:
     """Rows of ``df`` (points, or the state polygons before any work is done
     for them) whose state is not yet in the dataset at ``path``."""
-    if not path_exists_as_table(df.sparkSession, path):
-        return df
     done = states_written(df.sparkSession, path, state_col, df.schema[state_col].dataType)
     done = done.withColumnRenamed(state_col, "__done")
     return df.join(done, F.col(state_col).eqNullSafe(F.col("__done")), "left_anti")
@@ -59,3 +60,20 @@ def write_new_states(df: DataFrame, path: str, state_col: str = "state") -> str:
     df = without_written(df, path, state_col)
     df.hint("rebalance", state_col).write.mode("append").partitionBy(state_col).parquet(path)
     return path
+
+
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int, path: str) -> DataFrame:
+    """K4 for block tables: ``df`` as table ``name`` at ``path``, cut into
+    ``buckets`` by a hash of ``key`` and sorted by it in each.  Tables bucketed
+    alike join, group and number by ``key`` without a shuffle."""
+    df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def bucketed_table(spark, name: str, key: str, buckets: int, path: str) -> DataFrame:
+    """The files of an earlier :func:`write_bucketed` as table ``name`` of this session."""
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+        spark.sql(f"create table {name} ({columns}) using parquet clustered by (`{key}`) sorted by (`{key}`) "
+                  f"into {buckets} buckets location '{path}'")
+    return spark.table(name)

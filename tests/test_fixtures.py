@@ -59,8 +59,9 @@ def test_net_lists_list_equals_ordinal(spark):
     pairs = [(5, 2), (2, 5), (3, 3), (0, 4), (4, 0), (0, 0)]
     df = spark.createDataFrame([(i, p20, p10) for i, (p20, p10) in enumerate(pairs)], "ID20 long, P20 int, P10 int")
     df = df.withColumn("net", numeric.sign_net(F.col("P20") - F.col("P10")))
-    lst = df.select("ID20", F.posexplode(expand.net_list("P20", "P10", "net")).alias("p", "lab")) \
-        .where("lab != -99").select("ID20", (F.col("p") + 1).cast("long").alias("k"), "lab")
+    pieces = expand.list_pieces(df, expand.net_runs("P20", "P10", "net"), chunk_rows=2)
+    assert pieces.where(F.size("codes") > 2).count() == 0
+    lst = expand.explode_pieces(pieces, code="lab").where("lab != -99").select("ID20", "k", "lab")
     d2 = df.withColumn("n", expand.rows_per_block("P20", "P10", "net"))
     ordn = expand.explode_individuals(d2, "n", chunk_rows=2).select(
         "ID20", "k", expand.net_label("k", "P20", "P10", "net").alias("lab"))
