@@ -1,7 +1,11 @@
 """Operators on pairs and groups, and the pipeline."""
 
+import os
 import random
 import re
+import subprocess
+import sys
+import unicodedata
 from itertools import combinations
 
 import numpy as np
@@ -13,6 +17,7 @@ from blockflow.llm import components, decontaminate, embeddings, line_dedup, pac
 from blockflow.llm.common import table
 
 SF = "/root/testdata/sf0.001"
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -329,14 +334,95 @@ def test_windows_with_few_edits_are_found_and_clean_texts_left():
     texts += [" ".join(rng.choices(words, k=400)) for _ in range(20)] + [None, "", "short"]
     hits = {}
     for d, t, dist, x, y in index.regions(texts):
-        hits.setdefault(d, set()).add(index.ids[t])
-        starts, m = index.windows[t]
-        piece = re.sub(" +", " ", decontaminate._plain(texts[d][x:y]))
-        assert dist <= index.k[t] and min(brute_align(index.texts[t][s:s + m], piece) for s in starts) <= dist
+        hits.setdefault(d, set()).add(items[t][0])
+        piece, (m, k, windows) = re.sub(" +", " ", decontaminate._plain(texts[d][x:y])), brute_windows(items[t][1])
+        assert dist <= k and min(brute_align(w, piece) for w in windows) <= dist
     assert all(i in hits.get(n, set()) for n, i in enumerate(truth))
     assert not [d for d in hits if d >= len(truth)]
 
 
+def brute_reading(text):
+    """Letters, digits and marks in lower case, one blank for each run of others."""
+    low = ((c.lower() if len(c.lower()) == 1 else c) if unicodedata.category(c)[0] in "LMN" else " " for c in text)
+    return re.sub(" +", " ", "".join(low)).strip(" ")
+
+
+def brute_windows(text, window=96):
+    text = brute_reading(text or "")
+    m = min(len(text), window)
+    if m < 8:
+        return m, 0, []
+    starts = sorted({*range(0, len(text) - m + 1, max(1, m // 4)), len(text) - m})
+    return m, max(0, min(int(0.1 * m), m // 8 - 1)), [text[s:s + m] for s in starts]
+
+
+def brute_contaminated(texts, items):
+    """{(text number, item number)}: some window of the item ends somewhere in the text within its edits."""
+    gap = 12                                               # more than any budget
+    whole, ends = [], []
+    for t in texts:
+        whole += [ord(c) for c in brute_reading(t or "")] + [0x110000] * gap
+        ends.append(len(whole))
+    code = np.array(whole, dtype=np.int32)
+    idx, found = np.arange(len(code) + 1, dtype=np.int32), set()
+    for n, (_, text) in enumerate(items):
+        m, k, windows = brute_windows(text)
+        for w in windows:
+            cost = np.zeros(len(code) + 1, dtype=np.int32)
+            for c in w:
+                nxt = np.minimum(cost[:-1] + (code != ord(c)), cost[1:] + 1)
+                cost = np.minimum.accumulate(np.concatenate([[cost[0] + 1], nxt]) - idx) + idx
+            found |= {(int(np.searchsorted(ends, j, "left")), n) for j in np.flatnonzero(cost <= k) if j}
+    return found
+
+
+def test_filter_against_all_windows_at_all_places():
+    rng = random.Random(12)
+    words = ["the", "of", "and", "ab", "ba", "river", "\u2019s", "na\u00efve", "a", "10"]
+    items = [(i, " ".join(rng.choices(words, k=rng.randrange(3, 70)))) for i in range(14)] + [(90, "ha " * 60), (91, None), (92, "tiny")]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(0, 200))) for _ in range(25)]
+    for _, t in items[:14] * 3:
+        at = rng.randrange(0, max(1, len(t) - 60))
+        texts.append("x " * rng.randrange(0, 40) + edited(rng, t[at:at + 130], rng.randrange(0, 12)) + " y" * 30)
+    texts += ["ha " * 50, "haha " * 50, None, ""]
+    want = brute_contaminated(texts, items)
+    for part in (2048, 40):
+        got = {(d, t) for d, t, *_ in decontaminate.Index(items, part=part).regions(texts)}
+        assert got == want and len(want) > 15
+    once = list(decontaminate.Index(items).regions(texts, once=True))
+    assert len(once) == len({d for d, *_ in once}) and {d for d, *_ in once} == {d for d, _ in want}
+
+
+BLANKS = [chr(c) for c in range(0x10000) if chr(c).isspace()] + ["\u200b", "\ufeff", " \u2014 ", "...", "\u3002", "\u00a0\u3000"]
+
+
+def test_exact_copies_with_any_blank_are_found():
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklm", k=5)) for _ in range(16)]
+    noise = " ".join("".join(rng.choices("nopqrstuvw", k=6)) for _ in range(60))
+    for blank in BLANKS:
+        item, plain = blank.join(words), " ".join(words)
+        for a, b in ((item, f"{noise} {item} {noise}"), (item, f"{noise} {plain} {noise}"), (plain, f"{noise} {item} {noise}")):
+            got = list(decontaminate.Index([(1, a)]).regions([b]))
+            assert got and min(g[2] for g in got) == 0, repr(blank)
+    curly = [(1, "the dog\u2019s owner didn\u2019t say \u201cwhat\u201d it\u2019s called, we\u2019re sure they\u2019ll tell us that he\u2019s gone")]
+    got = list(decontaminate.Index(curly).regions([curly[0][1].replace("\u2019", "'").replace("\u201c", '"').replace("\u201d", '"')]))
+    assert got and got[0][2] == 0
+
+
+def test_periodic_texts_in_bounded_memory():
+    # four million characters that repeat, against an item that repeats: in a process of its own, for its peak
+    code = ("import resource, sys; from blockflow.llm import decontaminate as D\n"
+            "ix = D.Index([(1, 'ha' * 250)]); spans = []\n"
+            "for d, t, dist, x, y in ix.regions(['ha' * 2_000_000]):\n"
+            "    spans.append((x, y)); spans = D.joined(spans) if len(spans) > 256 else spans\n"
+            "assert D.joined(spans) == [(0, 4_000_000)]\n"
+            "print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)")
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=300)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout) < 500
+
+
 def test_long_texts_are_read_over_every_edge():
     rng = random.Random(2)
     item = "".join(rng.choices("abcdefghij klmnop", k=150))
@@ -395,7 +481,7 @@ def test_pipeline_against_brute_force(spark):
     assert three.columns == names and sorted(r["doc_id"] for r in three.collect()) == sorted(set(low))
     four = P.decontamination_stage(spark, three, sf)
     texts = {r["doc_id"]: r["text"] for r in three.collect()}
-    hit = {list(texts)[d] for d, *_ in decontaminate.Index([tuple(r) for r in table(spark, sf, "benchmark").collect()]).regions(list(texts.values()))}
+    hit = {list(texts)[d] for d, _ in brute_contaminated(list(texts.values()), [tuple(r) for r in table(spark, sf, "benchmark").collect()])}
     assert four.columns == names and {r["doc_id"] for r in four.collect()} == set(texts) - hit
     five = P.run(spark, sf).collect()
     assert {r["doc_id"] for r in five} == set(texts) - hit
