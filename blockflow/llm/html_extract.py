@@ -6,7 +6,16 @@ inline tags do not cut a block.  Scripts, styles, forms, menus, headers,
 footers, sidebars, notices, adverts and reader comments are known by tag,
 role, class or id and leave no block.  A class or id that tells a state or a
 layout ("has-sidebar", "content-sidebar-wrap") names no such part, and an
-element that holds the article or over half of the score is none.
+element that holds the article or over half of the score is none.  Inside an
+article or main a name counts if all its words name parts ("comment-list", not
+"related-work"); one with other words too does only where over half of the
+element's text is linked.  A heading or paragraph there is never a part by its
+id.  A label is text like any other unless it stands in a form, and formulas
+are part of their sentence (their source annotations aren't).
+
+The scanner goes forward once: what it can't find ahead (a closing quote, a
+">") it doesn't look for again, and stray closing tags are known by a count of
+open ones, so time grows with the page's length whatever its markup.
 
 Ratios.  For each tag path the text length and the punctuation of all its
 blocks are added up and divided by the number of its blocks; the score of a
@@ -18,7 +27,10 @@ and a stray line in between loses to its own path), and blocks over
 
 Selection.  The main container is the deepest element with ``COVER`` of the
 content blocks' text that is no block of text, list or table, widened to an
-enclosing ``article`` or ``main``.  An article or main is taken whole.  On
+enclosing ``article`` or ``main``.  An article or main is taken whole.  Other
+articles beside the one with most of the score are taken too unless they are
+teasers: those with fewer than two content blocks, or with half of their text
+linked.  On
 pages without one every content block is taken, wherever it stands; the
 element that holds them all (unless it is the body) is the container, and its
 headings and short paragraphs, whose own ratio says little, are taken with
@@ -51,20 +63,21 @@ from .common import map_text, sliced, table
 
 THRESHOLD, COVER, SMOOTH = 0.2, 0.8, 2.0
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"</?([a-zA-Z][^\s/><]*)")
+_MARKS = re.compile(r"[>\"']")
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORDS = re.compile(r"[a-z0-9]+")
 _PUNCT = re.compile(r"[.,;:!?…。，；：！？]")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math canvas object".split())
+RAW = frozenset("""script style textarea title xmp iframe noembed noframes noscript template svg canvas object
+    annotation annotation-xml""".split())
 INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp
-    small span strike strong sub sup time tt u var wbr nobr center_ img""".split())
+    small span strike strong sub sup time tt u var wbr nobr center_ img math mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot
+    mover munder munderover mmultiscripts mtable mtr mtd mspace mstyle mpadded mphantom menclose merror mfenced semantics""".split())
 #: Tags whose text is never the article's.
 OUTSIDE = frozenset("""head nav footer aside form button select option optgroup datalist fieldset menu dialog audio video
-    applet map progress meter output label legend""".split())
+    applet map progress meter output legend""".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar status".split())
 #: Blocks of text, lists and tables: never the container of the article.
@@ -86,7 +99,10 @@ COMMENTS = frozenset("comment comments commentlist respond disqus replies reply"
 NEVER = COMMENTS | frozenset("""ad ads adv advert adverts advertisement advertising nav navbar navigation menu menubar footer
     cookie cookies consent gdpr newsletter subscribe subscription signup login popup modal overlay copyright disclaimer""".split())
 #: Words that go with the name of a part without making it a wrapper ("comment-list").
-PIECES = frozenset("area list section body item content box form thread block container wrap wrapper holder inner title text".split())
+PIECES = frozenset("""area list section body item content box form thread block container wrap wrapper holder inner title text
+    user users reader readers your post posts article articles story stories page site links link button buttons icon icons bar
+    slot unit group row col top bottom left right sticky inline wide primary secondary mobile desktop more also read tags topics
+    count meta header heading label sign up in by this wp fb""".split())
 #: With one of these (or alone) the name "header" means the site's, not the article's.
 SITE = frozenset("site page top global main masthead".split())
 #: Tags that an opening block tag closes when they are the innermost open block.
@@ -104,7 +120,7 @@ class Element:
     outside: bool      # by tag, role or style, or below such an element
     main: bool
     own_main: str      # "main" or "article" if it is one itself
-    named: int         # by class or id: 0 not, 1 a part, 2 a part of NEVER, 3 reader comments
+    named: int         # by class or id: 0 not, 1 a part, 2 a part of NEVER, 3 reader comments, -1 perhaps one (in an article)
 
 
 @dataclass(slots=True)
@@ -131,19 +147,21 @@ def _named(tag: str, own_main: str, inside: bool, attrs: dict[str, str]) -> int:
     """What the class and id say of an element, see ``Element.named``."""
     if own_main == "main" or tag in ("html", "body"):
         return 0
-    kind, rest = 0, []
-    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
+    kind, perhaps, rest = 0, False, []
+    own_id = "" if (inside or own_main) and (tag in HEADINGS or tag == "p") else attrs.get("id", "")
+    for name in f"{attrs.get('class', '')} {own_id}".lower().split():
         words = set(_WORDS.findall(name))
         if not STATES.isdisjoint(words) or not (WRAPS.isdisjoint(words) or CONTENTS.isdisjoint(words)):
             continue
         rest += words
         if not NAMES.isdisjoint(words):
             whole = all(w in NAMES or w in PIECES or w.isdigit() for w in words)
-            if whole or not own_main:
+            perhaps = perhaps or not whole and inside
+            if whole or not own_main and not inside:
                 kind = max(kind, 1 if NEVER.isdisjoint(words) else 3 if whole and not COMMENTS.isdisjoint(words) else 2)
     if not kind and not own_main and not inside and "header" in rest and (len(rest) == 1 or not SITE.isdisjoint(rest)):
         kind = 1
-    return kind
+    return kind or (-1 if perhaps and not own_main else 0)
 
 
 def _open(tag: str, attrs: dict[str, str], parent: Element | None, at: int, paths: dict) -> Element:
@@ -190,6 +208,28 @@ def read(page: str | None) -> Page:
             if links:
                 linked += len(piece)
 
+    open_tags: dict[str, int] = {}                 # how many of each are on the stack
+    last_gt = text.rfind(">")
+    no_more = {'"': len(text) + 1, "'": len(text) + 1}       # from here on there is none
+
+    def tag_end(lt):
+        """Where the tag that begins at ``lt`` ends (after its ">"): quoted
+        values are passed over, a quote that nothing closes is a character."""
+        pos = lt + 1
+        while pos <= last_gt:
+            m = _MARKS.search(text, pos)
+            if m[0] == ">":
+                return m.end()
+            close = text.find(m[0], m.end()) if m.start() < no_more[m[0]] else -1
+            if close < 0:
+                no_more[m[0]] = min(no_more[m[0]], m.start())
+            pos = m.end() if close < 0 or close > last_gt else close + 1
+        return -1
+
+    def leave():
+        i = stack.pop()
+        open_tags[out.elements[i].tag] -= 1
+
     at, end = 0, len(text)
     while at < end:
         lt = text.find("<", at)
@@ -198,32 +238,44 @@ def read(page: str | None) -> Page:
             break
         if lt > at:
             add(text[at:lt])
-        m = _TOKEN.match(text, lt)
-        if m is None:                              # a bare "<" is text
-            add("<")
+        if text.startswith("<!--", lt):
+            at = text.find("-->", lt + 4)
+            at = end if at < 0 else at + 3
+            continue
+        if text.startswith("<![CDATA[", lt):
+            at = text.find("]]>", lt + 9)
+            add(html.escape(text[lt + 9:at if at >= 0 else end], quote=False))
+            at = end if at < 0 else at + 3
+            continue
+        m = _TAG.match(text, lt) if lt < last_gt else None
+        if m is None and (lt > last_gt or text[lt + 1:lt + 2] not in ("!", "?")):
+            add("<")                               # a bare "<" is text
             at = lt + 1
             continue
-        at = m.end()
-        if m["name"] is None:
-            if m[0].startswith("<![CDATA["):
-                add(html.escape(m[0][9:].removesuffix("]]>"), quote=False))
+        if m is None:
+            at = text.index(">", lt) + 1
+            continue
+        at = tag_end(lt)
+        if at < 0:
+            add("<")
+            at = lt + 1
             continue
-        tag = m["name"].lower()
-        if m["close"]:
+        tag, attrs = m[1].lower(), text[m.end():at - 1]
+        if text[lt + 1] == "/":
             if tag == "a":
                 links = max(0, links - 1)
             if tag in INLINE:
                 continue
-            if tag == "p" or any(out.elements[i].tag == tag for i in stack):
+            if tag == "p" or open_tags.get(tag):
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if out.elements[stack[k]].tag == tag:
-                    del stack[k:]
-                    break
+            if open_tags.get(tag):
+                while out.elements[stack[-1]].tag != tag:
+                    leave()
+                leave()
             continue
         if tag in RAW:
-            done = _RAW_END[tag].search(text, at)
-            if not m["attrs"].rstrip().endswith("/"):
+            if not attrs.rstrip().endswith("/"):
+                done = _RAW_END[tag].search(text, at)
                 at = done.end() if done else end
             continue
         if tag == "br":
@@ -234,15 +286,15 @@ def read(page: str | None) -> Page:
                 flush()
             elif tag == "a":
                 links += 1
-            if tag != "label":
-                continue
+            continue
         flush()
         links = 0
         if stack and out.elements[stack[-1]].tag == "p":
-            stack.pop()
+            leave()
         while stack and out.elements[stack[-1]].tag in _ENDS.get(tag, ()):
-            stack.pop()
-        push(tag, _attributes(m["attrs"]))
+            leave()
+        push(tag, _attributes(attrs))
+        open_tags[tag] = open_tags.get(tag, 0) + 1
     flush()
     _mark(out)
     return out
@@ -256,6 +308,15 @@ def _mark(page: Page) -> None:
     els = page.elements
     if not any(e.named for e in els):
         return
+    text, linked = [0] * len(els), [0] * len(els)
+    for b in page.blocks:
+        if b.element >= 0:
+            text[b.element] += len(b.text)
+            linked[b.element] += min(b.linked, len(b.text))
+    for i in range(len(els) - 1, -1, -1):
+        if els[i].parent >= 0:
+            text[els[i].parent] += text[i]
+            linked[els[i].parent] += linked[i]
 
     def below(marks):                                        # the strongest mark on the way up from each element
         got = [0] * len(els)
@@ -269,7 +330,7 @@ def _mark(page: Page) -> None:
                 flags[els[i].parent] = True
         return flags
 
-    named = [e.named for e in els]
+    named = [e.named if e.named >= 0 else int(2 * n > t) for e, n, t in zip(els, linked, text)]
     for i, holds in enumerate(above([e.own_main == "main" and not e.outside for e in els])):
         if holds:
             named[i] = 0
@@ -361,6 +422,9 @@ def main_blocks(page: Page) -> list[Block]:
         within[i] = i == holder or within[el.parent]
     if bound:
         chosen = [within[b.element] for b in blocks]
+        if els[holder].tag == "article":
+            beside = _articles(blocks, content, els)
+            chosen = [c or b.element >= 0 and beside[b.element] for c, b in zip(chosen, blocks)]
     else:
         near = within[:]
         if holder >= 0 and els[holder].tag not in ROOTS:
@@ -392,17 +456,34 @@ def main_blocks(page: Page) -> list[Block]:
     return [b for b, c in zip(blocks, chosen) if c]
 
 
+def _articles(blocks: list[Block], content: np.ndarray, els: list[Element]) -> list[bool]:
+    """For every element: does it lie in an outermost article that is no teaser?"""
+    own = [-1] * len(els)
+    for i, e in enumerate(els):
+        over = own[e.parent] if e.parent >= 0 else -1
+        own[i] = over if over >= 0 or e.tag != "article" or e.outside else i
+    sums: dict[int, list[int]] = {}
+    for b, is_content in zip(blocks, content):
+        if b.element >= 0 and own[b.element] >= 0:
+            s = sums.setdefault(own[b.element], [0, 0, 0])
+            s[0] += bool(is_content)
+            s[1] += len(b.text)
+            s[2] += min(b.linked, len(b.text))
+    whole = {a for a, (n, text, linked) in sums.items() if n >= 2 and 2 * linked < text}
+    return [a in whole for a in own]
+
+
 def _common(at: list[int], els: list[Element]) -> int:
     """The deepest element, no leaf block, that holds all of ``at``; -1 for none."""
     if not at or min(at) < 0:
         return -1
-    top = at[0]
-    for e in set(at):
-        while top != e:                                   # a child has a larger number than its parent
-            if top > e:
-                top = els[top].parent
-            else:
-                e = els[e].parent
+    below = [0] * len(els)
+    for e in at:
+        below[e] += 1
+    for i in range(len(els) - 1, -1, -1):                 # a child has a larger number than its parent
+        if els[i].parent >= 0:
+            below[els[i].parent] += below[i]
+    top = max((i for i, n in enumerate(below) if n == len(at)), default=-1)
     while top >= 0 and els[top].tag in LEAVES:
         top = els[top].parent
     return top
