@@ -26,6 +26,9 @@ from . import expand
 #: factor on the attempts (see :func:`sampling_params`).
 LEAST_FILL, SAFETY = 1e-6, 8
 CAND = "struct<a:bigint,x:double,y:double>"
+#: Polygons of one part with at most this many edges are tested by an unrolled
+#: expression; so many attempts of theirs are plain columns.
+FEW, TRIES = 8, 4
 
 
 def _edges(geom: str, depth: int):
@@ -246,7 +249,9 @@ def sampling_params(polys: DataFrame, geom: str = "geometry", depth: int = 2,
     att = (F.when(~F.coalesce(solid, F.lit(False)), F.lit(None).cast("long"))
            .when(fill >= 1.0 - 1e-12, F.lit(first).cast("long"))
            .otherwise(F.greatest(F.lit(first).cast("long"), m.cast("long"))))
-    return b.withColumns({"__attempts": att, "__edges": _edges(geom, depth)})
+    edges = _edges(geom, depth)
+    few = F.when((F.size(edges) == 1) & (F.size(F.get(edges, F.lit(0))) <= FEW), F.get(edges, F.lit(0)))
+    return b.withColumns({"__attempts": att, "__edges": edges, "__few": few})
 
 
 def points_in_bounds(rows: DataFrame, key: str = "ID20", k: str = "k", seed: int = 0) -> DataFrame:
@@ -268,27 +273,39 @@ def _candidate(h: Column, a: Column) -> Column:
                     (F.col("__miny") + uy * (F.col("__maxy") - F.col("__miny"))).alias("y"))
 
 
-def _first_inside(attempts: Column, prefix: Column, seed: int) -> Column:
+def _digest(prefix: Column, a: Column, seed: int) -> Column:
+    return F.md5(F.concat(prefix, a.cast("string"), F.lit(f":{seed}")))
+
+
+def _first_inside(attempts: Column, prefix: Column, seed: int, edges: Column) -> Column:
     """First attempt whose point lies inside; md5 key text ``key:k:a:seed``
     (``prefix`` is ``key:k:``)."""
     none = F.lit(None).cast(CAND)
-    return F.aggregate(attempts, none, lambda acc, a: F.when(acc.isNull(), _try(prefix, a, seed)).otherwise(acc))
+    return F.aggregate(attempts, none, lambda acc, a: F.when(acc.isNull(), _try(prefix, a, seed, edges)).otherwise(acc))
 
 
-def _try(prefix: Column, a: Column, seed: int) -> Column:
+def _try(prefix: Column, a: Column, seed: int, edges: Column) -> Column:
     """The candidate of attempt ``a`` if it lies inside, else null."""
     none = F.lit(None).cast(CAND)
-    digest = F.md5(F.concat(prefix, a.cast("string"), F.lit(f":{seed}")))
     # bind digest and candidate once each (one-element arrays)
-    return F.aggregate(F.array(digest), none, lambda _, h: F.aggregate(
+    return F.aggregate(F.array(_digest(prefix, a, seed)), none, lambda _, h: F.aggregate(
         F.array(_candidate(h, a)), none,
-        lambda _, c: F.when(geo.parts_contain(F.col("__edges"), c["x"], c["y"]), c)))
+        lambda _, c: F.when(geo.parts_contain(edges, c["x"], c["y"]), c)))
 
 
-def _located(prefix: Column, seed: int, first: int) -> Column:
-    """struct(a, x, y) of the first attempt inside, up to the polygon's budget."""
+def _located(prefix: Column, seed: int, first: int, edges: Column, done: int = 0) -> Column:
+    """struct(a, x, y) of the first attempt inside, up to the polygon's budget;
+    attempts up to ``done`` are known to miss."""
     none = F.lit(None).cast(CAND)
-    s1 = _first_inside(F.sequence(F.lit(1).cast("long"), F.lit(first).cast("long")), prefix, seed)
+
+    def few(lo: int, hi: int) -> Column:
+        return _first_inside(F.array(*[F.lit(i).cast("long") for i in range(lo, hi + 1)]), prefix, seed, edges)
+    # attempts in growing groups, each looked at only where the one before missed
+    groups, lo = [], done + 1
+    while lo <= first:
+        hi = min(first, max(lo, 2 * lo - 1))
+        groups.append(few(lo, hi))
+        lo = hi + 1
     # attempts first+1 .. budget in chunks of about sqrt(remaining): a chunk's
     # attempt list is only built while no attempt has hit, so per-row memory
     # stays O(sqrt(budget)) even for very thin polygons
@@ -299,12 +316,11 @@ def _located(prefix: Column, seed: int, first: int) -> Column:
     def chunk(acc, c):
         lo = F.lit(first + 1).cast("long") + c * size
         hi = F.least(F.col("__attempts"), lo + size - 1)
-        return F.when(acc.isNull(), _first_inside(F.sequence(lo, hi), prefix, seed)).otherwise(acc)
+        return F.when(acc.isNull(), _first_inside(F.sequence(lo, hi), prefix, seed, edges)).otherwise(acc)
 
     failed = F.raise_error(F.lit("points_in_polygon: attempt budget exhausted or polygon without area")).cast(CAND)
     s2 = F.when(F.col("__attempts") > first, F.aggregate(F.sequence(F.lit(0).cast("long"), n_chunks - 1), none, chunk))
-    # each stage is bound once and the next is looked at only where it is null
-    return F.aggregate(F.array(F.lit(0)), s1, lambda p, _: F.coalesce(p, s2, failed))
+    return F.coalesce(*groups, s2, failed)
 
 
 def _prefix(key: str, k: Column) -> Column:
@@ -323,8 +339,35 @@ def points_in_polygon(rows: DataFrame, key: str = "ID20", k: str = "k", depth: i
     Exhausting the budget (probability <= fail_prob) raises instead of
     returning a wrong point.  Adds ``x``, ``y`` and ``attempt``.
     """
-    d = rows.withColumn("__p", _located(_prefix(key, F.col(k)), seed, first))
-    return d.withColumns({"x": F.col("__p.x"), "y": F.col("__p.y"), "attempt": F.col("__p.a")}).drop("__p", "__edges")
+    d = rows.withColumn("__p", _located(_prefix(key, F.col(k)), seed, first, F.col("__edges")))
+    return d.withColumns({"x": F.col("__p.x"), "y": F.col("__p.y"), "attempt": F.col("__p.a")}).drop("__p", "__edges", "__few")
+
+
+def _inside_few(edges: Column, x: Column, y: Column) -> Column:
+    """``geo.edges_contain`` for a list of at most ``FEW`` edges, written out
+    edge by edge: no fold, so it is part of the generated code."""
+    odd = F.lit(False)
+    for i in range(FEW):
+        e = F.get(edges, F.lit(i))
+        crossed = ((e["y1"] > y) != (e["y2"] > y)) & (x < (e["dx"] * (y - e["y1"])) / e["dy"] + e["x1"])
+        odd = odd != F.coalesce(crossed, F.lit(False))
+    return odd
+
+
+def _plain_attempts(d: DataFrame, seed: int, tries: int = TRIES) -> DataFrame:
+    """Attempts 1 to ``tries`` of rows with ``__few`` edges as plain columns:
+    adds __a, __x, __y of the first that lies inside (null where none does)."""
+    d = d.withColumns({"__a": F.lit(None).cast("long"), "__x": F.lit(None).cast("double"), "__y": F.lit(None).cast("double")})
+    for a in range(1, tries + 1):
+        open_ = F.col("__few").isNotNull() & F.col("__a").isNull()
+        d = d.withColumn("__h", F.when(open_, _digest(F.col("__pre"), F.lit(a), seed)))
+        d = d.withColumn("__c", _candidate(F.col("__h"), F.lit(a)))
+        d = d.withColumns({"__tx": F.col("__c.x"), "__ty": F.col("__c.y")}).drop("__h", "__c")
+        d = d.withColumn("__in", F.col("__tx").isNotNull() & _inside_few(F.col("__few"), F.col("__tx"), F.col("__ty")))
+        d = d.withColumns({"__a": F.when(F.col("__in"), F.lit(a).cast("long")).otherwise(F.col("__a")),
+                           "__x": F.when(F.col("__in"), F.col("__tx")).otherwise(F.col("__x")),
+                           "__y": F.when(F.col("__in"), F.col("__ty")).otherwise(F.col("__y"))}).drop("__tx", "__ty", "__in")
+    return d
 
 
 def individuals_in_polygon(blocks: DataFrame, n, key: str = "ID20", k: str = "k", seed: int = 0, first: int = 16,
@@ -332,11 +375,22 @@ def individuals_in_polygon(blocks: DataFrame, n, key: str = "ID20", k: str = "k"
     """E5 + G2 in one step: :func:`points_in_polygon` for k = 1..n of every
     block (a row of :func:`sampling_params`), with the polygon's edges once
     per chunk of ``chunk_rows`` individuals and never in an individual's row.
+
+    Polygons of few edges are sampled by plain columns: the first attempts are
+    generated code over the individual's row, and the fold over further
+    attempts runs only for those that missed them all.
     """
     d = expand.chunks(blocks, n, key, chunk_rows, partitions, spread)
-    at = F.transform(F.sequence(F.col("__lo"), F.col("__hi")), lambda i: F.struct(
-        i.alias("k"), _located(_prefix(key, i), seed, first).alias("p")))
-    keep = [c for c in d.columns if c not in ("__lo", "__hi", "__edges", "__attempts", "__minx", "__miny", "__maxx", "__maxy", "geometry")]
-    d = d.select(*keep, F.explode(at).alias("__i"))
-    return d.select(*keep, F.col("__i.k").alias(k), F.col("__i.p.x").alias("x"), F.col("__i.p.y").alias("y"),
-                    F.col("__i.p.a").alias("attempt"))
+    ks, none = F.sequence(F.col("__lo"), F.col("__hi")), F.lit(None).cast(CAND)
+    many = F.transform(ks, lambda i: F.struct(i.alias("k"), _located(_prefix(key, i), seed, first, F.col("__edges")).alias("p")))
+    few = F.transform(ks, lambda i: F.struct(i.alias("k"), none.alias("p")))
+    at = F.when(F.col("__few").isNull(), many).otherwise(few)
+    box = ["__few", "__attempts", "__minx", "__miny", "__maxx", "__maxy"]
+    keep = [c for c in d.columns if c not in ("__lo", "__hi", "__edges", *box, "geometry")]
+    d = d.select(*keep, *box, F.explode(at).alias("__i"))
+    d = d.select(*keep, *box, F.col("__i.k").alias(k), F.col("__i.p").alias("__p"))
+    d = _plain_attempts(d.withColumn("__pre", F.when(F.col("__few").isNotNull(), _prefix(key, F.col(k)))), seed)
+    plain = F.when(F.col("__a").isNotNull(), F.struct(F.col("__a").alias("a"), F.col("__x").alias("x"), F.col("__y").alias("y")))
+    rest = _located(F.col("__pre"), seed, first, F.array("__few"), done=TRIES)
+    d = d.select(*keep, k, F.coalesce("__p", plain, rest).alias("__p"))
+    return d.select(*keep, k, F.col("__p.x").alias("x"), F.col("__p.y").alias("y"), F.col("__p.a").alias("attempt"))

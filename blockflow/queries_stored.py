@@ -12,7 +12,7 @@ from .plans import cube as CU, fixtures as fx, stages
 from .plans import fixtures_sql as S
 from .plans.fixtures_sql import d
 from .session import scratch_path
-from .sources import files, incremental, sinks
+from .sources import files, incremental, shapefile, sinks
 
 # --- C3 from the cube -----------------------------------------------------------
 
@@ -149,3 +149,30 @@ def sink_available_now(spark, sf):
             pts.where(new).write.mode("append").parquet(f"{base}/in")
         incremental.load_new_files(spark, f"{base}/in", pts.schema, f"{base}/out", f"{base}/checkpoint", partition_by=["state"])
     return incremental.loaded(spark, f"{base}/out", pts.schema).select(*pts.columns)
+
+
+# --- S8 from shapefiles ------------------------------------------------------------------
+
+_SHAPES = f"""select GEOID20, cast(count(distinct part) as integer) as parts, cast(count(*) as integer) as vertices, min(x) as xmin, max(x) as xmax
+from ({S.MULTI_VERTICES}) v group by GEOID20"""
+
+
+def _shapefile(spark, sf):
+    shapefile.register(spark)
+    path = scratch_path(spark, "shapes")
+    fx.block_multipolygon(spark, sf).repartition(3, "GEOID20").write.format("shapefile").mode("append").save(path)
+    return spark.read.format("shapefile").option("records", 32).load(path)
+
+
+@query("scan_shapefile", _SHAPES)
+def scan_shapefile(spark, sf):
+    """Block multipolygons written as shapefiles and read back by record ranges."""
+    return _shapefile(spark, sf).select("GEOID20", F.size("geometry").alias("parts"), F.size(F.flatten(F.flatten("geometry"))).alias("vertices"),
+                                        "xmin", "xmax")
+
+
+@query("scan_shapefile_box", f"select * from ({_SHAPES}) s where xmax >= {d(-100.0)} and xmin <= {d(-90.0)} and GEOID20 > 20")
+def scan_shapefile_box(spark, sf):
+    """Id and box filters pushed into the table rows and record headers."""
+    s = _shapefile(spark, sf).where((F.col("xmax") >= -100.0) & (F.col("xmin") <= -90.0) & (F.col("GEOID20") > 20))
+    return s.select("GEOID20", F.size("geometry").alias("parts"), F.size(F.flatten(F.flatten("geometry"))).alias("vertices"), "xmin", "xmax")
