@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import queries_core, queries_prep, queries_geo, queries_io, queries_stored  # noqa: F401
+    from . import queries_core, queries_prep, queries_geo, queries_io, queries_shapes, queries_stored  # noqa: F401
 
 
 def all_queries() -> dict[str, QueryFn]:
