@@ -4,17 +4,20 @@ Fingerprints.  Words of the whole lower-cased text give word shingles; bit i
 of the fingerprint is 1 when it is 1 in over half of the shingles' XXH64.
 
 Index.  Equal fingerprints are one entry.  With at most ``distance`` = 4
-differing bits, six bit blocks have at least two without a difference, so the
-top nodes of the index are the 15 block pairs (masks) with their shared bit
-pattern: entries under different patterns of a mask are pruned whole, and
-every linked pair meets under some mask.  Spark shuffles entries to their top
-nodes, sorted by node and by Gray rank.  Inside a node the entries, in Gray
-order, form a hierarchy: each upper node holds the mask of the bits on which
-its members agree and their pattern, less what its parent holds already; a
-query goes down with the differences accumulated so far and leaves every
-group where they exceed the distance.  A node over ``tile`` entries is cut
-into tiles and each pair of tiles is a task group of its own, so no task
-holds more than two tiles.
+differing bits, b > 4 bit blocks have b - 4 or more without a difference, so
+the top nodes of the index are the choices of b - 4 blocks (masks) with their
+shared bit pattern: entries under different patterns of a mask are pruned
+whole, and every linked pair meets under some mask.  b is the least for which
+a top node of evenly spread fingerprints stays near ``NODE`` entries: 5 blocks
+(5 masks) up to some millions, 6 (15 masks) up to some billions.  Spark
+shuffles entries to their top nodes, sorted by node and by Gray rank.  Below,
+the entries of every node, in Gray order, form a hierarchy of ``_FAN`` members
+a group: each group holds the mask of the bits on which its members agree and
+their pattern, less what its parent holds already; a query goes down with the
+differences accumulated so far and leaves every group where they exceed the
+distance.  The hierarchies of all nodes in a task go down together, level by
+level.  A node over ``tile`` entries is cut into tiles and each pair of tiles is
+a task group of its own, so no task holds more than two tiles.
 
 Links.  A task joins what it finds and sends a star (member, smallest
 member) per linked set, never all pairs; components are made by
@@ -38,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import free_name, hot_keys, join_by_hot, map_text, sliced, table, written
 from .components import connected_components
 
-SHINGLE, DISTANCE, BLOCKS, TILE = 4, 4, 6, 4096
+SHINGLE, DISTANCE, NODE, TILE = 4, 4, 512, 4096
 _FAN = 8
 
 
@@ -81,7 +84,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_text(d, run, d.select(id_col, F.lit(0).cast("long").alias("fp")).schema)
 
 
-def block_masks(distance: int = DISTANCE, blocks: int = BLOCKS) -> list[int]:
+def blocks_for(n: int, distance: int = DISTANCE, node: int = NODE) -> int:
+    """The least number of bit blocks whose patterns spread ``n`` fingerprints to ``node`` a top node."""
+    blocks = distance + 1
+    while blocks < 2 * distance + 2 and n > node * 2 ** (64 * (blocks - distance) // blocks):
+        blocks += 1
+    return blocks
+
+
+def block_masks(distance: int = DISTANCE, blocks: int = DISTANCE + 1) -> list[int]:
     """Masks of every choice of ``blocks - distance`` of ``blocks`` equal bit
     blocks: two words within ``distance`` bits agree on at least one of them."""
     cut = [64 * i // blocks for i in range(blocks + 1)]
@@ -98,41 +109,52 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Hierarchy over Gray-ordered words; see the module's text."""
-
-    def __init__(self, words: np.ndarray):
-        self.words = words
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []   # pattern, own mask, whole mask
-        low, high = words, words
-        while len(low) > _FAN:
-            at = np.arange(0, len(low), _FAN)
+    """Hierarchies over the groups of ``words`` that begin at ``starts``, each
+    group in Gray order; see the module's text.  ``pruned`` counts the groups of
+    members that queries left whole."""
+
+    def __init__(self, words: np.ndarray, starts: np.ndarray | None = None):
+        self.words, self.pruned = words, 0
+        starts = np.zeros(min(1, len(words)), dtype=np.int64) if starts is None else starts
+        count = np.diff(np.append(starts, len(words)))
+        self.group = np.repeat(np.arange(len(starts)), count)
+        self.levels: list[tuple[np.ndarray, ...]] = []       # first member, one past the last, pattern, own mask; top first
+        low, high, first = words, words, starts
+        agree_below = None
+        while len(words) and (not self.levels or count.max() > 1):
+            nodes = -(-count // _FAN)
+            offset = np.cumsum(nodes) - nodes
+            nth = np.arange(nodes.sum()) - np.repeat(offset, nodes)
+            at = np.repeat(first, nodes) + nth * _FAN
+            end = np.minimum(at + _FAN, np.repeat(first + count, nodes))
             low, high = np.bitwise_and.reduceat(low, at), np.bitwise_or.reduceat(high, at)
             agree = ~(low ^ high)
-            self.levels.append([low & agree, agree, agree])
-        self.levels.reverse()                                                # top first
-        for upper, lower in zip(self.levels, self.levels[1:]):
-            lower[1] = lower[2] & ~np.repeat(upper[2], _FAN)[:len(lower[2])]  # less what the parent holds
+            if agree_below is not None:                      # a group holds only what its parent doesn't
+                self.levels[0][3][:] = agree_below & ~np.repeat(agree, end - at)
+            self.levels.insert(0, (at, end, low & agree, agree.copy()))
+            agree_below, first, count = agree, offset, nodes
 
-    def within(self, queries: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query position, word position) of every pair within ``distance``."""
+    def within(self, distance: int, batch: int = 1 << 15):
+        """Batches of (position, position) of all pairs of a group within ``distance``, the smaller first."""
         count = np.bitwise_count
-        top = len(self.levels[0][0]) if self.levels else 1
-        q, node = np.repeat(np.arange(len(queries)), top), np.tile(np.arange(top), len(queries))
-        gone = np.zeros(len(q), dtype=np.int16)
-        for i, (pattern, own, whole) in enumerate(self.levels):
-            if i:
-                q, gone = np.repeat(q, _FAN), np.repeat(gone, _FAN)
-                node = (node[:, None] * _FAN + np.arange(_FAN)).ravel()
-                ok = node < len(pattern)
+        for lo in range(0, len(self.words), batch):
+            q = np.arange(lo, min(len(self.words), lo + batch))
+            node = self.group[q]
+            gone = np.zeros(len(q), dtype=np.int16)
+            for i, (first, end, pattern, own) in enumerate(self.levels):
+                gone = gone + count((self.words[q] ^ pattern[node]) & own[node])
+                ok = gone <= distance
+                self.pruned += len(ok) - int(ok.sum())
                 q, gone, node = q[ok], gone[ok], node[ok]
-            gone = gone + count((queries[q] ^ pattern[node]) & own[node])
-            ok = gone <= distance
-            q, gone, node = q[ok], gone[ok], node[ok]
-        q, node = np.repeat(q, _FAN), (node[:, None] * _FAN + np.arange(_FAN)).ravel()
-        ok = node < len(self.words)
-        q, node = q[ok], node[ok]
-        ok = count(queries[q] ^ self.words[node]) <= distance
-        return q[ok], node[ok]
+                size = end[node] - first[node]
+                owner = np.repeat(np.arange(len(node)), size)
+                child = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + first[node][owner]
+                q, gone, node = q[owner], gone[owner], child
+            later = node > q
+            q, node = q[later], node[later]
+            near = count(self.words[q] ^ self.words[node]) <= distance
+            if near.any():
+                yield q[near], node[near]
 
 
 def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -153,32 +175,21 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def linked(words: np.ndarray, starts: np.ndarray, distance: int, small: int = 64) -> np.ndarray:
+def linked(words: np.ndarray, starts: np.ndarray, distance: int) -> np.ndarray:
     """Label per word (smallest position linked with it inside its group);
     groups are the runs beginning at ``starts``, each in Gray order."""
-    n = len(words)
-    label, size = np.arange(n), np.diff(np.append(starts, n))
-    group, of = np.repeat(np.arange(len(starts)), size), np.repeat(size, size)
-    few = np.flatnonzero((of <= small) & (of > 1))
-    for s in range(1, int(min(small, size.max(initial=0)))):
-        few = few[few + s < n]
-        few = few[group[few + s] == group[few]]
-        if not len(few):
-            break
-        hit = few[np.bitwise_count(words[few] ^ words[few + s]) <= distance]
-        label = merge(label, hit, hit + s)
-    for g in np.flatnonzero(size > small):
-        a, z = starts[g], starts[g] + size[g]
-        index = GrayIndex(words[a:z])
-        for at in range(a, z, 256):
-            q, w = index.within(words[at:min(z, at + 256)], distance)
-            label = merge(label, q + at, w + a)
+    label, size = np.arange(len(words)), np.diff(np.append(starts, len(words)))
+    some = np.flatnonzero(np.repeat(size > 1, size))          # a word alone in its group has no link there
+    size = size[size > 1]
+    for a, b in GrayIndex(words[some], np.cumsum(size) - size).within(distance):
+        label = merge(label, some[a], some[b])
     return label
 
 
-def links(entries: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
+def links(entries: DataFrame, distance: int = DISTANCE, blocks: int | None = None, tile: int = TILE) -> DataFrame:
     """(a, b) longs joining all distinct words ``fp`` of ``entries`` that are
     connected by steps of at most ``distance`` bits."""
+    blocks = blocks or blocks_for(entries.count(), distance)
     masks = [m - (1 << 64) if m >> 63 else m for m in block_masks(distance, blocks)]
     rank = F.col("fp")
     for s in (1, 2, 4, 8, 16, 32):

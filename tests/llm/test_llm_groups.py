@@ -127,12 +127,14 @@ def test_fingerprint_against_brute_force(text):
 
 
 def test_masks_leave_no_pair_apart():
-    masks = simhash.block_masks()
-    assert len(masks) == 15
     rng = random.Random(1)
-    for _ in range(2000):
-        flips = sum(1 << b for b in rng.sample(range(64), 4))
-        assert any(flips & m == 0 for m in masks)
+    for blocks, many in ((5, 5), (6, 15), (7, 35)):
+        masks = simhash.block_masks(4, blocks)
+        assert len(masks) == many
+        for _ in range(2000):
+            flips = sum(1 << b for b in rng.sample(range(64), 4))
+            assert any(flips & m == 0 for m in masks)
+    assert [simhash.blocks_for(n) for n in (0, 1000, 1 << 21, 1 << 22, 1 << 30, 1 << 33)] == [5, 5, 5, 6, 6, 7]
 
 
 def test_gray_index_against_all_pairs():
@@ -144,18 +146,49 @@ def test_gray_index_against_all_pairs():
             words = words ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64))
         words = np.unique(words)
         words = words[np.argsort(simhash.gray_rank(words))]
-        q, w = simhash.GrayIndex(words).within(words, 4)
-        near = np.bitwise_count(words[:, None] ^ words[None, :]) <= 4
-        assert sorted(zip(q.tolist(), w.tolist())) == sorted(map(tuple, np.argwhere(near).tolist()))
-        for small in (2, 64):
-            label = simhash.linked(words, np.array([0]), 4, small)
-            assert label.tolist() == roots(len(words), np.argwhere(near).tolist())
+        index = simhash.GrayIndex(words)
+        near = np.triu(np.bitwise_count(words[:, None] ^ words[None, :]) <= 4, 1)
+        for batch in (1 << 15, 50):
+            got = [p for q, w in index.within(4, batch) for p in zip(q.tolist(), w.tolist())]
+            assert sorted(got) == sorted(map(tuple, np.argwhere(near).tolist()))
+        assert n < 600 or index.pruned > 0
+        assert simhash.linked(words, np.array([0]), 4).tolist() == roots(len(words), np.argwhere(near).tolist())
     x = np.arange(64, dtype=np.uint64)
     assert simhash.gray_rank(x ^ (x >> np.uint64(1))).tolist() == x.tolist()
 
 
+def test_gray_index_over_many_groups():
+    rng = np.random.default_rng(5)
+    groups = []
+    for n in [1, 2, 8, 9, 64, 65, 300, 1, 1, 30]:
+        words = np.unique(rng.integers(0, 1 << 10, n, dtype=np.uint64) | rng.integers(0, 1 << 63, dtype=np.uint64) << np.uint64(1))
+        groups.append(words[np.argsort(simhash.gray_rank(words))])
+    words, starts = np.concatenate(groups), np.cumsum([0, *map(len, groups[:-1])])
+    want = [(a + i, a + j) for a, g in zip(starts, groups) for i, j in np.argwhere(np.triu(np.bitwise_count(g[:, None] ^ g[None, :]) <= 4, 1)).tolist()]
+    got = [p for q, w in simhash.GrayIndex(words, starts).within(4) for p in zip(q.tolist(), w.tolist())]
+    assert sorted(got) == sorted(want)
+    assert simhash.linked(words, starts, 4).tolist() == roots(len(words), want)
+
+
+def test_the_hierarchy_prunes_on_the_driver_table(spark):
+    # the top nodes of the first mask, as a task of the query meets them
+    fp = np.unique(np.array([r["fp"] for r in simhash.fingerprints(table(spark, "/root/testdata/sf0.1", "documents")).collect()]).astype(np.int64)).view(np.uint64)
+    assert simhash.blocks_for(len(fp)) == 5
+    mask = np.uint64(simhash.block_masks(4, 5)[0])
+    words = fp[np.lexsort((simhash.gray_rank(fp), fp & mask))]
+    starts = np.flatnonzero(np.r_[True, (words[1:] ^ words[:-1]) & mask != 0])
+    index = simhash.GrayIndex(words, starts)
+    got = {p for q, w in index.within(4) for p in zip(q.tolist(), w.tolist())}
+    assert len(index.levels) > 1 and index.pruned > 0
+    size = np.diff(np.append(starts, len(words)))
+    for a, n in zip(starts.tolist(), size.tolist()):
+        g = words[a:a + n]
+        assert {(a + i, a + j) for i, j in np.argwhere(np.triu(np.bitwise_count(g[:, None] ^ g[None, :]) <= 4, 1)).tolist()} <= got
+
+
+@pytest.mark.parametrize("blocks", [None, 6])
 @pytest.mark.parametrize("tile", [4096, 3])
-def test_links_connect_what_all_pairs_connect(spark, tile):
+def test_links_connect_what_all_pairs_connect(spark, tile, blocks):
     rng = random.Random(8)
     base = [rng.getrandbits(64) for _ in range(40)]
     words = {0, (1 << 64) - 1} | set(base)
@@ -167,7 +200,7 @@ def test_links_connect_what_all_pairs_connect(spark, tile):
     words = sorted(words)
     signed = [w - (1 << 64) if w >> 63 else w for w in words]
     df = spark.createDataFrame([(w,) for w in signed], "fp long")
-    got = simhash.links(df, tile=tile).collect()
+    got = simhash.links(df, blocks=blocks, tile=tile).collect()
     at = {w: i for i, w in enumerate(signed)}
     arr = np.array(words, dtype=np.uint64)
     want = [(i, j) for i, j in np.argwhere(np.bitwise_count(arr[:, None] ^ arr[None, :]) <= 4).tolist() if i < j]
