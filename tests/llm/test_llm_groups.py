@@ -298,6 +298,36 @@ def test_embedding_recall_with_production_probes(spark):
     assert want > 500 and 0.9 * want <= got <= want
 
 
+@pytest.mark.parametrize("tile", [64, 16])
+def test_embedding_cells_on_several_levels(spark, tile):
+    rows = made_vectors(7, 1500, 12)
+    odd = [(5000 + i, [1.0, 2.0, 3.0] if i % 2 else [1.0, 2.0, 3.0 + i], 1) for i in range(100)]          # of another length
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int")
+    got = embeddings.near_duplicates(df, sample=256, per_cell=12, tile=tile, cell_sample=128)
+    n, low = brute_vectors(rows + odd, 0.93)
+    links = {r[0]: k for r, k in zip(rows + odd, n)}
+    found = {r["vec_id"]: r["n_links"] for r in got.collect()}
+    assert found.keys() == links.keys() and all(found[i] <= links[i] for i in links)             # none below the bound, none counted twice
+    assert sum(found.values()) >= 0.97 * sum(links.values()) and sum(links.values()) > 1000
+
+
+def test_no_leaf_grows_with_the_number_of_vectors(spark):
+    def largest(n):
+        rng = np.random.default_rng(n)
+        v = rng.normal(size=(n, 6)).astype(np.float32)
+        entries = spark.createDataFrame([(i, 1, i % 2, [float(x) for x in r]) for i, r in enumerate(v)], "uid long, copies long, label int, vector array<float>")
+        centres = embeddings.centres_of(entries, n, sample=256, per_cell=16)
+        assert len(centres) <= 32
+        cells = embeddings.leaves(entries, centres, probes=3, per_cell=16, tile=96, cell_sample=256, sub_probes=2)
+        counts = cells.groupBy("label", "size", "cell").count()
+        depth = cells.select(F.max(F.size(F.split("cell", "/")))).first()[0]
+        copies = cells.groupBy("uid").count().agg(F.max("count")).first()[0]
+        return counts.agg(F.max("count")).first()[0], depth, copies
+    small, large = largest(1000), largest(16000)
+    assert large[1] > small[1] and large[0] <= max(96, 1.2 * small[0])
+    assert large[2] <= 3 * 2 ** 3
+
+
 def test_embedding_query_links_none_below_the_bound(spark):
     rows = [tuple(r) for r in table(spark, SF, "embeddings").select("vec_id", "embedding", "label").collect()]
     n, low = brute_vectors(rows, 0.93)
