@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_text, sliced, table
+from .license_texts import FULL
 
 REPLACE = 12
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -47,21 +48,9 @@ BASE = (
     ("cc-by-nc", "cc by nc"),
 )
 
-# Wording of public licenses and notices (label, template).
+# Short notices that name a license (label, template); ``license_texts.FULL`` has the wordings themselves.
 TEMPLATES = (
     ("mit", "{{verb|licensed|released|distributed|available|published}} under the [[terms of the]] mit license"),
-    ("mit", """permission is hereby granted free of charge to any person obtaining a copy of this software and associated
-        documentation files the software to deal in the software without restriction including without limitation the
-        rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit
-        persons to whom the software is furnished to do so subject to the following conditions
-        the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all
-        copies or substantial portions of the software
-        [[the software is provided as is without warranty of any kind express or implied including but not limited to the
-        warranties of merchantability fitness for a particular purpose and noninfringement in no event shall
-        {{holders}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise
-        arising from out of or in connection with the software or the use or other dealings in the software]]"""),
-    ("isc", """permission to use copy modify and {{or|and or|or}} distribute this software for any purpose with or without fee is
-        hereby granted provided that the above copyright notice and this permission notice appear in all copies"""),
     ("apache-2", "[[{{verb|licensed|released|distributed|available}}]] [[under]] [[the]] apache license version {{v|2 0|2}} [[the license]]"),
     ("apache-2", """you may not use this file except in compliance with the license you may obtain a copy of the license at
         [[http www apache org licenses license 2 0]] [[https www apache org licenses license 2 0]]"""),
@@ -76,17 +65,16 @@ TEMPLATES = (
         free software foundation either version 3 of the license or at your option any later version"""),
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0"),
     ("mpl-2", "under the [[terms of the]] mozilla public license [[version]] {{v|2 0|2}}"),
-    ("bsd", """redistribution and use in source and binary forms with or without modification are permitted provided that the
-        following conditions are met"""),
-    ("bsd", "{{verb|licensed|released|distributed}} under the [[{{n|2|3|two|three}} clause]] bsd [[{{n|2|3|two|three}} clause]] license"),
+    ("bsd", "{{verb|licensed|released|distributed}} under [[the]] [[a]] bsd license"),
+    ("bsd-2", "{{verb|licensed|released|distributed}} under the {{n|2 clause bsd|two clause bsd|simplified bsd|bsd 2 clause}} license"),
+    ("bsd-3", "{{verb|licensed|released|distributed}} under the {{n|3 clause bsd|three clause bsd|new bsd|revised bsd|bsd 3 clause}} license"),
     ("cc-by", "{{verb|licensed|released|available}} under [[a]] [[the]] {{name|cc by|creative commons attribution}} [[international]] [[license]] {{v|4 0|3 0|2 0}} [[international]] [[license]]"),
     ("cc-by-sa", "{{name|cc by sa|creative commons attribution sharealike|creative commons attribution share alike}} [[{{v|4 0|3 0|2 0}}]]"),
     ("cc-by-nc", "{{name|cc by nc|creative commons attribution noncommercial|creative commons attribution non commercial}} [[{{v|4 0|3 0|2 0}}]]"),
     ("cc-by-nd", "{{name|cc by nd|creative commons attribution noderivatives|creative commons attribution no derivatives}} [[{{v|4 0|3 0|2 0}}]]"),
     ("cc0", "{{name|cc0|creative commons zero}} [[1 0]] [[universal]] {{kind|license|public domain dedication}}"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("all-rights-reserved", "all rights reserved"),
-)
+) + FULL
 
 
 def words_of(text: str | None) -> list[str]:
