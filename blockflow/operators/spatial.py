@@ -27,8 +27,9 @@ from . import expand
 LEAST_FILL, SAFETY = 1e-6, 8
 CAND = "struct<a:bigint,x:double,y:double>"
 #: Polygons of one part with at most this many edges are tested by an unrolled
-#: expression; so many attempts of theirs are plain columns.
-FEW, TRIES = 8, 4
+#: expression; so many attempts of theirs are plain columns (more than one make
+#: a method too large for the JVM's compiler: measured three times slower).
+FEW, TRIES = 8, 1
 
 
 def _edges(geom: str, depth: int):
@@ -376,9 +377,9 @@ def individuals_in_polygon(blocks: DataFrame, n, key: str = "ID20", k: str = "k"
     block (a row of :func:`sampling_params`), with the polygon's edges once
     per chunk of ``chunk_rows`` individuals and never in an individual's row.
 
-    Polygons of few edges are sampled by plain columns: the first attempts are
+    Polygons of few edges are sampled by plain columns: the first attempt is
     generated code over the individual's row, and the fold over further
-    attempts runs only for those that missed them all.
+    attempts runs only for those that missed it.
     """
     d = expand.chunks(blocks, n, key, chunk_rows, partitions, spread)
     ks, none = F.sequence(F.col("__lo"), F.col("__hi")), F.lit(None).cast(CAND)
