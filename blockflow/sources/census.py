@@ -58,10 +58,10 @@ def files_by_header(spark: SparkSession, pattern: str) -> dict[str, list[str]]:
     """Header line -> files of ``pattern`` having it; of each file (one per
     state) its first line alone is read.  Empty files have no rows and no header."""
     out: dict[str, list[str]] = {}
-    for path in sorted(spark.read.text(pattern).inputFiles()):
+    for path in sorted(unquote(p) for p in spark.read.text(pattern).inputFiles()):
         line = first_line(spark, path)
         if line is not None:
-            out.setdefault(line.rstrip("\r").lstrip(BOM), []).append(unquote(path))
+            out.setdefault(line.rstrip("\r").lstrip(BOM), []).append(path)
     return out
 
 
