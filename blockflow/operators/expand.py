@@ -162,20 +162,20 @@ _MULTIPLIERS = [(1664525 + 2 * 912559 * i, 69621 * (2 * i + 3)) for i in range(P
 _WALK = 64
 
 
-def _digest(half: Column, key: Column, i: int) -> Column:
+def _digest(half: str, i: int) -> str:
     m, w = _MULTIPLIERS[i]
-    first = (F.pmod(half, F.lit(_M1)) * F.lit(m).cast("long") + key * F.lit(2 * i + 1)) % F.lit(_M1)
-    return F.call_function("div", (first * F.lit(w).cast("long") + key) % F.lit(_M2), F.lit(1 << 9).cast("long"))
+    return f"(((({half} % {_M1}L) * {m}L + __pk * {2 * i + 1}L) % {_M1}L * {w}L + __pk) % {_M2}L div 512L)"
 
 
-def _network(p: Column, a: Column, b: Column, key: Column) -> Column:
-    left, right = F.call_function("div", p, b), p % b
+def _network(p: str) -> str:
+    """One pass of ``p`` (SQL text: as Column objects its hundreds of nodes would each be a call to the JVM)."""
+    left, right = f"({p} div __pb)", f"({p} % __pb)"
     for i in range(PERMUTE_ROUNDS):
         if i % 2 == 0:
-            left = (left + _digest(right, key, i)) % a
+            left = f"(({left} + {_digest(right, i)}) % __pa)"
         else:
-            right = (right + _digest(left, key, i)) % b
-    return left * b + right
+            right = f"(({right} + {_digest(left, i)}) % __pb)"
+    return f"({left} * __pb + {right})"
 
 
 def with_permutation(df: DataFrame, n, key, seed: int = 0) -> DataFrame:
@@ -188,12 +188,12 @@ def with_permutation(df: DataFrame, n, key, seed: int = 0) -> DataFrame:
                            "__pk": hash_int(_c(key), F.lit(seed), F.lit("perm"))})
 
 
-def permuted_place(k, n) -> Column:
+def permuted_place(k: str, n: str) -> Column:
     """The place (1..n) of individual ``k`` (1..n) in its block's list, a
     bijection drawn by the block's key; the row carries :func:`with_permutation`."""
-    k, n, a, b, key = _c(k).cast("long"), _c(n).cast("long"), F.col("__pa"), F.col("__pb"), F.col("__pk")
-    once = _network(k - 1, a, b, key)
-    steps = F.sequence(F.lit(1).cast("long"), F.least(F.lit(_WALK).cast("long"), F.greatest(a * b - n, F.lit(1).cast("long"))))
-    walked = F.aggregate(steps, once, lambda p, _: F.when(p < n, p).otherwise(_network(p, a, b, key)))
-    walked = F.when(walked < n, walked).otherwise(F.raise_error(F.lit("cycle walk not ended")).cast("long"))
-    return F.when(once < n, once).otherwise(walked) + 1
+    k, n = f"cast(`{k}` as bigint)", f"cast(`{n}` as bigint)"
+    once = _network(f"({k} - 1L)")
+    steps = f"sequence(1L, least({_WALK}L, greatest(__pa * __pb - {n}, 1L)))"
+    walked = f"aggregate(array({once}), 0L, (n1, p0) -> aggregate({steps}, p0, (p, n2) -> if(p < {n}, p, {_network('p')})))"
+    ended = f"aggregate(array({walked}), 0L, (n3, q) -> if(q < {n}, q, cast(raise_error('cycle walk not ended') as bigint)))"
+    return F.expr(f"if({once} < {n}, {once}, {ended}) + 1L")

@@ -27,9 +27,9 @@ from . import expand
 LEAST_FILL, SAFETY = 1e-6, 8
 CAND = "struct<a:bigint,x:double,y:double>"
 #: Polygons of one part with at most this many edges are tested by an unrolled
-#: expression; so many attempts of theirs are plain columns (more than one make
-#: a method too large for the JVM's compiler: measured three times slower).
-FEW, TRIES = 8, 1
+#: expression, and their first attempt is plain columns (more than one make a
+#: method too large for the JVM's compiler: measured three times slower).
+FEW = 8
 
 
 def _edges(geom: str, depth: int):
@@ -264,68 +264,58 @@ def points_in_bounds(rows: DataFrame, key: str = "ID20", k: str = "k", seed: int
         "y": F.col("__miny") + uy * (F.col("__maxy") - F.col("__miny"))})
 
 
-def _candidate(h: Column, a: Column) -> Column:
+# The expressions below are SQL text: they nest folds in folds, and as Column
+# objects each of their nodes would be a call from Python to the JVM.
+
+def _candidate(h: str, a: str) -> str:
     """Box point of attempt ``a`` from its md5 hex digest: x from hex digits
     1-8, y from 9-16 (each / 2^32)."""
-    ux = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(TWO_32)
-    uy = F.conv(F.substring(h, 9, 8), 16, 10).cast("double") / F.lit(TWO_32)
-    return F.struct(a.cast("long").alias("a"),
-                    (F.col("__minx") + ux * (F.col("__maxx") - F.col("__minx"))).alias("x"),
-                    (F.col("__miny") + uy * (F.col("__maxy") - F.col("__miny"))).alias("y"))
+    ux, uy = (f"(cast(conv(substring({h}, {i}, 8), 16, 10) as double) / {TWO_32!r}D)" for i in (1, 9))
+    return (f"named_struct('a', cast({a} as bigint), 'x', __minx + {ux} * (__maxx - __minx), "
+            f"'y', __miny + {uy} * (__maxy - __miny))")
 
 
-def _digest(prefix: Column, a: Column, seed: int) -> Column:
-    return F.md5(F.concat(prefix, a.cast("string"), F.lit(f":{seed}")))
+def _digest(prefix: str, a: str, seed: int) -> str:
+    return f"md5(concat({prefix}, cast({a} as string), ':{seed}'))"
 
 
-def _first_inside(attempts: Column, prefix: Column, seed: int, edges: Column) -> Column:
-    """First attempt whose point lies inside; md5 key text ``key:k:a:seed``
-    (``prefix`` is ``key:k:``)."""
-    none = F.lit(None).cast(CAND)
-    return F.aggregate(attempts, none, lambda acc, a: F.when(acc.isNull(), _try(prefix, a, seed, edges)).otherwise(acc))
+def _crossed(e: str, x: str, y: str) -> str:
+    return f"((({e}.y1 > {y}) != ({e}.y2 > {y})) and ({x} < ({e}.dx * ({y} - {e}.y1)) / {e}.dy + {e}.x1))"
 
 
-def _try(prefix: Column, a: Column, seed: int, edges: Column) -> Column:
-    """The candidate of attempt ``a`` if it lies inside, else null."""
-    none = F.lit(None).cast(CAND)
-    # bind digest and candidate once each (one-element arrays)
-    return F.aggregate(F.array(_digest(prefix, a, seed)), none, lambda _, h: F.aggregate(
-        F.array(_candidate(h, a)), none,
-        lambda _, c: F.when(geo.parts_contain(edges, c["x"], c["y"]), c)))
+def _try(prefix: str, a: str, seed: int, edges: str) -> str:
+    """The candidate of attempt ``a`` if it lies inside (the test of ``geo.parts_contain``), else null."""
+    inside = f"exists({edges}, part -> aggregate(part, false, (odd, e) -> odd != {_crossed('e', 'c.x', 'c.y')}))"
+    # digest and candidate are bound once each (one-element arrays)
+    return (f"aggregate(array({_digest(prefix, a, seed)}), cast(null as {CAND}), (n1, h) -> "
+            f"aggregate(array({_candidate('h', a)}), cast(null as {CAND}), (n2, c) -> if({inside}, c, null)))")
 
 
-def _located(prefix: Column, seed: int, first: int, edges: Column, done: int = 0) -> Column:
+def _first_inside(attempts: str, prefix: str, seed: int, edges: str) -> str:
+    """First attempt whose point lies inside; md5 key text ``key:k:a:seed``
+    (``prefix`` is ``key:k:``)."""
+    return f"aggregate({attempts}, cast(null as {CAND}), (hit, a) -> if(hit is null, {_try(prefix, 'a', seed, edges)}, hit))"
+
+
+def _located(prefix: str, seed: int, first: int, edges: str, done: int = 0) -> str:
     """struct(a, x, y) of the first attempt inside, up to the polygon's budget;
     attempts up to ``done`` are known to miss."""
-    none = F.lit(None).cast(CAND)
-
-    def few(lo: int, hi: int) -> Column:
-        return _first_inside(F.array(*[F.lit(i).cast("long") for i in range(lo, hi + 1)]), prefix, seed, edges)
-    # attempts in growing groups, each looked at only where the one before missed
-    groups, lo = [], done + 1
-    while lo <= first:
-        hi = min(first, max(lo, 2 * lo - 1))
-        groups.append(few(lo, hi))
-        lo = hi + 1
+    s1 = _first_inside(f"sequence({done + 1}L, {first}L)", prefix, seed, edges)
     # attempts first+1 .. budget in chunks of about sqrt(remaining): a chunk's
     # attempt list is only built while no attempt has hit, so per-row memory
     # stays O(sqrt(budget)) even for very thin polygons
-    rest = F.col("__attempts") - F.lit(first)
-    size = F.greatest(F.lit(1024).cast("long"), F.ceil(F.sqrt(rest.cast("double"))).cast("long"))
-    n_chunks = F.ceil(rest / size).cast("long")
-
-    def chunk(acc, c):
-        lo = F.lit(first + 1).cast("long") + c * size
-        hi = F.least(F.col("__attempts"), lo + size - 1)
-        return F.when(acc.isNull(), _first_inside(F.sequence(lo, hi), prefix, seed, edges)).otherwise(acc)
-
-    failed = F.raise_error(F.lit("points_in_polygon: attempt budget exhausted or polygon without area")).cast(CAND)
-    s2 = F.when(F.col("__attempts") > first, F.aggregate(F.sequence(F.lit(0).cast("long"), n_chunks - 1), none, chunk))
-    return F.coalesce(*groups, s2, failed)
+    rest = f"(__attempts - {first}L)"
+    size = f"greatest(1024L, cast(ceil(sqrt(cast({rest} as double))) as bigint))"
+    chunk = f"sequence({first + 1}L + chunk * {size}, least(__attempts, {first}L + (chunk + 1L) * {size}))"
+    s2 = (f"case when __attempts > {first} then aggregate(sequence(0L, cast(ceil({rest} / {size}) as bigint) - 1L), cast(null as {CAND}), "
+          f"(found, chunk) -> if(found is null, {_first_inside(chunk, prefix, seed, edges)}, found)) end")
+    failed = f"cast(raise_error('points_in_polygon: attempt budget exhausted or polygon without area') as {CAND})"
+    # each stage is looked at only where the one before missed
+    return f"coalesce({s1}, {s2}, {failed})"
 
 
-def _prefix(key: str, k: Column) -> Column:
-    return F.concat(F.col(key).cast("string"), F.lit(":"), k.cast("string"), F.lit(":"))
+def _prefix(key: str, k: str) -> str:
+    return f"concat(cast(`{key}` as string), ':', cast({k} as string), ':')"
 
 
 def points_in_polygon(rows: DataFrame, key: str = "ID20", k: str = "k", depth: int = 2, seed: int = 0,
@@ -340,37 +330,19 @@ def points_in_polygon(rows: DataFrame, key: str = "ID20", k: str = "k", depth: i
     Exhausting the budget (probability <= fail_prob) raises instead of
     returning a wrong point.  Adds ``x``, ``y`` and ``attempt``.
     """
-    d = rows.withColumn("__p", _located(_prefix(key, F.col(k)), seed, first, F.col("__edges")))
+    d = rows.withColumn("__p", F.expr(_located(_prefix(key, f"`{k}`"), seed, first, "__edges")))
     return d.withColumns({"x": F.col("__p.x"), "y": F.col("__p.y"), "attempt": F.col("__p.a")}).drop("__p", "__edges", "__few")
 
 
-def _inside_few(edges: Column, x: Column, y: Column) -> Column:
+def _inside_few(x: str, y: str) -> str:
     """``geo.edges_contain`` for a list of at most ``FEW`` edges, written out
     edge by edge: no fold, so it is part of the generated code."""
-    odd = F.lit(False)
+    odd = "false"
     for i in range(FEW):
-        e = F.get(edges, F.lit(i))
-        crossed = ((e["y1"] > y) != (e["y2"] > y)) & (x < (e["dx"] * (y - e["y1"])) / e["dy"] + e["x1"])
-        odd = odd != F.coalesce(crossed, F.lit(False))
+        odd = f"({odd} != coalesce({_crossed(f'get(__few, {i})', x, y)}, false))"
     return odd
 
 
-def _plain_attempts(d: DataFrame, seed: int, tries: int = TRIES) -> DataFrame:
-    """Attempts 1 to ``tries`` of rows with ``__few`` edges as plain columns:
-    adds __a, __x, __y of the first that lies inside (null where none does)."""
-    d = d.withColumns({"__a": F.lit(None).cast("long"), "__x": F.lit(None).cast("double"), "__y": F.lit(None).cast("double")})
-    for a in range(1, tries + 1):
-        open_ = F.col("__few").isNotNull() & F.col("__a").isNull()
-        d = d.withColumn("__h", F.when(open_, _digest(F.col("__pre"), F.lit(a), seed)))
-        d = d.withColumn("__c", _candidate(F.col("__h"), F.lit(a)))
-        d = d.withColumns({"__tx": F.col("__c.x"), "__ty": F.col("__c.y")}).drop("__h", "__c")
-        d = d.withColumn("__in", F.col("__tx").isNotNull() & _inside_few(F.col("__few"), F.col("__tx"), F.col("__ty")))
-        d = d.withColumns({"__a": F.when(F.col("__in"), F.lit(a).cast("long")).otherwise(F.col("__a")),
-                           "__x": F.when(F.col("__in"), F.col("__tx")).otherwise(F.col("__x")),
-                           "__y": F.when(F.col("__in"), F.col("__ty")).otherwise(F.col("__y"))}).drop("__tx", "__ty", "__in")
-    return d
-
-
 def individuals_in_polygon(blocks: DataFrame, n, key: str = "ID20", k: str = "k", seed: int = 0, first: int = 16,
                            chunk_rows: int = 1 << 12, spread: bool = True, partitions: int | None = None) -> DataFrame:
     """E5 + G2 in one step: :func:`points_in_polygon` for k = 1..n of every
@@ -382,16 +354,17 @@ def individuals_in_polygon(blocks: DataFrame, n, key: str = "ID20", k: str = "k"
     attempts runs only for those that missed it.
     """
     d = expand.chunks(blocks, n, key, chunk_rows, partitions, spread)
-    ks, none = F.sequence(F.col("__lo"), F.col("__hi")), F.lit(None).cast(CAND)
-    many = F.transform(ks, lambda i: F.struct(i.alias("k"), _located(_prefix(key, i), seed, first, F.col("__edges")).alias("p")))
-    few = F.transform(ks, lambda i: F.struct(i.alias("k"), none.alias("p")))
-    at = F.when(F.col("__few").isNull(), many).otherwise(few)
+    many = f"transform(sequence(__lo, __hi), i -> named_struct('k', i, 'p', {_located(_prefix(key, 'i'), seed, first, '__edges')}))"
+    few = f"transform(sequence(__lo, __hi), i -> named_struct('k', i, 'p', cast(null as {CAND})))"
     box = ["__few", "__attempts", "__minx", "__miny", "__maxx", "__maxy"]
     keep = [c for c in d.columns if c not in ("__lo", "__hi", "__edges", *box, "geometry")]
-    d = d.select(*keep, *box, F.explode(at).alias("__i"))
-    d = d.select(*keep, *box, F.col("__i.k").alias(k), F.col("__i.p").alias("__p"))
-    d = _plain_attempts(d.withColumn("__pre", F.when(F.col("__few").isNotNull(), _prefix(key, F.col(k)))), seed)
-    plain = F.when(F.col("__a").isNotNull(), F.struct(F.col("__a").alias("a"), F.col("__x").alias("x"), F.col("__y").alias("y")))
-    rest = _located(F.col("__pre"), seed, first, F.array("__few"), done=TRIES)
-    d = d.select(*keep, k, F.coalesce("__p", plain, rest).alias("__p"))
-    return d.select(*keep, k, F.col("__p.x").alias("x"), F.col("__p.y").alias("y"), F.col("__p.a").alias("attempt"))
+    names, boxed = [f"`{c}`" for c in keep], ", ".join(box).split(", ")
+    d = d.selectExpr(*names, *boxed, f"explode(if(__few is null, {many}, {few})) as __i")
+    d = d.selectExpr(*names, *boxed, f"__i.k as `{k}`", "__i.p as __p", f"if(__few is null, null, {_prefix(key, '__i.k')}) as __pre")
+    # attempt 1 of polygons with few edges, each value a column of its own
+    d = d.selectExpr("*", f"{_digest('__pre', '1', seed)} as __h").selectExpr("*", f"{_candidate('__h', '1')} as __c")
+    d = d.selectExpr("*", "__c.x as __x", "__c.y as __y").drop("__h", "__c")
+    d = d.selectExpr("*", f"__x is not null and {_inside_few('__x', '__y')} as __in")
+    plain = "if(__in, named_struct('a', 1L, 'x', __x, 'y', __y), null)"
+    d = d.selectExpr(*names, f"`{k}`", f"coalesce(__p, {plain}, {_located('__pre', seed, first, 'array(__few)', done=1)}) as __p")
+    return d.selectExpr(*names, f"`{k}`", "__p.x as x", "__p.y as y", "__p.a as attempt")
