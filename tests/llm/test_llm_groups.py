@@ -475,12 +475,12 @@ def test_exact_copies_with_any_blank_are_found():
 
 def test_periodic_texts_in_bounded_memory():
     # four million characters that repeat, against an item that repeats: in a process of its own, for its peak
-    code = ("import resource, sys; from blockflow.llm import decontaminate as D\n"
+    code = ("from blockflow.llm import decontaminate as D\n"
             "ix = D.Index([(1, 'ha' * 250)]); spans = []\n"
             "for d, t, dist, x, y in ix.regions(['ha' * 2_000_000]):\n"
             "    spans.append((x, y)); spans = D.joined(spans) if len(spans) > 256 else spans\n"
             "assert D.joined(spans) == [(0, 4_000_000)]\n"
-            "print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)")
+            "print(next(int(x.split()[1]) // 1024 for x in open('/proc/self/status') if x.startswith('VmHWM')))")
     out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=300)
     assert out.returncode == 0, out.stderr
     assert int(out.stdout) < 500
