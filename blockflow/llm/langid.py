@@ -190,7 +190,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     marked = docs.select(F.col(text_col), F.col(label_col), F.xxhash64(F.col(id_col)).alias("mark"))
     below = F.pmod(F.col("mark"), F.lit(1 << 32)) < F.col("share") * F.lit(float(1 << 32))
     chosen = marked.join(F.broadcast(shares), (F.col(label_col) == F.col("lang_")) & below).select(text_col, label_col, "mark")
-    got = map_text(chosen, sparse, "label string, mark long, at binary, n binary").limit(2 * sample).collect()
+    got = map_text(chosen, sparse, "label string, mark long, at binary, n binary").orderBy("mark", "label", "at").limit(2 * sample).collect()
     got.sort(key=lambda r: (r["mark"], r["label"], r["at"]))
     languages = tuple(sorted({r["label"] for r in got}))
     model = LanguageModel(languages, idf, np.zeros((features + 1, len(languages))))

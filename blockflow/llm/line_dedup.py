@@ -1,6 +1,6 @@
 """Line dedup by site-relative frequency, in DataFrame functions only.
 
-A line (text between line ends, outer blanks ignored) is boilerplate of its
+A line (text between U+000A, outer U+0020 ignored) is boilerplate of its
 host when the pages of that host containing it are more than ``ratio`` of the
 host's pages, at least ``least_pages`` in number.  Boilerplate lines are
 dropped from every page of the host; all other lines, blank ones too, stay

@@ -151,6 +151,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     """One row per piece: ``id_col``, start, length, doc_tokens, sequence_id,
     offset, ids (binary, little-endian unsigned 32-bit).  ``folder`` holds the
     tokenizer files (default: the installed ones)."""
+    if id_col.lower() in ("start", "length", "doc_tokens", "sequence_id", "offset", "ids"):
+        raise ValueError(f"the id column's name {id_col!r} is one of the result's: rename it")
     rows = along_curve(docs, id_col, text_col)
     schema = docs.select(id_col, *[F.lit(0).cast("long").alias(c) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")],
                          F.lit(b"").alias("ids")).schema

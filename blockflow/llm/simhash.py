@@ -257,6 +257,8 @@ def classes(prints: DataFrame, id_col: str = "doc_id", distance: int = DISTANCE)
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     distance: int = DISTANCE) -> DataFrame:
     """(``id_col``, fp, root, component_id) for every row of ``docs``."""
+    if id_col.lower() in ("fp", "root", "component_id"):
+        raise ValueError(f"the id column's name {id_col!r} is one of the result's: rename it")
     prints = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     found = classes(prints, id_col, distance)
     total = found.agg(F.sum("copies")).first()[0] or 0
@@ -266,7 +268,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
              distance: int = DISTANCE) -> DataFrame:
-    """One row of ``docs`` per component, columns unchanged: the row with the
+    """One row of ``docs`` per component, columns unchanged (an id column named
+    as in :func:`near_duplicates`' result is an error): the row with the
     component's smallest id (among rows repeating that id the smallest by
     fingerprint and then by the whole row; null ids only where a component
     has no other)."""

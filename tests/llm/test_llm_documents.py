@@ -1,5 +1,6 @@
 """Single-pass operators: licenses, HTML, language, quality, packing, shards."""
 
+import math
 import random
 import re
 import zlib
@@ -445,3 +446,98 @@ def test_pieces_of_a_batch_cover_it():
     b = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
     parts = list(sliced([b], "text", 5))
     assert [t for p in parts for t in p.column("text").to_pylist()] == texts and len(parts) >= 4
+
+
+# --- language identification against plain loops ------------------------------------------
+
+def plain_counts(text):
+    """Hashed 1- to 3-grams of a text, one at a time."""
+    low, found = [], {}
+    for c in text:
+        if c.isalpha() or ord(c) > 0xFFFF:
+            low.append(ord(c.lower()) if len(c.lower()) == 1 and ord(c) <= 0xFFFF else ord(c))
+        elif low and low[-1] != 32:
+            low.append(32)
+    low = [32, *low] if low else [32]
+    if low[-1] != 32:
+        low.append(32)
+    m32 = 0xFFFFFFFF
+    for i in range(len(low)):
+        h1 = low[i] * 0x9E3779B1 & m32
+        hashes = [h1]
+        if i + 1 < len(low):
+            h2 = (h1 ^ 0x5BD1E995) + low[i + 1] * 0x85EBCA6B & m32
+            hashes.append(h2)
+            if i + 2 < len(low):
+                hashes.append((h2 * 0xC2B2AE35) + low[i + 2] * 0x27D4EB2F & m32)
+        for h in hashes:
+            h = ((h ^ h >> 15) * 2654435761 & m32) >> 17
+            found[h] = found.get(h, 0) + 1
+    return found
+
+
+@pytest.mark.parametrize("text", ["Hello, wörld!", "a", "  two  words 12 x", "日本 語", "ÀÉ-ß😀z"])
+def test_language_features_against_plain_loops(text):
+    at, n = langid.counts(text)
+    assert dict(zip(at.tolist(), n.tolist())) == plain_counts(text)
+
+
+@pytest.mark.parametrize("lasso", [langid.L1, 0.8])
+def test_ftrl_against_a_plain_loop(lasso):
+    rng = np.random.default_rng(4)
+    features, classes = 30, 3
+    rows = [(np.append(np.sort(rng.choice(features, 6, replace=False)), features), np.append(rng.random(6), 1.0)) for _ in range(40)]
+    labels = rng.integers(0, classes, 40)
+    z = [[0.0] * classes for _ in range(features + 1)]
+    n = [[0.0] * classes for _ in range(features + 1)]
+
+    def weight(i, k):
+        l1 = 0.0 if i == features else lasso
+        if abs(z[i][k]) <= l1:
+            return 0.0
+        return -(z[i][k] - math.copysign(l1, z[i][k])) / ((langid.BETA + math.sqrt(n[i][k])) / langid.ALPHA + langid.L2)
+    for _ in range(langid.EPOCHS):
+        for (at, v), y in zip(rows, labels):
+            w = {(i, k): weight(i, k) for i in at for k in range(classes)}
+            s = [sum(w[i, k] * x for i, x in zip(at, v)) for k in range(classes)]
+            e = [math.exp(x - max(s)) for x in s]
+            for k in range(classes):
+                p = e[k] / sum(e) - (k == y)
+                for i, x in zip(at, v):
+                    g = p * x
+                    sigma = (math.sqrt(n[i][k] + g * g) - math.sqrt(n[i][k])) / langid.ALPHA
+                    z[i][k] += g - sigma * w[i, k]
+                    n[i][k] += g * g
+    want = np.array([[weight(i, k) for k in range(classes)] for i in range(features + 1)])
+    assert np.allclose(langid.ftrl(rows, labels, classes, features, l1=lasso), want, atol=1e-12) and (want == 0).any() == (lasso > 0.5)
+
+
+def test_temperature_is_the_best_of_a_grid():
+    rng = np.random.default_rng(6)
+    logits = rng.normal(size=(200, 4)) * 5
+    labels = np.array([rng.choice(4, p=np.exp(x / 3) / np.exp(x / 3).sum()) for x in logits])
+
+    def loss(t):
+        s = logits / t
+        return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(200), labels]).mean())
+    best = langid.temperature(logits, labels)
+    assert all(loss(best) <= loss(t) + 1e-9 for t in np.exp(np.linspace(np.log(0.25), np.log(20), 400)))
+
+
+def test_inverse_document_frequencies_count_every_training_text(spark):
+    texts = ["abc", "abd", "xyz", None, "12", "abc"]
+    docs = docs_of(spark, texts)
+    model = langid.fit(docs)
+    have = [plain_counts(t) for t in texts if t and any(c.isalpha() for c in t)]
+    for h in {k for c in have for k in c}:
+        assert model.idf[h] == pytest.approx(math.log((1 + len(have)) / (1 + sum(h in c for c in have))) + 1)
+
+
+def test_names_of_the_result_are_refused_as_ids(spark):
+    d = docs_of(spark, ["a b c"])
+    from blockflow.llm import simhash
+    for name in ("fp", "Root", "component_id"):
+        with pytest.raises(ValueError, match="rename"):
+            simhash.near_duplicates(d.withColumnRenamed("doc_id", name), id_col=name)
+    with pytest.raises(ValueError, match="rename"):
+        packing.pack(d.withColumnRenamed("doc_id", "start"), id_col="start")
