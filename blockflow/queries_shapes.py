@@ -1,5 +1,5 @@
 """Queries on projections of the ellipsoid (F10, F11, F17), exact point location
-(F14), and spread or equalised rasters (A14)."""
+(F14), spread or equalised rasters (A14), and points drawn by area (G2)."""
 
 from __future__ import annotations
 
@@ -7,11 +7,11 @@ import math
 
 from pyspark.sql import functions as F
 
-from . import queries_core as Q
+from . import queries_core as Q, queries_prep as QP
 from .catalog import query
 from .functions import exact, projections as PR
-from .operators import raster as R
-from .plans import crossfilter as X, fixtures as fx
+from .operators import by_area, raster as R
+from .plans import crossfilter as X, fixtures as fx, migration as MG
 from .plans import fixtures_sql as S
 from .plans.fixtures_sql import d
 
@@ -183,3 +183,23 @@ def raster_equalized(spark, sf):
     """Mean race shaded by rank, so the nine colours are used alike."""
     r = X.view_raster(X.filtered(fx.points(spark, sf), "race"), "race", Q.VIEWPORT, Q.SMALL_W, Q.SMALL_H)
     return R.raster_equalized(r).withColumn("t", F.round("t", 9))
+
+
+# --- G2 without rejection --------------------------------------------------------------------
+
+def _u(first: int) -> str:
+    return f"((('0x' || substr(h, {first}, 8))::BIGINT + 0.5) / 4294967296.0)"
+
+
+@query("points_in_polygon_by_area", QP.PREP + f"""
+, pts as (select g.ID20, t.k, tr.cx, tr.cy, md5(concat_ws(':', cast(g.ID20 as varchar), cast(t.k as varchar), 'area', '0')) as h
+  from (select ID20, points from mig where points <> 0) g join ({S.BLOCK_TRIANGLES}) tr on tr.GEOID20 = g.ID20, generate_series(1, g.points) t(k))
+, ups as (select *, {_u(9)} * (({{r}} - {{l}}) + cx - cx) / (({{r}} - {{l}}) + sqrt(({{r}} - {{l}}) * ({{r}} - {{l}}) + {_u(9)} * ({d(0)} - ({{r}} - {{l}}) * ({{r}} - {{l}})))) as up from pts)
+select ID20, k, round(({{l}} + up * (cx - {{l}})) + {_u(17)} * (({{r}} + up * (cx - {{r}})) - ({{l}} + up * (cx - {{l}}))), 9) as x,
+  round((cy - {d(0.8)}) + up * ((cy + {d(0.8)}) - (cy - {d(0.8)})), 9) as y from ups""".replace("{l}", f"(cx - {d(1)})").replace("{r}", f"(cx + {d(1)})"))
+def points_in_polygon_by_area(spark, sf):
+    """One draw per individual, by the trapezoids of its block's polygon."""
+    g = MG.generation_table(QP._mig(spark, sf))
+    p = by_area.trapezoids(fx.block_polygon(spark, sf).withColumnRenamed("GEOID20", "ID20"))
+    e = by_area.individuals_by_area(g.join(p, "ID20"), "points")
+    return e.select("ID20", "k", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
