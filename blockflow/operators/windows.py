@@ -23,14 +23,16 @@ def bfill(df: DataFrame, value: str, order_key: str, out: str | None = None) ->
 
     The table is range-sorted by the key (:func:`ranges.placed`), so a range
     is one task's share of the rows however sparse the keys are.  Inside a
-    range the fill is a window; a row with no later value there takes the
-    first value of the next ranges, known from one value per range.
+    range the fill is a window that runs backwards, so one value is carried
+    from row to row (a frame up to the end of the range would be read again
+    for every row); a row with no later value there takes the first value of
+    the next ranges, known from one value per range.
     """
     out = out or value
     p = placed(df, order_key)
     own, later = free_name(p.rows, "fill"), free_name(p.rows, "next")
-    w = Window.partitionBy(p.range).orderBy(p.at).rowsBetween(0, Window.unboundedFollowing)
-    local = p.rows.withColumn(own, F.first(F.col(value), ignorenulls=True).over(w))
+    w = Window.partitionBy(p.range).orderBy(F.col(p.at).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    local = p.rows.withColumn(own, F.last(F.col(value), ignorenulls=True).over(w))
     firsts = {r[0]: r[1] for r in p.rows.where(F.col(value).isNotNull()).groupBy(p.range).agg(
         F.min_by(F.col(value), F.col(p.at))).collect()}                        # one row per range
     carry, nxt = [], None

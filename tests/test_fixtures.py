@@ -173,6 +173,18 @@ def test_bfill_start_middle_end(spark):
         assert got == [3, 3, 3, 5, 5, 8, 8, 8, None, None], rr
 
 
+def test_bfill_reads_each_row_of_a_range_once(spark):
+    """A frame that ends with the range is read again for every row: its work is the square of the range."""
+    n = 120_000
+    df = spark.range(n).select(F.col("id").alias("k"), F.when(F.col("id") % 1000 == 999, F.col("id")).alias("v"),
+                               F.when(F.col("id") < n // 2, F.col("id")).alias("w"))
+    out = windows.bfill(df, "v", "k", out="f")
+    assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert out.count() == n and out.where("not f <=> (k div 1000) * 1000 + 999").count() == 0
+    tail = windows.bfill(df, "w", "k", out="f")
+    assert tail.where(f"not f <=> if(k < {n // 2}, k, null)").count() == 0
+
+
 def test_county_lookup_by_name_or_state(spark):
     from blockflow.plans import datasets as DS
     dim = spark.createDataFrame([(1, "Montgomery County", 24), (2, "Montgomery County", 39), (3, "Kent", 10)],
