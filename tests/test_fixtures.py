@@ -185,6 +185,14 @@ def test_bfill_reads_each_row_of_a_range_once(spark):
     assert tail.where(f"not f <=> if(k < {n // 2}, k, null)").count() == 0
 
 
+def test_bfill_with_rows_and_keys_missing(spark):
+    """No value at all, a null key and a repeated row: as the window over all rows says."""
+    d = spark.createDataFrame([(None, 7), (1, None), (2, 5), (2, 5), (3, None)], "k long, v long")
+    got = sorted(((r.k or 0), r.f or 0) for r in windows.bfill(d, "v", "k", out="f").collect())
+    assert got == [(0, 7), (1, 5), (2, 5), (2, 5), (3, 0)]
+    assert windows.bfill(d.withColumn("v", F.lit(None).cast("long")), "v", "k", out="f").where("f is not null").isEmpty()
+
+
 def test_county_lookup_by_name_or_state(spark):
     from blockflow.plans import datasets as DS
     dim = spark.createDataFrame([(1, "Montgomery County", 24), (2, "Montgomery County", 39), (3, "Kent", 10)],
