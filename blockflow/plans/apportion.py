@@ -22,14 +22,18 @@ from pyspark.sql import DataFrame, functions as F
 
 def apportion(crosswalk: DataFrame, source: DataFrame, measures: list[str],
               from_key: str = "ID10", to_key: str = "ID20", prefix: str = "eq_") -> DataFrame:
-    # joined on a struct of the id, which is never null itself: Spark infers no
-    # id filter for one use of the crosswalk only, so AQE reuses its shuffle
-    cw = crosswalk.select(to_key, F.struct(from_key).alias("__k"))
-    freq = cw.groupBy("__k").agg(F.count(F.lit(1)).alias("__freq"))
-    src = source.where(F.col(from_key).isNotNull()).select(F.struct(from_key).alias("__k"), *measures)
-    weights = src.join(freq, "__k").select(
-        "__k", *[(F.col(m).cast("double") / F.col("__freq")).alias(m) for m in measures])
-    out = cw.join(weights, "__k", "left").groupBy(to_key).agg(
+    # joined on the id made non-null and a mark of the null ones: Spark infers no
+    # id filter for one use of the crosswalk only, so AQE reuses its shuffle, and
+    # the sorts compare plain numbers
+    key = ["__k", "__nil"]
+    of = lambda d: (F.coalesce(F.col(from_key), F.lit(0).cast(d.schema[from_key].dataType)).alias("__k"),
+                    F.col(from_key).isNull().alias("__nil"))
+    cw = crosswalk.select(to_key, *of(crosswalk))
+    freq = cw.groupBy(*key).agg(F.count(F.lit(1)).alias("__freq"))
+    src = source.where(F.col(from_key).isNotNull()).select(*of(source), *measures)
+    weights = src.join(freq, key).select(
+        *key, *[(F.col(m).cast("double") / F.col("__freq")).alias(m) for m in measures])
+    out = cw.join(weights, key, "left").groupBy(to_key).agg(
         *[F.sum(F.coalesce(F.col(m), F.lit(0.0))).alias(prefix + m) for m in measures], F.max(to_key).alias("__id"))
     # the id comes out of an aggregate: neither this filter nor one that a later
     # join infers can move below one use of the crosswalk only

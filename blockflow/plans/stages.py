@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import scratch_path
@@ -51,6 +52,17 @@ def grid_cluster(df: DataFrame, x: str, y: str, cell: float) -> DataFrame:
     return df.repartitionByRange(key, F.col(x), F.col(y)).sortWithinPartitions(key)
 
 
+def write_clustered(df: DataFrame, x: str, y: str, cell: float, path: str) -> str:
+    """:func:`grid_cluster` written to ``path``.  The range bounds take a pass
+    of their own over the rows; these are kept on the executors' disks for the
+    write, so that every row is made once (a lost block is made anew)."""
+    rows = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        return sinks.write_parquet(grid_cluster(rows, x, y, cell), path)
+    finally:
+        rows.unpersist()
+
+
 def _tag(out_dir: str) -> str:
     return f"blockflow_{uuid.uuid5(uuid.NAMESPACE_URL, out_dir).hex}"
 
@@ -111,12 +123,12 @@ def build_datasets(block10: DataFrame, block20: DataFrame, crosswalk: DataFrame,
     if not done("total_population"):
         races = mapped.select("ID20", *[f"R20{k}" for k in range(1, 8)])
         total = DS.total_population_dataset(mig, races, polys, county_dim, seed=seed)
-        sinks.write_parquet(grid_cluster(total, "easting", "northing", grid_cell_m), paths["total_population"])
+        write_clustered(total, "easting", "northing", grid_cell_m, paths["total_population"])
     if ended("total_population"):
         return paths
     if not done("net_migration"):
         net = DS.net_migration_dataset(rmig, polys, seed=seed)
-        sinks.write_parquet(grid_cluster(net, "x", "y", 1.0), paths["net_migration"])
+        write_clustered(net, "x", "y", 1.0, paths["net_migration"])
     if states is not None and not ended("net_migration"):
         paths["by_state"] = os.path.join(out_dir, "by_state")
         # states already written are left out there

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from blockflow import queries_stored as QS
 from blockflow.operators import expand, windows
-from blockflow.plans import fixtures as fx, stages
+from blockflow.plans import apportion as AP, fixtures as fx, stages
 from blockflow.session import scratch_path as shared_path
 from blockflow.sources import census, files, incremental, sinks
 
@@ -205,3 +205,45 @@ def test_lists_of_more_codes_than_an_array_holds(spark):
     small = expand.explode_pieces(expand.list_pieces(d.withColumn("a", F.lit(3)), expand.signed_runs(["a", "b"]), chunk_rows=2))
     assert sorted((r["ID20"], r["k"], r["code"]) for r in small.collect() if r["ID20"] == 1) == \
         [(1, 1, 1), (1, 2, 1), (1, 3, 1), *[(1, k, -2) for k in range(4, 9)]]
+
+
+# --- points drawn once, crosswalk joined on plain keys ---------------------------------------
+
+def own_blocks(spark):
+    ids = spark.range(1, 41)
+    races = lambda p, f: [F.when(F.col("id") % 7 + 1 == k, F.lit(f)).otherwise(0).cast("long").alias(f"{p}{k}") for k in range(1, 8)]
+    b10 = ids.select(F.col("id").alias("ID10"), F.lit(9).cast("long").alias("P10"), *races("R10", 9))
+    b20 = ids.select(F.col("id").alias("ID20"), (F.col("id") % 3).alias("STATE"), F.lit("Kent").alias("COUNTY"),
+                     F.lit(13).cast("long").alias("P20"), *races("R20", 13))
+    cw = ids.select(F.col("id").alias("ID10"), F.col("id").alias("ID20"))
+    x = F.col("id").cast("double")
+    tri = F.array(F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in
+                            ((x, F.lit(1.0)), (x + 0.9, F.lit(1.0)), (x, F.lit(1.9)), (x, F.lit(1.0)))]))
+    return b10, b20, cw, ids.select(F.col("id").alias("GEOID20"), tri.alias("geometry")), spark.createDataFrame([(1, "Kent")], "id long, name string")
+
+
+def test_points_are_drawn_once_for_a_clustered_write(spark, monkeypatch):
+    drawn, kept = spark.sparkContext.accumulator(0), spark.sparkContext._jsc.getPersistentRDDs().size()
+
+    def count(v):
+        drawn.add(1)
+        return v
+
+    counted = F.udf(count, "double")
+    for name, x in (("total_population_dataset", "easting"), ("net_migration_dataset", "x")):
+        made = getattr(stages.DS, name)
+        monkeypatch.setattr(stages.DS, name, lambda *a, made=made, x=x, **b: made(*a, **b).withColumn(x, counted(x)))
+    paths = stages.build_datasets(*own_blocks(spark), scratch_path(spark, "once"))
+    n = sum(spark.read.parquet(paths[k]).count() for k in ("total_population", "net_migration"))
+    assert n > 40 * 13 and drawn.value == n
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept             # nothing stays on the executors
+
+
+def test_crosswalk_is_joined_on_plain_keys(spark):
+    cw = spark.createDataFrame([(0, 1), (0, 2), (None, 2), (None, 3), (5, None), (5, 4)], "ID10 long, ID20 long")
+    src = spark.createDataFrame([(0, 8), (None, 100), (5, 6)], "ID10 long, P10 long")
+    out = AP.apportion(cw, src, ["P10"])
+    assert {r.ID20: r.eq_P10 for r in out.collect()} == {1: 4.0, 2: 4.0, 3: 0.0, 4: 3.0}   # id 0 and the null id stay apart
+    assert "struct(" not in plan_of(out)
+    text = AP.apportion(*[d.withColumn("ID10", F.col("ID10").cast("string")) for d in (cw, src)], ["P10"])
+    assert {r.ID20: r.eq_P10 for r in text.collect()} == {1: 4.0, 2: 4.0, 3: 0.0, 4: 3.0}
