@@ -10,8 +10,11 @@ frequent groups: the next relation, written in the same order.
 
 Plan.  A stored row of a relation is a block of places, all of one language
 and of whole pieces (about ``BLOCK`` bytes of text), with the distinct phrases
-as 128-bit keys, a code per place and its step from the place before.  Blocks
-never share a piece, so the merge join moves no data.  Group counts are added
+as 128-bit keys, a code per place and its step from the place before.  Its
+columns are packed bytes, and its file has a page a row and a group every few:
+Spark holds a row or two of it at a time, whatever the number of blocks a task
+reads or writes.  Blocks never share a piece, so the merge join moves no data.
+Group counts are added
 up inside a block, then by Spark on the pair of keys that overlap: a common
 phrase is one row per block.  Frequent groups stay a distributed table; tasks
 get a bitmap of ``BITS`` bits of their keys (16 MB at any size), through which
@@ -48,8 +51,12 @@ from .common import BATCH_ROWS, sliced, table, written
 from .sharding import row_numbers
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-BLOCK, BITS, GROUPS = 4 << 20, 27, 1 << 20
-_FEW, _MANY = 2, 10_000                              # rows of an Arrow batch: stored blocks, small rows
+BLOCK, BITS, GROUPS = 4 << 20, 27, 1 << 19
+_FEW, _MANY = 256, 10_000                            # rows of an Arrow batch: stored blocks and packed counts, small rows
+_BATCH_BYTES = "4m"                                  # of an Arrow batch, unless a single row is larger
+# Parquet counts on a hundred rows before it looks at their size; a stored block is a row of megabytes
+_LARGE_ROWS = {"parquet.page.row.count.limit": 1, "parquet.block.row.count.limit": 2, "parquet.enable.dictionary": "false",
+               "parquet.column.statistics.enabled": "false", "compression": "zstd"}
 _BUCKET = 15                                         # bits of a bitmap bucket's size, as Spark builds them
 _RANGE = 17                                          # of a range of key buckets that is counted in one place
 _KIND = np.zeros(256, dtype=np.uint8)
@@ -133,12 +140,21 @@ def _kept(code: np.ndarray, step: np.ndarray, at: np.ndarray, keep: np.ndarray)
     return fresh[code[stay]], out, np.flatnonzero(keep)
 
 
-def _relation(lang: str, h1, h2, code, step, names) -> pa.RecordBatch:
-    def one(values, kind):
-        flat = pa.array(values, kind)
-        return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
-    return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), one(h1.view(np.int64), pa.int64()), one(h2.view(np.int64), pa.int64()),
-                                       one(code.astype(np.int32), pa.int32()), one(step, pa.int8())], names=names)
+def _planes(values: np.ndarray, kind: str) -> bytes:
+    """Numbers as their lowest bytes, then the next, and so on: the high ones pack well."""
+    return values.astype(kind).view(np.uint8).reshape(len(values), np.dtype(kind).itemsize).T.tobytes()
+
+
+def _from_planes(raw, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def _relation(lang: str, h1, h2, code, step) -> pa.RecordBatch:
+    """A stored row: the steps are a bit each, set where a place follows the one before."""
+    columns = [h1.astype("<u8").tobytes(), h2.astype("<u8").tobytes(), _planes(code, "<u4"), np.packbits(step == 1).tobytes()]
+    return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), *(pa.array([c], pa.binary()) for c in columns)],
+                                      names=["lang", "h1", "h2", "code", "step"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -146,11 +162,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for b in batches:
         for i in range(b.num_rows):
             lang = b.column(0)[i].as_py()
-            h1, h2, code, step = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in range(1, 5))
-            yield lang, h1.view(np.uint64), h2.view(np.uint64), code.astype(np.int64), step
+            h1, h2, code, step = (b.column(c)[i].as_buffer() for c in range(1, 5))
+            code = _from_planes(code, "<u4").astype(np.int64)
+            step = 2 - np.unpackbits(np.frombuffer(step, dtype=np.uint8), count=len(code)).astype(np.int8)
+            yield lang, np.frombuffer(h1, dtype="<u8"), np.frombuffer(h2, dtype="<u8"), code, step
 
 
-RELATION = "lang string, h1 array<long>, h2 array<long>, code array<int>, step array<tinyint>"
+RELATION = "lang string, h1 binary, h2 binary, code binary, step binary"
 
 
 class KeyFilter:
@@ -213,20 +231,19 @@ def word_places(pieces: DataFrame, frequent: KeyFilter) -> DataFrame:
             h1, h2 = word_keys(lang, words.to_pylist())
             code, step, kept = _kept(code, step, np.arange(len(code)), shared.value(h1))
             if len(code):
-                yield _relation(lang, h1[kept], h2[kept], code, step, ["lang", "h1", "h2", "code", "step"])
+                yield _relation(lang, h1[kept], h2[kept], code, step)
     return pieces.mapInArrow(run, RELATION)
 
 
 def _packed(places: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted places (below 2**32) as steps, and counts (below 2**16), byte by byte planes, compressed."""
-    planes = np.diff(places, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return zlib.compress(planes + counts.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes(), 1)
+    return zlib.compress(_planes(np.diff(places, prepend=0), "<u4") + _planes(counts, "<u2"), 1)
 
 
 def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(zlib.decompress(raw), dtype=np.uint8).reshape(6, -1)
-    steps = np.ascontiguousarray(planes[:4].T).view("<u4").ravel()
-    return np.cumsum(steps, dtype=np.int64), np.ascontiguousarray(planes[4:].T).view("<u2").ravel()
+    raw = zlib.decompress(raw)
+    n = len(raw) // 6
+    return np.cumsum(_from_planes(raw[:4 * n], "<u4"), dtype=np.int64), _from_planes(raw[4 * n:], "<u2")
 
 
 def hot_buckets(places: DataFrame, least: int, bits: int = BITS) -> tuple[KeyFilter, int]:
@@ -292,14 +309,17 @@ def frequent_phrases(places: DataFrame, shorter: DataFrame, least: int, bits: in
             part = (key[may] >> np.uint64(64 - cut)).astype(np.int32)
             may, part = may[order := np.argsort(part, kind="stable")], part[order]
             starts = np.flatnonzero(np.diff(part, prepend=-1))
-            lists = [np.concatenate([keys[m], n[m, None].astype(np.uint64)], axis=1).tobytes() for m in np.split(may, starts[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array(lists, pa.binary())], names=["part", "counts"])
+            flat = np.concatenate([keys[may], n[may, None].astype(np.uint64)], axis=1)
+            offsets = (np.append(starts, len(may)) * flat.itemsize * flat.shape[1]).astype(np.int32)
+            lists = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([pa.array(part[starts]), lists], names=["part", "counts"])
 
     def total(batches):
         part, held, size = None, [], 0
 
         def summed() -> np.ndarray:
             rows = np.concatenate(held)
+            held.clear()
             rows = rows[np.lexsort(rows[:, :4].T)]
             starts = np.flatnonzero(np.r_[True, (rows[1:, :4] != rows[:-1, :4]).any(axis=1)])
             out = rows[starts]
@@ -346,19 +366,23 @@ def longer_places(places: DataFrame, frequent: KeyFilter) -> DataFrame:
             k1, k2 = joined_keys(h1[first], h2[first], h1[last], h2[last])
             code, step, kept = _kept(group, step, at, shared.value(k1))
             if len(code):
-                yield _relation(lang, k1[kept], k2[kept], code, step, ["lang", "h1", "h2", "code", "step"])
+                yield _relation(lang, k1[kept], k2[kept], code, step)
     return places.mapInArrow(run, RELATION)
 
 
-def stored(df: DataFrame, name: str, batch_rows: int) -> DataFrame:
-    """``df`` written and read back, its Python steps fed ``batch_rows`` rows at a time."""
-    conf, setting = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(setting)
-    conf.set(setting, str(batch_rows))
+def stored(df: DataFrame, name: str, batch_rows: int, **options) -> DataFrame:
+    """``df`` written and read back, its Python steps fed ``batch_rows`` rows or
+    about ``_BATCH_BYTES`` at a time; ``options`` of the file's writer."""
+    conf = df.sparkSession.conf
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch_rows), "spark.sql.execution.arrow.maxBytesPerBatch": _BATCH_BYTES}
+    before = {k: conf.get(k) for k in settings}
+    for k, v in settings.items():
+        conf.set(k, v)
     try:
-        return written(df, name)
+        return written(df, name, **options)
     finally:
-        conf.set(setting, before)
+        for k, v in before.items():
+            conf.set(k, v)
 
 
 def _score(n: Column) -> Column:
@@ -378,7 +402,7 @@ def candidates(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     cut's l and r."""
     pieces = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     groups, totals = frequent_words(pieces, least)
-    places = stored(word_places(pieces, KeyFilter.of(groups, bits)), "places-1", BATCH_ROWS)
+    places = stored(word_places(pieces, KeyFilter.of(groups, bits)), "places-1", BATCH_ROWS, **_LARGE_ROWS)
     found, inside = [], []
     for k in range(2, longest + 1):
         before = groups
@@ -388,7 +412,7 @@ def candidates(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
             for side, f in (("p", "pre"), ("s", "suf")):
                 inside.append(groups.where(F.element_at(f, -1) == F.element_at(f, -2)).select(F.col(f"{side}1").alias("h1"), F.col(f"{side}2").alias("h2")))
         if k < longest:
-            places = stored(longer_places(places, KeyFilter.of(groups, bits)), f"places-{k}", _FEW)
+            places = stored(longer_places(places, KeyFilter.of(groups, bits)), f"places-{k}", _FEW, **_LARGE_ROWS)
 
     def union(frames):
         out = frames[0]

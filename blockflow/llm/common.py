@@ -16,14 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared scratch folder, read back.
+def written(df: DataFrame, name: str, **options) -> DataFrame:
+    """``df`` as a Parquet table in the shared scratch folder, read back;
+    ``options`` go to the writer.
 
     Cuts the lineage with replicated / shared storage, so a lost executor
     costs a re-read and nothing is recomputed by later jobs.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -96,6 +97,25 @@ def test_rare_groups_never_reach_the_exact_count(spark):
     assert [r["phrase"] for r in collocations.frequent_phrases(places, groups, 40).collect()] == ["alpha beta"]
 
 
+def test_blocks_are_stored_a_page_each_and_few_to_a_group(spark, monkeypatch):
+    kept, conf = {}, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def spy(df, name, **options):
+        out = written(df, name, **options)
+        kept[name] = out.inputFiles()
+        return out
+    written = collocations.written
+    monkeypatch.setattr(collocations, "written", spy)
+    rows = [(i, "alpha beta gamma alpha beta gamma", f"l{i}", "s", 0) for i in range(12)]      # a language, a block
+    found = collocations.candidates(spark.createDataFrame(rows, DOC).coalesce(1), least=2, longest=3)
+    assert sorted(tuple(r) for r in found.select("lang", "phrase", "a").collect()) == sorted((f"l{i}", "alpha beta gamma", 2) for i in range(12))
+    for name in ("places-1", "places-2"):
+        files = [pq.ParquetFile(f.removeprefix("file:").replace("//", "/")).metadata for f in kept[name]]
+        groups = [m.row_group(g) for m in files for g in range(m.num_row_groups)]
+        assert sum(g.num_rows for g in groups) == 12 and max(g.num_rows for g in groups) <= 2
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == conf
+
+
 @pytest.mark.parametrize("places,counts", [([], []), ([0], [1]), ([5, 6, 70000, 2**31], [1, 65535, 2, 3])])
 def test_packed_counts(places, counts):
     a, n = collocations._unpacked(collocations._packed(np.array(places, dtype=np.int64), np.array(counts, dtype=np.int64)))
