@@ -125,6 +125,39 @@ def test_short_rings_and_nulls(spark):
     assert [r[0] for r in d.select(exact.locate("g", "x", "y")).collect()] == [-1, -1]
 
 
+def test_nulls_in_points_and_polygons(spark):
+    sq = [{"x": float(x), "y": float(y)} for x, y in ((0, 0), (4, 0), (4, 4), (0, 4), (0, 0))]
+    rows = [([sq], 1.0, 1.0, 1), ([sq, None], 4.0, 2.0, 0), ([sq], None, 1.0, -1), ([sq], 1.0, None, -1), ([sq], math.nan, 1.0, -1), ([sq], 5.0, 4.0, -1),
+            (None, 1.0, 1.0, None), ([None], 1.0, 1.0, -1), ([], 1.0, 1.0, -1), ([sq, sq], 1.0, 1.0, -1), ([sq, sq], 0.0, 3.0, 0)]
+    d = spark.createDataFrame(rows, "g array<array<struct<x:double,y:double>>>, x double, y double, want int").coalesce(1)
+    assert [tuple(r) for r in d.select(exact.locate("g", "x", "y"), "want").collect()] == [(r[3], r[3]) for r in rows]
+    far = spark.createDataFrame([([sq], -math.inf, 1.0)], "g array<array<struct<x:double,y:double>>>, x double, y double")
+    with pytest.raises(Exception, match="NaN"):
+        far.select(exact.locate("g", "x", "y")).collect()
+
+
+def test_location_binds_its_values_once(spark):
+    """Its folds are interpreted, so time goes with the expression's size: it was 112,000 characters."""
+    d = spark.createDataFrame([], "g array<array<struct<x:double,y:double>>>, x double, y double")
+    assert len(d.select(exact.locate("g", "x", "y"))._jdf.queryExecution().analyzed().toString()) < 30_000
+
+
+def test_many_points_beside_edges(spark):
+    """All of 300,000 points within rounding of an edge, some with differences that round."""
+    ring = [(-0.1, 0.3), (7.7, 0.1), (3.3, 5.9), (-0.1, 0.3)]
+    g = F.array(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ring)))
+    t, u = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(float(1 << 20)), F.lit(2.0 ** -52) * (F.col("id") % 5 - 2)
+    (ax, ay), (bx, by), (cx, cy) = ring[:3]
+    x = F.when(F.col("id") % 2 == 0, F.lit(ax) + t * F.lit(bx - ax)).otherwise(F.lit(bx) + t * F.lit(cx - bx))
+    y = F.when(F.col("id") % 2 == 0, F.lit(ay) + t * F.lit(by - ay)).otherwise(F.lit(by) + t * F.lit(cy - by))
+    d = spark.range(0, 300_000, 1, 4).select("id", g.alias("g"), x.alias("x"), (y + u).alias("y"))
+    located = d.select("id", "x", "y", exact.locate("g", "x", "y").alias("place"))
+    n = {r["place"]: r["count"] for r in located.groupBy("place").count().collect()}
+    assert sum(n.values()) == 300_000 and min(n[1], n[-1]) > 50_000
+    for r in located.where("id % 1000 < 2").collect():
+        assert r["place"] == place([ring], r["x"], r["y"])
+
+
 # --- rasters ------------------------------------------------------------------------------
 
 W, H = 40, 30
